@@ -143,7 +143,7 @@ def _levels(bits: Bits, slots: np.ndarray, part: int, parts: int) -> np.ndarray:
     return out
 
 
-def lm_score(docs: DataFrame, train: Column, id_: str = "doc_id", text: str = "text", min_count: int = 2, ratio: float = 1.5, hashes: int = 8, m2: float = 200.0, m3: float = 20.0, filter_bytes: int = 1 << 26, head_words: int = 1 << 18) -> DataFrame:
+def lm_score(docs: DataFrame, train: Column, id_: str = "doc_id", text: str = "text", min_count: int = 2, ratio: float = 1.5, hashes: int = 8, m2: float = 20_000.0, m3: float = 200.0, filter_bytes: int = 1 << 26, head_words: int = 1 << 18) -> DataFrame:
     """A row for each row of docs: id_, n_tokens, n_known, train_tokens, base_score, score; sums of log10 probabilities.
 
     train: which rows the model learns from (null: not). Null text is empty: one end token. Repeated

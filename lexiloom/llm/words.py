@@ -55,20 +55,26 @@ class Words:
         with np.errstate(over="ignore"):
             self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))]) for b in (_BASE, back))
 
-    def _hash(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _hash(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, cuts: tuple[int, ...]) -> list[np.ndarray]:
         if len(data) >= len(self.up):
             self.grow(len(data))
         with np.errstate(over="ignore"):
             sums = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(self.letter[data] * self.up[: len(data)], out=sums[1:])
-            return mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _STEP)
+            ends = [end, *(np.minimum(end, start + k) for k in cuts)]
+            return [mix((sums[e] - sums[start]) * self.down[start] + (e - start).astype(np.uint64) * _STEP) for e in ends]
 
     def tokens(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words of a column in order, and where each row's begin (one more entry than rows). Null: no words."""
+        (out,), at = self.beginnings(text, ())
+        return out, at
+
+    def beginnings(self, text: pa.Array, cuts: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+        """As tokens(), with the hashes of each word's first k bytes for each k of cuts besides."""
         data, at = text_bytes(text)
         n = len(data)
         if not n:
-            return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+            return [np.zeros(0, np.uint64)] * (1 + len(cuts)), np.zeros(len(at), np.int64)
         word = ~self.space[data]
         first = np.zeros(n, bool)
         first[at[:-1][at[:-1] < n]] = True
@@ -78,11 +84,12 @@ class Words:
         after = np.ones(n, bool)
         after[:-1] = ~word[1:] | first[1:]
         start, end = np.flatnonzero(begins), np.flatnonzero(word & after) + 1
-        out, done = np.empty(len(start), np.uint64), 0
+        out, done = [np.empty(len(start), np.uint64) for _ in range(1 + len(cuts))], 0
         while done < len(start):  # blocks end between words, so memory follows the block and not the batch
             low = start[done]
             upto = max(done + 1, int(np.searchsorted(end, low + _BLOCK, side="right")))
-            out[done:upto] = self._hash(data[low : end[upto - 1]], start[done:upto] - low, end[done:upto] - low)
+            for to, x in zip(out, self._hash(data[low : end[upto - 1]], start[done:upto] - low, end[done:upto] - low, cuts), strict=True):
+                to[done:upto] = x
             done = upto
         return out, np.searchsorted(start, at)
 
