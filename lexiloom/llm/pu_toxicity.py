@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexiloom.llm.words import Words, batches, mix
 
@@ -40,7 +41,7 @@ def features(words: Words, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(spread), np.tile(row, len(spread))
 
 
-def learn(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, screen: float = 4.0, lift: float = 2.5, steps: int = 400, rate: float = 0.1, ridge: float = 2e-5) -> tuple[np.ndarray, np.ndarray, float]:
+def learn(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, screen: float = 4.0, lift: float = 2.5, steps: int = 400, rate: float = 0.1, ridge: float = 5e-5) -> tuple[np.ndarray, np.ndarray, float]:
     """The features used, in order, their weights and the bias at the non-negative risk's minimum. The samples: each text's feature numbers, without repeats."""
     if not positive or not unlabelled or not 0 < prior < 1:
         return np.zeros(0, np.int32), np.zeros(0), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
@@ -92,16 +93,8 @@ def among(f: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit[same], at[same]
 
 
-def pu_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = 4000, unlabelled: int = 12000, threshold: float = 0.7, screen: float = 4.0) -> DataFrame:
-    """A row for each row of docs: id_, score (0 to 1), predicted (1 from threshold on).
-
-    train: a condition on id_ that picks the rows whose labels may be learned; null counts as no. A
-    document labelled more than once is toxic if any label says so; null labels count as none. Empty
-    and null texts get the score of a text without features. Without confirmed toxic texts every
-    score is the prior. Rows with a null id and repeated rows are scored like others. Other columns
-    are left out.
-    """
-    spark = docs.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, train: Column, id_: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = 4000, unlabelled: int = 12000, screen: float = 4.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """What learn() finds in samples of docs and labels."""
     source = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text"))
     rows = labels.where(train).select(F.col(id_).alias("id"), F.col(label).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     prior = rows.agg(F.avg(F.col("y").cast("double"))).first()[0] or 0.0
@@ -122,19 +115,39 @@ def pu_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_: str = "d
 
     got = source.join(F.broadcast(sample), "id").select("text", "positive").mapInArrow(extract, "same string, positive boolean, features binary").collect()
     once = {kind: [np.frombuffer(x, np.int32) for _, x in sorted({r["same"]: bytes(r["features"]) for r in got if r["positive"] is kind}.items())] for kind in (True, False)}
-    used, weight, bias = learn(once[True], once[False], float(prior), screen)
-    model = spark.sparkContext.broadcast((used, weight))
+    return learn(once[True], once[False], float(prior), screen)
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", into: str = "score") -> DataFrame:
+    """docs with the score of each row's whole text in the column `into`."""
+    *weights, bias = model
+    held_by_all = docs.sparkSession.sparkContext.broadcast(tuple(weights))
+    schema = StructType([*docs.schema.fields, StructField(into, DoubleType())])
+    at, size = docs.columns.index(text), len(docs.columns)
 
-    def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (held, w) = Words(), model.value
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, (held, w) = Words(), held_by_all.value
         for whole in parts:
             for part in batches(whole):
-                f, row = features(words, part.column(1))
-                hit, at = among(f, held)
-                pairs = np.unique(row[hit].astype(np.int64) * SPACE + at)
+                column = part.column(at)
+                f, row = features(words, column if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.cast(pa.string()))
+                hit, place = among(f, held)
+                pairs = np.unique(row[hit].astype(np.int64) * SPACE + place)
                 z = bias + np.bincount(pairs // SPACE, w[pairs % SPACE], part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=["id", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(size)), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*part.schema.names, into])
 
-    kind = source.schema["id"].dataType.simpleString()
-    scored = source.mapInArrow(score, f"id {kind}, score double")
+    return docs.mapInArrow(run, schema)
+
+
+def pu_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, **sampling) -> DataFrame:
+    """A row for each row of docs: id_, score (0 to 1), predicted (1 from threshold on).
+
+    train: a condition on id_ that picks the rows whose labels may be learned; null counts as no. A
+    document labelled more than once is toxic if any label says so; null labels count as none. Empty
+    and null texts get the score of a text without features. Without confirmed toxic texts every
+    score is the prior. Rows with a null id and repeated rows are scored like others. Other columns
+    are left out.
+    """
+    model = fit(docs, labels, train, id_, text, label, **sampling)
+    scored = score(docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text")), model)
     return scored.select(F.col("id").alias(id_), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
