@@ -24,6 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def forget(tables: list[tuple[SparkSession, str]]) -> None:
+    """Delete tables that materialise() wrote; nothing that reads them may run any more."""
+    for spark, path in tables:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def recorded() -> list[tuple[SparkSession, str]]:
+    """The tables written since the last call."""
+    out = list(_made)
+    _made.clear()
+    return out
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -33,4 +50,5 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexiloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
