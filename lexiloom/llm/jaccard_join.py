@@ -168,7 +168,8 @@ def subsets(s: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, list[int]]:
         each = mix(s)
         total = each.sum(dtype=np.uint64)
         for c in sizes:
-            gone = np.array(list(itertools.combinations(range(len(s)), len(s) - c)), np.int64).reshape(-1, len(s) - c)
+            gone = list(itertools.combinations(range(len(s)), len(s) - c))
+            gone = np.array(gone, np.int64).reshape(len(gone), len(s) - c)
             keys.append(mix((total - each[gone].sum(axis=1, dtype=np.uint64)) ^ (np.uint64(c) << np.uint64(56))))
             of += [c] * len(gone)
     return (np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)), of
