@@ -17,28 +17,32 @@ SEGMENTS = 64
 class Bits:
     """SEGMENTS bit arrays of one size, a power of two. A key's top six bits choose the segment."""
 
-    def __init__(self, segment_bits: int, hashes: int, parts: dict[int, bytes]) -> None:
+    def __init__(self, segment_bits: int, hashes: int) -> None:
         self.segment_bits, self.hashes = segment_bits, hashes
         self.data = np.zeros(SEGMENTS * segment_bits // 8, np.uint8)
-        for k, x in parts.items():
-            self.data[k * segment_bits // 8 : (k + 1) * segment_bits // 8] = np.frombuffer(x, np.uint8)
+
+    def fill(self, segment: int, bits: bytes) -> None:
+        size = self.segment_bits // 8
+        self.data[segment * size : (segment + 1) * size] = np.frombuffer(bits, np.uint8)
 
     def has(self, key: np.ndarray) -> np.ndarray:
-        base = (key >> np.uint64(58)) * np.uint64(self.segment_bits)
-        alive = np.arange(len(key))
+        alive, step = np.arange(len(key)), None
         for i in range(self.hashes):  # a key that has missed a bit is not probed again
-            at = base[alive] + positions(key[alive], i, self.segment_bits)
-            alive = alive[(self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-        out = np.zeros(len(key), bool)
-        out[alive] = True
-        return out
+            at = (key >> np.uint64(58)) * np.uint64(self.segment_bits) + positions(key, step, i, self.segment_bits)
+            hit = (self.data[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            alive, key = alive[hit], key[hit]
+            step = steps(key) if step is None else step[hit]
+        return alive
+
+
+def steps(key: np.ndarray) -> np.ndarray:
+    return mix(key ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
 
 
-def positions(key: np.ndarray, i: int, segment_bits: int) -> np.ndarray:
-    """The place of a key's i-th bit in its segment."""
+def positions(key: np.ndarray, step: np.ndarray | None, i: int, segment_bits: int) -> np.ndarray:
+    """The place of a key's i-th bit in its segment; step is of no use for the first."""
     with np.errstate(over="ignore"):
-        step = mix(key ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
-        return mix(key + np.uint64(i) * step) & np.uint64(segment_bits - 1)
+        return (key if not i else key + np.uint64(i) * step) & np.uint64(segment_bits - 1)
 
 
 def segment_bits_for(inserts: int, hashes: int, most_bits: int) -> int:
@@ -59,14 +63,18 @@ def build(keys: DataFrame, column: str, segment_bits: int, hashes: int, expand=N
             segment = int(frame["__segment"].iloc[0]) if segment is None else segment
             bits = np.zeros(segment_bits, bool) if bits is None else bits
             key = expand(frame) if expand else frame[column].to_numpy(np.int64).view(np.uint64)
+            step = steps(key)
             for i in range(hashes):
-                bits[positions(key, i, segment_bits).astype(np.int64)] = True
+                bits[positions(key, step, i, segment_bits).view(np.int64)] = True
         if bits is not None:
             yield pd.DataFrame({"segment": [segment], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     dealt = keys.where(F.col(column).isNotNull()).withColumn("__segment", F.shiftrightunsigned(F.col(column), 58).cast("int"))
-    rows = dealt.groupBy("__segment").applyInPandas(_whole(fill), "segment int, bits binary").collect()
-    return Bits(segment_bits, hashes, {r["segment"]: bytes(r["bits"]) for r in rows})
+    out = Bits(segment_bits, hashes)
+    for batch in dealt.groupBy("__segment").applyInPandas(_whole(fill), "segment int, bits binary").toArrow().to_batches():
+        for segment, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out.fill(segment, bits.as_buffer())
+    return out
 
 
 def _whole(fill):

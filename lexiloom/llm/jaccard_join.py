@@ -198,7 +198,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_: str, text: str, width: int
     def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held = Words(), wanted.value
         for whole in parts:
-            part = whole.filter(pa.array(held.has(whole.column(2).to_numpy().view(np.uint64))))
+            part = whole.take(pa.array(held.has(whole.column(2).to_numpy().view(np.uint64))))
             for piece in batches(part):
                 h, at = distinct_rows(*words.shingles(piece.column(1), width))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([h[a:b].tobytes() for a, b in itertools.pairwise(at.tolist())], pa.binary())], names=["id", "shingles"])

@@ -131,15 +131,20 @@ def _unpack(data: bytes, grams: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _levels(bits: Bits, slots: np.ndarray, part: int, parts: int) -> np.ndarray:
-    """The level of each slot that this filter holds, else 0."""
+def _levels(bits: Bits, slots: np.ndarray, part: int, parts: int, where: np.ndarray | None = None) -> np.ndarray:
+    """The level of each slot that this filter holds, else 0; where: the only places to look at."""
     out = np.zeros(len(slots), np.uint8)
-    alive = np.flatnonzero(slots % np.uint64(parts) == part) if parts > 1 else np.arange(len(slots))
-    level = 1
+    at = np.arange(len(slots)) if where is None else where
+    if parts > 1:
+        at = at[slots[at] % np.uint64(parts) == part]
+    at = at[bits.has(leveled(slots[at], 1))]
+    held, back = np.unique(slots[at], return_inverse=True)  # most that is there is there often
+    level, alive, now = np.ones(len(held), np.uint8), np.arange(len(held)), 2
     while len(alive):
-        alive = alive[bits.has(leveled(slots[alive], level))]
-        out[alive] = level
-        level += 1
+        alive = alive[bits.has(leveled(held[alive], now))]
+        level[alive] = now
+        now += 1
+    out[at] = level[back]
     return out
 
 
@@ -183,17 +188,21 @@ def lm_score(docs: DataFrame, train: Column, id_: str = "doc_id", text: str = "t
         def run(batch_parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, filters, (heads, head_count, begins) = Words(), bits.value, tables.value
             for whole in batch_parts:
-                for batch in batches(whole, 1 << 22):
+                for batch in batches(whole, 1 << 21):
                     seq, to, place, two, three = sequences(*words.tokens(batch.column(1)))
                     before = np.concatenate([seq[-1:], seq[:-1]])
-                    found = np.stack([_levels(filters, slot(k, g), part, parts) for k, g in ((before, 1), (two, 2), (three, 3))]) if len(seq) else np.zeros((3, 0), np.uint8)
+                    at = np.minimum(np.searchsorted(heads, seq), max(0, len(heads) - 1))
+                    in_head = heads[at] == seq if len(heads) else np.zeros(len(seq), bool)
+                    # a history in the head has its exact count there, and an n-gram is no more frequent than what it ends or begins with
+                    rare = np.flatnonzero(~np.concatenate([in_head[-1:], in_head[:-1]]) & (place > 0))
+                    l2 = _levels(filters, slot(two, 2), part, parts)
+                    inner = np.flatnonzero((l2 > 0) & (np.concatenate([l2[-1:], l2[:-1]]) > 0) & (place > 0)) if parts == 1 else None
+                    found = np.stack([_levels(filters, slot(before, 1), part, parts, rare), l2, _levels(filters, slot(three, 3), part, parts, inner)])
                     if part:
                         found += np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(3, -1) for x in batch.column(2)], axis=1)
                     if not last:
                         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([found[:, a:b].tobytes() for a, b in zip(to[:-1], to[1:], strict=True)], pa.binary())], names=["id", "text", "levels"])
                         continue
-                    at = np.minimum(np.searchsorted(heads, seq), max(0, len(heads) - 1))
-                    in_head = heads[at] == seq if len(heads) else np.zeros(len(seq), bool)
                     c = np.where(in_head, head_count[at] if len(heads) else 0, 0)
                     # histories: exact where the head has them, else the level's upper edge
                     l1, l2, l3 = found.astype(np.int64)
