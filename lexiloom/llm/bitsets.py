@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.words import mix
+from lexiloom.llm.words import mix, release
 
 SEGMENTS = 64
 
@@ -81,7 +81,8 @@ def _whole(fill):
     """applyInPandas hands over one frame a group; fill takes pieces, so its temporaries stay small."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        pieces = (frame.iloc[i : i + 500_000] for i in range(0, len(frame), 500_000))
+        release()
+        pieces = (frame.iloc[i : i + 250_000] for i in range(0, len(frame), 250_000))
         return pd.concat(list(fill(pieces)))
 
     return run

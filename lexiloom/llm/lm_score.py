@@ -31,11 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.bitsets import Bits, build, segment_bits_for
-from lexiloom.llm.words import Words, batches, combine, mix
+from lexiloom.llm.words import Words, batches, combine, mix, release
 from lexiloom.plans.lineage import materialise
 
 END, BEGIN = np.uint64(0x656E645F746F6B65), np.uint64(0x626567696E5F746F)
-PIECE_TOKENS = 1 << 21
+PIECE_TOKENS = 1 << 20
 
 
 def edges(min_count: int, ratio: float) -> np.ndarray:
@@ -72,7 +72,7 @@ def leveled(slots: np.ndarray, level: int | np.ndarray) -> np.ndarray:
 
 def ngram_counts(train: DataFrame, text: str, min_count: int, ratio: float) -> DataFrame:
     """(grams, slot, key, count, level): every word (grams 1, key its hash), and longer n-grams of at least min_count."""
-    buckets = max(32, 2 * int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(32, 4 * int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lower = edges(min_count, ratio)
 
     def flush(keys: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -91,7 +91,7 @@ def ngram_counts(train: DataFrame, text: str, min_count: int, ratio: float) -> D
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, n = Words(), [[], [], []], 0
         for whole in parts:
-            for part in batches(whole, 1 << 22):
+            for part in batches(whole, 1 << 21):
                 seq, _, place, two, three = sequences(*words.tokens(part.column(0)))
                 for to, k in zip(held, (seq, two, three[place > 0]), strict=True):
                     to.append(k)
@@ -99,10 +99,12 @@ def ngram_counts(train: DataFrame, text: str, min_count: int, ratio: float) -> D
                 if n >= PIECE_TOKENS:
                     yield flush(held)
                     held, n = [[], [], []], 0
+                    release()
         if n:
             yield flush(held)
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
+        release()
         g = int(frame["grams"].iloc[0])
         one, more = (np.concatenate([_unpack(x, g) for x in frame[c]]) for c in ("once", "more"))
         count = np.concatenate([np.ones(len(one), np.int64), *[np.frombuffer(x, np.uint32).astype(np.int64) for x in frame["counts"]]])
@@ -226,6 +228,7 @@ def lm_score(docs: DataFrame, train: Column, id_: str = "doc_id", text: str = "t
                     tail = np.concatenate([[0], np.cumsum(rest)])[to]
                     tails = pa.StructArray.from_arrays([pa.array(seq[rest].view(np.int64)), pa.array(a[rest]), pa.array(b[rest])], names=["key", "a", "b"])
                     sums = [np.add.reduceat(x, to[:-1]) if len(to) > 1 else np.zeros(0, x.dtype) for x in (in_head.astype(np.int64), base, score)]
+                    release()
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(to)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(tail, pa.int32()), tails)], names=["id", "n_tokens", "n_known", "base", "score", "tail"])
 
         return run

@@ -8,6 +8,9 @@ share a hash is about V^2 / 2^65.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -139,3 +142,10 @@ def batches(batch: pa.RecordBatch, most: int = 1 << 23):
     step = max(1, most // size)
     for low in range(0, batch.num_rows, step):
         yield batch.slice(low, step)
+
+
+def release() -> None:
+    """Give freed memory back to the system; between pieces of a task's work, so that a worker holds one piece."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
