@@ -1,7 +1,7 @@
 """Mixing to target weights by soft membership, in DataFrame functions alone.
 
-A multinomial naive Bayes over hashed words, counted from all labelled documents, gives each document
-posteriors over the labelled domains. Evidence of long texts is tempered to that of `evidence` words, so
+A multinomial naive Bayes over hashed words, counted from a bounded sample of labelled documents, gives
+each document posteriors over the labelled domains. Evidence of long texts is tempered to that of `evidence` words, so
 posteriors stay soft. Document rates r >= 0 are then fitted by projected-gradient least squares: with
 t tokens and posteriors p, the expected tokens of domain k are S_k(r) = sum r t p_k, and
 
@@ -29,17 +29,19 @@ def words_of(text: Column) -> Column:
     return F.split(F.lower(plain), " ")
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], id_: str = "doc_id", text: str = "text", buckets: int = 1 << 14, evidence: int = 200, alpha: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
+def posteriors(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], id_: str = "doc_id", text: str = "text", buckets: int = 1 << 14, evidence: int = 200, alpha: float = 1.0, taught_most: int = 20_000, by: tuple[str, ...] = ()) -> DataFrame:
     """(row, id, n_tokens, p: array of posteriors in the order of domains, and the columns of by) for each row of docs.
 
     domain: an expression over labels that names a row's domain; null and other names are no label.
+    The classifier learns from at most taught_most labelled documents, those of the smallest id hashes.
     Without labels in a domain its prior is that of one text.
     """
     named = labels.select(F.col(id_).alias("id"), domain.alias("domain")).where("id is not null").where(F.col("domain").isin(domains)).groupBy("id").agg(F.min("domain").alias("domain"))
     source = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text"), *by).withColumn("row", F.monotonically_increasing_id())
     bucket = F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int")
 
-    taught = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text")).join(named, "id")
+    sample = named.orderBy(F.xxhash64("id"), "id").limit(taught_most)  # bounded, so its broadcast is
+    taught = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "id")
     counts = taught.select("domain", F.explode(words_of(F.col("text"))).alias("w")).where("w <> ''").select("domain", bucket.alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n"))
     seen: dict[str, dict[int, int]] = {d: {} for d in domains}
     for r in counts.collect():  # at most buckets x domains rows
