@@ -113,8 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_: str = "doc_id",
                 found = [x.astype(np.int32) for x in np.split(f % SPACE, cuts)]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_hexdigest(x.tobytes()) for x in found]), part.column(1), pa.array([x.tobytes() for x in found], pa.binary())], names=["same", "positive", "features"])
 
-    got = source.join(F.broadcast(sample), "id").select("text", "positive").mapInArrow(extract, "same string, positive boolean, features binary").collect()
-    once = {kind: [np.frombuffer(x, np.int32) for _, x in sorted({r["same"]: bytes(r["features"]) for r in got if r["positive"] is kind}.items())] for kind in (True, False)}
+    got = source.join(F.broadcast(sample), "id").select("text", "positive").mapInArrow(extract, "same string, positive boolean, features binary").toArrow()
+    names, kinds, data = (c.to_pylist() if i < 2 else c for i, c in enumerate(got.columns))
+    once = {kind: [np.frombuffer(data[i].as_buffer(), np.int32) for _, i in sorted({n: i for i, (n, k) in enumerate(zip(names, kinds, strict=True)) if k is kind}.items())] for kind in (True, False)}
     return learn(once[True], once[False], float(prior), screen)
 
 
