@@ -48,7 +48,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     _begins()
     found = materialise(jaccard_join(docs, width=WORDS, percent=SIMILARITY))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # what goes grows with the documents, so at no size is it broadcast
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     again = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     if again.limit(1).count():
         repeated = kept.join(again, "doc_id", "left_semi")
@@ -64,7 +65,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     quality = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
     rated = soft_mix(docs, labels, quality, WEIGHTS, least=1.0, shrink=False)
     more = materialise(rated.where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("__copies")))
-    mixed = docs.join(more, "doc_id", "left").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("__copies", F.lit(1)), F.lit(1)))))
+    mixed = docs.join(more.hint("merge"), "doc_id", "left").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("__copies", F.lit(1)), F.lit(1)))))
     return _ends(mixed.select(*docs.columns))
 
 
