@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexiloom.llm.words import Words, batches, mix
+from lexiloom.llm.words import Words, batches, mix, release
 
 SPACE = 1 << 31  # of feature numbers; few enough features are used that they hardly ever share one
 GATES = 1 << 20
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_: str = "doc_id",
     def extract(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for whole in parts:
-            for part in batches(whole):
+            for part in batches(whole, 1 << 21):
                 f, row = features(words, part.column(0))
                 f = np.unique(row.astype(np.int64) * SPACE + f)
                 cuts = np.searchsorted(f, np.arange(1, part.num_rows) * SPACE)
@@ -129,11 +129,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, (held, w) = Words(), held_by_all.value
         for whole in parts:
-            for part in batches(whole):
+            for part in batches(whole, 1 << 21):
                 column = part.column(at)
                 f, row = features(words, column if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.cast(pa.string()))
                 hit, place = among(f, held)
                 pairs = np.unique(row[hit].astype(np.int64) * SPACE + place)
+                release()
                 z = bias + np.bincount(pairs // SPACE, w[pairs % SPACE], part.num_rows)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(size)), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*part.schema.names, into])
 
