@@ -81,11 +81,9 @@ def exchange(full: Pattern, low: Pattern, capacity: int) -> tuple[int, tuple[int
     for out in takes:
         at = bisect.bisect_right(sums, out + room) - 1
         if at >= 0 and sums[at] - out > best[0]:
-            come = pairs[sums[at]]
-            if out or len(come) == 1 or len(come) == 2:
-                best = (sums[at] - out, come, (out,) if out else ())
-                if best[0] == room:
-                    break
+            best = (sums[at] - out, pairs[sums[at]], (out,) if out else ())
+            if best[0] == room:
+                break
     return best
 
 
@@ -95,10 +93,13 @@ def improve(bins: Counter, capacity: int, patience: int = 400) -> Counter:
     Ends at the least number of bins that the total allows, or when `patience` donors in a row gave nothing away.
     """
     total = sum(sum(p) * n for p, n in bins.items())
-    count, least, idle, tried = sum(bins.values()), -(-total // capacity), 0, set()
+    count, least, idle, tried, moved = sum(bins.values()), -(-total // capacity), 0, set(), False
     while count > least and idle < patience:
         open_ = [p for p in bins if sum(p) < capacity]
         donors = [p for p in open_ if p not in tried]
+        if not donors and moved:  # what could not give before may now
+            tried, moved = set(), False
+            continue
         if not donors:
             break
         donor = min(donors, key=lambda p: (sum(p), p))
@@ -106,7 +107,7 @@ def improve(bins: Counter, capacity: int, patience: int = 400) -> Counter:
         targets = sorted((p for p in open_ if sum(p) >= fill and (p != donor or bins[p] > 1)), key=lambda p: (-sum(p), p))
         for target in targets:
             gain, come, go = exchange(target, donor, capacity)
-            if gain <= 0 or (target == donor and gain <= 0):
+            if gain <= 0:
                 continue
             n = bins[donor] // 2 if target == donor else min(bins[donor], bins[target])
             for p, k in ((donor, n), (target, n)):
@@ -124,7 +125,7 @@ def improve(bins: Counter, capacity: int, patience: int = 400) -> Counter:
                     bins[made] += n
                 else:
                     count -= n
-            idle, tried = 0, tried - {target}
+            idle, tried, moved = 0, tried - {target}, True
             break
         else:
             tried.add(donor)
