@@ -139,6 +139,14 @@ def pack_blocks(docs: DataFrame, tokens: str, order: list[str], length: int, end
     return blocks.where(F.size("input_ids") == length)
 
 
+def pack_within(docs: DataFrame, tokens: str, keep: list[str], length: int, end: Column | None = None) -> DataFrame:
+    """(keep, block, input_ids): blocks that no two documents share; what is left of a document is dropped."""
+    full = F.concat(F.col(tokens), F.array(end)) if end is not None else F.col(tokens)
+    rows = docs.select(*keep, full.alias("ids")).where(F.size("ids") >= length)
+    cut = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor(F.size("ids") / length).cast("int") - 1)))
+    return cut.select(*keep, "block", F.slice("ids", F.col("block") * length + 1, length).alias("input_ids"))
+
+
 def pack_stats(docs: DataFrame, tokens: str, length: int, ends: int = 1) -> DataFrame:
     total = F.coalesce(F.sum(F.size(tokens) + ends), F.lit(0))
     return docs.agg(F.count("*").alias("n_docs"), F.floor(total / length).alias("n_blocks"), (total % length).alias("n_discarded"))

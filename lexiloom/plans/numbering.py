@@ -39,3 +39,15 @@ def number_all(df: DataFrame, order: list[str], into: str) -> DataFrame:
     starts = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
     return dealt.withColumn("__within", within).join(F.broadcast(starts), F.col("__part") == F.col("__p")).withColumn(into, (F.col("__start") + F.col("__within")).cast("long")).drop("__part", "__p", "__within", "__start")
+
+
+def running_total(df: DataFrame, order: list[str], amount: str, into: str) -> DataFrame:
+    """The sum of amount over rows up to each one in the order given, its own included, in the manner of number_all()."""
+    from lexiloom.plans.lineage import materialise
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    totals = dealt.groupBy("__part").agg(F.sum(amount).alias("__n"))
+    starts = totals.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    within = F.sum(amount).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("__within", within).join(F.broadcast(starts), F.col("__part") == F.col("__p")).withColumn(into, (F.col("__start") + F.col("__within")).cast("long")).drop("__part", "__p", "__within", "__start")

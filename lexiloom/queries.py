@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as tx
+from lexiloom.operators import augment as au
+from lexiloom.operators import controls as ct
 from lexiloom.operators import conversation as cv
 from lexiloom.operators import corpus as cp
+from lexiloom.operators import dialogue as dg
 from lexiloom.operators import evaluation as ev
 from lexiloom.operators import labeling as lb
 from lexiloom.operators import stats as st
@@ -529,3 +532,147 @@ def streaming_sustained(spark, d):
     commitments_stream(stream, SUSTAIN).writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     names = ["t_private", "t_public", "commitment_gap"]
     return spark.read.parquet(f"{place}/out").groupBy("conv", "speaker").agg(F.max_by(F.struct(*names), "batch").alias("r")).select("conv", "speaker", *[f"r.{n}" for n in names])
+
+
+@query(r"""WITH x AS (SELECT conv_id, turn, role = 'user' AND conv_id % 3 = 0 AS head, text FROM conversations), s AS (SELECT *, sum(head::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS sec, max(head::INT) OVER (PARTITION BY conv_id) AS any_head FROM x),
+    g AS (SELECT conv_id, sec, min(turn) AS pos, max(CASE WHEN head THEN 'T ' || upper(regexp_extract(text, '\S+')) END) AS title, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE NOT head), '') AS body FROM s WHERE any_head = 0 OR sec > 0 GROUP BY 1, 2),
+    r AS (SELECT conv_id, title, min(pos) AS first_pos, arg_max(body, pos) AS body FROM g GROUP BY 1, 2)
+    SELECT conv_id || coalesce(':' || lower(title)[:40], '') AS source_story, first_pos, body FROM r""")
+def route_sources(spark, d):
+    """Collections by their headings, works without headings whole; every third conversation is a collection."""
+    head = (F.col("role") == "user") & (F.col("conv_id") % 3 == 0)
+    line = F.when(head, F.concat(F.lit("I. t "), F.regexp_extract("text", r"\S+", 0))).otherwise(F.col("text"))
+    found = cp.sections_or_whole(t(spark, d, "conversations").select("conv_id", "turn", line.alias("line")), "conv_id", "turn", "line")
+    slug = F.col("conv_id").cast("string")
+    return found.select(F.coalesce(cp.source_name(slug, F.col("title")), slug).alias("source_story"), "first_pos", "body")
+
+
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\S+')[1:50], ' ') AS text FROM documents")
+def token_cap(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.array_join(ev.first_tokens(tx.words(F.col("text")), 50), " ").alias("text"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_append(list_transform(regexp_extract_all(text, '\S+'), lambda x: length(x)::INT), 0) AS ids FROM documents), b AS (SELECT doc_id, ids, unnest(range(0, len(ids) // 32)) AS block FROM w)
+    SELECT doc_id, block::INT AS block, array_to_string(ids[block * 32 + 1:block * 32 + 32], ' ') AS input_ids FROM b""")
+def pack_within_documents(spark, d):
+    blocks = cp.pack_within(_tokens(spark, d), "tokens", ["doc_id"], 32, F.lit(0))
+    return blocks.select("doc_id", "block", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"))
+
+
+@query("""SELECT doc_id, 'Passage:' || chr(10) || text || chr(10) || chr(10) || 'Is it prose?' || chr(10) || chr(10) || 'Respond in exactly this format (nothing else):' || chr(10) || 'LABEL: <none|minor|central>' || chr(10) || 'JUSTIFICATION: <one sentence explaining your choice>' AS prompt FROM documents""")
+def label_prompt(spark, d):
+    return t(spark, d, "documents").select("doc_id", au.label_prompt(F.col("text"), "Is it prose?").alias("prompt"))
+
+
+PROMPTS = f"""{FRAMES}, q AS (SELECT e.*, 'PASSAGE:' || chr(10) || content || chr(10) || chr(10) || CASE framing
+    WHEN 'QA' THEN 'Q: Given the observations described above, what does the detective conclude, and how does he arrive at that conclusion?' || chr(10) || chr(10) || 'Write only the answer — begin directly with the detective''s reasoning:'
+    WHEN 'WATSON' THEN 'Write Watson''s retrospective account of this scene:'
+    WHEN 'CHAIN' THEN 'Extract the reasoning chain. Fill in the structured analysis, beginning with the first observable fact:' || chr(10) || '1.'
+    WHEN 'REVERSE' THEN 'State the detective''s main conclusion, then write the question:' END AS prompt FROM e)"""
+
+
+@query(f"WITH {PROMPTS} SELECT DISTINCT doc_id, paragraph_index, framing, prompt FROM q WHERE prompt IS NOT NULL")
+def framing_prompts(spark, d):
+    rows = cp.expand(labelled(spark, d), 1)
+    return rows.select("doc_id", "paragraph_index", "framing", au.framing_prompt(F.col("framing"), F.col("content")).alias("prompt")).where("prompt is not null")
+
+
+@query(f"""WITH {PROMPTS}, held AS (SELECT DISTINCT content FROM q WHERE framing = 'QA' AND doc_id % 3 = 0),
+    r AS (SELECT framing, framing = 'VERBATIM' OR (framing = 'QA' AND content IN (SELECT content FROM held)) AS cached, coalesce(length(prompt) % 11 = 0, false) AS fails FROM q)
+    SELECT framing, cached, fails AND NOT cached AS failed, count(*) AS n FROM r GROUP BY 1, 2, 3""")
+def augment_cached(spark, d):
+    """Examples and failures, with the answers of some passages held from before."""
+    rows = labelled(spark, d)
+    asked = cp.expand(rows.where("doc_id % 3 = 0"), 1).where("framing = 'QA'")
+    held = asked.select(tx.cache_key(F.lit("m"), F.lit("v1"), F.col("framing"), F.col("content")).alias("key"), F.lit("held").alias("answer")).dropDuplicates(["key"])
+    good, bad, _ = au.augment(rows, held, _stub, "m", "v1", 3)
+    each = good.select("framing", "cached", F.lit(False).alias("failed")).unionByName(bad.select("framing", "cached", F.lit(True).alias("failed")))
+    return each.groupBy("framing", "cached", "failed").agg(F.count("*").alias("n"))
+
+
+def _party(model: str, shown: list[dict], seed: int) -> tuple[str, int, int]:
+    """A model's stand-in: what it says hangs on the seed; at some seeds it cannot be reached."""
+    if seed % 17 == 3:
+        raise ConnectionError
+    accuses = "true" if seed % 13 == 0 else "false"
+    return f'{{"reply": "{model} {seed}", "suspicion_score": {seed % 10 / 10}, "public_accusation": {accuses}}}', sum(len(m["content"]) for m in shown), len(shown)
+
+
+@query("""WITH c AS (SELECT DISTINCT conv_id FROM conversations), k AS (SELECT conv_id, unnest(range(0, 6)) AS turn_idx FROM c), x AS (SELECT conv_id, turn_idx, conv_id + turn_idx AS s FROM k),
+    f AS (SELECT *, s % 17 = 3 AS is_failed, CASE WHEN turn_idx % 2 = 0 THEN 'A' ELSE 'B' END AS speaker_id FROM x), y AS (SELECT *, CASE WHEN is_failed THEN '' WHEN speaker_id = 'A' THEN 'one ' || s ELSE 'two ' || s END AS reply, s % 13 = 0 AND NOT is_failed AS accuses FROM f),
+    e AS (SELECT conv_id, min(turn_idx) AS t_end FROM y WHERE accuses GROUP BY 1), z AS (SELECT y.* FROM y LEFT JOIN e USING (conv_id) WHERE t_end IS NULL OR turn_idx <= t_end)
+    SELECT z.conv_id::VARCHAR AS conv_id, z.turn_idx::INT AS turn_idx, z.speaker_id, CASE WHEN z.is_failed THEN 0 ELSE
+        (3 + coalesce((SELECT sum(length(h.reply) + CASE WHEN h.speaker_id = z.speaker_id THEN 0 ELSE 51 END) FROM z h WHERE h.conv_id = z.conv_id AND h.turn_idx < z.turn_idx), 0))::INT END AS prompt_tokens,
+        CASE WHEN z.is_failed THEN 0 ELSE z.turn_idx + 1 END::INT AS gen_tokens, z.reply, CASE WHEN z.is_failed THEN 0.5 ELSE z.s % 10 / 10.0 END::DOUBLE AS suspicion_score, z.accuses AS public_accusation, z.is_failed FROM z""")
+def dialogue(spark, d):
+    """A conversation between two stand-ins for each conv_id, which is its seed too."""
+    agent = lambda model: F.struct(F.lit(model).alias("model_id"), F.lit(None).cast("string").alias("adapter_id"), F.lit(None).cast("string").alias("role"), F.lit(True).alias("ground_truth_is_llm"))
+    configs = t(spark, d, "conversations").select("conv_id").distinct().select("conv_id", agent("one").alias("agent_A_cfg"), agent("two").alias("agent_B_cfg"), F.col("conv_id").alias("seed"))
+    turns_ = dg.failed(dg.converse(configs, _party, {"initiator": "sys", "responder": "sys"}, 3))
+    return turns_.select("conv_id", "turn_idx", "speaker_id", "prompt_tokens", "gen_tokens", "reply", "suspicion_score", "public_accusation", "is_failed")
+
+
+@query(r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[\s\x0B]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents)
+    SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(s, lambda x, i: {'h': sha256('42:' || doc_id || ':' || (i - 1)), 's': x})), lambda x: x.s), ' ') AS text FROM s""")
+def sentence_shuffle(spark, d):
+    return t(spark, d, "documents").select("doc_id", ct.shuffle_sentences(F.col("text"), F.col("doc_id")).alias("text"))
+
+
+@query(r"""WITH n AS (SELECT doc_id, sha256('42:' || doc_id) AS h, len(regexp_extract_all(text, '\S+')) AS n FROM documents), r AS (SELECT doc_id, n::INT AS n_words, sum(n) OVER (ORDER BY h, doc_id)::BIGINT AS tokens_so_far FROM n)
+    SELECT doc_id, n_words, tokens_so_far FROM r WHERE tokens_so_far <= 20000""")
+def token_matched(spark, d):
+    return ct.match_tokens(t(spark, d, "documents").select("doc_id", tx.word_count(F.col("text")).alias("n_words")), "doc_id", "n_words", 20_000)
+
+
+@query("SELECT doc_id FROM documents WHERE substr(sha256('42:' || doc_id), 1, 8) < '33333333'")
+def hand_validation(spark, d):
+    return t(spark, d, "documents").where(ct.checked_by_hand(42, "doc_id")).select("doc_id")
+
+
+@query("""WITH l AS (SELECT l_returnflag, unnest(['l_quantity', 'l_discount', 'l_tax']) AS dimension, unnest([l_quantity, l_discount, l_tax]) AS score FROM lineitem)
+    SELECT l_returnflag, dimension, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS spread FROM l WHERE score IS NOT NULL GROUP BY 1, 2""")
+def judged_dimensions(spark, d):
+    got = ct.judged(t(spark, d, "lineitem"), ["l_returnflag"], ["l_quantity", "l_discount", "l_tax"])
+    return got.withColumns({"mean": F.round("mean", 6), "spread": F.round("spread", 6)})
+
+
+@query("SELECT item_id, s.sample::INT AS sample FROM benchmark, (SELECT unnest([1, 2, 3]) AS sample) s")
+def probe_samples(spark, d):
+    return ct.sampled_probes(t(spark, d, "benchmark").select("item_id"))
+
+
+def _place(spark, name: str) -> str:
+    import uuid
+
+    from lexiloom.plans.lineage import shared_dir
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN quality END AS quality, toxic FROM labels")
+def jsonl_append(spark, d):
+    """Labels written as JSON lines, nulls kept, in a first batch and an appended one, and read again."""
+    rows, place = t(spark, d, "labels").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("quality")).alias("quality"), "toxic"), _place(spark, "jsonl")
+    io.write_jsonl(rows.where("doc_id % 3 = 0"), place)
+    io.write_jsonl(rows.where("doc_id % 3 <> 0"), place, "append")
+    return io.read_jsonl(spark, place, "doc_id bigint, quality int, toxic int")
+
+
+@query("SELECT doc_id % 7 = 0 AS broken, count(*) AS n, sum(CASE WHEN doc_id % 7 <> 0 THEN toxic END)::BIGINT AS toxic FROM labels GROUP BY 1")
+def jsonl_quarantine(spark, d):
+    """JSON lines of which every seventh breaks off."""
+    line = F.to_json(F.struct("doc_id", "toxic"))
+    place = _place(spark, "lines")
+    t(spark, d, "labels").select(F.when(F.col("doc_id") % 7 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(place)
+    good, bad = io.read_jsonl_quarantined(spark, place, "doc_id bigint, toxic int")
+    each = good.select(F.lit(False).alias("broken"), "toxic").unionByName(bad.select(F.lit(True).alias("broken"), F.lit(None).cast("int").alias("toxic")))
+    return each.groupBy("broken").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+
+
+@query(r"SELECT lang, sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS words FROM documents GROUP BY lang")
+def whole_files(spark, d):
+    """Documents written as text files by language, and the words of the files read whole."""
+    place = _place(spark, "books")
+    io.write_text(t(spark, d, "documents"), place, "text", "lang")
+    books = io.read_books(spark, f"{place}/*")
+    return books.groupBy(F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang")).agg(F.sum(tx.word_count(F.col("text"))).alias("words"))

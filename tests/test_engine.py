@@ -1,7 +1,10 @@
 from pyspark.sql import functions as F
 
+from lexiloom.operators import augment as au
+from lexiloom.operators import controls as ct
 from lexiloom.operators import conversation as cv
 from lexiloom.operators import corpus as cp
+from lexiloom.operators import dialogue as dg
 from lexiloom.operators import evaluation as ev
 from lexiloom.operators import labeling as lb
 from lexiloom.plans.components import components
@@ -124,3 +127,52 @@ def test_numbers(spark):
         held = sorted(r["n"] for r in got if r["k"] == k)
         assert held == list(range(len(held)))
     assert [r["n"] for r in number_all(df, ["v"], "n").orderBy("v").collect()] == list(range(200))
+
+
+def test_dialogue(spark):
+    agent = "struct<model_id: string, adapter_id: string, role: string, ground_truth_is_llm: boolean>"
+    row = lambda c, s: (c, ("one", None, None, True), ("two", "a", None, False), s)
+    configs = spark.createDataFrame([row("x", 0), row("y", None), row(None, 1)], f"conv_id string, agent_A_cfg {agent}, agent_B_cfg {agent}, seed int")
+
+    def provider(model, shown, seed):
+        if seed == 2:
+            raise TimeoutError
+        return (f'{{"reply": "{len(shown)} {shown[-1]["content"]}", "suspicion_score": 7, "public_accusation": {"true" if seed == 43 else "false"}}}', 5, 6)
+
+    got = dg.failed(dg.converse(configs, provider, {"initiator": "I", "responder": "R"}, 2)).collect()
+    x, y = (sorted((r for r in got if r["conv_id"] == c), key=lambda r: r["turn_idx"]) for c in "xy")
+    assert [(r["turn_idx"], r["speaker_id"], r["speaker_role"]) for r in x] == [(0, "A", "initiator"), (1, "B", "responder"), (2, "A", "initiator"), (3, "B", "responder")]
+    assert x[0]["reply"] == "1 I" and x[1]["reply"].startswith("2 1 I") and x[1]["adapter_id"] == "a" and not x[1]["ground_truth_is_llm"]
+    assert x[2]["is_failed"] and x[2]["reply"] == "" and x[2]["suspicion_score"] == 0.5 and x[0]["suspicion_score"] == 1.0 and x[2]["latency_ms"] >= 0
+    assert [r["turn_idx"] for r in y] == [0, 1] and y[1]["public_accusation"] and len(got) == 6
+    assert dg.converse(configs.where("seed = 9"), provider, {"initiator": "I", "responder": "R"}).count() == 0
+
+
+def test_controls(spark):
+    docs = spark.createDataFrame([(i, "One. Two! Three? Four", i % 4) for i in range(40)] + [(99, None, None)], "d int, t string, n int")
+    mixed = {r["s"] for r in docs.select(ct.shuffle_sentences(F.col("t"), F.col("d")).alias("s")).collect()}
+    assert None in mixed and len(mixed) > 5 and all(sorted(s.split()) == ["Four", "One.", "Three?", "Two!"] for s in mixed - {None})
+    kept = ct.match_tokens(docs, "d", "n", 30).collect()
+    assert 27 < max(r["tokens_so_far"] for r in kept) <= 30 and max(r["tokens_so_far"] for r in kept) == sum(r["n"] or 0 for r in kept)
+    rows, seen = ct.progress(docs.withColumn("l", F.when(F.col("d") < 3, "a").otherwise("b")), "l", ["a", "b", "c"])
+    rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"total": 41, "a": 3, "b": 38, "c": 0}
+    got = {r["dimension"]: (r["n"], r["mean"], r["spread"]) for r in ct.judged(spark.createDataFrame([("v", 1.0, None), ("v", 3.0, 5.0)], "k string, a double, b double"), ["k"], ["a", "b"]).collect()}
+    assert got == {"a": (2, 2.0, 1.0), "b": (1, 5.0, 0.0)}
+
+
+def test_augment_does_not_keep_failures(spark):
+    rows = spark.createDataFrame([(1, "central", "{content} x", 2), (2, "minor", "y", 1), (3, "none", "z", 1)], "chunk_id int, label string, content string, word_count int")
+    empty = spark.createDataFrame([], "key string, answer string")
+    good, bad, fresh = au.augment(rows, empty, lambda p: [None if x.endswith("1.") else "said" for x in p], "m", "v1", 3)
+    assert sorted((r["chunk_id"], r["framing"]) for r in good.collect()) == [(1, "QA")] * 3 + [(1, "VERBATIM")] * 3 + [(2, "VERBATIM")]
+    assert [(r["framing"], r["copy"]) for r in bad.orderBy("copy").collect()] == [("CHAIN", 1), ("CHAIN", 2), ("CHAIN", 3)]
+    assert fresh.count() == 1 and "PASSAGE:\n{content} x\n" in good.where("framing = 'QA'").first()["text"]
+    again, _, fresh = au.augment(rows, fresh, lambda p: ["1"] * len(p), "m", "v1", 1)
+    assert fresh.count() == 1 and again.where("framing = 'QA'").first()["cached"]
+
+
+def test_pack_within(spark):
+    docs = spark.createDataFrame([(1, [1, 2, 3]), (2, [4]), (3, [])], "d int, ids array<int>")
+    got = [(r["d"], r["block"], r["input_ids"]) for r in cp.pack_within(docs, "ids", ["d"], 2, F.lit(9)).collect()]
+    assert sorted(got) == [(1, 0, [1, 2]), (1, 1, [3, 9]), (2, 0, [4, 9])]
