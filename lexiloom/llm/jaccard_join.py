@@ -41,6 +41,8 @@ from lexiloom.plans.lineage import materialise
 SKETCH = 1 << 22
 PIECES = 64
 LARGEST_BOUNDARY = 24
+#: Rows of a list that one task takes before the list is dealt over several.
+LIST_ROWS = 1024
 FILTER_BITS = 1 << 29
 
 
@@ -185,6 +187,22 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (1 + F.least(n - 1 - i, m - 1 - j) >= _needed(n, m, percent))
 
 
+def _dealt(rows: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (keys, id) joined with heads, one row (keys, m) for each list; salts says over how many tasks a list is dealt.
+
+    A long list's head is repeated for each of its salts. The lists that are dealt are told to the reading tasks: their
+    length is above total / (16 * partitions), so there are at most 16 for each partition.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = heads.agg(F.sum("m")).first()[0] or 0
+    most = max(LIST_ROWS, -(-total // (16 * parts)))
+    salts = F.ceil(F.col("m") / most).cast("int")
+    long = F.broadcast(heads.where(F.col("m") > most).select(*keys, salts.alias("salts")))
+    told = rows.join(long, keys, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    told = told.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    return told.join(heads.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), [*keys, "salt"]).drop("salt", "m")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, id_: str, text: str, width: int, percent: int) -> DataFrame:
     """The pairs (x, y) of texts whose whole sets link. Only texts in pairs are read into sets."""
     spark = docs.sparkSession
@@ -242,22 +260,23 @@ def jaccard_join(docs: DataFrame, id_: str = "doc_id", text: str = "text", width
     sets = rows.where("id is not null and n > 0 and (size(prefix) > 0 or size(subset) > 0)").join(gone, ["id", "hi", "lo"], "left_anti").select("id", "n", "prefix", "subset", "subset_size")
 
     group = sets.where("size(subset) > 0").select("id", "n", F.explode(F.arrays_zip("subset", "subset_size")).alias("s")).select("id", "n", F.col("s.subset").alias("k"), F.col("s.subset_size").alias("c"))
-    star = group.groupBy("k", "c").agg(F.min(F.struct("n", "id")).alias("head"), F.count("*").alias("m")).where("m > 1").drop("m")
-    small = group.join(star, ["k", "c"]).where((F.col("id") != F.col("head.id")) & (F.col("c") >= _needed(F.col("n"), F.col("head.n"), percent))).select(F.col("head.id").alias("x"), F.col("id").alias("y")).distinct()
+    star = materialise(group.groupBy("k", "c").agg(F.min(F.struct("n", "id")).alias("head"), F.count("*").alias("m")).where("m > 1"))
+    small = _dealt(group, star, ["k", "c"]).where((F.col("id") != F.col("head.id")) & (F.col("c") >= _needed(F.col("n"), F.col("head.n"), percent))).select(F.col("head.id").alias("x"), F.col("id").alias("y")).distinct()
 
     lists = sets.where("size(prefix) > 0").select("id", "n", F.posexplode("prefix").alias("pos", "k"))
-    heads = lists.groupBy("k").agg(F.min(F.struct("pos", "n", "id")).alias("head"), F.count("*").alias("m")).where("m > 1").drop("m")
-    posted = materialise(lists.join(heads, "k").select("k", "id", "n", "pos", F.col("head.id").alias("lead"), F.col("head.n").alias("lead_n"), F.col("head.pos").alias("lead_pos")))
+    heads = materialise(lists.groupBy("k").agg(F.min(F.struct("pos", "n", "id")).alias("head"), F.count("*").alias("m")).where("m > 1"))
+    posted = materialise(_dealt(lists, heads, ["k"]).select("k", "salts", "id", "n", "pos", F.col("head.id").alias("lead"), F.col("head.n").alias("lead_n"), F.col("head.pos").alias("lead_pos")))
     led = posted.where((F.col("id") != F.col("lead")) & _may_link("", "lead_", percent)).select(F.col("lead").alias("x"), F.col("id").alias("y")).distinct()
     first = _verified(materialise(led), docs, id_, text, width, percent).unionByName(small)
     first = materialise(first)
 
     known = components(first, "x", "y")
     named = posted.join(known.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").join(known.select(F.col("node").alias("lead"), F.col("component").alias("lead_c")), "lead", "left")
-    named = materialise(named.withColumns({"c": F.coalesce("c", "id"), "lead_c": F.coalesce("lead_c", "lead")}).select("k", "id", "n", "pos", "c", "lead", "lead_c"))
-    astray = named.where("c <> lead_c").select("k", *[F.col(x).alias(f"a_{x}") for x in ("id", "n", "pos", "c")])
-    other = named.join(astray.select("k").distinct(), "k", "left_semi").select("k", *[F.col(x).alias(f"b_{x}") for x in ("id", "n", "pos", "c", "lead", "lead_c")])
-    left = astray.join(other, "k").where((F.col("a_c") != F.col("b_c")) & (F.col("b_id") != F.col("b_lead")) & ((F.col("b_c") == F.col("b_lead_c")) | (F.col("a_id") < F.col("b_id"))) & _may_link("a_", "b_", percent))
+    named = materialise(named.withColumns({"c": F.coalesce("c", "id"), "lead_c": F.coalesce("lead_c", "lead")}).select("k", "salts", "id", "n", "pos", "c", "lead", "lead_c"))
+    # an astray set meets its list where the list's rows are: over all salts of a long one
+    astray = named.where("c <> lead_c").select("k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(x).alias(f"a_{x}") for x in ("id", "n", "pos", "c")])
+    other = named.select("k", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), *[F.col(x).alias(f"b_{x}") for x in ("id", "n", "pos", "c", "lead", "lead_c")])
+    left = astray.join(other, ["k", "salt"]).where((F.col("a_c") != F.col("b_c")) & (F.col("b_id") != F.col("b_lead")) & ((F.col("b_c") == F.col("b_lead_c")) | (F.col("a_id") < F.col("b_id"))) & _may_link("a_", "b_", percent))
     left = materialise(left.select(F.least("a_id", "b_id").alias("x"), F.greatest("a_id", "b_id").alias("y")).distinct())
     second = _verified(left, docs, id_, text, width, percent)
 

@@ -88,6 +88,15 @@ def test_jaccard_join(spark, k, percent):
     assert all(got[i]["n_shingles"] == len(s) and got[i]["component_id"] == top(i) for i, s in sets.items())
 
 
+def test_jaccard_long_lists(spark, monkeypatch):
+    """Lists dealt over several tasks give the components of lists that are not."""
+    rows = [(i, " ".join(f"w{j}" for j in range(30) if j != i % 27)) for i in range(90)] + [(200 + i, " ".join(f"v{j}" for j in range(12) if j != i % 5) + f" e{i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, jaccard_join(docs, width=1, percent=80).collect()))
+    monkeypatch.setattr("lexiloom.llm.jaccard_join.LIST_ROWS", 2)
+    assert sorted(map(tuple, jaccard_join(docs, width=1, percent=80).collect())) == whole and len({r[2] for r in whole}) < 60
+
+
 def test_jaccard_boundary():
     assert choose_boundary({6: 100, 12: 50}, 85, 3.0) >= 6 and subset_sizes(5, 85, 12) == [] and need(12, 14, 85) == 12
     assert choose_boundary({200: 10}, 85, 3.0) == 0
