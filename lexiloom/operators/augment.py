@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.text import cache_key, word_count
 from lexiloom.operators.corpus import assemble, expand
 from lexiloom.operators.labeling import memoised
+from lexiloom.plans.lineage import materialise
 
 # What a model is asked for each framing, and for a label, about a passage {content}.
 ASK = {
@@ -45,7 +46,8 @@ def augment(labelled: DataFrame, cache: DataFrame, provider, model: str, version
     A text is generated once for its framing, whatever the number of copies; failures are not kept, so they are tried again
     the next time. The key says neither copy nor temperature. word_count becomes that of the example.
     """
-    rows = expand(labelled, oversample).withColumns({"key": cache_key(F.lit(model), F.lit(version), F.col("framing"), F.col("content")), "prompt": framing_prompt(F.col("framing"), F.col("content"))})
+    # read three times below, so the chunks are not cut again for each
+    rows = materialise(expand(labelled, oversample).withColumns({"key": cache_key(F.lit(model), F.lit(version), F.col("framing"), F.col("content")), "prompt": framing_prompt(F.col("framing"), F.col("content"))}))
     asked, fresh = memoised(rows.where("prompt is not null"), "key", "prompt", cache, provider, keep_failures=False)
     plain = rows.where("prompt is null").withColumns({"answer": F.lit(None).cast("string"), "cached": F.lit(True)})
     both = asked.unionByName(plain).withColumn("text", assemble(F.col("framing"), F.col("content"), F.col("answer"))).drop("key", "prompt", "answer")

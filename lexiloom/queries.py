@@ -582,7 +582,9 @@ def framing_prompts(spark, d):
     SELECT framing, cached, fails AND NOT cached AS failed, count(*) AS n FROM r GROUP BY 1, 2, 3""")
 def augment_cached(spark, d):
     """Examples and failures, with the answers of some passages held from before."""
-    rows = labelled(spark, d)
+    from lexiloom.plans.lineage import materialise
+
+    rows = materialise(labelled(spark, d))
     asked = cp.expand(rows.where("doc_id % 3 = 0"), 1).where("framing = 'QA'")
     held = asked.select(tx.cache_key(F.lit("m"), F.lit("v1"), F.col("framing"), F.col("content")).alias("key"), F.lit("held").alias("answer")).dropDuplicates(["key"])
     good, bad, _ = au.augment(rows, held, _stub, "m", "v1", 3)
