@@ -2,8 +2,8 @@
 
 Normalised vectors are hashed in `tables` tables by floor((a x + b) / width) for `depth` random
 projections each; depth grows with the logarithm of the number of vectors so that unlike vectors
-rarely meet. Vectors that meet are compared by exact cosine. With the defaults a pair at cosine 0.9
-meets with a chance of 0.93, one at 0.95 with 0.999 (depth 16).
+rarely meet, and tables grow with depth, so that at any number of vectors a pair at the linking cosine
+meets with a chance of at least `recall` (0.99). Vectors that meet are compared by exact cosine.
 
 Groups of copies are not expanded into pairs. Equal vectors become one, with a count. In each bucket
 only the smallest id is compared with the rest; a vector within half the linking angle of such a
@@ -19,7 +19,7 @@ deviations more than linked ones would; the chance to lose a linked pair so is b
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, cos, log, pi, sqrt
+from math import acos, ceil, cos, exp, log, log1p, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +59,9 @@ def _hashed(units: DataFrame, tables: int, depth: int, width: float, seed: int)
             for d in np.unique(sizes):
                 rng = np.random.default_rng([seed, int(d)])
                 a, b, s = made.setdefault(int(d), (rng.standard_normal((int(d), tables * depth)), rng.uniform(0, width, tables * depth), rng.standard_normal((int(d), SIGNS))))
-                for low in range(0, int((sizes == d).sum()), 1024):
-                    row = np.flatnonzero(sizes == d)[low : low + 1024]
+                step = max(1, (1 << 20) // (tables * depth))
+                for low in range(0, int((sizes == d).sum()), step):
+                    row = np.flatnonzero(sizes == d)[low : low + step]
                     x = np.stack([data[i] for i in row])
                     cell = np.floor((x @ a + b) / width).astype(np.int64).view(np.uint64).reshape(len(row), tables, depth)
                     key = mix(np.broadcast_to(np.arange(tables, dtype=np.uint64) + np.uint64(d) * np.uint64(1 << 20), (len(row), tables)).copy())
@@ -97,7 +98,7 @@ def _cosines(pairs: DataFrame, vectors: DataFrame, a: str, b: str) -> DataFrame:
     return both.mapInArrow(run, f"{schema}, cosine double")
 
 
-def embedding_dedup(table: DataFrame, id_: str = "vec_id", vector: str = "embedding", least: float = 0.9, tables: int = 64, width: float = 2.0, seed: int = 11) -> DataFrame:
+def embedding_dedup(table: DataFrame, id_: str = "vec_id", vector: str = "embedding", least: float = 0.9, tables: int = 64, width: float = 2.0, seed: int = 11, recall: float = 0.99) -> DataFrame:
     """A row for each input row: id_, n_links, component_id, kept.
 
     Vectors link when their cosine, in double precision, is at least `least`. n_links: other rows
@@ -105,7 +106,7 @@ def embedding_dedup(table: DataFrame, id_: str = "vec_id", vector: str = "embedd
     the row's id is its component's. Null, empty and zero vectors, and those with null or non-finite
     components, link with nothing; vectors of different dimensions do not link. A null id keeps its
     row, links with nothing, and is not kept. Rows that repeat an id are other rows of one vector:
-    each counts as a link. Other columns are left out.
+    each counts as a link. Other columns are left out. There are at least `tables` hash tables.
     """
     rows = table.select(F.col(id_).alias("id"))
     units = materialise(_units(table, id_, vector))
@@ -113,8 +114,8 @@ def embedding_dedup(table: DataFrame, id_: str = "vec_id", vector: str = "embedd
     copies = materialise(copies)
     reps = units.join(copies, ["hi", "lo"]).where("id = rep").dropDuplicates(["id", "hi", "lo"]).select("id", "unit", "copies")
     n = copies.count()
-    meet = 2 * _upper(-width / sqrt(2)) + 2 / (sqrt(2 * pi) * width / sqrt(2)) * (1 - 2.718281828 ** (-(width**2) / 4))
-    depth = max(8, ceil(log(max(n, 2) * 2) / -log(1 - meet)))
+    depth = depth_for(n, width)
+    tables = max(tables, tables_for(depth, least, width, recall))
     vectors = materialise(_hashed(reps, tables, depth, width, seed).join(reps.select("id", "copies"), "id"))
     theta = acos(least)
     sketch = [f"s{k}" for k in range(4)]
@@ -161,6 +162,22 @@ def embedding_dedup(table: DataFrame, id_: str = "vec_id", vector: str = "embedd
     return out.select(F.col("id").alias(id_), F.coalesce("n_links", zero).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
+def _meet(cosine: float, width: float) -> float:
+    """The chance that one projection puts two unit vectors of this cosine into one cell."""
+    r = width / max(sqrt(2 - 2 * cosine), 1e-9)
+    return 1 - 2 * _upper(-r) - 2 / (sqrt(2 * pi) * r) * (1 - exp(-(r**2) / 2))
+
+
+def depth_for(n: int, width: float) -> int:
+    """Projections of a table, with which a vector meets about half an unlike one of n."""
+    return max(8, ceil(log(max(n, 2) * 2) / -log(_meet(0, width))))
+
+
+def tables_for(depth: int, least: float, width: float, recall: float) -> int:
+    """Tables in at least one of which a pair at cosine `least` meets with a chance of `recall`."""
+    return ceil(log(1 - recall) / log1p(-min(_meet(least, width) ** depth, 1 - 1e-12)))
+
+
 def _upper(x: float) -> float:
     from math import erf
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.llm.embedding_dedup import embedding_dedup
+from lexiloom.llm.embedding_dedup import depth_for, embedding_dedup, tables_for
 from lexiloom.llm.html_extract import extract_main_text, main_text
 from lexiloom.llm.jaccard_join import choose_boundary, jaccard_join, need, subset_sizes
 from lexiloom.llm.kd_shards import kd_shards
@@ -276,3 +276,23 @@ def test_quotation_links(spark):
     chain = spark.createDataFrame([(1, i, "u", (f"> m{i - 1}\n" if i else "") + f"m{i}") for i in range(20)], "conv_id long, turn long, role string, text string")
     assert [(r["depth"], r["position"]) for r in quotation_links(chain).orderBy("turn").collect()] == [(i, i) for i in range(20)]
     assert quotation_links(chain.where("turn < 0")).count() == 0
+
+
+def test_embedding_recall_at_any_size():
+    for n in (10, 2000, 50_000, 1_000_000, 3_000_000, 1_000_000_000):
+        depth = depth_for(n, 2.0)
+        tables = max(64, tables_for(depth, 0.9, 2.0, 0.99))
+        # a pair at cosine 0.9 is at distance sqrt(0.2)
+        r = 2.0 / math.sqrt(0.2)
+        p = math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-(r**2) / 2))
+        assert 1 - (1 - p**depth) ** tables >= 0.99
+
+
+def test_embedding_links_at_the_depth_of_millions(spark, monkeypatch):
+    monkeypatch.setattr("lexiloom.llm.embedding_dedup.depth_for", lambda n, width: depth_for(3_000_000, width))
+    rng = np.random.default_rng(8)
+    a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in rng.standard_normal((2, 300, 64)))
+    b -= (a * b).sum(1)[:, None] * a
+    near = 0.901 * a + math.sqrt(1 - 0.901**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    table = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate([*a, *near])], "vec_id long, embedding array<double>")
+    assert embedding_dedup(table).where("n_links = 1").count() >= 0.97 * 600
