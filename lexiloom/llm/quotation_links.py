@@ -3,13 +3,15 @@
 A line that begins with '>' marks (spaces between them allowed) is quoted at the depth of their
 number. A run of lines of one depth is a passage. Passages are hashed after normalisation (marks off,
 white space runs one space, trimmed, lower case); a message's own words are the passages of depth 0
-and each of their lines, hashed alike. A quoted passage links its message to the earliest message of the conversation
-that comes before it and holds the passage as its own; of a message's links the shallowest quote counts,
+and each of their paragraphs and lines, hashed alike. A quoted passage links its message to the earliest message of the conversation
+that comes before it and holds the passage as its own; where none does, to the earliest that comes before it and
+has all the passage's lines that are not blank among its own. Of a message's links the shallowest quote counts,
 then the first. Roots and replies are put in reply order, each reply under the message it quotes,
 without the quoted lines.
 
 Originals are one row for each conversation and hash before the join, so the join makes at most a row for
-each quoted passage, whatever is repeated. Reply paths come by pointer doubling, in rounds that grow with
+each quoted passage, whatever is repeated. Passages looked for by their lines are one row for each conversation
+and set of lines, and only messages that hold the set's rarest line are compared with it. Reply paths come by pointer doubling, in rounds that grow with
 the logarithm of the deepest chain.
 """
 
@@ -80,12 +82,21 @@ def quotation_links(messages: DataFrame, conversation: str = "conv_id", turn: st
     at = F.struct(F.coalesce(F.col("t"), F.lit(-(1 << 62))).alias("t"), F.col("text"), F.col("id"))
 
     whole = F.transform(F.filter("passages", lambda p: p["depth"] == 0), lambda p: p["body"])
-    each = F.array_distinct(F.filter(F.transform(F.flatten(F.array(whole, F.flatten(F.transform(whole, lambda b: F.split(b, "\n"))))), _hash), lambda h: h != F.md5(F.lit(""))))
+    blank = F.md5(F.lit(""))
+    hashes = lambda bodies: F.array_distinct(F.filter(F.transform(bodies, _hash), lambda h: h != blank))
+    cut = lambda by: F.flatten(F.transform(whole, lambda b: F.split(b, by)))
+    each = hashes(F.flatten(F.array(whole, cut(r"\n\s*\n"), cut("\n"))))
     quoted = base.where("n_quoted > 0").select("c", "id", at.alias("at"), F.posexplode("passages").alias("place", "p")).where(F.col("p.depth") > 0)
-    quoted = quoted.select("c", "id", "at", "place", F.col("p.depth").alias("depth"), _hash(F.col("p.body")).alias("h")).where(F.col("h") != F.md5(F.lit("")))
+    quoted = quoted.select("c", "id", "at", "place", F.col("p.depth").alias("depth"), _hash(F.col("p.body")).alias("h"), F.array_sort(hashes(F.split("p.body", "\n"))).alias("lines")).where(F.col("h") != blank)
     wanted = quoted.select("h").distinct()
     originals = base.select("c", at.alias("at"), F.explode(each).alias("h")).join(wanted, "h", "left_semi").groupBy("c", "h").agg(F.min("at").alias("source"))
-    linked = quoted.join(originals.withColumnsRenamed({"c": "oc", "h": "oh"}), F.col("c").eqNullSafe(F.col("oc")) & (F.col("h") == F.col("oh"))).where(F.col("source") < F.col("at"))
+    found = quoted.join(originals.withColumnsRenamed({"c": "oc", "h": "oh"}), F.col("c").eqNullSafe(F.col("oc")) & (F.col("h") == F.col("oh")), "left")
+    found = materialise(found.select("c", "id", "at", "place", "depth", "h", "lines", F.when(F.col("source") < F.col("at"), F.col("source")).alias("source")))
+    linked = found.where("source is not null").select("id", "at", "place", "depth", "source")
+    loose = found.where("source is null and (size(lines) > 1 or lines[0] <> h)").select(_named("c", F.md5(F.array_join("lines", ""))).alias("set"), "c", "lines", "id", "at", "place", "depth")
+    if loose.limit(1).count():
+        holders = _holders(loose, base.select("c", at.alias("at"), hashes(cut("\n")).alias("lines")))
+        linked = linked.unionByName(loose.join(holders, "set").where(F.col("source") < F.col("at")).select("id", "at", "place", "depth", "source"))
     parent = linked.groupBy("id").agg(F.min(F.struct("depth", "place", "source")).alias("best"), F.count("*").alias("n_linked")).select("id", F.col("best.source.id").alias("parent"), F.col("best.source.t").alias("parent_t"), "n_linked")
 
     chain = materialise(parent.select("id", F.col("parent").alias("up")).join(base.select("id", "t"), "id").select("id", "up", F.array(_step()).alias("path"), F.lit(1).alias("depth")))
@@ -101,6 +112,23 @@ def quotation_links(messages: DataFrame, conversation: str = "conv_id", turn: st
     return ordered.select(F.col("c").alias(conversation), F.col("t").alias(turn), F.col("role").alias(role), parent_turn.alias("parent_turn"), "depth", "position", "content", F.col("n_quoted").cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), *keep)
 
 
+def _named(conversation: str, h: Column) -> Column:
+    """A hash within its conversation, which may be null."""
+    return F.concat(h, F.coalesce(F.concat(F.lit(":"), F.col(conversation).cast("string")), F.lit("")))
+
+
+def _holders(loose: DataFrame, own: DataFrame) -> DataFrame:
+    """(set, source): the earliest message of the conversation that has all lines of the set among its own."""
+    needs = loose.groupBy("set").agg(F.first("c").alias("c"), F.first("lines").alias("lines")).select("set", "c", F.size("lines").alias("size"), F.explode("lines").alias("h"))
+    needs = materialise(needs.select("set", "size", _named("c", F.col("h")).alias("line")))
+    lines = own.select("c", "at", F.explode("lines").alias("h")).select("at", _named("c", F.col("h")).alias("line"))
+    lines = materialise(lines.join(needs.select("line").distinct(), "line", "left_semi"))
+    rarest = needs.join(lines.groupBy("line").agg(F.count("*").alias("n")), "line").groupBy("set").agg(F.min(F.struct("n", "line"))["line"].alias("line"), F.count("*").alias("known"), F.max("size").alias("size"))
+    able = rarest.where("known = size").join(lines, "line").select("set", "at")
+    held = able.join(needs, "set").join(lines.select("line", F.col("at.id").alias("by")), "line").where("at.id = by")
+    return held.groupBy("set", "at").agg(F.count("*").alias("n"), F.max("size").alias("size")).where("n = size").groupBy("set").agg(F.min("at").alias("source"))
+
+
 def _step() -> Column:
     """A message's place among its siblings."""
     return F.struct(F.coalesce(F.col("t"), F.lit(-(1 << 62))).alias("t"), F.col("id").alias("i"))

@@ -296,3 +296,11 @@ def test_embedding_links_at_the_depth_of_millions(spark, monkeypatch):
     near = 0.901 * a + math.sqrt(1 - 0.901**2) * b / np.linalg.norm(b, axis=1)[:, None]
     table = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate([*a, *near])], "vec_id long, embedding array<double>")
     assert embedding_dedup(table).where("n_links = 1").count() >= 0.97 * 600
+
+
+def test_quotation_of_some_lines(spark):
+    text = "one\ntwo\nthree\n\nA paragraph cut\nover two lines.\n\nlast"
+    rows = [(c, *r) for c in (1, None) for r in [(0, "two"), (1, text), (2, "> one\n> two\nfirst lines"), (3, "> a PARAGRAPH\n> cut over two lines.\nwrapped anew"), (4, "> three\n>\n> last\nleft out"), (5, "> one\n> not there\nnone"), (6, "> later\n> still\nnone"), (7, "later\n> one\nstill"), (8, "> later\n> still\njoined ends"), (9, "> two\n> two\ntwice")]]
+    got = quotation_links(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()
+    for c in (1, None):
+        assert {r["turn"]: (r["parent_turn"], r["n_linked"]) for r in got if r["conv_id"] == c} == {0: (None, 0), 1: (None, 0), 2: (1, 1), 3: (1, 1), 4: (1, 1), 5: (None, 0), 6: (None, 0), 7: (1, 1), 8: (7, 1), 9: (0, 1)}
