@@ -42,7 +42,7 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(_fold("doc_id", 5) == 1, F.lit(False))
-    scored = lm_score(_table(spark, sf_dir, "documents"), ~held)
+    scored = lm_score(_table(spark, sf_dir, "documents"), ~held, min_count=1)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

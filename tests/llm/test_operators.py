@@ -278,6 +278,14 @@ def test_quotation_links(spark):
     assert quotation_links(chain.where("turn < 0")).count() == 0
 
 
+def test_quotation_of_some_lines(spark):
+    text = "one\ntwo\nthree\n\nA paragraph cut\nover two lines.\n\nlast"
+    rows = [(c, *r) for c in (1, None) for r in [(0, "two"), (1, text), (2, "> one\n> two\nfirst lines"), (3, "> a PARAGRAPH\n> cut over two lines.\nwrapped anew"), (4, "> three\n>\n> last\nleft out"), (5, "> one\n> not there\nnone"), (6, "> later\n> still\nnone"), (7, "later\n> one\nstill"), (8, "> later\n> still\njoined ends"), (9, "> two\n> two\ntwice")]]
+    got = quotation_links(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()
+    for c in (1, None):
+        assert {r["turn"]: (r["parent_turn"], r["n_linked"]) for r in got if r["conv_id"] == c} == {0: (None, 0), 1: (None, 0), 2: (1, 1), 3: (1, 1), 4: (1, 1), 5: (None, 0), 6: (None, 0), 7: (1, 1), 8: (7, 1), 9: (0, 1)}
+
+
 def test_embedding_recall_at_any_size():
     for n in (10, 2000, 50_000, 1_000_000, 3_000_000, 1_000_000_000):
         depth = depth_for(n, 2.0)
@@ -298,9 +306,29 @@ def test_embedding_links_at_the_depth_of_millions(spark, monkeypatch):
     assert embedding_dedup(table).where("n_links = 1").count() >= 0.97 * 600
 
 
-def test_quotation_of_some_lines(spark):
-    text = "one\ntwo\nthree\n\nA paragraph cut\nover two lines.\n\nlast"
-    rows = [(c, *r) for c in (1, None) for r in [(0, "two"), (1, text), (2, "> one\n> two\nfirst lines"), (3, "> a PARAGRAPH\n> cut over two lines.\nwrapped anew"), (4, "> three\n>\n> last\nleft out"), (5, "> one\n> not there\nnone"), (6, "> later\n> still\nnone"), (7, "later\n> one\nstill"), (8, "> later\n> still\njoined ends"), (9, "> two\n> two\ntwice")]]
-    got = quotation_links(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()
-    for c in (1, None):
-        assert {r["turn"]: (r["parent_turn"], r["n_linked"]) for r in got if r["conv_id"] == c} == {0: (None, 0), 1: (None, 0), 2: (1, 1), 3: (1, 1), 4: (1, 1), 5: (None, 0), 6: (None, 0), 7: (1, 1), 8: (7, 1), 9: (0, 1)}
+def test_lm_counts_what_occurs_once(spark, tmp_path):
+    from lexiloom.llm.queries import op3_lm_score
+
+    ids = [next(i for i in range(100) if (zlib.crc32(str(i).encode()) % 5 == 1) == held) for held in (False, True)]
+    others = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 != 1][:40]
+    once = "some words that follow one another only here"
+    rows = [(ids[0], once), (ids[1], once), *((i, f"filler {i} text {i * 7} of its own") for i in others)]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op3_lm_score(spark, str(tmp_path)).collect()}
+    assert got[ids[1]]["held_out"] and not got[ids[0]]["held_out"]
+    taught = [[*words(t), "\n"] for i, t in rows if i != ids[1]]
+    one = collections.Counter(w for s in taught for w in s)
+    two = collections.Counter(p for s in taught for p in zip([None, *s], s))
+    three = collections.Counter((a, b, c) for s in taught for a, b, c in zip([None, *s], s, s[1:]))
+    lower, n, v, score = edges(1, 1.5), sum(one.values()), len(one), 0.0
+    low = lambda c: int(lower[np.searchsorted(lower, c, side="right") - 1])
+    high = lambda c: int(lower[np.searchsorted(lower, c, side="right")]) - 1 if c else 0
+    s = [*words(once), "\n"]
+    for k, w in enumerate(s):
+        b = s[k - 1] if k else None
+        h = one[b] if k else len(taught)
+        p = (min(low(two[b, w]), h) + 20_000.0 * (one[w] + 0.5) / (n + 0.5 * (v + 1))) / (h + 20_000.0)
+        if k and (h2 := high(two[s[k - 2] if k > 1 else None, b])):
+            p = (min(low(three[s[k - 2] if k > 1 else None, b, w]), h2) + 200.0 * p) / (h2 + 200.0)
+        score += math.log10(p)
+    assert math.isclose(got[ids[1]]["score"], score, rel_tol=1e-9)
