@@ -12,6 +12,12 @@ A page's article is the semantic container if its wrapper has one, else the deep
 most of the slot text of the host's wrapper, or of the page where the wrapper shows no slots. Within it, menus,
 notices, forms, adverts, comments and other furniture go by element, role and class; in a container
 that was not semantic, so do texts that the wrapper has found constant on three pages or more.
+
+In a semantic container the host's constant texts go, those inside repeated groups included, which a
+wrapper holds as one slot: a text under the same kind of block on nine tenths of the host's pages, at
+least five. They are counted along with the wrapper, at most MOST texts of a host at a time (the
+least frequent are given up together, so a text of every page stays while pages hold some hundred texts
+or fewer). A host most of whose text is constant holds copies of an article, and keeps it.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from html import unescape
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -280,8 +287,58 @@ def _dense(block: Block, w: list | None) -> tuple[Block, list | None]:
         block, w = heavy[0]
 
 
-def main_text(html: str | None, w: list | None = None) -> str:
-    """The article's blocks joined by empty lines; w: the host's wrapper."""
+MOST = 1024
+# Texts of a host's semantic containers: [pages, characters, {name of a text: [pages, length]}].
+
+
+def _name(kind: str, text: str) -> str:
+    return xxhash.xxh64_hexdigest(f"{kind} {text}".encode("utf-8", "replace"))
+
+
+def container_texts(root: Block) -> list:
+    """The texts of a page's semantic containers, furniture left out."""
+    found: dict[str, list[int]] = {}
+    chars = 0
+
+    def walk(b: Block) -> None:
+        nonlocal chars
+        for item in b.items:
+            if not isinstance(item, str):
+                if not item.gone:
+                    walk(item)
+            elif (name := _name(b.kind, item)) not in found:
+                found[name] = [1, len(item)]
+                chars += len(item)
+
+    parts = _semantic(root, None)
+    for b, _ in parts:
+        walk(b)
+    return [int(bool(parts)), chars, found]
+
+
+def add_texts(a: list, b: list) -> list:
+    """b's counts added to a's."""
+    held = a[2]
+    for name, (n, size) in b[2].items():
+        if name in held:
+            held[name][0] += n
+        else:
+            held[name] = [n, size]
+    if len(held) > MOST:
+        cut = sorted((n for n, _ in held.values()), reverse=True)[MOST]
+        held = {name: [n - cut, size] for name, (n, size) in held.items() if n > cut}
+    return [a[0] + b[0], a[1] + b[1], held]
+
+
+def constant_texts(texts: list) -> list[str]:
+    """The names of the texts that the host's template holds."""
+    pages, chars, held = texts
+    found = {name: n * size for name, (n, size) in held.items() if n >= max(5, 0.9 * pages)}
+    return sorted(found) if 2 * sum(found.values()) <= chars else []
+
+
+def main_text(html: str | None, w: list | None = None, constant: frozenset[str] = frozenset()) -> str:
+    """The article's blocks joined by empty lines; w: the host's wrapper; constant: its constant_texts()."""
     if not html:
         return ""
     root = parse(html)
@@ -294,7 +351,7 @@ def main_text(html: str | None, w: list | None = None) -> str:
             if not isinstance(item, str):
                 if not item.gone and not (drop and item.tag == "header"):
                     walk(item, iw)
-            elif not (drop and iw is not None and iw[5] != "*" and iw[3] >= 3):
+            elif not (drop and iw is not None and iw[5] != "*" and iw[3] >= 3) and not (parts and constant and _name(b.kind, item) in constant):
                 out.append(item)
 
     for b, bw in parts or [_dense(root, w)]:
@@ -307,37 +364,48 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1), F.lit("")), F.lit("")))
 
 
-def infer_wrappers(pages: DataFrame, host: str, page: str, html: str, hosts_held: int = 2000) -> DataFrame:
-    """(host, wrapper as JSON): pages are aligned in reading tasks, then in salted groups, then once."""
+def infer_wrappers(pages: DataFrame, host: str, page: str, html: str, hosts_held: int = 2000, texts_held: int = 200_000) -> DataFrame:
+    """(host, [wrapper, constant texts] as JSON): pages are aligned in reading tasks, then in salted groups, then once."""
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple] = {}
+        n = 0
 
         def out() -> pa.RecordBatch:
             keys = list(held)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([held[k][0] for k in keys], pa.string()), pa.array([json.dumps(held[k][1]) for k in keys], pa.string())], names=["host", "first", "wrapper"])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([held[k][0] for k in keys], pa.string()), pa.array([json.dumps(held[k][1:]) for k in keys], pa.string())], names=["host", "first", "wrapper"])
 
         for part in parts:
             for h, p, body in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 if body:
-                    w = wrapper(parse(body))
-                    held[h] = (min(held[h][0], p), _merge(held[h][1], w)) if h in held else (p, w)
-                    if len(held) >= hosts_held:
+                    root = parse(body)
+                    w, t = wrapper(root), container_texts(root)
+                    before = len(held[h][2][2]) if h in held else 0
+                    held[h] = (min(held[h][0], p), _merge(held[h][1], w), add_texts(held[h][2], t)) if h in held else (p, w, t)
+                    n += len(held[h][2][2]) - before
+                    if len(held) >= hosts_held or n >= texts_held:
                         yield out()
                         held.clear()
+                        n = 0
         if held:
             yield out()
 
-    def once(frame: pd.DataFrame) -> pd.DataFrame:
+    def merged(frame: pd.DataFrame, end) -> pd.DataFrame:
         frame, total = frame.sort_values("first"), None
         for x in frame["wrapper"]:
-            w = json.loads(x)
-            total = w if total is None else _merge(total, w)
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "first": [frame["first"].iloc[0]], "wrapper": [json.dumps(total)]})
+            w, t = json.loads(x)
+            total = (w, t) if total is None else (_merge(total[0], w), add_texts(total[1], t))
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "first": [frame["first"].iloc[0]], "wrapper": [json.dumps([total[0], end(total[1])])]})
+
+    def some(frame: pd.DataFrame) -> pd.DataFrame:
+        return merged(frame, lambda t: t)
+
+    def once(frame: pd.DataFrame) -> pd.DataFrame:
+        return merged(frame, constant_texts)
 
     found = pages.select(host, F.coalesce(F.col(page).cast("string"), F.lit("")).alias(page), html).mapInArrow(read, "host string, first string, wrapper string")
     salted = found.withColumn("salt", F.pmod(F.xxhash64("first"), F.lit(64)))
-    return salted.groupBy("host", "salt").applyInPandas(once, "host string, first string, wrapper string").groupBy("host").applyInPandas(once, "host string, first string, wrapper string").select("host", "wrapper")
+    return salted.groupBy("host", "salt").applyInPandas(some, "host string, first string, wrapper string").groupBy("host").applyInPandas(once, "host string, first string, wrapper string").select("host", "wrapper")
 
 
 def extract_main_text(pages: DataFrame, id_: str = "page_id", url: str = "url", html: str = "html", broadcast_bytes: int = 1 << 25) -> DataFrame:
@@ -354,15 +422,16 @@ def extract_main_text(pages: DataFrame, id_: str = "page_id", url: str = "url",
     joined = picked.join(F.broadcast(wrappers) if size <= broadcast_bytes else wrappers, "host", "left").select("id", "url", "html", "host", "wrapper")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[str, tuple] = {}
         for part in parts:
             texts = []
             for body, h, w in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 if w and h not in held:
                     if len(held) > 1000:
                         held.clear()
-                    held[h] = json.loads(w)
-                texts.append(main_text(body, held.get(h) if w else None))
+                    blocks, constant = json.loads(w)
+                    held[h] = (blocks, frozenset(constant))
+                texts.append(main_text(body, *held[h]) if w else main_text(body))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in picked.schema}

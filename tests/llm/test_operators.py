@@ -332,3 +332,15 @@ def test_lm_counts_what_occurs_once(spark, tmp_path):
             p = (min(low(three[s[k - 2] if k > 1 else None, b, w]), h2) + 200.0 * p) / (h2 + 200.0)
         score += math.log10(p)
     assert math.isclose(got[ids[1]]["score"], score, rel_tol=1e-9)
+
+
+def test_html_template_inside_article(spark):
+    page = "<body><article><h1>Title {i}</h1><p>{body}</p><p>More of {i}</p><p>Read our app daily!</p><div>Made by us</div></article></body>"
+    rows = [(i, f"http://many.example/{i}", page.format(i=i, body=f"body {i} " * 20)) for i in range(12)]
+    rows += [(20 + i, f"http://few.example/{i}", page.format(i=i, body=f"body {i} " * 20)) for i in range(4)]
+    rows += [(30 + i, f"http://copies.example/{i}", page.format(i=0, body="body 0 " * 20)) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    own = lambda i: f"Title {i}\n\n{(f'body {i} ' * 20).strip()}\n\nMore of {i}"
+    template = "\n\nRead our app daily!\n\nMade by us"
+    assert all(got[i] == own(i) for i in range(12))
+    assert all(got[20 + i] == own(i) + template for i in range(4)) and all(got[30 + i] == own(0) + template for i in range(9))
