@@ -87,14 +87,14 @@ def exchange(full: Pattern, low: Pattern, capacity: int) -> tuple[int, tuple[int
     return best
 
 
-def improve(bins: Counter, capacity: int, patience: int = 400) -> Counter:
+def improve(bins: Counter, capacity: int) -> Counter:
     """Local search from a packing. Donors are the emptiest bins; a donor that no bin can draw on stays as it is.
 
-    Ends at the least number of bins that the total allows, or when `patience` donors in a row gave nothing away.
+    Ends at the least number of bins that the total allows, or when no open donor has anything left to give.
     """
     total = sum(sum(p) * n for p, n in bins.items())
-    count, least, idle, tried, moved = sum(bins.values()), -(-total // capacity), 0, set(), False
-    while count > least and idle < patience:
+    count, least, tried, moved = sum(bins.values()), -(-total // capacity), set(), False
+    while count > least:
         open_ = [p for p in bins if sum(p) < capacity]
         donors = [p for p in open_ if p not in tried]
         if not donors and moved:  # what could not give before may now
@@ -125,11 +125,10 @@ def improve(bins: Counter, capacity: int, patience: int = 400) -> Counter:
                     bins[made] += n
                 else:
                     count -= n
-            idle, tried, moved = 0, tried - {target}, True
+            tried, moved = tried - {target}, True
             break
         else:
             tried.add(donor)
-            idle += 1
     return bins
 
 

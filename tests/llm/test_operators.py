@@ -344,3 +344,9 @@ def test_html_template_inside_article(spark):
     template = "\n\nRead our app daily!\n\nMade by us"
     assert all(got[i] == own(i) for i in range(12))
     assert all(got[20 + i] == own(i) + template for i in range(4)) and all(got[30 + i] == own(0) + template for i in range(9))
+
+
+def test_local_search_tries_every_donor():
+    # 450 emptier bins have nothing to give; the exchange of a fuller one is still found
+    bins = improve(collections.Counter({(5100 + i,): 1 for i in range(450)} | {(5600, 2200): 1, (7800,): 1}), 10_000)
+    assert bins[(7800, 2200)] == 1 and sum(bins.values()) == 452
