@@ -9,8 +9,8 @@ logistic loss, prior the toxic share of the labelled training rows. Where the se
 below zero, the step goes against it instead, so U's hidden toxic texts are not learned as clean.
 
 P and U are bounded samples, the rows of the smallest id hashes, each text once. Features come in
-when their rate in P exceeds that in U by `screen` standard errors and `lift` times, as what only
-toxic texts hold does by 1 / prior; the rest get no weight. Learning is
+when their rate in P exceeds that in U by `screen` standard errors and `lift` times, or half the way from
+1 to 1 / prior where that is less, as what only toxic texts hold reaches 1 / prior; the rest get no weight. Learning is
 numpy on the driver, over those samples alone; the scores come from one pass over the whole texts
 with the weights of those features, whose number the samples bound, broadcast.
 """
@@ -46,6 +46,7 @@ def learn(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     if not positive or not unlabelled or not 0 < prior < 1:
         return np.zeros(0, np.int32), np.zeros(0), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     np_, nu = len(positive), len(unlabelled)
+    lift = min(lift, (1 + 1 / prior) / 2)
     seen, p = np.unique(np.concatenate(positive), return_counts=True)
     found, count = np.unique(np.concatenate(unlabelled), return_counts=True)
     u = np.zeros(len(seen))

@@ -17,7 +17,7 @@ from lexiloom.llm.kd_shards import kd_shards
 from lexiloom.llm.lm_score import edges, lm_score
 from lexiloom.llm.packing import best_fit, improve, pack, places
 from lexiloom.llm.permutation_index import permutation_search
-from lexiloom.llm.pu_toxicity import pu_toxicity
+from lexiloom.llm.pu_toxicity import learn, pu_toxicity
 from lexiloom.llm.quotation_links import quotation_links
 from lexiloom.llm.soft_mixing import soft_mix
 from lexiloom.llm.words import Words
@@ -350,3 +350,14 @@ def test_local_search_tries_every_donor():
     # 450 emptier bins have nothing to give; the exchange of a fuller one is still found
     bins = improve(collections.Counter({(5100 + i,): 1 for i in range(450)} | {(5600, 2200): 1, (7800,): 1}), 10_000)
     assert bins[(7800, 2200)] == 1 and sum(bins.values()) == 452
+
+
+def test_toxicity_where_most_texts_are_toxic():
+    rng = np.random.default_rng(3)
+    common = lambda: rng.choice(200, 20, replace=False)
+    toxic = lambda: np.unique(np.concatenate([common(), 1000 + rng.choice(10, 4, replace=False)])).astype(np.int32)
+    clean = lambda: np.unique(common()).astype(np.int32)
+    used, w, b = learn([toxic() for _ in range(1500)], [toxic() if i % 10 < 6 else clean() for i in range(3000)], 0.6)
+    score = lambda x: 1 / (1 + np.exp(-(b + w[np.isin(used, x)].sum())))
+    assert set(range(1000, 1010)) <= set(used.tolist())
+    assert np.mean([score(toxic()) >= 0.7 for _ in range(200)]) > 0.95 and np.mean([score(clean()) < 0.7 for _ in range(200)]) > 0.95
