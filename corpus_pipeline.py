@@ -44,18 +44,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each near-duplicate group. Rows with a null doc_id stay; of rows that repeat a doc_id, the first text stays."""
+    """The document of the smallest doc_id of each near-duplicate group. Rows with a null doc_id stay; rows that repeat a doc_id
+    are documents of their own, of which the first in text order comes first, and of rows that repeat both one stays."""
     _begins()
-    found = materialise(jaccard_join(docs, width=WORDS, percent=SIMILARITY))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1").limit(1).count():
+        # sorted, so that numbers follow doc_id and text; written, so that they stay
+        own = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+        rows = materialise(own.orderBy("doc_id", "text").withColumn("__row", F.monotonically_increasing_id()))
+        found = jaccard_join(rows, id_="__row", width=WORDS, percent=SIMILARITY)
+        gone = found.where("__row <> component_id").select("__row")
+        kept = rows.join(gone.hint("merge"), "__row", "left_anti").select(*docs.columns)
+        return _ends(kept.unionByName(docs.where("doc_id is null")))
+    found = jaccard_join(docs, width=WORDS, percent=SIMILARITY)
+    gone = found.where("doc_id <> component_id").select("doc_id")
     # what goes grows with the documents, so at no size is it broadcast
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    again = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    if again.limit(1).count():
-        repeated = kept.join(again, "doc_id", "left_semi")
-        first = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns if c != "doc_id"]), F.col("text")).alias("r")).select("doc_id", "r.*").select(*docs.columns)
-        kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
-    return _ends(kept)
+    return _ends(docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,10 @@ def test_odd_rows(spark):
     kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, rows, D).collect()]
     assert sorted(kept, key=str) == [1, 2, None]
     assert corpus_pipeline.toxicity(spark, rows, D).count() == 5 and corpus_pipeline.mixing(spark, rows.where("false"), D).count() == 0
+
+
+def test_repeated_ids_are_judged_by_row(spark):
+    texts = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "quite another text of its own here"), (3, "one text under this id of three"), (3, "and a second one that nobody copied"), (3, "and a second one that nobody copied"), (None, "a b c d e f g")]
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, rows, D).collect()]
+    assert sorted(kept, key=str) == sorted({t for t in texts if t != (2, "a b c d e f g")}, key=str)
