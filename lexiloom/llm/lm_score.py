@@ -1,4 +1,4 @@
-"""LM scoring with a log-frequency Bloom filter: quantised n-gram counts, broadcast, read by repeated membership probes.
+"""LM scoring with a log-frequency Bloom filter: quantised n-gram counts, read by repeated membership probes.
 
 Words are the vocabulary's tokens, each text ends in one end token. The unigram floor is exact:
 p(w) = (c + 0.5) / (N + 0.5 (V + 1)). Above it stand bigrams and trigrams, with Dirichlet smoothing:
@@ -6,18 +6,18 @@ p(w) = (c + 0.5) / (N + 0.5 (V + 1)). Above it stand bigrams and trigrams, with
     p(w | v)   = (c(v w) + m2 p(w)) / (c(v) + m2)
     p(w | u v) = (c(u v w) + m3 p(w | v)) / (c(u v) + m3)
 
-A count of at least `min_count` is held as level q, the largest with edge(q) <= count, edges growing
-by `ratio`: the n-gram is inserted with each of 1 .. q. A reader probes 1, 2, ... until one is
-missing. Numerators take the lower edge of a level and histories the upper edge, so the probabilities
-given a history sum to at most one, up to the filter's false positives. Counts below min_count read
-as none. A history that reads as none leaves the distribution below it as it is.
-
-Counts cover all training text. A reading task keeps the counts of a bounded piece of its text, and
-pieces meet in buckets of the hash space as sorted arrays. The filter has at most `filter_bytes`; when
-the levels need more, they are cut by hash into several filters, and the texts are read once for
-each, the levels found so far going along with them, before the scores are summed. Exact unigram
-counts of the most frequent words (at most `head_words` of them) are broadcast; the other tokens
-join the count table. A score is linear in the unigram floor, so such a token takes two numbers along.
+A bigram's or trigram's count is held as level q, the largest with edge(q) <= count, edges 1, 2, ...
+growing by `ratio`: the n-gram is inserted with each of 1 .. q. A reader probes 1, 2, ... until one is
+missing. Numerators take the lower edge of a level and bigram histories the upper edge, so the
+probabilities given a history sum to at most one, up to the filter's false positives. A history that
+reads as none leaves the distribution below it as it is. Words and the end token keep exact counts.
+
+The filter takes some 1.5 bytes for each different n-gram, so it grows with the corpus and cannot be
+broadcast within a bound. It is cut by hash into segments instead, and n-grams go to their segment:
+texts are packed into pieces; a piece sends each segment its different n-grams once, with how often its
+training rows hold them; a segment is filled by the sums and then probed for each piece; the levels go back
+to the piece, one byte for each n-gram before compression. So texts are read once whatever the size of the
+filter, every n-gram counts, and each task holds one piece or one segment.
 """
 
 from __future__ import annotations
@@ -25,22 +25,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.bitsets import Bits, build, segment_bits_for
+from lexiloom.llm.bitsets import positions, steps
 from lexiloom.llm.words import Words, batches, combine, mix, release
-from lexiloom.plans.lineage import materialise
 
 END, BEGIN = np.uint64(0x656E645F746F6B65), np.uint64(0x626567696E5F746F)
-PIECE_TOKENS = 1 << 20
+GRAMS = (1, 2, 3)
 
 
-def edges(min_count: int, ratio: float) -> np.ndarray:
+def edges(ratio: float) -> np.ndarray:
     """Lower edges of the levels 1, 2, ...; entry 0 is level 0's."""
-    out = [0, min_count]
+    out = [0, 1]
     while out[-1] < 1 << 50:
         out.append(max(out[-1] + 1, int(np.ceil(out[-1] * ratio))))
     return np.array(out, np.int64)
@@ -58,203 +57,195 @@ def sequences(token: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return seq, to, place, two, three
 
 
-def slot(key: np.ndarray, order: int) -> np.ndarray:
-    """A key's place in the filter; longer n-grams keep 48 bits in the counts."""
-    return mix((key >> np.uint64(16) if order > 1 else key) ^ np.uint64(order * 0x51ED27))
+class Segment:
+    """A part of the log-frequency filter: levels of its n-grams, held as bits alone."""
+
+    def __init__(self, key: np.ndarray, level: np.ndarray, hashes: int) -> None:
+        self.hashes = hashes
+        inserts = int(level.sum())
+        self.bits = 1 << max(6, int(np.ceil(np.log2(max(1, inserts) * hashes * 1.4427))))
+        held = np.zeros(self.bits, bool)
+        for q in range(1, int(level.max(initial=0)) + 1):
+            named = self._named(key[level >= q], q)
+            step = steps(named)
+            for i in range(hashes):
+                held[positions(named, step, i, self.bits).view(np.int64)] = True
+        self.data = np.packbits(held, bitorder="little")
+
+    @staticmethod
+    def _named(key: np.ndarray, level: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix(key + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
+
+    def _has(self, key: np.ndarray) -> np.ndarray:
+        alive, step = np.arange(len(key)), steps(key)
+        for i in range(self.hashes):  # a key that has missed a bit is not probed again
+            at = positions(key, step, i, self.bits)
+            hit = (self.data[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            alive, key, step = alive[hit], key[hit], step[hit]
+        return alive
+
+    def levels(self, key: np.ndarray) -> np.ndarray:
+        """The level of each key, by probes of 1, 2, ... up to the first that is missing."""
+        out, alive, now = np.zeros(len(key), np.uint8), np.arange(len(key)), 1
+        while len(alive):
+            alive = alive[self._has(self._named(key[alive], now))]
+            out[alive] = now
+            now += 1
+        return out
+
+
+def squeeze(key: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as the planes of their gaps' bytes, compressed."""
+    gap = np.diff(key, prepend=np.uint64(0))
+    return pa.compress(np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True) if len(key) else b""
+
+
+def unsqueeze(data, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * int(n), codec="zstd"), np.uint8).reshape(8, int(n))
+    with np.errstate(over="ignore"):
+        return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
-def leveled(slots: np.ndarray, level: int | np.ndarray) -> np.ndarray:
-    """Filter keys of a level, in their slot's segment."""
-    with np.errstate(over="ignore"):
-        low = mix(slots + np.asarray(level, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return (slots & np.uint64(0xFC << 56)) | (low >> np.uint64(6))
-
-
-def ngram_counts(train: DataFrame, text: str, min_count: int, ratio: float) -> DataFrame:
-    """(grams, slot, key, count, level): every word (grams 1, key its hash), and longer n-grams of at least min_count."""
-    buckets = max(32, 4 * int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    lower = edges(min_count, ratio)
-
-    def flush(keys: list[list[np.ndarray]]) -> pa.RecordBatch:
-        rows: dict[str, list] = {k: [] for k in ("grams", "bucket", "once", "more", "counts")}
-        for g, pieces in enumerate(keys, 1):
-            k, c = np.unique(np.concatenate(pieces), return_counts=True)
-            cuts = np.searchsorted(k, (np.arange(1, buckets) * ((1 << 64) // buckets)).astype(np.uint64) if buckets > 1 else [])
-            for b, (part, count) in enumerate(zip(np.split(k, cuts), np.split(c, cuts), strict=True)):
-                if len(part):
-                    one = count == 1
-                    for name, v in (("grams", g), ("bucket", b), ("once", _pack(part[one], g)), ("more", _pack(part[~one], g)), ("counts", count[~one].astype(np.uint32).tobytes())):
-                        rows[name].append(v)
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(rows.values(), kinds, strict=True)], names=list(rows))
-
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = Words(), [[], [], []], 0
+def _small(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def _unsmall(data, n: int, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=int(n) * np.dtype(kind).itemsize, codec="zstd"), kind) if n else np.zeros(0, kind)
+
+
+def _packed(docs: DataFrame, piece_bytes: int) -> DataFrame:
+    """Rows (id, text, train) packed into pieces: (piece, payload), the piece named by its content."""
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            whole = pa.Table.from_batches(held).combine_chunks()
+            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                to.write_table(whole)
+            data = sink.getvalue().to_pybytes()
+            return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(data)], pa.binary()), pa.array([data], pa.binary())], names=["piece", "payload"])
+
         for whole in parts:
-            for part in batches(whole, 1 << 21):
-                seq, _, place, two, three = sequences(*words.tokens(part.column(0)))
-                for to, k in zip(held, (seq, two, three[place > 0]), strict=True):
-                    to.append(k)
-                n += len(seq)
-                if n >= PIECE_TOKENS:
-                    yield flush(held)
-                    held, n = [[], [], []], 0
-                    release()
-        if n:
-            yield flush(held)
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        release()
-        g = int(frame["grams"].iloc[0])
-        one, more = (np.concatenate([_unpack(x, g) for x in frame[c]]) for c in ("once", "more"))
-        count = np.concatenate([np.ones(len(one), np.int64), *[np.frombuffer(x, np.uint32).astype(np.int64) for x in frame["counts"]]])
-        key = np.concatenate([one, more])
-        order = np.argsort(key, kind="stable")
-        key, count = key[order], count[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        key, count = key[first], np.add.reduceat(count, first) if len(first) else count
-        if g > 1:
-            key, count = key[count >= min_count], count[count >= min_count]
-        return pd.DataFrame({"grams": np.full(len(key), g, np.int32), "slot": slot(key, g).view(np.int64), "key": key.view(np.int64), "count": count, "level": (np.searchsorted(lower, count, side="right") - 1).astype(np.int32)})
-
-    blocks = train.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "grams int, bucket int, once binary, more binary, counts binary")
-    return materialise(blocks.groupBy("grams", "bucket").applyInPandas(add, "grams int, slot long, key long, count long, level int"))
-
-
-def _pack(key: np.ndarray, grams: int) -> bytes:
-    return key.tobytes() if grams == 1 else key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-
-
-def _unpack(data: bytes, grams: int) -> np.ndarray:
-    if grams == 1:
-        return np.frombuffer(data, np.uint64)
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1)
-
-
-def _levels(bits: Bits, slots: np.ndarray, part: int, parts: int, where: np.ndarray | None = None) -> np.ndarray:
-    """The level of each slot that this filter holds, else 0; where: the only places to look at."""
-    out = np.zeros(len(slots), np.uint8)
-    at = np.arange(len(slots)) if where is None else where
-    if parts > 1:
-        at = at[slots[at] % np.uint64(parts) == part]
-    at = at[bits.has(leveled(slots[at], 1))]
-    held, back = np.unique(slots[at], return_inverse=True)  # most that is there is there often
-    level, alive, now = np.ones(len(held), np.uint8), np.arange(len(held)), 2
-    while len(alive):
-        alive = alive[bits.has(leveled(held[alive], now))]
-        level[alive] = now
-        now += 1
-    out[at] = level[back]
-    return out
-
-
-def lm_score(docs: DataFrame, train: Column, id_: str = "doc_id", text: str = "text", min_count: int = 2, ratio: float = 1.5, hashes: int = 8, m2: float = 20_000.0, m3: float = 200.0, filter_bytes: int = 1 << 26, head_words: int = 1 << 18) -> DataFrame:
+            for part in batches(whole, piece_bytes // 4):
+                held.append(part)
+                size += part.nbytes
+                if size >= piece_bytes:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return docs.mapInArrow(pack, "piece binary, payload binary")
+
+
+def _keys(words: Words, payload) -> tuple:
+    """A piece's rows and n-grams: (rows, token sequence parts, keys by order)."""
+    with pa.ipc.open_stream(payload) as got:
+        rows = got.read_all().combine_chunks()
+    text = rows.column(1).combine_chunks()
+    seq, to, place, two, three = sequences(*words.tokens(text))
+    three[place == 0] = two[place == 0]
+    return rows, to, place, [seq, two, three]
+
+
+def lm_score(docs: DataFrame, train: Column, id_: str = "doc_id", text: str = "text", ratio: float = 1.5, hashes: int = 8, m2: float = 20_000.0, m3: float = 200.0, piece_bytes: int = 12 << 20, segment_bytes: int = 1 << 22) -> DataFrame:
     """A row for each row of docs: id_, n_tokens, n_known, train_tokens, base_score, score; sums of log10 probabilities.
 
     train: which rows the model learns from (null: not). Null text is empty: one end token. Repeated
     rows count each time. No training text at all: N = V = 0, and every token has probability 1.
-    Null ids keep their rows. Other columns are left out, whatever their names.
+    Null ids keep their rows. Other columns are left out, whatever their names. piece_bytes: text in a
+    piece, more only for a longer text; segment_bytes: text for each segment of the filter. Both bound a task's memory.
     """
-    spark = docs.sparkSession
-    picked = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    counts = ngram_counts(picked.where("train"), "text", min_count, ratio)
-    lower = edges(min_count, ratio)
-    ones = counts.where("grams = 1")
-    known = ones.groupBy("level").agg(F.count("*").alias("n"), F.sum("count").alias("c")).collect()
-    n, v = sum(r["c"] for r in known), sum(r["n"] for r in known)
-    least, total = int(len(lower)), 0
-    for r in sorted(known, key=lambda r: -r["level"]):
-        if total + r["n"] > head_words:
-            break
-        least, total = r["level"], total + r["n"]
-    head = ones.where(F.col("level") >= least).select("key", "count").toArrow()
-    key, count = head.column("key").to_numpy().view(np.uint64), head.column("count").to_numpy()
-    order = np.argsort(key)
-    end_count = ones.where(F.col("key") == int(END.view(np.int64))).select("count").first()
-    tables = spark.sparkContext.broadcast((key[order], count[order], int(end_count[0]) if end_count else 0))
-
-    held = counts.where("level > 0").select("slot", "level")
-    inserts = held.agg(F.sum("level")).first()[0] or 0
-    parts = max(1, -(-int(inserts * hashes * 1.4427) // (filter_bytes * 8)))
-
-    def expand(frame: pd.DataFrame) -> np.ndarray:
-        level = frame["level"].to_numpy()
-        s = np.repeat(frame["slot"].to_numpy(np.int64).view(np.uint64), level)
-        return leveled(s, np.arange(len(s)) - np.repeat(np.cumsum(level) - level, level) + 1)
-
-    def reader(bits, part: int, last: bool):
-        floor, known_at = n + 0.5 * (v + 1), len(lower) - 1
-
-        def run(batch_parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, filters, (heads, head_count, begins) = Words(), bits.value, tables.value
-            for whole in batch_parts:
-                for batch in batches(whole, 1 << 21):
-                    seq, to, place, two, three = sequences(*words.tokens(batch.column(1)))
-                    before = np.concatenate([seq[-1:], seq[:-1]])
-                    at = np.minimum(np.searchsorted(heads, seq), max(0, len(heads) - 1))
-                    in_head = heads[at] == seq if len(heads) else np.zeros(len(seq), bool)
-                    # a history in the head has its exact count there, and an n-gram is no more frequent than what it ends or begins with
-                    rare = np.flatnonzero(~np.concatenate([in_head[-1:], in_head[:-1]]) & (place > 0))
-                    l2 = _levels(filters, slot(two, 2), part, parts)
-                    inner = np.flatnonzero((l2 > 0) & (np.concatenate([l2[-1:], l2[:-1]]) > 0) & (place > 0)) if parts == 1 else None
-                    found = np.stack([_levels(filters, slot(before, 1), part, parts, rare), l2, _levels(filters, slot(three, 3), part, parts, inner)])
-                    if part:
-                        found += np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(3, -1) for x in batch.column(2)], axis=1)
-                    if not last:
-                        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([found[:, a:b].tobytes() for a, b in zip(to[:-1], to[1:], strict=True)], pa.binary())], names=["id", "text", "levels"])
-                        continue
-                    c = np.where(in_head, head_count[at] if len(heads) else 0, 0)
-                    # histories: exact where the head has them, else the level's upper edge
-                    l1, l2, l3 = found.astype(np.int64)
-                    h1 = np.where(l1 > 0, lower[np.minimum(l1 + 1, known_at)] - 1, 0)
-                    h1[1:] = np.where(in_head[:-1], c[:-1], h1[1:])
-                    h1[place == 0] = begins
-                    c2 = np.minimum(lower[l2], h1).astype(float)
-                    a = c2 / (h1 + m2)
-                    b = m2 / (h1 + m2)
-                    h2 = np.zeros(len(seq))
-                    h2[1:] = np.where(l2[:-1] > 0, lower[np.minimum(l2[:-1] + 1, known_at)] - 1, 0)
-                    h2[place == 0] = 0
-                    c3 = np.where(h2 > 0, np.minimum(np.minimum(lower[l3], h2), lower[np.minimum(l2 + 1, known_at)] - 1), 0.0)
-                    has = h2 > 0
-                    a = np.where(has, (c3 + m3 * a) / (h2 + m3), a)
-                    b = np.where(has, m3 * b / (h2 + m3), b)
-                    p = (c + 0.5) / floor
-                    base = np.where(in_head, np.log10(p), 0.0)
-                    score = np.where(in_head, np.log10(a + b * p), 0.0)
-                    rest = ~in_head
-                    tail = np.concatenate([[0], np.cumsum(rest)])[to]
-                    tails = pa.StructArray.from_arrays([pa.array(seq[rest].view(np.int64)), pa.array(a[rest]), pa.array(b[rest])], names=["key", "a", "b"])
-                    sums = [np.add.reduceat(x, to[:-1]) if len(to) > 1 else np.zeros(0, x.dtype) for x in (in_head.astype(np.int64), base, score)]
-                    release()
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(to)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(tail, pa.int32()), tails)], names=["id", "n_tokens", "n_known", "base", "score", "tail"])
-
-        return run
-
-    source = picked.select("id", "text")
+    picked = docs.select(F.col(id_).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    size = picked.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    segments = 1 + size // segment_bytes
+    cuts = np.array([(b << 64) // segments for b in range(1, segments)], np.uint64)
+    lower = edges(ratio)
+    fields = ", ".join(f"n{g} int, k{g} binary, c{g} binary" for g in GRAMS)
+
+    def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for part in parts:
+            for piece, payload in zip(part.column(0), part.column(1), strict=True):
+                rows, to, _, keys = _keys(words, payload.as_buffer())
+                taught = np.repeat(np.asarray(rows.column(2)), np.diff(to))
+                columns = {"segment": pa.array(np.arange(segments, dtype=np.int32)), "piece": pa.array([piece.as_py()] * segments, pa.binary())}
+                for g in GRAMS:
+                    key = keys.pop(0)  # so that it is let go
+                    order = np.argsort(key)
+                    key = key[order]
+                    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    count = np.add.reduceat(taught[order], first, dtype=np.uint32)
+                    key = key[first]
+                    at = np.concatenate([[0], np.searchsorted(key, cuts), [len(key)]])
+                    columns[f"n{g}"] = pa.array(np.diff(at).astype(np.int32))
+                    columns[f"k{g}"] = pa.array([squeeze(key[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                    columns[f"c{g}"] = pa.array([_small(count[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                release()
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    def answer(asked: pa.Table) -> pa.Table:
+        columns = {"segment": asked.column("segment"), "piece": asked.column("piece")}
+        for g in GRAMS:
+            sizes = asked.column(f"n{g}").to_numpy()
+            key = np.concatenate([unsqueeze(x.as_buffer(), n) for x, n in zip(asked.column(f"k{g}"), sizes, strict=True)])
+            count = np.concatenate([_unsmall(x.as_buffer(), n, np.uint32) for x, n in zip(asked.column(f"c{g}"), sizes, strict=True)])
+            order = np.argsort(key)
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = key[order[1:]] != key[order[:-1]]
+            first = np.flatnonzero(fresh)
+            total = np.add.reduceat(count[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+            if g == 1:  # words keep exact counts
+                columns["tokens"], columns["known"] = (pa.array(np.full(len(sizes), x, np.int64)) for x in (total.sum(), (total > 0).sum()))
+                found = total
+            else:
+                key = key[order[first]]
+                found = Segment(key, np.searchsorted(lower, total, side="right") - 1, hashes).levels(key)
+            back = np.empty(len(order), found.dtype)
+            back[order] = found[np.cumsum(fresh) - 1] if len(order) else found
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            columns[f"n{g}"] = pa.array(sizes)
+            columns[f"a{g}"] = pa.array([_small(back[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+        release()
+        return pa.table(columns)
+
+    def score(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("segment")
+        name = answers.column("segment").to_numpy()
+        once = np.flatnonzero(np.diff(name, prepend=-1))  # pieces of equal content have equal answers
+        if len(once) != segments:
+            raise RuntimeError("a piece of text has lost its answers")
+        n, v = (int(answers.column(c).to_numpy()[once].sum()) for c in ("tokens", "known"))
+        held = []
+        for g, kind in zip(GRAMS, (np.int64, np.uint8, np.uint8), strict=True):
+            data, sizes = answers.column(f"a{g}"), answers.column(f"n{g}").to_numpy()
+            held.append(np.concatenate([_unsmall(data[int(i)].as_buffer(), int(sizes[i]), kind) for i in once]))
+        rows, to, place, keys = _keys(Words(), packed.column("payload")[0].as_buffer())
+        c, l2, l3 = (held.pop(0)[np.unique(keys.pop(0), return_inverse=True)[1]] for _ in GRAMS)
+        starts = place == 0
+        h1 = np.concatenate([c[-1:], c[:-1]])
+        h1[starts] = c[-1]  # a text begins after an end
+        upper = np.where(l2 > 0, lower[l2 + 1] - 1, 0)
+        h2 = np.where(starts, 0, np.concatenate([upper[-1:], upper[:-1]]))
+        p = (c + 0.5) / (n + 0.5 * (v + 1))
+        q = (np.minimum(lower[l2], h1) + m2 * p) / (h1 + m2)
+        c3 = np.minimum(np.minimum(lower[l3], h2), upper)
+        q = np.where(h2 > 0, (c3 + m3 * q) / (h2 + m3), q)
+        sums = [np.add.reduceat(x, to[:-1]) for x in ((c > 0).astype(np.int64), np.log10(p), np.log10(q))]
+        out = pa.table({"id": rows.column(0), "n_tokens": np.diff(to), "n_known": sums[0], "train_tokens": np.full(len(to) - 1, n), "base_score": sums[1], "score": sums[2]})
+        release()
+        return pa.concat_tables([out] * packed.num_rows)
+
+    packed = _packed(picked, piece_bytes).repartition("piece")  # texts move once: both readers take this exchange
+    answers = packed.mapInArrow(ask, f"segment int, piece binary, {fields}").groupBy("segment")
+    answers = answers.applyInArrow(answer, "segment int, piece binary, tokens long, known long, " + ", ".join(f"n{g} int, a{g} binary" for g in GRAMS))
     id_type = picked.schema["id"].dataType.simpleString()
-    for part in range(parts):
-        mine = held if parts == 1 else held.where(_unsigned_mod("slot", parts) == part)
-        size = segment_bits_for(-(-inserts // parts), hashes, filter_bytes * 8)
-        bits = spark.sparkContext.broadcast(build(mine, "slot", size, hashes, expand))
-        if part < parts - 1:
-            source = materialise(source.mapInArrow(reader(bits, part, False), f"id {id_type}, text string, levels binary"))
-            bits.unpersist()
-    scored = source.mapInArrow(reader(bits, part, True), f"id {id_type}, n_tokens long, n_known long, base double, score double, tail array<struct<key:long,a:double,b:double>>")
-    scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()))
-
-    tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.*")
-    exact = ones.where(F.col("level") < least).select("key", "count")
-    p = (F.coalesce("count", F.lit(0)) + 0.5) / F.lit(n + 0.5 * (v + 1))
-    more = tail.join(exact, "key", "left").groupBy("row").agg(F.count("count").alias("k"), F.sum(F.log10(p)).alias("base_more"), F.sum(F.log10(F.col("a") + F.col("b") * p)).alias("score_more"))
-    none = F.lit(0)
-    return scored.join(more, "row", "left").select(F.col("id").alias(id_), "n_tokens", (F.col("n_known") + F.coalesce("k", none)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("base_more", none)).alias("base_score"), (F.col("score") + F.coalesce("score_more", none)).alias("score"))
-
-
-def _unsigned_mod(column: str, parts: int) -> Column:
-    """A 64-bit column modulo parts, its bits read as unsigned."""
-    low = F.col(column).bitwiseAND(F.lit((1 << 63) - 1))
-    top = F.when(F.col(column) < 0, F.lit((1 << 63) % parts)).otherwise(F.lit(0))
-    return (F.pmod(low, F.lit(parts)) + top) % F.lit(parts)
+    scored = packed.groupBy("piece").cogroup(answers.groupBy("piece"))
+    scored = scored.applyInArrow(score, f"id {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.withColumnRenamed("id", id_)
