@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # White space as the sources of these corpora count it, and what ends a line.
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 NOT_SPACE = r"[^\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 # The lines around a book's text.
@@ -17,12 +18,12 @@ BOOK_END = r"(?i)\*{3}\s*END OF (THE|THIS) PROJECT GUTENBERG EBOOK"
 # Patterns counted as marks of deduction and of hedging.
 DEDUCTION = [
     r"\btherefore\b", r"\bthus\b", r"\bhence\b", r"\bclearly\b", r"\bevidently\b", r"\bmust be\b", r"\bcan only\b",
-    r"\bit follows\b", r"\bi deduce\b", r"\bthis indicates\b", r"\bthis suggests\b", r"\bi conclude\b", r"\bthis means\b",
+    r"\bit follows\b", r"\bI deduce\b", r"\bthis indicates\b", r"\bthis suggests\b", r"\bI conclude\b", r"\bthis means\b",
     r"\bit is clear\b", r"\bobviously\b", r"\bwithout doubt\b", r"\bwithout question\b", r"\bwe can see\b", r"\bone can see\b",
 ]
 HEDGING = [
-    r"\bmaybe\b", r"\bperhaps\b", r"\bmight\b", r"\bcould be\b", r"\bpossibly\b", r"\bi'm not sure\b", r"\bi am not sure\b",
-    r"\bi think\b", r"\bi guess\b", r"\buncertain\b", r"\bunclear\b", r"\bhard to say\b",
+    r"\bmaybe\b", r"\bperhaps\b", r"\bmight\b", r"\bcould be\b", r"\bpossibly\b", r"\bI'm not sure\b", r"\bI am not sure\b",
+    r"\bI think\b", r"\bI guess\b", r"\buncertain\b", r"\bunclear\b", r"\bhard to say\b",
     r"\bdifficult to (say|determine|know)\b", r"\bcan't be sure\b", r"\bcannot be sure\b",
 ]
 
@@ -34,8 +35,13 @@ REASON = r"(?i)JUSTIFICATION\s*:\s*([^\n]+)"
 TRAPS = ["knowledge_cutoff", "sensory", "numeric", "self_reference", "none"]
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def words(text: Column) -> Column:
@@ -90,9 +96,8 @@ def cache_key(*parts: Column) -> Column:
 
 
 def marker_count(text: Column, patterns: list[str]) -> Column:
-    """Matches of all patterns, each counted on its own, in lower-cased text."""
-    low = F.lower(text)
-    return sum((F.regexp_count(low, F.lit(p)) for p in patterns), F.lit(0)).cast("int")
+    """Matches of all patterns in lower-cased text, each counted on its own, whatever their case."""
+    return let(F.lower(text), lambda low: sum((F.regexp_count(low, F.lit(f"(?i){p}")) for p in patterns), F.lit(0)).cast("int"))
 
 
 def marker_density(more: Column, less: Column, count: Column) -> Column:
@@ -101,8 +106,8 @@ def marker_density(more: Column, less: Column, count: Column) -> Column:
 
 
 def unfence(answer: Column) -> Column:
-    bare = strip(answer)
-    return F.when(bare.startswith("```"), F.regexp_replace(F.regexp_replace(bare, r"\A```[a-z]*\n?", ""), r"\n?```\s*\z", "")).otherwise(bare)
+    cut = lambda bare: F.regexp_replace(F.regexp_replace(bare, r"\A```[a-z]*\n?", ""), r"\n?```\s*\z", "")
+    return let(strip(answer), lambda bare: F.when(bare.startswith("```"), cut(bare)).otherwise(bare))
 
 
 TURN_DDL = "reply string, suspicion_score double, reasoning_trace string, cues array<string>, trap_strategy struct<plan: string, type: string>, public_accusation boolean"
@@ -111,17 +116,19 @@ TURN_DDL = "reply string, suspicion_score double, reasoning_trace string, cues a
 def parse_turn(answer: Column) -> Column:
     """A turn from an answer: JSON, fenced or with text around it, else what single fields can be found.
 
-    Scores are brought into [0, 1], 0.5 where missing. A field of the wrong type counts as missing.
+    Scores are brought into [0, 1], 0.5 where missing. A field of the wrong type counts as missing. A reply found
+    outside of JSON may be empty; only where there is none, the answer's beginning stands for it.
     """
-    body = unfence(answer)
-    blob = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    whole = F.from_json(body, f"{TURN_DDL}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    inner = F.from_json(blob, f"{TURN_DDL}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    ok = lambda s, raw: F.when(s["_bad"].isNull() & raw.rlike(r"(?s)\A\s*\{"), s)
-    parsed = F.coalesce(ok(whole, body), ok(inner, blob))
+    options = {"columnNameOfCorruptRecord": "_bad"}
+    read = lambda raw: F.from_json(raw, f"{TURN_DDL}, _bad string", options)
+    good = lambda raw: let(read(raw), lambda s: F.when(s["_bad"].isNull() & raw.rlike(r"(?s)\A\s*\{"), s))
+    blob = lambda body: F.regexp_extract(body, r"(?s)\{.*\}", 0)
+    # each step is bound once; the blob inside a text is looked for only where the whole is no JSON
+    parsed_of = lambda body: let(good(body), lambda whole: F.when(whole.isNotNull(), whole).otherwise(let(blob(body), good)))
 
     def field(name: str, value: str) -> Column:
-        return F.nullif(F.regexp_extract(answer, rf'(?s)"{name}"\s*:\s*{value}', 1), F.lit(""))
+        """The field's value, which may be empty; null where there is none."""
+        return F.try_element_at(F.regexp_extract_all(answer, F.lit(rf'(?s)"{name}"\s*:\s*{value}'), F.lit(1)), F.lit(1))
 
     quoted = r'"((?:[^"\\]|\\.)*)"'
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x, F.lit(0.5))))
@@ -135,14 +142,16 @@ def parse_turn(answer: Column) -> Column:
         (F.lower(F.coalesce(field("public_accusation", "((?i)true|false)"), F.lit("false"))) == "true").alias("public_accusation"),
         F.lit(False).alias("parsed"),
     )
-    typed = F.struct(
-        F.coalesce(parsed["reply"], F.lit("")).alias("reply"),
-        clamp(parsed["suspicion_score"]).alias("suspicion_score"),
-        F.coalesce(parsed["reasoning_trace"], F.lit("")).alias("reasoning_trace"),
-        F.coalesce(parsed["cues"], F.array().cast("array<string>")).alias("cues"),
-        F.coalesce(parsed["trap_strategy"]["plan"], F.lit("")).alias("plan"),
-        F.coalesce(parsed["trap_strategy"]["type"], F.lit("none")).alias("trap"),
-        F.coalesce(parsed["public_accusation"], F.lit(False)).alias("public_accusation"),
-        F.lit(True).alias("parsed"),
-    )
-    return F.when(parsed.isNotNull(), typed).otherwise(found)
+    def typed(parsed: Column) -> Column:
+        return F.struct(
+            F.coalesce(parsed["reply"], F.lit("")).alias("reply"),
+            clamp(parsed["suspicion_score"]).alias("suspicion_score"),
+            F.coalesce(parsed["reasoning_trace"], F.lit("")).alias("reasoning_trace"),
+            F.coalesce(parsed["cues"], F.array().cast("array<string>")).alias("cues"),
+            F.coalesce(parsed["trap_strategy"]["plan"], F.lit("")).alias("plan"),
+            F.coalesce(parsed["trap_strategy"]["type"], F.lit("none")).alias("trap"),
+            F.coalesce(parsed["public_accusation"], F.lit(False)).alias("public_accusation"),
+            F.lit(True).alias("parsed"),
+        )
+
+    return let(let(unfence(answer), parsed_of), lambda parsed: F.when(parsed.isNotNull(), typed(parsed)).otherwise(found))

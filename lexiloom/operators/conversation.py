@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.plans.broadcasts import small
+
 # The score from which a speaker is suspicious, and a curve's fall.
 SUSPICIOUS, HIGH, FALL = 0.7, 0.5, 0.2
 
@@ -49,12 +51,25 @@ def rollup_conversations(outcomes: DataFrame, metrics: DataFrame, conv: str, spe
     return named.join(m, (F.col(conv) == F.col("__c")) & (F.col("__who") == F.col("__s")), "left").drop("__c", "__s", "__who")
 
 
+def for_all_speakers(outcomes: DataFrame, metrics: DataFrame, conv: str, speaker: str, speakers: list[str]) -> DataFrame:
+    """A row for each conversation and speaker; one who said nothing has null metrics."""
+    every = outcomes.select(conv, F.explode(F.array(*map(F.lit, speakers))).alias(speaker))
+    return every.join(metrics, [conv, speaker], "left")
+
+
 def correctness(winner: Column, who: str, other_is_model: Column) -> Column:
     """Whether an accuser was right; null for one who did not accuse."""
     return F.when(winner == who, other_is_model)
 
 
 def batch_summary(records: DataFrame) -> DataFrame:
+    """One row: conversations by how they ended, commitment gaps as (gap, n) in order, their number and mean."""
+    gaps = records.where("commitment_gap is not null").groupBy(F.col("commitment_gap").alias("gap")).agg(F.count("*").alias("n"))
+    listed = gaps.agg(F.sort_array(F.collect_list(F.struct("gap", "n"))).alias("gaps"))  # a row for each different gap
+    return _summary(records).crossJoin(F.broadcast(listed))
+
+
+def _summary(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("n"), F.count_if(F.col("termination_reason") == "accusation").alias("n_accusation"), F.count_if(F.col("termination_reason") == "max_turns").alias("n_max_turns"), F.count("commitment_gap").alias("n_gaps"), F.avg("commitment_gap").alias("mean_gap"))
 
 
@@ -111,4 +126,4 @@ def pairing_means(turns: DataFrame, pairing: Column, score: Column) -> DataFrame
 def pairing_matrix(variants: DataFrame, name: str, repeats: int, seed: int = 42) -> DataFrame:
     """Every ordered pair of a registry's variants, `repeats` times, with a seed each."""
     a, b = variants.select(F.col(name).alias("variant_a")), variants.select(F.col(name).alias("variant_b"))
-    return a.crossJoin(F.broadcast(b)).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("seed", F.col("repeat") + seed)
+    return a.crossJoin(small(b)).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("seed", F.col("repeat") + seed)

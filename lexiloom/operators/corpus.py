@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import paragraphs, strip, token_estimate, word_count
+from lexiloom.plans.broadcasts import small
 from lexiloom.plans.lineage import materialise
 from lexiloom.plans.numbering import number_all
 
@@ -50,8 +51,8 @@ def sections_or_whole(lines: DataFrame, source: str, pos: str, text: str) -> Dat
 
 
 def fuzzy_lookup(names: DataFrame, name: str, wanted: DataFrame, title: str) -> DataFrame:
-    """wanted with the name found: an equal one, else the only one that contains the title or is contained in it. wanted is a small registry."""
-    both = names.select(F.col(name).alias("found")).distinct().join(F.broadcast(wanted), F.contains(F.col("found"), F.col(title)) | F.contains(F.col(title), F.col("found")))
+    """wanted with the name found: an equal one, else the only one that contains the title or is contained in it. wanted is a registry."""
+    both = names.select(F.col(name).alias("found")).distinct().join(small(wanted), F.contains(F.col("found"), F.col(title)) | F.contains(F.col(title), F.col("found")))
     best = both.groupBy(title).agg(F.max(F.when(F.col("found") == F.col(title), F.col("found"))).alias("equal"), F.count("*").alias("n_candidates"), F.min("found").alias("only"))
     return wanted.join(best, title, "left").select(title, F.coalesce("equal", F.when(F.col("n_candidates") == 1, F.col("only"))).alias("found"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
@@ -69,7 +70,7 @@ def number_chunks(chunks: DataFrame, order: list[str]) -> DataFrame:
 
 def held_out(df: DataFrame, column: str, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows to train on, and those whose name is in the registry."""
-    names = F.broadcast(registry.select(column).distinct())
+    names = small(registry.select(column).distinct())
     return df.join(names, column, "left_anti"), df.join(names, column, "left_semi")
 
 
@@ -109,12 +110,19 @@ def budget_verdict(tokens: Column, low: int = BUDGET[0], high: int = BUDGET[1])
     return F.when(tokens < low, "WARNING").when(tokens > high, "NOTE").otherwise("OK")
 
 
-def manifest(examples: DataFrame, errors: int = 0, **constants) -> DataFrame:
-    """One row: totals, the token estimate, errors, and counts by label and framing as nested maps."""
+def budget_shortfall(tokens: Column, low: int = BUDGET[0]) -> Column:
+    """Tokens that are missing to the budget's lower bound."""
+    return F.greatest(F.lit(low) - tokens, F.lit(0)).cast("long")
+
+
+def manifest(examples: DataFrame, failed: DataFrame | None = None, **constants) -> DataFrame:
+    """One row: totals, the token estimate, the number of failed rows, and counts by label and framing as nested maps."""
     counts = examples.groupBy("label", "framing").agg(F.count("*").alias("n"), F.sum("word_count").alias("w"))
     by_label = counts.groupBy("label").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("framing", "n")))).alias("m"))
     one = by_label.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_examples"), token_estimate(F.coalesce(F.sum("w"), F.lit(0))).alias("approx_tokens"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", F.map_entries("m").alias("m"))))).alias("m"))
-    return one.select(*[F.lit(v).alias(k) for k, v in constants.items()], "total_examples", "approx_tokens", F.lit(errors).cast("long").alias("error_count"), F.transform_values("m", lambda _, v: F.map_from_entries(v)).alias("by_label_framing"))
+    errors = examples.sparkSession.range(1).select(F.lit(0).cast("long").alias("error_count")) if failed is None else failed.agg(F.count("*").alias("error_count"))
+    one = one.crossJoin(F.broadcast(errors))  # one row each
+    return one.select(*[F.lit(v).alias(k) for k, v in constants.items()], "total_examples", "approx_tokens", "error_count", F.transform_values("m", lambda _, v: F.map_from_entries(v)).alias("by_label_framing"))
 
 
 def pack_blocks(docs: DataFrame, tokens: str, order: list[str], length: int, end: Column | None = None) -> DataFrame:
@@ -126,7 +134,8 @@ def pack_blocks(docs: DataFrame, tokens: str, order: list[str], length: int, end
     full = F.concat(F.col(tokens), F.array(end)) if end is not None else F.col(tokens)
     rows = docs.select(*order, full.alias("ids")).where("size(ids) > 0")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialise(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    # the range exchange samples its input, so rows are written first and texts not tokenised twice
+    dealt = materialise(materialise(rows).repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     totals = dealt.groupBy("part").agg(F.sum(F.size("ids")).alias("n"))
     starts = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     before = F.coalesce(F.sum(F.size("ids")).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -139,6 +148,20 @@ def pack_blocks(docs: DataFrame, tokens: str, order: list[str], length: int, end
     return blocks.where(F.size("input_ids") == length)
 
 
+def required_blocks(blocks: DataFrame) -> DataFrame:
+    """blocks as they are; none at all is an error, since there is nothing to train on."""
+    if not blocks.limit(1).count():
+        raise ValueError("no block is full: the documents hold fewer tokens than a block")
+    return blocks
+
+
+def batch_plan(blocks: Column, per_device: int, accumulation: int, devices: int = 1, epochs: int = 1) -> Column:
+    """(effective_batch, steps_per_epoch, steps) of training on this many blocks; the last batch of an epoch may be short."""
+    batch = per_device * accumulation * devices
+    steps = F.ceil(blocks / batch).cast("long")
+    return F.struct(F.lit(batch).cast("long").alias("effective_batch"), steps.alias("steps_per_epoch"), (steps * epochs).alias("steps"))
+
+
 def pack_within(docs: DataFrame, tokens: str, keep: list[str], length: int, end: Column | None = None) -> DataFrame:
     """(keep, block, input_ids): blocks that no two documents share; what is left of a document is dropped."""
     full = F.concat(F.col(tokens), F.array(end)) if end is not None else F.col(tokens)

@@ -2,46 +2,84 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lexiloom.functions.text import cache_key, parse_label, parse_reason
 from lexiloom.operators.corpus import LABELS
 from lexiloom.plans.lineage import materialise
+from lexiloom.sources.io import read_jsonl_quarantined, write_jsonl
 
 
 def call_once(rows: DataFrame, key: str, prompt: str, provider: Callable[[list[str]], list[str | None]]) -> DataFrame:
-    """(key, answer): the provider is asked once for each key, in batches; an answer of None is a failure."""
+    """(key, answer, error): the provider is asked once for each key, in batches; an answer of None is a failure.
+
+    Where a batch raises, its prompts are asked one by one, and those that raise fail with the error's text.
+    """
+
+    def one(text: str) -> tuple[str | None, str | None]:
+        try:
+            return provider([text])[0], None
+        except Exception as error:  # whatever a model's server does, the rows go on
+            return None, str(error)
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({key: frame[key], "answer": provider(frame[prompt].tolist())})
+            texts = frame[prompt].tolist()
+            try:
+                got = [(answer, None) for answer in provider(texts)]
+            except Exception:
+                got = [one(text) for text in texts]
+            yield pd.DataFrame({key: frame[key], "answer": [a for a, _ in got], "error": [e for _, e in got]})
+
+    return rows.groupBy(key).agg(F.min(prompt).alias(prompt)).mapInPandas(ask, f"{key} string, answer string, error string")
+
+
+def read_cache(spark: SparkSession, path: str, key: str = "key") -> DataFrame:
+    """(key, answer, error) of a cache written by write_cache(); an entry that cannot be read counts as none, and so does a cache that is not there."""
+    schema = f"{key} string, answer string, error string"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    good, _ = read_jsonl_quarantined(spark, path, schema)
+    return good.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct("answer", "error"), F.col("answer").isNull()).alias("r")).select(key, "r.*")
 
-    return rows.groupBy(key).agg(F.min(prompt).alias(prompt)).mapInPandas(ask, f"{key} string, answer string")
+
+def write_cache(fresh: DataFrame, path: str) -> None:
+    write_jsonl(fresh, path, "append")
 
 
 def memoised(rows: DataFrame, key: str, prompt: str, cache: DataFrame, provider, keep_failures: bool) -> tuple[DataFrame, DataFrame]:
-    """rows with answer and cached, and the new cache rows (key, answer).
+    """rows with answer, error and cached, and the new cache rows (key, answer, error).
 
     Answers are written down before either result is read, so a retried task asks nobody twice.
     """
-    known = cache.select(F.col(key), F.col("answer").alias("held"), F.lit(True).alias("hit"))
+    error = F.col("error") if "error" in cache.columns else F.lit(None).cast("string")
+    known = cache.select(F.col(key), F.col("answer").alias("held"), error.alias("held_error"), F.lit(True).alias("hit"))
     misses = rows.join(cache.select(key), key, "left_anti")
     fresh = materialise(call_once(misses, key, prompt, provider))
     joined = rows.join(known, key, "left").join(fresh, key, "left")
-    out = joined.withColumns({"answer": F.coalesce("held", "answer"), "cached": F.coalesce("hit", F.lit(False))}).drop("held", "hit")
-    return out, fresh if keep_failures else fresh.where("answer is not null")
+    out = joined.withColumns({"answer": F.coalesce("held", "answer"), "error": F.coalesce("held_error", "error"), "cached": F.coalesce("hit", F.lit(False))})
+    return out.drop("held", "held_error", "hit"), fresh if keep_failures else fresh.where("answer is not null")
 
 
 def classify(chunks: DataFrame, cache: DataFrame, provider, model: str, version: str) -> tuple[DataFrame, DataFrame]:
-    """chunks with label, justification, model, prompt_version, cached. Failures are the label `error`, and are kept in the cache."""
+    """chunks with label, justification, model, prompt_version, cached.
+
+    Failures are the label `error` with the error's text as justification, and are kept in the cache.
+    """
     rows = chunks.withColumn("key", cache_key(F.lit(model), F.lit(version), F.col("content")))
     out, fresh = memoised(rows, "key", "content", cache, provider, keep_failures=True)
     label = F.when(F.col("answer").isNull(), "error").otherwise(parse_label(F.col("answer")))
-    return out.withColumns({"label": label, "justification": F.coalesce(parse_reason(F.col("answer")), F.lit("")), "model": F.lit(model), "prompt_version": F.lit(version)}).drop("key", "answer"), fresh
+    reason = F.when(F.col("answer").isNull(), F.coalesce("error", F.lit(""))).otherwise(parse_reason(F.col("answer")))
+    out = out.withColumns({"label": label, "justification": reason, "model": F.lit(model), "prompt_version": F.lit(version)})
+    return out.drop("key", "answer", "error"), fresh
 
 
 def distribution(rows: DataFrame, label: str = "label", domain: list[str] = LABELS) -> DataFrame:
@@ -84,6 +122,34 @@ def evaluate_models(rows: DataFrame, models: list[str]) -> DataFrame:
     return rows.withColumn("model", F.explode(F.array(*map(F.lit, models))))
 
 
+def ask_models(rows: DataFrame, models: list[str], text: str, provider: Callable[[str, str], str]) -> DataFrame:
+    """Each row for each model with label, justification, raw_response and latency_ms; a call that raises is the label `error`."""
+    spread = evaluate_models(rows, models)
+    at, model = spread.columns.index(text), len(spread.columns) - 1
+
+    def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            answers, errors, took = [], [], []
+            for asked, name in zip(part.column(at).to_pylist(), part.column(model).to_pylist(), strict=True):
+                began = time.monotonic()
+                try:
+                    answers.append(provider(name, asked))
+                    errors.append(None)
+                except Exception as error:  # a failed call is a row like any other
+                    answers.append(None)
+                    errors.append(str(error))
+                took.append((time.monotonic() - began) * 1000)
+            more = [pa.array(answers, pa.string()), pa.array(errors, pa.string()), pa.array(took, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, "raw_response", "error", "latency_ms"])
+
+    schema = StructType(spread.schema.fields + [StructField("raw_response", StringType()), StructField("error", StringType()), StructField("latency_ms", DoubleType())])
+    got = materialise(spread.mapInArrow(ask, schema))
+    answer = F.col("raw_response")
+    label = F.when(answer.isNull(), "error").otherwise(parse_label(answer))
+    reason = F.when(answer.isNull(), F.coalesce("error", F.lit(""))).otherwise(parse_reason(answer))
+    return got.withColumns({"label": label, "justification": reason, "raw_response": F.coalesce(answer, F.lit(""))}).drop("error")
+
+
 def compare(long: DataFrame, key: str, a: str, b: str, label: str = "label") -> DataFrame:
     """(key, label_a, label_b, flag) from one row for each key and model."""
     wide = long.where(F.col("model").isin(a, b)).groupBy(key).agg(F.max(F.when(F.col("model") == a, F.col(label))).alias("label_a"), F.max(F.when(F.col("model") == b, F.col(label))).alias("label_b"))

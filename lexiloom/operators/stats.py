@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.plans.numbering import running_total
+
 
 def kaplan_meier(rows: DataFrame, condition: str, time: str, event: str) -> DataFrame:
     """(condition, time, at_risk, events, survival) at the times that have rows; windows run over distinct times only."""
@@ -19,8 +21,8 @@ def kaplan_meier(rows: DataFrame, condition: str, time: str, event: str) -> Data
 def mann_whitney(rows: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
     """(n_a, n_b, u, z) with mid-ranks and the normal approximation, tie-corrected. Ranks come from counts of distinct values."""
     counts = rows.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(group) == a).cast("double").alias("na"), F.count("*").cast("double").alias("t"))
-    below = F.coalesce(F.sum("t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = counts.withColumn("mid", below + (F.col("t") + 1) / 2)
+    # values are dealt by range, so that however many there are, none of them meet in one task
+    ranked = running_total(counts, [value], "t", "upto").withColumn("mid", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2)
     sums = ranked.agg(F.sum("na").alias("n1"), (F.sum("t") - F.sum("na")).alias("n2"), F.sum(F.col("na") * F.col("mid")).alias("r"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     n = F.col("n1") + F.col("n2")
     u = F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2

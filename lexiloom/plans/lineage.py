@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -11,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one if all runs on this machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can read")
     made = tempfile.mkdtemp(prefix="lexiloom-")
     atexit.register(shutil.rmtree, made, True)
     spark.sparkContext.setCheckpointDir(f"file://{made}")
@@ -25,6 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _made: list[tuple[SparkSession, str]] = []
+_seen = [0]
+
+
+def _forget_all() -> None:
+    """What nobody has forgotten goes when the driver ends."""
+    with contextlib.suppress(Exception):  # a session that has ended took its folder along
+        forget(_made)
+
+
+atexit.register(_forget_all)
 
 
 def forget(tables: list[tuple[SparkSession, str]]) -> None:
@@ -36,8 +49,8 @@ def forget(tables: list[tuple[SparkSession, str]]) -> None:
 
 def recorded() -> list[tuple[SparkSession, str]]:
     """The tables written since the last call."""
-    out = list(_made)
-    _made.clear()
+    out = _made[_seen[0] :]
+    _seen[0] = len(_made)
     return out
 
 

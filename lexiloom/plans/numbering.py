@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.plans.lineage import materialise
+
 
 def number_within(df: DataFrame, keys: list[str], order: list[str], into: str, spread: int = 64, bucket: Column | None = None) -> DataFrame:
     """Gapless numbers from 0 within keys, without all rows of a key in one task.
@@ -31,10 +33,9 @@ def number_all(df: DataFrame, order: list[str], into: str) -> DataFrame:
     Rows are dealt out by range, numbered in their partition, and moved by the sizes of the
     partitions before; only those sizes meet in one task.
     """
-    from lexiloom.plans.lineage import materialise
-
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialise(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    # the range exchange samples its input, so df is written first and not worked out twice
+    dealt = materialise(materialise(df).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     starts = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
@@ -43,10 +44,8 @@ def number_all(df: DataFrame, order: list[str], into: str) -> DataFrame:
 
 def running_total(df: DataFrame, order: list[str], amount: str, into: str) -> DataFrame:
     """The sum of amount over rows up to each one in the order given, its own included, in the manner of number_all()."""
-    from lexiloom.plans.lineage import materialise
-
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialise(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    dealt = materialise(materialise(df).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     totals = dealt.groupBy("__part").agg(F.sum(amount).alias("__n"))
     starts = totals.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
     within = F.sum(amount).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

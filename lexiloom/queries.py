@@ -119,10 +119,11 @@ def fuzzy_lookup(spark, d):
 
 
 @query("""SELECT source, lower(source || ':' || upper(lang)) AS name, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT AS words, floor(sum(len(regexp_extract_all(text, '\\S+'))) * 1.33)::BIGINT AS tokens,
+    greatest(10000 - floor(sum(len(regexp_extract_all(text, '\\S+'))) * 1.33), 0)::BIGINT AS shortfall,
     CASE WHEN floor(sum(len(regexp_extract_all(text, '\\S+'))) * 1.33) < 10000 THEN 'WARNING' WHEN floor(sum(len(regexp_extract_all(text, '\\S+'))) * 1.33) > 40000 THEN 'NOTE' ELSE 'OK' END AS verdict FROM documents GROUP BY source, lang""".replace("\\\\", "\\"))
 def source_word_totals(spark, d):
     words = t(spark, d, "documents").withColumn("w", tx.word_count(F.col("text"))).groupBy("source", "lang").agg(F.sum("w").alias("words"))
-    return words.withColumn("tokens", tx.token_estimate(F.col("words"))).select("source", cp.source_name(F.col("source"), F.upper("lang")).alias("name"), "words", "tokens", cp.budget_verdict(F.col("tokens"), 10_000, 40_000).alias("verdict"))
+    return words.withColumn("tokens", tx.token_estimate(F.col("words"))).select("source", cp.source_name(F.col("source"), F.upper("lang")).alias("name"), "words", "tokens", cp.budget_shortfall(F.col("tokens"), 10_000).alias("shortfall"), cp.budget_verdict(F.col("tokens"), 10_000, 40_000).alias("verdict"))
 
 
 @query("SELECT doc_id, sha256('m1|||v1|||' || text) AS key, replace(substr(text, 1, 200), chr(10), ' ') AS preview FROM documents")
@@ -153,6 +154,56 @@ def cache_hit_miss(spark, d):
     return out.groupBy("label", "cached").agg(F.count("*").alias("n"))
 
 
+def _raising(prompts: list[str]) -> list[str | None]:
+    """A server that cannot be reached about some texts."""
+    if any(len(p) % 7 == 0 for p in prompts):
+        raise ConnectionError("no answer")
+    return _stub(prompts)
+
+
+@query("""SELECT CASE WHEN length(text) % 7 = 0 OR length(text) % 11 = 0 THEN 'error' WHEN length(text) % 3 = 0 THEN 'none' WHEN length(text) % 3 = 1 THEN 'minor' ELSE 'central' END AS label,
+    CASE WHEN length(text) % 7 = 0 THEN 'no answer' WHEN length(text) % 11 = 0 THEN '' ELSE 'answered' END AS justification, count(*) AS n FROM documents GROUP BY 1, 2""")
+def provider_errors(spark, d):
+    """Calls that raise are rows of their own, and the others are answered."""
+    docs = t(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    out, _ = lb.classify(docs, spark.createDataFrame([], "key string, answer string"), _raising, "m", "v1")
+    why = F.when(F.col("label") == "error", F.col("justification")).otherwise("answered")
+    return out.groupBy("label", why.alias("justification")).agg(F.count("*").alias("n"))
+
+
+def _two_models(model: str, text: str) -> str:
+    if model == "b" and len(text) % 5 == 0:
+        raise TimeoutError("late")
+    return f"LABEL: {['none', 'minor', 'central'][(len(text) + (model == 'b')) % 3]}"
+
+
+@query("""SELECT item_id, m.model, CASE WHEN m.model = 'b' AND length(text) % 5 = 0 THEN 'error' ELSE ['none', 'minor', 'central'][(length(text) + (m.model = 'b')::INT) % 3 + 1] END AS label,
+    CASE WHEN m.model = 'b' AND length(text) % 5 = 0 THEN 'late' ELSE 'LABEL: ' || ['none', 'minor', 'central'][(length(text) + (m.model = 'b')::INT) % 3 + 1] END AS justification, true AS timed FROM benchmark, (SELECT unnest(['a', 'b']) AS model) m""")
+def asked_models(spark, d):
+    """Two models asked about each passage."""
+    got = lb.ask_models(t(spark, d, "benchmark"), ["a", "b"], "text", _two_models)
+    return got.select("item_id", "model", "label", "justification", (F.col("latency_ms") >= 0).alias("timed"))
+
+
+@query("SELECT doc_id % 5 = 0 AS broken, doc_id % 5 <> 0 AND doc_id % 2 = 0 AS cached, count(*) AS n FROM documents GROUP BY 1, 2")
+def cache_on_disk(spark, d):
+    """Answers kept in files, of which every fifth entry cannot be read and counts as none."""
+    docs = t(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("content"))
+    key = tx.cache_key(F.lit("m"), F.lit("v1"), F.col("content"))
+    place = _place(spark, "cache")
+    lb.write_cache(docs.where("doc_id % 2 = 0 and doc_id % 5 <> 0").select(key.alias("key"), F.lit("LABEL: none").alias("answer"), F.lit(None).cast("string").alias("error")), place)
+    docs.where("doc_id % 5 = 0").select(F.concat(F.lit('{"key":"'), key).alias("value")).write.mode("append").text(place)
+    out, _ = lb.classify(docs, lb.read_cache(spark, place), lambda texts: ["LABEL: none"] * len(texts), "m", "v1")
+    return out.groupBy((F.col("doc_id") % 5 == 0).alias("broken"), "cached").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT (sum(len(regexp_extract_all(text, '\S+')) + 1) // 128)::BIGINT AS blocks, 16::BIGINT AS effective_batch, ceil((sum(len(regexp_extract_all(text, '\S+')) + 1) // 128) / 16)::BIGINT AS steps_per_epoch, (3 * ceil((sum(len(regexp_extract_all(text, '\S+')) + 1) // 128) / 16))::BIGINT AS steps FROM documents")
+def training_steps(spark, d):
+    """Batch arithmetic of three epochs on the packed documents."""
+    stats = cp.pack_stats(_tokens(spark, d), "tokens", 128)
+    return stats.select(F.col("n_blocks").alias("blocks"), cp.batch_plan(F.col("n_blocks"), 2, 8, 1, 3).alias("b")).select("blocks", "b.*")
+
+
 @query(f"""WITH {LABELLED}, n AS (SELECT x.label, count(l.label) AS n FROM (SELECT unnest(['none', 'minor', 'central', 'error', 'parse_error']) AS label) x LEFT JOIN l ON l.label = x.label GROUP BY 1)
     SELECT label, n, n * 100.0::DOUBLE / sum(n) OVER () AS pct, repeat('#', floor(n * 100.0::DOUBLE / sum(n) OVER () / 2)::INT) AS bar FROM n""")
 def label_distribution(spark, d):
@@ -221,11 +272,14 @@ def framing_counts(spark, d):
     return cp.framing_counts(cp.expand(labelled(spark, d), 3))
 
 
-@query(f"""WITH {FRAMES}, c2 AS (SELECT label, framing, count(*) AS n, sum(word_count) AS w FROM e GROUP BY 1, 2)
-    SELECT 3 AS oversample_central, sum(n)::BIGINT AS total_examples, floor(sum(w) * 1.33)::BIGINT AS approx_tokens, 0::BIGINT AS error_count,
+@query(f"""WITH {FRAMES}, ok AS (SELECT *, framing = 'VERBATIM' OR doc_id % 11 <> 0 AS made FROM e), c2 AS (SELECT label, framing, count(*) AS n, sum(word_count) AS w FROM ok WHERE made GROUP BY 1, 2)
+    SELECT 3 AS oversample_central, sum(n)::BIGINT AS total_examples, floor(sum(w) * 1.33)::BIGINT AS approx_tokens, (SELECT count(*) FROM ok WHERE NOT made)::BIGINT AS error_count,
     '{{' || (SELECT string_agg('"' || label || '":{{' || j || '}}', ',' ORDER BY label) FROM (SELECT label, string_agg('"' || framing || '":' || n, ',' ORDER BY framing) AS j FROM c2 GROUP BY label)) || '}}' AS by_label_framing FROM c2""")
 def manifest(spark, d):
-    one = cp.manifest(cp.expand(labelled(spark, d), 3), oversample_central=3)
+    """Generation fails for every eleventh document."""
+    rows = cp.expand(labelled(spark, d), 3)
+    made = (F.col("framing") == "VERBATIM") | (F.col("doc_id") % 11 != 0)
+    one = cp.manifest(rows.where(made), rows.where(~made), oversample_central=3)
     return one.withColumn("by_label_framing", F.to_json("by_label_framing"))
 
 
@@ -341,11 +395,28 @@ def marker_density_by_category(spark, d):
     return ev.mean_density(scored, ["base", "tuned"]).select("category", F.round("base", 2).alias("base"), F.round("tuned", 2).alias("tuned"))
 
 
-@query(f"WITH {MARKED}, g AS (SELECT lang, avg(deduction_density) FILTER (WHERE source < 'src2') AS b, avg(deduction_density) FILTER (WHERE source >= 'src2') AS f FROM v GROUP BY lang) SELECT lang AS category, coalesce(f, 0) > coalesce(b, 0) AS h4, CASE WHEN coalesce(f, 0) > coalesce(b, 0) THEN 'proceed' ELSE 'stop: probes' END AS verdict FROM g")
+@query(f"WITH {MARKED}, g AS (SELECT lang, avg(deduction_density) FILTER (WHERE source < 'src2') AS b, avg(deduction_density) FILTER (WHERE source >= 'src2') AS f FROM v GROUP BY lang) SELECT lang AS category, coalesce(f, 0) > coalesce(b, 0) AS h4 FROM g")
 def probe_gate(spark, d):
     scored = _marked(spark, d).withColumns({"category": F.col("lang"), "variant": F.when(F.col("source") < "src2", "base").otherwise("tuned")})
     h4 = ev.probe_gate(F.col("base"), F.col("tuned"))
-    return ev.mean_density(scored, ["base", "tuned"]).select("category", h4.alias("h4"), ev.decide(F.lit(True), F.lit(True), F.lit(True), h4).alias("verdict"))
+    return ev.mean_density(scored, ["base", "tuned"]).select("category", h4.alias("h4"))
+
+
+@query("""WITH g AS (SELECT o_custkey % 500 AS variant, avg(o_totalprice) FILTER (WHERE o_orderkey % 2 = 0) AS base, avg(o_totalprice) FILTER (WHERE o_orderkey % 2 = 1) AS tuned, avg(o_totalprice) AS mid,
+    avg((o_orderkey % 3 = 0)::INT) AS right_base, avg((o_orderkey % 3 = 1)::INT) AS right_tuned, count(*) FILTER (WHERE o_orderkey % 5 = 0)::DOUBLE AS marks_base, count(*) FILTER (WHERE o_orderkey % 5 = 1)::DOUBLE AS marks_tuned FROM orders GROUP BY 1),
+    h AS (SELECT variant, (base - tuned) / base >= 0.05 AS h1, abs((mid - base) / base) <= 0.05 AS h2, (right_base - right_tuned) * 100 < 3 AS h3, marks_tuned > marks_base AS h4 FROM g WHERE base IS NOT NULL AND tuned IS NOT NULL)
+    SELECT variant, h1, h2, h3, h4, CASE WHEN NOT (h1 AND h2) THEN 'stop: perplexity' WHEN NOT h3 THEN 'stop: capability' WHEN NOT h4 THEN 'stop: probes' ELSE 'proceed' END AS verdict FROM h""")
+def gate_ladder(spark, d):
+    """All four gates of each variant, and the decision: customers' orders stand for measured losses, right answers and marks."""
+    of = lambda m, k: (F.col("o_orderkey") % m) == k
+    right = lambda k: F.avg(of(3, k).cast("double"))
+    rows = t(spark, d, "orders").groupBy((F.col("o_custkey") % 500).alias("variant")).agg(
+        F.avg(F.when(of(2, 0), F.col("o_totalprice"))).alias("base"), F.avg(F.when(of(2, 1), F.col("o_totalprice"))).alias("tuned"), F.avg("o_totalprice").alias("mid"),
+        right(0).alias("right_base"), right(1).alias("right_tuned"), F.count_if(of(5, 0)).alias("marks_base"), F.count_if(of(5, 1)).alias("marks_tuned"),
+    ).where("base is not null and tuned is not null")
+    ppl = ev.perplexity_gate(F.col("base"), F.col("tuned"), F.col("base"), F.col("mid"))
+    gates = rows.select("variant", ppl["h1"].alias("h1"), ppl["h2"].alias("h2"), ev.accuracy_gate(F.col("right_base"), F.col("right_tuned")).alias("h3"), ev.probe_gate(F.col("marks_base"), F.col("marks_tuned")).alias("h4"))
+    return gates.withColumn("verdict", ev.decide(*map(F.col, ("h1", "h2", "h3", "h4"))))
 
 
 @query("SELECT lang AS category, variant, count(*) AS n FROM documents, (SELECT unnest(['base', 'tuned']) AS variant) GROUP BY 1, 2")
@@ -377,6 +448,13 @@ def parse_rate(spark, d):
     return _answers_json(spark, d).agg(F.avg(F.col("r.parsed").cast("double")).alias("parse_rate"), F.avg((F.size("r.cues") > 0).cast("double")).alias("cue_rate"))
 
 
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '' ELSE '{\"replies\": ' || event_id END AS reply FROM events")
+def salvage_empty_reply(spark, d):
+    """An empty reply in JSON that breaks off stays empty; without a reply the answer's beginning stands for it."""
+    raw = F.when(F.col("event_id") % 2 == 0, '{"reply": "", "suspicion_score": 0.4, ').otherwise(F.concat(F.lit('{"replies": '), F.col("event_id").cast("string")))
+    return t(spark, d, "events").select("event_id", tx.parse_turn(raw)["reply"].alias("reply"))
+
+
 @query("SELECT event_id, ['score out of range'] AS violations FROM events WHERE value / 100 > 1")
 def schema_violations(spark, d):
     rows = t(spark, d, "events").select("event_id", F.lit("x").alias("reply"), (F.col("value") / 100).alias("suspicion_score"), F.lit("none").alias("trap"), F.lit(False).alias("public_accusation"))
@@ -422,9 +500,19 @@ def correctness(spark, d):
     return r.select("conv", cv.correctness(F.col("winner"), "click", F.col("conv") % 2 == 0).alias("click_correct"), cv.correctness(F.col("winner"), "view", F.col("conv") % 3 == 0).alias("view_correct"))
 
 
-@query(f"WITH {RECORDS} SELECT count(*) AS n, count(*) FILTER (WHERE termination_reason = 'accusation') AS n_accusation, count(*) FILTER (WHERE termination_reason = 'max_turns') AS n_max_turns, count(commitment_gap) AS n_gaps, avg(commitment_gap) AS mean_gap FROM r")
+@query(f"""WITH {RECORDS} SELECT count(*) AS n, count(*) FILTER (WHERE termination_reason = 'accusation') AS n_accusation, count(*) FILTER (WHERE termination_reason = 'max_turns') AS n_max_turns, count(commitment_gap) AS n_gaps, avg(commitment_gap) AS mean_gap,
+    (SELECT string_agg(commitment_gap || 'x' || k, ' ' ORDER BY commitment_gap) FROM (SELECT commitment_gap, count(*) AS k FROM r WHERE commitment_gap IS NOT NULL GROUP BY 1)) AS gaps FROM r""")
 def batch_summary(spark, d):
-    return cv.batch_summary(_records(spark, d))
+    one = cv.batch_summary(_records(spark, d))
+    listed = F.transform("gaps", lambda g: F.concat(g["gap"].cast("string"), F.lit("x"), g["n"].cast("string")))
+    return one.withColumn("gaps", F.when(F.size("gaps") > 0, F.array_join(listed, " ")))
+
+
+@query(f"WITH {COMMIT}, k AS (SELECT conv, unnest(['click', 'view', 'nobody']) AS speaker FROM (SELECT DISTINCT conv FROM t)) SELECT k.conv, k.speaker, m.t_private, m.t_public, m.t_public - m.t_private AS commitment_gap FROM k LEFT JOIN m USING (conv, speaker)")
+def all_speakers(spark, d):
+    """Metrics for the two parties and for one who never speaks."""
+    ends = cv.outcome(turns(spark, d), "conv", "turn", "speaker", F.col("accused"))
+    return cv.for_all_speakers(ends, _commit(spark, d), "conv", "speaker", ["click", "view", "nobody"])
 
 
 @query(f"WITH {RECORDS}, z AS (SELECT winner, conv % 2 AS parity, conv % 3 = 0 AS ok FROM r WHERE winner IS NOT NULL) SELECT winner, parity, count(*) AS n, avg(ok::INT) AS accuracy FROM z GROUP BY ROLLUP (winner, parity)")
@@ -515,14 +603,14 @@ def incremental_ingest(spark, d):
     return io.not_landed(t(spark, d, "documents").select("doc_id"), t(spark, d, "labels"), "doc_id")
 
 
-@query()
+@query(f"WITH {COMMIT} SELECT conv, speaker, t_private, t_public, t_public - t_private AS commitment_gap FROM m")
 def streaming_sustained(spark, d):
     """The commitments of sustained_threshold from a stream over files, to its end."""
     import uuid
 
     from lexiloom.plans.lineage import materialise, shared_dir
 
-    rows = materialise(turns(spark, d).repartition(1).sortWithinPartitions("turn"))
+    rows = materialise(turns(spark, d))  # all files in one batch, within which a speaker's turns are put in order
     stream = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
     place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -559,9 +647,14 @@ def pack_within_documents(spark, d):
     return blocks.select("doc_id", "block", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"))
 
 
-@query("""SELECT doc_id, 'Passage:' || chr(10) || text || chr(10) || chr(10) || 'Is it prose?' || chr(10) || chr(10) || 'Respond in exactly this format (nothing else):' || chr(10) || 'LABEL: <none|minor|central>' || chr(10) || 'JUSTIFICATION: <one sentence explaining your choice>' AS prompt FROM documents""")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(f"""SELECT doc_id, {_quoted(au.TELL_LABEL)} AS system, 'Passage:' || chr(10) || text || chr(10) || chr(10) || 'Is it prose?' || chr(10) || chr(10) || 'Respond in exactly this format (nothing else):' || chr(10) || 'LABEL: <none|minor|central>' || chr(10) || 'JUSTIFICATION: <one sentence explaining your choice>' AS prompt FROM documents""")
 def label_prompt(spark, d):
-    return t(spark, d, "documents").select("doc_id", au.label_prompt(F.col("text"), "Is it prose?").alias("prompt"))
+    sent = au.label_messages(F.col("text"), "Is it prose?")
+    return t(spark, d, "documents").select("doc_id", sent[0]["content"].alias("system"), sent[1]["content"].alias("prompt"))
 
 
 PROMPTS = f"""{FRAMES}, q AS (SELECT e.*, 'PASSAGE:' || chr(10) || content || chr(10) || chr(10) || CASE framing
@@ -571,10 +664,11 @@ PROMPTS = f"""{FRAMES}, q AS (SELECT e.*, 'PASSAGE:' || chr(10) || content || ch
     WHEN 'REVERSE' THEN 'State the detective''s main conclusion, then write the question:' END AS prompt FROM e)"""
 
 
-@query(f"WITH {PROMPTS} SELECT DISTINCT doc_id, paragraph_index, framing, prompt FROM q WHERE prompt IS NOT NULL")
+@query(f"""WITH {PROMPTS} SELECT DISTINCT doc_id, paragraph_index, framing, CASE framing {' '.join(f"WHEN '{k}' THEN {_quoted(v)}" for k, v in au.TELL.items())} END AS system, prompt FROM q WHERE prompt IS NOT NULL""")
 def framing_prompts(spark, d):
     rows = cp.expand(labelled(spark, d), 1)
-    return rows.select("doc_id", "paragraph_index", "framing", au.framing_prompt(F.col("framing"), F.col("content")).alias("prompt")).where("prompt is not null")
+    sent = rows.select("doc_id", "paragraph_index", "framing", au.framing_messages(F.col("framing"), F.col("content")).alias("m")).where("m is not null")
+    return sent.select("doc_id", "paragraph_index", "framing", F.col("m")[0]["content"].alias("system"), F.col("m")[1]["content"].alias("prompt"))
 
 
 @query(f"""WITH {PROMPTS}, held AS (SELECT DISTINCT content FROM q WHERE framing = 'QA' AND doc_id % 3 = 0),

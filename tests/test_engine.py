@@ -1,3 +1,5 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.operators import augment as au
@@ -7,8 +9,10 @@ from lexiloom.operators import corpus as cp
 from lexiloom.operators import dialogue as dg
 from lexiloom.operators import evaluation as ev
 from lexiloom.operators import labeling as lb
+from lexiloom.operators import stats
 from lexiloom.plans.components import components
 from lexiloom.plans.numbering import number_all, number_within
+from lexiloom.sources import io
 
 
 def lines(spark, text):
@@ -176,3 +180,111 @@ def test_pack_within(spark):
     docs = spark.createDataFrame([(1, [1, 2, 3]), (2, [4]), (3, [])], "d int, ids array<int>")
     got = [(r["d"], r["block"], r["input_ids"]) for r in cp.pack_within(docs, "ids", ["d"], 2, F.lit(9)).collect()]
     assert sorted(got) == [(1, 0, [1, 2]), (1, 1, [3, 9]), (2, 0, [4, 9])]
+
+
+def test_failed_calls_are_rows(spark):
+    def provider(prompts):
+        if "b" in prompts:
+            raise TimeoutError("late")
+        return [f"LABEL: minor\nJUSTIFICATION: {p}" for p in prompts]
+
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "content string").coalesce(1)
+    got, fresh = lb.classify(rows, spark.createDataFrame([], "key string, answer string"), provider, "m", "v1")
+    assert sorted((r["content"], r["label"], r["justification"]) for r in got.collect()) == [("a", "minor", "a"), ("b", "error", "late"), ("c", "minor", "c")]
+    again, more = lb.classify(rows, fresh, provider, "m", "v1")
+    assert sorted(r["justification"] for r in again.collect()) == ["a", "c", "late"] and more.count() == 0
+    chunk = spark.createDataFrame([(1, "minor", "b " * 40, 40)], "chunk_id int, label string, content string, word_count int")
+
+    def broken(prompts):
+        raise TimeoutError("late")
+
+    good, bad, fresh = au.augment(chunk, spark.createDataFrame([], "key string, answer string"), broken, "m", "v1", 1)
+    assert [r["framing"] for r in good.collect()] == ["VERBATIM"] and [r["framing"] for r in bad.collect()] == ["WATSON"] and fresh.count() == 0
+    assert cp.manifest(good, bad).first()["error_count"] == 1 and cp.manifest(good).first()["error_count"] == 0
+
+
+def test_cache_files(spark, tmp_path):
+    place = str(tmp_path / "cache")
+    assert lb.read_cache(spark, place).count() == 0
+    lb.write_cache(spark.createDataFrame([("k", "x", None), ("l", None, "late")], "key string, answer string, error string"), place)
+    with open(f"{place}/broken.json", "w") as f:
+        f.write('{"key": "m", "ans\n\n{"key": "n", "answer": "y"}\n')
+    assert sorted(map(tuple, lb.read_cache(spark, place).collect())) == [("k", "x", None), ("l", None, "late"), ("n", "y", None)]
+
+
+def test_speakers_gaps_and_steps(spark):
+    t = talks(spark)
+    ends = cv.outcome(t, "conv", "turn", "speaker", F.col("accused"))
+    m = cv.commitments(t, "conv", "speaker", "turn", F.col("score"), F.col("accused"))
+    every = {(r["conv"], r["speaker"]): r["t_public"] for r in cv.for_all_speakers(ends, m, "conv", "speaker", ["A", "B"]).collect()}
+    assert len(every) == 10 and every[("c4", "B")] is None and every[("c4", "A")] == 0
+    one = cv.batch_summary(cv.rollup_conversations(ends, m, "conv", "speaker", F.lit("A"))).first()
+    assert [tuple(g) for g in one["gaps"]] == [(0, 1), (2, 2)] and one["n_gaps"] == 3
+    b = spark.range(1).select(cp.batch_plan(F.lit(33), 2, 8, 1, 3).alias("b")).first()["b"]
+    assert tuple(b) == (16, 3, 9)
+    with pytest.raises(ValueError):
+        cp.required_blocks(spark.createDataFrame([], "block_id long"))
+    got = spark.createDataFrame([(1,), (250_000,)], "n long").select(cp.budget_shortfall(F.col("n"))).collect()
+    assert [r[0] for r in got] == [239_999, 0]
+
+
+def test_decision_ladder(spark):
+    import itertools
+
+    rows = spark.createDataFrame(list(itertools.product([True, False], repeat=4)), "a boolean, b boolean, c boolean, d boolean")
+    for r in rows.withColumn("v", ev.decide(*map(F.col, "abcd"))).collect():
+        first = "stop: perplexity" if not (r["a"] and r["b"]) else "stop: capability" if not r["c"] else "stop: probes" if not r["d"] else "proceed"
+        assert r["v"] == first
+
+
+def test_cox_is_the_maximum(spark):
+    """The coefficients of a plain Newton search over the partial likelihood, row by row."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 2, (120, 2)).astype(float)
+    time, event = rng.integers(1, 12, 120), rng.random(120) < 0.7
+    rows = spark.createDataFrame([(int(a), bool(e), float(p), float(q)) for a, e, (p, q) in zip(time, event, x)], "time int, event boolean, p double, q double")
+    got = stats.cox(rows, "time", "event", ["p", "q"])
+    beta = np.zeros(2)
+    for _ in range(30):
+        g, h = np.zeros(2), np.zeros((2, 2))
+        for i in np.flatnonzero(event):
+            at = x[time >= time[i]]
+            w = np.exp(at @ beta)
+            mean = w @ at / w.sum()
+            g += x[i] - mean
+            h += (at * w[:, None]).T @ at / w.sum() - np.outer(mean, mean)
+        beta = beta + np.linalg.solve(h, g)
+    assert np.allclose([got["p"], got["q"]], beta, atol=1e-6)
+
+
+def test_sources(spark, tmp_path):
+    from dataclasses import dataclass
+
+    @dataclass
+    class Config:
+        model: str
+        steps: int
+
+    assert io.read_config("model: m\nsteps: 3\nextra: 1", Config) == Config("m", 3)
+    with pytest.raises(SystemExit, match="model, steps"):
+        io.read_config("model:", Config)
+    for name in ("b", "a", "c"):
+        (tmp_path / f"{name}.txt").write_text(f"text {name}\n")
+    books = io.read_books(spark, f"{tmp_path}/*.txt").orderBy("name").collect()
+    assert [(r["name"], r["text"]) for r in books] == [(f"{n}.txt", f"text {n}\n") for n in "abc"]
+    io.write_document(spark.createDataFrame([(1, None)], "n int, m string"), str(tmp_path / "doc"))
+    assert spark.read.text(str(tmp_path / "doc")).first()[0] == '{"n":1,"m":null}'
+    good, bad = io.quarantine(spark.createDataFrame([(1,), (2,)], "n int"), F.when(F.col("n") > 1, "large"))
+    assert [r["n"] for r in good.collect()] == [1] and [tuple(r) for r in bad.collect()] == [(2, "large")]
+
+
+def test_temporary_folder_only_on_one_machine(spark):
+    from lexiloom.plans import lineage
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "yarn", "_jsc": spark.sparkContext._jsc})  # noqa: N815
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(RuntimeError):
+            lineage.shared_dir(Far())

@@ -13,48 +13,45 @@ def one(spark, column, *values):
 
 
 def test_book_markers(spark):
-    book = "Legal preamble\n*** START OF THE PROJECT GUTENBERG EBOOK A STUDY IN SCARLET ***\nChapter I.\nMr. Holmes\n*** END OF THE PROJECT GUTENBERG EBOOK A STUDY IN SCARLET ***\nMore legal text\n"
-    assert one(spark, lambda c: tx.between_markers(F.split(c, "\n")), book) == "Chapter I.\nMr. Holmes"
-    assert one(spark, lambda c: tx.between_markers(F.split(c, "\n")), "no markers") is None
-    early = "*** END OF THIS PROJECT GUTENBERG EBOOK\n*** START OF THIS PROJECT GUTENBERG EBOOK\na"
-    assert one(spark, lambda c: tx.between_markers(F.split(c, "\n")), early) is None
+    inside = lambda book: one(spark, lambda c: tx.between_markers(F.split(c, "\n")), book)
+    start, end = "***  start of this project gutenberg ebook OF TIDES ***", "*** END OF THE PROJECT GUTENBERG EBOOK OF TIDES ***"
+    assert inside("\n".join(["printed by hand", start, "low water", "", "high water", end, "errata"])) == "low water\n\nhigh water"
+    assert inside("\n".join([start, end])) == ""
+    assert inside("no marks at all") is None and inside(f"{start}\nno end") is None
+    assert inside(f"{end}\n{start}\na") is None
+    assert inside(f"{end}\n{start}\na\n{end}\nb\n{end}") == "a"
 
 
-def test_white_space(spark):
-    assert one(spark, tx.normalize_whitespace, "\n\nfirst line   \n\n\n\n\nsecond line\n\n\n") == "first line\n\n\nsecond line\n"
-    assert one(spark, tx.normalize_whitespace, "") == "\n"
+def normalised(spark, texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    once = rows.withColumn("r", tx.normalize_whitespace(F.col("t")))
+    return once.select("i", "t", "r", tx.normalize_whitespace(F.col("r")).alias("again"), tx.word_count(F.col("t")).alias("w"), tx.strip(F.col("t")).alias("s")).collect()
 
 
-def reference_white_space(text):
-    lines, out = [x.rstrip() for x in text.splitlines()], []
-    for x in lines:
-        if x or out[-2:] != ["", ""] or len(out) < 2:
-            out.append(x)
-    while out and not out[0]:
-        out.pop(0)
-    while out and not out[-1]:
-        out.pop()
-    return "\n".join(out) + "\n"
+def test_white_space(spark):
+    assert [r["r"] for r in normalised(spark, ["", "x", "\r\na \t\r\rb\x0b", "k\n\n\n\n\n\nl"])] == ["\n", "x\n", "a\n\nb\n", "k\n\n\nl\n"]
 
 
-def test_white_space_like_python(spark):
+def test_white_space_rules(spark):
+    """Words and their lines stay in order; lines end without space, at most two empty ones follow each other, and doing it again changes nothing."""
     import random
 
     pick = random.Random(1)
-    texts = ["".join(pick.choice("ab \t\n\n\r\x0b\x85 \xa0\x1c") for _ in range(pick.randint(0, 30))) for _ in range(1500)]
-    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", tx.normalize_whitespace(F.col("t")).alias("r"), tx.word_count(F.col("t")).alias("w")).collect()
-    for r in got:
-        assert r["r"] == reference_white_space(r["t"]), repr(r["t"])
-        assert r["w"] == len(r["t"].split()), repr(r["t"])
+    for r in normalised(spark, ["".join(pick.choice("ab \t\n\n\r\x0b\x85 \xa0\x1c\u2003") for _ in range(pick.randint(0, 30))) for _ in range(1500)]):
+        out = r["r"]
+        assert r["again"] == out and out.endswith("\n") and "\n\n\n\n" not in out, repr(r["t"])
+        lines = out[:-1].split("\n")
+        assert all(x == x.rstrip() for x in lines) and (out == "\n" or lines[0] and lines[-1])
+        assert [x for x in lines if x] == [x.rstrip() for x in r["t"].splitlines() if x.strip()]
+        assert r["w"] == len(r["t"].split()) and r["s"] == r["t"].strip()
 
 
 def test_label_parse(spark):
-    answer = "LABEL: central\nJUSTIFICATION: He explains his inference chain step by step."
-    assert one(spark, tx.parse_label, answer) == "central"
-    assert one(spark, tx.parse_reason, answer) == "He explains his inference chain step by step."
-    assert one(spark, tx.parse_label, "label: Minor") == "minor"
-    assert one(spark, tx.parse_label, "LABEL: dramatic") == "parse_error"
-    assert one(spark, tx.parse_reason, "LABEL: dramatic") == "LABEL: dramatic"
+    both = lambda answer: (one(spark, tx.parse_label, answer), one(spark, tx.parse_reason, answer))
+    assert both("Label:NONE\njustification :\t it only rains. \nmore") == ("none", "it only rains.")
+    assert both("I would say LABEL : Central, surely") == ("central", "I would say LABEL : Central, surely")
+    assert both("LABEL: vivid") == ("parse_error", "LABEL: vivid")
+    assert both("") == ("parse_error", "")
 
 
 def test_cache_keys(spark):
@@ -84,8 +81,17 @@ def test_turns(spark):
     assert (r.reply, r.suspicion_score, r.trap, r.parsed) == ("plain text", 0.5, "none", False)
 
 
+def test_empty_reply_is_found(spark):
+    turn = lambda raw: one(spark, tx.parse_turn, raw)
+    assert turn('{"reply": "", "suspicion_score": 0.4, ').reply == "" and not turn('{"reply": "", "x').parsed
+    assert turn('  {"answer": 1, ').reply == '{"answer": 1,'
+    assert turn('{"reply": null}').reply == "" and turn('{"reply": null}').parsed
+    assert turn('a {"reply": "in", "cues": ["c"], "trap_strategy": {"plan": "p", "type": "numeric"}, "public_accusation": true} b').trap == "numeric"
+
+
 @settings(max_examples=25, deadline=None)
-@given(st.lists(st.sampled_from(["a", "", "b c"]), max_size=6))
-def test_paragraph_split_like_python(pieces):
+@given(st.lists(st.sampled_from(["a", "", "b c", "\n"]), max_size=6))
+def test_paragraphs_split_at_empty_lines(spark, pieces):
     text = "\n\n".join(pieces)
-    assert re.split(r"\n{2,}", text) is not None
+    got = one(spark, tx.paragraphs, text)
+    assert got == re.split(r"\n{2,}", text) and not any("\n\n" in x for x in got)
