@@ -59,8 +59,9 @@ def fuzzy_lookup(names: DataFrame, name: str, wanted: DataFrame, title: str) ->
 
 def chunk(docs: DataFrame, text: str, keep: list[str], separator: str = r"\n{2,}", least: int = LEAST_WORDS) -> DataFrame:
     """Paragraphs of at least `least` words: keep, paragraph_index (of all paragraphs), content, word_count."""
-    cut = docs.select(*keep, F.posexplode(paragraphs(F.col(text), separator)).alias("paragraph_index", "content")).withColumn("content", strip(F.col("content")))
-    return cut.withColumn("word_count", word_count(F.col("content"))).where(F.col("word_count") >= least)
+    # content and count are made once for each paragraph, before rows are
+    each = F.transform(paragraphs(F.col(text), separator), lambda p, i: F.struct(i.alias("paragraph_index"), strip(p).alias("content"), word_count(p).alias("word_count")))
+    return docs.select(*keep, F.explode(F.filter(each, lambda x: x["word_count"] >= least)).alias("p")).select(*keep, "p.*")
 
 
 def number_chunks(chunks: DataFrame, order: list[str]) -> DataFrame:

@@ -27,6 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver drop what no plan needs any more: a collection is what makes Spark delete the shuffle files and broadcasts of finished work."""
+    spark._jvm.System.gc()
+
+
 _made: list[tuple[SparkSession, str]] = []
 _seen = [0]
 
