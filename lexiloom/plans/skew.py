@@ -24,7 +24,6 @@ def join_heavy(rows: DataFrame, table: DataFrame, keys: list[str], count: str, h
     total = table.agg(F.sum(count)).first()[0] or 0
     most = heavy_from(total, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     more = [c for c in table.columns if c not in keys]
-    marked = rows.join(F.broadcast(table.where(F.col(count) > most).select(*keys).withColumn("__heavy", F.lit(True))), keys, "left")
-    light = marked.where("__heavy is null").select(*rows.columns).join(table.where(F.col(count) <= most), keys, how)
-    heavy = rows.join(F.broadcast(table.where(F.col(count) > most)), keys)
-    return light.select(*rows.columns, *more).unionByName(heavy.select(*rows.columns, *more))
+    few = F.broadcast(table.where(F.col(count) > most))
+    light = rows.join(few.select(*keys), keys, "left_anti").join(table.where(F.col(count) <= most), keys, how)
+    return light.select(*rows.columns, *more).unionByName(rows.join(few, keys).select(*rows.columns, *more))
