@@ -6,18 +6,23 @@ optional or repeated, and its text is constant or a slot. A page gives a wrapper
 tandem repeats of one or more blocks folded into groups; two wrappers are aligned by their longest
 common subsequence of blocks, level by level. A block that one side lacks becomes optional, texts that differ
 become a slot. Wrappers of a host are aligned one after another in each reading task, then in salted
-groups, then once; what is shuffled are wrappers, whose size follows the template and not the pages.
-
-A page's article is the semantic container if its wrapper has one, else the deepest block that holds
-most of the slot text of the host's wrapper, or of the page where the wrapper shows no slots. Within it, menus,
-notices, forms, adverts, comments and other furniture go by element, role and class; in a container
-that was not semantic, so do texts that the wrapper has found constant on three pages or more.
-
-In a semantic container the host's constant texts go, those inside repeated groups included, which a
-wrapper holds as one slot: a text under the same kind of block on nine tenths of the host's pages, at
-least five. They are counted along with the wrapper, at most MOST texts of a host at a time (the
-least frequent are given up together, so a text of every page stays while pages hold some hundred texts
-or fewer). A host most of whose text is constant holds copies of an article, and keeps it.
+groups, then once; what is shuffled are wrappers. A block's kind is its tag and classes with digits as one mark; ids differ from
+page to page and are no part of it. A wrapper keeps at most LEVEL blocks of a sequence and BLOCKS in all, those of
+the most pages, so its size follows the template and not the pages.
+
+The wrapper decides where the article is: the deepest block, not repeated, that holds seven tenths of the host's slot
+text outside furniture. Where such a block holds article or main containers with a quarter of its slot text, it is these.
+A page that lacks the block, and a host without slots, is judged by its own text alone. In the article, texts go that the
+wrapper has found to be constant: a text under the same kind of block on nine tenths of the host's pages, at
+least five, inside repeated groups too, which a wrapper holds as one slot. They are counted along with the wrapper,
+at most MOST texts of a host at a time (the least frequent are given up together, so a text of every page stays while
+pages hold some hundred texts or fewer). A host most of whose text is constant holds copies of an article, and keeps it.
+
+Menus, notices, forms, adverts, comments and other furniture vary like articles, so they also go by element, role
+and name: a class or id that is a furniture word as a whole decides, one that has it as a part (cookie-bar) only
+where the wrapper finds the block on half of the host's pages, at least three.
+
+Elements nested deeper than DEPTH leave no block of their own, so nothing here is bound by a page's depth; their text stays.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -36,55 +42,82 @@ from pyspark.sql import functions as F
 
 from lexiloom.plans.lineage import materialise
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
+# A quote opens a value only right after an equals sign, and only where it is closed.
+_ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_PART = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
+_DIGITS = re.compile(r"\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe noembed noframes xmp textarea title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template iframe noembed noframes xmp textarea title".split()}
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+)
 # A start tag ends an open element of these names, up to the fence.
-_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "option": ({"option"}, {"select"}),
+}
+_P_ENDS = ({"p"}, {"button", "td", "th", "table", "body"})
 
 GONE = frozenset("nav footer aside form script style noscript template iframe svg canvas object button select textarea input dialog menu head title audio video map".split())
 GONE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
-GONE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies sidebar widget widgets related recommended recommendations share sharing social nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead popup modal overlay toolbar skip paywall".split())
+GONE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe"
+    " subscription signup login comment comments commentlist disqus respond reply replies sidebar widget widgets related recommended recommendations share sharing social nav navbar"
+    " navigation menu breadcrumb breadcrumbs pagination pager footer masthead popup modal overlay toolbar skip paywall".split()
+)
 MAIN_WORDS = frozenset(("articlebody", "article-body", "article_body", "post-content", "entry-content", "article-content", "main-content", "story-body", "post-body"))
+WHOLE = frozenset(("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"))
+
+DEPTH, LEVEL, BLOCKS, MOST = 60, 128, 4096, 1024
+GONE_, HINT, MAIN, ARTICLE = 1, 2, 4, 8
 
 
 class Block:
-    """A block of a page: its kind, children, and text runs between them in order."""
+    """A block of a page: its kind, flags, children, and text runs between them in order."""
 
-    __slots__ = ("kind", "tag", "gone", "main", "items")
+    __slots__ = ("kind", "tag", "flags", "items")
 
-    def __init__(self, kind: str, tag: str, gone: bool = False, main: int = 0) -> None:
-        self.kind, self.tag, self.gone, self.main, self.items = kind, tag, gone, main, []
+    def __init__(self, kind: str, tag: str, flags: int = 0) -> None:
+        self.kind, self.tag, self.flags, self.items = kind, tag, flags, []
 
 
 def _block(tag: str, attrs: str) -> Block:
     """What an element is by its tag and attributes."""
-    kind, gone, main = tag, tag in GONE, 2 if tag == "article" else 1 if tag == "main" else 0
+    kind, flags = tag, GONE_ if tag in GONE else ARTICLE if tag == "article" else MAIN if tag == "main" else 0
     if attrs.strip(" /\n\t"):
         found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
-        role, names = found.get("role", "").lower(), f"{found.get('class', '')} {found.get('id', '')}".strip()
-        words = [w.lower() for w in _CAMEL.split(names) if w]
-        kind = f"{tag}.{'.'.join(words)}" if words else tag
+        role, classes = found.get("role", "").lower(), found.get("class", "").split()
+        names = [n.lower() for n in (*classes, *found.get("id", "").split())]
+        kind = ".".join([tag, *sorted({_DIGITS.sub("#", c.lower()) for c in classes})])
+        if role in GONE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
+            flags |= GONE_
         if tag not in ("html", "body", "article", "main"):
-            gone = gone or not GONE_WORDS.isdisjoint(words)
-        gone = gone or role in GONE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", ""), re.I))
-        if role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
-            main = max(main, 2 if role != "main" else 1)
-        if not main and any(n.lower() in MAIN_WORDS for n in names.split()):
-            main = 1
-    return Block(kind, tag, gone, main)
+            if not GONE_WORDS.isdisjoint(names):
+                flags |= GONE_
+            elif not GONE_WORDS.isdisjoint(w.lower() for n in (*classes, found.get("id", "")) for w in _PART.split(n)):
+                flags |= HINT
+        if role == "article" or found.get("itemprop", "").lower() == "articlebody":
+            flags |= ARTICLE
+        elif role == "main" or not MAIN_WORDS.isdisjoint(names):
+            flags |= MAIN
+    return Block(kind, tag, flags)
 
 
 def parse(html: str) -> Block:
     """The page's blocks. Unclosed and stray tags are borne; inline elements leave no block unless they are furniture."""
     root = Block("#root", "#root")
     stack: list[tuple[Block, str]] = [(root, "#root")]
+    opened: Counter = Counter()  # names on the stack, so that what is not there is not looked for
     text: list[str] = []
-    at, size = 0, len(html)
+    at, size, deep = 0, len(html), 0
 
     def flush() -> None:
         if text:
@@ -93,8 +126,23 @@ def parse(html: str) -> Block:
             if whole:
                 stack[-1][0].items.append(whole)
 
+    def open_(block: Block, name: str) -> None:
+        nonlocal deep
+        above = stack[-1][0]
+        if deep < DEPTH or block.flags & GONE_ and not above.flags & GONE_:
+            above.items.append(block)
+            deep += 1
+        else:
+            block = above
+        stack.append((block, name))
+        opened[name] += 1
+
     def close(to: int) -> None:
+        nonlocal deep
         flush()
+        for k in range(len(stack) - 1, to - 1, -1):
+            deep -= stack[k][0] is not stack[k - 1][0]
+            opened[stack[k][1]] -= 1
         del stack[to:]
 
     while at < size:
@@ -117,15 +165,12 @@ def parse(html: str) -> Block:
             continue
         name = name.lower()
         if m["close"]:
-            if name == "p" or name == "br" or name not in VOID:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][1] == name:
-                        close(i)
-                        break
+            if opened[name] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][1] == name))
             continue
-        attrs = m["attrs"] or ""
+        attrs = m["attrs"]
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            end = RAW[name].search(html, at)
             at = end.end() if end else size
             continue
         if name in ("br", "wbr"):
@@ -136,33 +181,30 @@ def parse(html: str) -> Block:
                 flush()
             continue
         if name in INLINE:
-            if attrs and (b := _block(name, attrs)).gone:
+            if attrs and (b := _block(name, attrs)).flags & GONE_:
                 flush()
-                stack[-1][0].items.append(b)
-                stack.append((b, name))
+                open_(b, name)
             continue
         flush()
-        ends, fence = _ENDS.get(name, ({"p"}, {"button", "td", "th", "table", "body"}))
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][1] in fence:
-                break
-            if stack[i][1] in ends:
-                close(i)
-                break
-        if name == "body":
+        ends, fence = _ENDS.get(name, _P_ENDS)
+        if any(opened[e] > 0 for e in ends):
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][1] == "head":
+                if stack[i][1] in fence:
+                    break
+                if stack[i][1] in ends:
                     close(i)
                     break
+        if name == "body" and opened["head"] > 0:
+            close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][1] == "head"))
         b = _block(name, attrs)
-        stack[-1][0].items.append(b)
-        if not attrs.rstrip().endswith("/"):
-            stack.append((b, name))
+        if attrs.rstrip().endswith("/"):
+            continue
+        open_(b, name)
     flush()
     return root
 
 
-# A wrapper block: [kind, least, most (1 or 2: repeated), pages that had it, slot characters, text, children].
+# A wrapper block: [kind, least, most (1 or 2: repeated), pages that had it, slot characters, text, children, flags].
 # text: None without, a checksum while constant, "*" for a slot.
 
 
@@ -171,35 +213,58 @@ def wrapper(block: Block) -> list:
     children = []
     for item in block.items:
         if isinstance(item, str):
-            children.append(["#", 1, 1, 1, len(item), zlib.crc32(item.encode("utf-8", "replace")), []])
+            children.append(["#", 1, 1, 1, len(item), zlib.crc32(item.encode("utf-8", "replace")), [], 0])
         else:
             children.append(wrapper(item))
-    return [block.kind, 1, 1, 1, 0, None, fold(children)]
+    return [block.kind, 1, 1, 1, 0, None, fold(children), block.flags]
 
 
 def fold(seq: list) -> list:
-    """Tandem repeats of up to four blocks become groups that repeat."""
+    """Tandem repeats of up to four blocks become groups that repeat; of a long sequence, the blocks of the most pages stay."""
     for period in (1, 2, 3, 4):
         out: list = []
         for item in seq:
             out.append(item)
             while len(out) >= 2 * period and all(out[-period + i][0] == out[-2 * period + i][0] for i in range(period)) and (period > 1 or out[-1][0] != "#"):
-                late, out = out[-period:], out[:-period]
+                late = out[-period:]
+                del out[-period:]
                 for i in range(period):
                     a = _merge(out[-period + i], late[i])
                     a[2], a[3] = 2, max(out[-period + i][3], late[i][3])
                     out[-period + i] = a
         seq = out
+    if len(seq) > LEVEL:
+        kept = sorted(range(len(seq)), key=lambda i: (-seq[i][3], min(i, len(seq) - 1 - i), i))[:LEVEL]
+        seq = [seq[i] for i in sorted(kept)]
     return seq
 
 
 def _merge(a: list, b: list) -> list:
     text = a[5] if a[5] == b[5] else "*"
-    return [a[0], min(a[1], b[1]), max(a[2], b[2]), a[3] + b[3], a[4] + b[4], text, align(a[6], b[6])]
+    return [a[0], min(a[1], b[1]), max(a[2], b[2]), a[3] + b[3], a[4] + b[4], text, align(a[6], b[6]) if a[6] or b[6] else [], a[7] | b[7]]
+
+
+def merge(a: list, b: list) -> list:
+    """One wrapper for two, of at most BLOCKS blocks: those on the most pages."""
+    out = _merge(a, b)
+    pages: list[int] = []
+    todo = [out]
+    while todo:
+        w = todo.pop()
+        pages.append(w[3])
+        todo += w[6]
+    if len(pages) > BLOCKS:
+        cut = sorted(pages, reverse=True)[BLOCKS]
+        todo = [out]
+        while todo:
+            w = todo.pop()
+            w[6] = [c for c in w[6] if c[3] > cut]
+            todo += w[6]
+    return out
 
 
 def align(a: list, b: list) -> list:
-    """One sequence for two: what both have in order is merged, the rest is optional."""
+    """One sequence for two: what both have in order is merged, the rest is optional. Sequences have at most LEVEL blocks."""
     head = 0
     while head < min(len(a), len(b)) and a[head][0] == b[head][0]:
         head += 1
@@ -227,18 +292,58 @@ def align(a: list, b: list) -> list:
     return fold(out)
 
 
-def _slots(w: list) -> int:
-    """Characters of slot text below a wrapper block."""
-    return (w[4] if w[5] == "*" else 0) + sum(_slots(c) for c in w[6])
+def common(w: list, pages: int) -> bool:
+    """Whether the wrapper finds the block on half of the host's pages, at least three."""
+    return w[3] >= max(3, pages / 2)
+
 
+def _masses(w: list, pages: int) -> dict[int, int]:
+    """Slot characters outside furniture below each wrapper block."""
+    out: dict[int, int] = {}
 
-def _mass(block: Block) -> int:
-    return 0 if block.gone else sum(len(x) if isinstance(x, str) else _mass(x) for x in block.items)
+    def mass(x: list) -> int:
+        if x[7] & GONE_ or x[7] & HINT and common(x, pages):
+            m = 0
+        else:
+            m = (x[4] if x[5] == "*" else 0) + sum(mass(c) for c in x[6])
+        out[id(x)] = m
+        return m
+
+    mass(w)
+    return out
+
+
+def region(w: list) -> set[int]:
+    """The wrapper blocks that are the article, by id(); none where the wrapper has no slots."""
+    mass = _masses(w, w[3])
+    total = mass[id(w)]
+    if not total:
+        return set()
+    at = w
+    while True:
+        if any(c[0].split(".")[0] in ("h1", "h2", "h3") and not c[7] & GONE_ for c in at[6]):
+            break
+        heavy = next((c for c in at[6] if mass[id(c)] >= 0.7 * total and c[2] == 1 and c[0].split(".")[0] not in WHOLE), None)
+        if heavy is None:
+            break
+        at = heavy
+    for flag in (ARTICLE, MAIN):
+        found: list[list] = []
+        todo = [at]
+        while todo:
+            x = todo.pop()
+            if x[7] & flag and mass[id(x)]:
+                found.append(x)
+            elif mass[id(x)]:
+                todo += x[6]
+        if sum(mass[id(x)] for x in found) >= 0.25 * mass[id(at)]:
+            return {id(x) for x in found}
+    return {id(at)}
 
 
 def _matched(block: Block, w: list | None) -> list:
     """(item, its wrapper block or None) for a block's items, in order."""
-    if w is None:
+    if w is None or not w[6]:
         return [(x, None) for x in block.items]
     out, at = [], 0
     for item in block.items:
@@ -250,70 +355,24 @@ def _matched(block: Block, w: list | None) -> list:
     return out
 
 
-def _semantic(block: Block, w: list | None) -> list[tuple[Block, list | None]]:
-    """Outermost article containers; of the weaker kind only where there is no article."""
-    found: dict[int, list] = {1: [], 2: []}
-
-    def walk(b: Block, bw: list | None, under: int) -> None:
-        for item, iw in _matched(b, bw):
-            if isinstance(item, str) or item.gone:
-                continue
-            if item.main > under:
-                found[item.main].append((item, iw))
-            if max(under, item.main) < 2:
-                walk(item, iw, max(under, item.main))
-
-    walk(block, w, 0)
-    strong = [x for x in found[2] if _mass(x[0])]
-    return strong or [x for x in found[1] if _mass(x[0])]
-
-
-def _dense(block: Block, w: list | None) -> tuple[Block, list | None]:
-    """The deepest block that holds at least seven tenths of the text that counts, and no deeper than one with a heading."""
-
-    def weight(b: Block, bw: list | None) -> int:
-        if b.gone:
-            return 0
-        return sum((len(x) if w is None or xw is None or xw[5] == "*" else 0) if isinstance(x, str) else weight(x, xw) for x, xw in _matched(b, bw))
-
-    if w is not None and not weight(block, w):
-        w = None
-    while True:
-        total = weight(block, w)
-        heavy = [(x, xw) for x, xw in _matched(block, w) if not isinstance(x, str) and total and weight(x, xw) >= 0.7 * total]
-        headed = any(not isinstance(x, str) and x.tag in ("h1", "h2", "h3") and _mass(x) for x in block.items)
-        if not heavy or headed or heavy[0][0].tag in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"):
-            return block, w
-        block, w = heavy[0]
-
-
-MOST = 1024
-# Texts of a host's semantic containers: [pages, characters, {name of a text: [pages, length]}].
-
-
 def _name(kind: str, text: str) -> str:
     return xxhash.xxh64_hexdigest(f"{kind} {text}".encode("utf-8", "replace"))
 
 
-def container_texts(root: Block) -> list:
-    """The texts of a page's semantic containers, furniture left out."""
+def page_texts(root: Block) -> list:
+    """The texts of a page, furniture left out: [pages, characters, {name of a text: [pages, length]}]."""
     found: dict[str, list[int]] = {}
-    chars = 0
-
-    def walk(b: Block) -> None:
-        nonlocal chars
+    chars, todo = 0, [root]
+    while todo:
+        b = todo.pop()
         for item in b.items:
             if not isinstance(item, str):
-                if not item.gone:
-                    walk(item)
+                if not item.flags & GONE_:
+                    todo.append(item)
             elif (name := _name(b.kind, item)) not in found:
                 found[name] = [1, len(item)]
                 chars += len(item)
-
-    parts = _semantic(root, None)
-    for b, _ in parts:
-        walk(b)
-    return [int(bool(parts)), chars, found]
+    return [1, chars, found]
 
 
 def add_texts(a: list, b: list) -> list:
@@ -337,25 +396,47 @@ def constant_texts(texts: list) -> list[str]:
     return sorted(found) if 2 * sum(found.values()) <= chars else []
 
 
-def main_text(html: str | None, w: list | None = None, constant: frozenset[str] = frozenset()) -> str:
-    """The article's blocks joined by empty lines; w: the host's wrapper; constant: its constant_texts()."""
+def main_text(html: str | None, w: list | None = None, constant: frozenset[str] = frozenset(), where: set[int] | None = None) -> str:
+    """The article's blocks joined by empty lines; w: the host's wrapper; constant: its constant_texts(); where: its region()."""
     if not html:
         return ""
     root = parse(html)
-    parts = _semantic(root, w)
-    drop = not parts and w is not None and _slots(w) > 0
+    where = region(w) if w is not None and where is None else where
+    pages = w[3] if w is not None else 0
+    parts: list[tuple[Block, list | None]] = []
+
+    def find(b: Block, bw: list | None) -> None:
+        if bw is not None and id(bw) in where:
+            parts.append((b, bw))
+        else:
+            for item, iw in _matched(b, bw):
+                if iw is not None and not isinstance(item, str):
+                    find(item, iw)
+
+    if where:
+        find(root, w)
+    if not parts:
+        alone = wrapper(root)
+        todo = [alone]
+        while todo:  # all of a lone page's text may vary
+            x = todo.pop()
+            x[5] = "*" if x[5] is not None else None
+            todo += x[6]
+        where = region(alone)
+        find(root, alone)
+        parts = [(b, None) for b, _ in parts]
     out: list[str] = []
 
-    def walk(b: Block, bw: list | None) -> None:
+    def walk(b: Block, bw: list | None, headed: bool) -> None:
         for item, iw in _matched(b, bw):
-            if not isinstance(item, str):
-                if not item.gone and not (drop and item.tag == "header"):
-                    walk(item, iw)
-            elif not (drop and iw is not None and iw[5] != "*" and iw[3] >= 3) and not (parts and constant and _name(b.kind, item) in constant):
-                out.append(item)
-
-    for b, bw in parts or [_dense(root, w)]:
-        walk(b, bw)
+            if isinstance(item, str):
+                if not constant or _name(b.kind, item) not in constant:
+                    out.append(item)
+            elif not item.flags & GONE_ and not (item.flags & HINT and iw is not None and common(iw, pages)) and (headed or item.tag != "header"):
+                walk(item, iw, headed)
+
+    for b, bw in parts or [(root, None)]:
+        walk(b, bw, bool(b.flags & (ARTICLE | MAIN)))
     return "\n\n".join(out)
 
 
@@ -379,9 +460,9 @@ def infer_wrappers(pages: DataFrame, host: str, page: str, html: str, hosts_held
             for h, p, body in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 if body:
                     root = parse(body)
-                    w, t = wrapper(root), container_texts(root)
+                    w, t = wrapper(root), page_texts(root)
                     before = len(held[h][2][2]) if h in held else 0
-                    held[h] = (min(held[h][0], p), _merge(held[h][1], w), add_texts(held[h][2], t)) if h in held else (p, w, t)
+                    held[h] = (min(held[h][0], p), merge(held[h][1], w), add_texts(held[h][2], t)) if h in held else (p, w, t)
                     n += len(held[h][2][2]) - before
                     if len(held) >= hosts_held or n >= texts_held:
                         yield out()
@@ -394,7 +475,7 @@ def infer_wrappers(pages: DataFrame, host: str, page: str, html: str, hosts_held
         frame, total = frame.sort_values("first"), None
         for x in frame["wrapper"]:
             w, t = json.loads(x)
-            total = (w, t) if total is None else (_merge(total[0], w), add_texts(total[1], t))
+            total = (w, t) if total is None else (merge(total[0], w), add_texts(total[1], t))
         return pd.DataFrame({"host": [frame["host"].iloc[0]], "first": [frame["first"].iloc[0]], "wrapper": [json.dumps([total[0], end(total[1])])]})
 
     def some(frame: pd.DataFrame) -> pd.DataFrame:
@@ -430,7 +511,7 @@ def extract_main_text(pages: DataFrame, id_: str = "page_id", url: str = "url",
                     if len(held) > 1000:
                         held.clear()
                     blocks, constant = json.loads(w)
-                    held[h] = (blocks, frozenset(constant))
+                    held[h] = (blocks, frozenset(constant), region(blocks))
                 texts.append(main_text(body, *held[h]) if w else main_text(body))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
