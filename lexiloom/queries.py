@@ -586,11 +586,13 @@ def pairing_matrix(spark, d):
     return cv.pairing_matrix(t(spark, d, "region"), "r_name", 3)
 
 
-@query(r"""WITH x AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '\W+'), lambda w: w <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(role || ' ' || left(text, 80)), '\W+'), lambda w: w <> '')) AS b FROM conversations)
+@query(r"""WITH x AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '\W+'), lambda w: w <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(role || ' ' || lag(text, 1, '') OVER (PARTITION BY conv_id ORDER BY turn)), '\W+'), lambda w: w <> '')) AS b FROM conversations)
     SELECT conv_id, turn, round(1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 8) AS divergence FROM x""")
 def reply_divergence(spark, d):
-    rows = t(spark, d, "conversations")
-    return rows.select("conv_id", "turn", F.round(cv.divergence(F.col("text"), F.concat_ws(" ", "role", F.substring("text", 1, 80))), 8).alias("divergence"))
+    """A turn's words against its role and the turn before."""
+    before = F.lag("text", 1, "").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = t(spark, d, "conversations").withColumn("before", before)
+    return rows.select("conv_id", "turn", F.round(cv.divergence(F.col("text"), F.concat_ws(" ", "role", "before")), 8).alias("divergence"))
 
 
 @query("SELECT lang, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents WHERE trim(text) <> '' GROUP BY lang")
