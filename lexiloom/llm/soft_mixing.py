@@ -32,7 +32,8 @@ def words_of(text: Column) -> Column:
 def posteriors(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], id_: str = "doc_id", text: str = "text", buckets: int = 1 << 14, evidence: int = 200, alpha: float = 1.0, taught_most: int = 20_000, by: tuple[str, ...] = ()) -> DataFrame:
     """(row, id, n_tokens, p: array of posteriors in the order of domains, and the columns of by) for each row of docs.
 
-    domain: an expression over labels that names a row's domain; null and other names are no label.
+    domain: an expression over labels that names a row's domain; null and other names are no label. A document with
+    labels of several domains counts for the one whose name comes first.
     The classifier learns from at most taught_most labelled documents, those of the smallest id hashes.
     Without labels in a domain its prior is that of one text.
     """
