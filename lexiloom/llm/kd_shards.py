@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.plans.lineage import materialise
 from lexiloom.plans.numbering import number_within
+from lexiloom.plans.skew import join_heavy
 
 BITS, TEXT, STEP = 63, 23, 12
 
@@ -136,8 +137,8 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     numbered = docs.select(F.col(id_).alias("id"), size.alias("size"), F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("text_hash"), *[F.xxhash64(F.col(c).cast("string")).alias(f"c{i}") for i, c in enumerate(categories)], *keep)
     numbered = materialise(numbered.withColumn("row", F.monotonically_increasing_id()))
     named = [f"c{i}" for i in range(len(categories))]
-    copies = numbered.groupBy("text_hash").agg(F.count("*").alias("m"), *[F.min(c).alias(f"least_{c}") for c in named]).where("m > 1").drop("m")
-    numbered = numbered.join(copies, "text_hash", "left").withColumns({c: F.coalesce(f"least_{c}", c) for c in named})
+    copies = materialise(numbered.groupBy("text_hash").agg(F.count("*").alias("copies"), *[F.min(c).alias(f"least_{c}") for c in named]).where("copies > 1"))
+    numbered = join_heavy(numbered, copies, ["text_hash"], "copies").withColumns({c: F.coalesce(f"least_{c}", c) for c in named})
     values = [F.least(F.floor(F.log2(F.col("size")) * 1024), F.lit(65535)), *[F.pmod(F.col(f"c{i}"), F.lit(1 << 16)) for i in range(len(categories))]]
     row_hash = F.xxhash64("id", "row")
     rows = materialise(numbered.select("id", "row", "size", "text_crc32", *_places(values, F.col("text_hash").cast("string"), row_hash), *keep))
