@@ -31,6 +31,7 @@ from lexiloom.llm.vectors import rows_by_dimension, unit
 from lexiloom.llm.words import combine, mix
 from lexiloom.plans.components import components
 from lexiloom.plans.lineage import materialise
+from lexiloom.plans.skew import join_heavy
 
 SIGNS = 256
 SLACK = 1e-9
@@ -112,7 +113,7 @@ def embedding_dedup(table: DataFrame, id_: str = "vec_id", vector: str = "embedd
     units = materialise(_units(table, id_, vector))
     copies = units.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     copies = materialise(copies)
-    reps = units.join(copies, ["hi", "lo"]).where("id = rep").dropDuplicates(["id", "hi", "lo"]).select("id", "unit", "copies")
+    reps = join_heavy(units, copies, ["hi", "lo"], "copies", "inner").where("id = rep").dropDuplicates(["id", "hi", "lo"]).select("id", "unit", "copies")
     n = copies.count()
     depth = depth_for(n, width)
     tables = max(tables, tables_for(depth, least, width, recall))
@@ -122,7 +123,7 @@ def embedding_dedup(table: DataFrame, id_: str = "vec_id", vector: str = "embedd
 
     posts = vectors.select("id", F.explode("keys").alias("key"), *sketch)
     heads = posts.groupBy("key").agg(F.min(F.struct("id", *sketch)).alias("head"), F.count("*").alias("m")).where("m > 1")
-    led = posts.join(heads, "key").select("id", *sketch, F.col("head.id").alias("lead"), *[F.col(f"head.{s}").alias(f"lead_{s}") for s in sketch])
+    led = join_heavy(posts, materialise(heads), ["key"], "m", "inner").select("id", *sketch, F.col("head.id").alias("lead"), *[F.col(f"head.{s}").alias(f"lead_{s}") for s in sketch])
     led = led.where((F.col("id") != F.col("lead")) & (_differ("", "lead_") <= _most(F.lit(theta / 2)))).select("lead", "id").distinct()
     inside = _cosines(led, vectors, "lead", "id").where(F.col("cosine") >= cos(theta / 2) + SLACK)
     joined = inside.groupBy("id").agg(F.min(F.struct("lead", "cosine")).alias("ball")).select("id", F.col("ball.lead").alias("ball"), F.acos(F.least("ball.cosine", F.lit(1.0))).alias("angle"))
@@ -155,7 +156,7 @@ def embedding_dedup(table: DataFrame, id_: str = "vec_id", vector: str = "embedd
     edges = members.where("id <> ball").select(F.col("id").alias("a"), F.col("ball").alias("b")).unionByName(whole.toDF("a", "b")).unionByName(each.select("a", "b"))
     found = components(edges).select(F.col("node").alias("rep"), "component")
 
-    named = units.select("id", "hi", "lo").join(copies.select("hi", "lo", "rep"), ["hi", "lo"]).select("id", "rep")
+    named = join_heavy(units.select("id", "hi", "lo"), copies, ["hi", "lo"], "copies", "inner").select("id", "rep")
     named = named.join(counted, "rep", "left").join(found, "rep", "left").groupBy("id").agg(F.max("n_links").alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component"))
     out = rows.join(named, "id", "left")
     component = F.coalesce("component", F.col("id").cast("long"))
