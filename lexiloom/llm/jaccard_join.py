@@ -11,7 +11,8 @@ shingles, t the threshold in percent. Equal sets are one set from the start.
   first, to inverted lists. Two sets that link meet in a list at positions which leave room for
   need(a, b) shared shingles; other meetings are dropped unchecked.
 * The boundary minimises the estimated cost: subsets to emit below it, postings times the mean list
-  length above it, from the counted sizes of all sets.
+  length above it, from the counted sizes of all sets. It is chosen among those from which on two different
+  small sets can link at all (seven at 85 percent, five at 80).
 
 Within a list the set whose match comes first leads: first only pairs with leaders are checked, and
 what links becomes one component. Then every pair of a list that is still in different components is
@@ -34,9 +35,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.bitsets import build, segment_bits_for
-from lexiloom.llm.words import Words, batches, combine, mix
+from lexiloom.llm.words import Words, batches, mix, release
 from lexiloom.plans.components import components
-from lexiloom.plans.lineage import materialise
+from lexiloom.plans.lineage import materialise, tidy
+from lexiloom.plans.skew import join_heavy
 
 SKETCH = 1 << 22
 PIECES = 64
@@ -69,7 +71,7 @@ def posts(n: int, percent: int, boundary: int) -> bool:
 
 
 def choose_boundary(sizes: dict[int, int], percent: int, list_length: float) -> int:
-    """The boundary of least estimated cost; sizes: how many sets have each size."""
+    """The boundary of least estimated cost at which small sets have subsets to enumerate; sizes: how many sets have each size."""
 
     def cost(boundary: int) -> float:
         total = 0.0
@@ -80,7 +82,8 @@ def choose_boundary(sizes: dict[int, int], percent: int, list_length: float) ->
                 total += count * prefix_length(n, percent) * (1 + list_length)
         return total
 
-    return min(range(LARGEST_BOUNDARY + 1), key=lambda b: (cost(b), b))
+    able = [b for b in range(LARGEST_BOUNDARY + 1) if any(subset_sizes(n, percent, b) for n in range(1, b + 1))]
+    return min(able or [0], key=lambda b: (cost(b), b))
 
 
 def distinct_rows(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,20 +190,22 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (1 + F.least(n - 1 - i, m - 1 - j) >= _needed(n, m, percent))
 
 
-def _dealt(rows: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
+def _dealt(rows: DataFrame, heads: DataFrame, keys: list[str], more: DataFrame | None = None) -> DataFrame:
     """rows (keys, id) joined with heads, one row (keys, m) for each list; salts says over how many tasks a list is dealt.
 
     A long list's head is repeated for each of its salts. The lists that are dealt are told to the reading tasks: their
-    length is above total / (16 * partitions), so there are at most 16 for each partition.
+    length is above total / (16 * partitions), so there are at most 16 for each partition. more: what is joined instead
+    of the heads, maybe several rows for each.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = heads.agg(F.sum("m")).first()[0] or 0
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = max(LIST_ROWS, -(-total // (16 * parts)))
     salts = F.ceil(F.col("m") / most).cast("int")
     long = F.broadcast(heads.where(F.col("m") > most).select(*keys, salts.alias("salts")))
     told = rows.join(long, keys, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     told = told.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    return told.join(heads.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), [*keys, "salt"]).drop("salt", "m")
+    many = (heads if more is None else more).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return told.join(many, [*keys, "salt"]).drop("salt", "m")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_: str, text: str, width: int, percent: int) -> DataFrame:
@@ -235,8 +240,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_: str, text: str, width: int
     source = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
     sets = source.withColumn("h", F.xxhash64("id")).mapInArrow(pick, "id long, shingles binary")
     sets = materialise(sets.join(ids, "id", "left_semi").dropDuplicates(["id", "shingles"]))
-    both = pairs.join(sets.select(F.col("id").alias("y"), F.col("shingles").alias("q")), "y").join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("p")), "x")
-    return materialise(both.select("x", "y", "p", "q").mapInArrow(check, "x long, y long").distinct())
+    # a leader of many pairs meets them where they are; leaders grow with the documents, so they are not broadcast
+    heads = materialise(pairs.groupBy("x").agg(F.count("*").alias("m")))
+    own = pairs.join(sets.select(F.col("id").alias("y"), F.col("shingles").alias("q")), "y").select("x", F.col("y").alias("id"), "q")
+    leaders = heads.hint("merge").join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("p")), "x")
+    both = _dealt(own, heads, ["x"], leaders).select("x", F.col("id").alias("y"), "p", "q")
+    out = materialise(both.select("x", "y", "p", "q").mapInArrow(check, "x long, y long").distinct())
+    wanted.unpersist()
+    release()
+    return out
 
 
 def jaccard_join(docs: DataFrame, id_: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -253,11 +265,14 @@ def jaccard_join(docs: DataFrame, id_: str = "doc_id", text: str = "text", width
     boundary = choose_boundary(sizes, percent, list_length)
     held = spark.sparkContext.broadcast(levels)
     rows = materialise(_keys(docs, id_, text, width, percent, boundary, held))
+    held.unpersist()
+    release()
     slim = rows.select("id", "n", "hi", "lo")
     full = slim.where("id is not null and n > 0")
-    copies = materialise(full.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    gone = full.join(copies, ["hi", "lo"]).where("id <> rep").select("id", "hi", "lo")
-    sets = rows.where("id is not null and n > 0 and (size(prefix) > 0 or size(subset) > 0)").join(gone, ["id", "hi", "lo"], "left_anti").select("id", "n", "prefix", "subset", "subset_size")
+    copies = materialise(full.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
+    gone = materialise(join_heavy(full, copies, ["hi", "lo"], "copies", "inner").where("id <> rep").select("id", "hi", "lo"))
+    # what goes grows with the documents, so at no size is it broadcast
+    sets = rows.where("id is not null and n > 0 and (size(prefix) > 0 or size(subset) > 0)").join(gone.hint("merge"), ["id", "hi", "lo"], "left_anti").select("id", "n", "prefix", "subset", "subset_size")
 
     group = sets.where("size(subset) > 0").select("id", "n", F.explode(F.arrays_zip("subset", "subset_size")).alias("s")).select("id", "n", F.col("s.subset").alias("k"), F.col("s.subset_size").alias("c"))
     star = materialise(group.groupBy("k", "c").agg(F.min(F.struct("n", "id")).alias("head"), F.count("*").alias("m")).where("m > 1"))
@@ -269,6 +284,7 @@ def jaccard_join(docs: DataFrame, id_: str = "doc_id", text: str = "text", width
     led = posted.where((F.col("id") != F.col("lead")) & _may_link("", "lead_", percent)).select(F.col("lead").alias("x"), F.col("id").alias("y")).distinct()
     first = _verified(materialise(led), docs, id_, text, width, percent).unionByName(small)
     first = materialise(first)
+    tidy(spark)
 
     known = components(first, "x", "y")
     named = posted.join(known.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").join(known.select(F.col("node").alias("lead"), F.col("component").alias("lead_c")), "lead", "left")
@@ -278,9 +294,16 @@ def jaccard_join(docs: DataFrame, id_: str = "doc_id", text: str = "text", width
     other = named.select("k", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), *[F.col(x).alias(f"b_{x}") for x in ("id", "n", "pos", "c", "lead", "lead_c")])
     left = astray.join(other, ["k", "salt"]).where((F.col("a_c") != F.col("b_c")) & (F.col("b_id") != F.col("b_lead")) & ((F.col("b_c") == F.col("b_lead_c")) | (F.col("a_id") < F.col("b_id"))) & _may_link("a_", "b_", percent))
     left = materialise(left.select(F.least("a_id", "b_id").alias("x"), F.greatest("a_id", "b_id").alias("y")).distinct())
+    tidy(spark)
     second = _verified(left, docs, id_, text, width, percent)
 
     found = components(first.unionByName(second), "x", "y").select(F.col("node").alias("rep"), "component")
-    out = slim.join(copies, ["hi", "lo"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")))
-    out = out.join(found, "rep", "left")
+    # rows without shingles have nothing to look for
+    some, none = slim.where("id is not null and n > 0"), slim.where("id is null or n = 0")
+    named = join_heavy(some, copies, ["hi", "lo"], "copies").withColumn("rep", F.coalesce("rep", "id"))
+    # an id with several texts may stand for several sets
+    times = copies.groupBy("rep").agg(F.sum("copies").alias("copies"))
+    heavy = found.join(times, "rep", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    out = join_heavy(materialise(named.select("id", "n", "rep")), materialise(heavy), ["rep"], "copies").select("id", "n", "rep", "component")
+    out = out.unionByName(none.select("id", "n", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("component")))
     return out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
