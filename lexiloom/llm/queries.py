@@ -106,4 +106,32 @@ ORACLES: dict[str, str] = {
         reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
         SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.y) AS component_id
         FROM w JOIN reach r ON r.x = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id""",
+    "op10_quotation_links": r"""
+        WITH RECURSIVE b AS (SELECT row_number() OVER () AS id, conv_id AS c, turn AS t, role, coalesce(text, '') AS text FROM conversations),
+        m AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY t NULLS FIRST, text, id) AS o FROM b),
+        l AS (SELECT id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS line,
+              unnest(range(len(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))))) AS i FROM m),
+        k AS (SELECT id, i, line, regexp_extract(line, '^[ \t]*((?:>[ \t]*)+)', 1) AS marks FROM l),
+        d AS (SELECT id, i, length(marks) - length(replace(marks, '>', '')) AS depth,
+              CASE WHEN marks = '' THEN line ELSE regexp_replace(line, '^[ \t]*((?:>[ \t]*)+)', '') END AS body FROM k),
+        r AS (SELECT *, coalesce(depth <> lag(depth) OVER (PARTITION BY id ORDER BY i), false) AS turns FROM d),
+        n AS (SELECT *, sum(turns::INT) OVER (PARTITION BY id ORDER BY i) AS place, lower(trim(regexp_replace(body, '[\s\x0B]+', ' ', 'g'))) AS said FROM r),
+        p AS (SELECT id, place, any_value(depth) AS depth, string_agg(body, chr(10) ORDER BY i) AS body,
+              list_distinct(list(said) FILTER (WHERE said <> '')) AS lines FROM n GROUP BY id, place),
+        w AS (SELECT *, lower(trim(regexp_replace(body, '[\s\x0B]+', ' ', 'g'))) AS h FROM p),
+        own AS (SELECT DISTINCT m.c, m.o, x.h FROM (SELECT id, h FROM w WHERE depth = 0
+              UNION SELECT id, lower(trim(regexp_replace(unnest(string_split_regex(body, '\n[\s\x0B]*\n')), '[\s\x0B]+', ' ', 'g'))) FROM w WHERE depth = 0
+              UNION SELECT id, said FROM n WHERE depth = 0) x JOIN m USING (id) WHERE x.h <> ''),
+        held AS (SELECT m.c, m.o, list_distinct(list(n.said)) AS lines FROM n JOIN m USING (id) WHERE n.depth = 0 AND n.said <> '' GROUP BY ALL),
+        q AS (SELECT m.c, m.o, w.* FROM w JOIN m USING (id) WHERE w.depth > 0 AND w.h <> ''),
+        f AS (SELECT q.*, (SELECT min(own.o) FROM own WHERE own.c IS NOT DISTINCT FROM q.c AND own.h = q.h AND own.o < q.o) AS first FROM q),
+        s AS (SELECT f.*, coalesce(first, (SELECT min(held.o) FROM held WHERE held.c IS NOT DISTINCT FROM f.c AND held.o < f.o AND list_has_all(held.lines, f.lines))) AS source FROM f),
+        a AS (SELECT c, o, arg_min(source, depth * 1000000 + place) AS up, count(*) AS n_linked FROM s WHERE source IS NOT NULL GROUP BY c, o),
+        e AS (SELECT m.*, a.up, a.n_linked FROM m LEFT JOIN a ON a.c IS NOT DISTINCT FROM m.c AND a.o = m.o),
+        v AS (SELECT id, c, o, 0 AS depth, [o] AS path FROM e WHERE up IS NULL
+              UNION ALL SELECT e.id, e.c, e.o, v.depth + 1, list_append(v.path, e.o) FROM v JOIN e ON e.c IS NOT DISTINCT FROM v.c AND e.up = v.o),
+        z AS (SELECT id, string_agg(body, chr(10) ORDER BY place) FILTER (WHERE depth = 0) AS content, count(*) FILTER (WHERE depth > 0) AS n_quoted FROM p GROUP BY id)
+        SELECT e.c AS conv_id, e.t AS turn, e.role, g.t AS parent_turn, v.depth::INT AS depth, (row_number() OVER (PARTITION BY e.c ORDER BY v.path) - 1)::BIGINT AS position,
+               regexp_replace(coalesce(z.content, ''), '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS content, z.n_quoted::BIGINT AS n_quoted, coalesce(e.n_linked, 0)::BIGINT AS n_linked
+        FROM e JOIN v USING (id) JOIN z USING (id) LEFT JOIN e g ON g.c IS NOT DISTINCT FROM e.c AND g.o = e.up""",
 }
