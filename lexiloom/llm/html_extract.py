@@ -44,13 +44,20 @@ from lexiloom.plans.lineage import materialise
 
 # A quote opens a value only right after an equals sign, and only where it is closed.
 _ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})(?:>|\Z)", re.S)
+_TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>{
+        _ATTRS
+    })(?:>|\Z)",
+    re.S,
+)
 _ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _PART = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 _DIGITS = re.compile(r"\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template iframe noembed noframes xmp textarea title".split()}
+RAW = {
+    name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template iframe noembed noframes xmp textarea title".split()
+}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
@@ -66,14 +73,23 @@ _ENDS = {
 }
 _P_ENDS = ({"p"}, {"button", "td", "th", "table", "body"})
 
-GONE = frozenset("nav footer aside form script style noscript template iframe svg canvas object button select textarea input dialog menu head title audio video map".split())
-GONE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
+GONE = frozenset(
+    "nav footer aside form script style noscript template iframe svg canvas object button select textarea input dialog menu head title audio video map".split()
+)
+GONE_ROLES = frozenset(
+    "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split()
+)
 GONE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe"
     " subscription signup login comment comments commentlist disqus respond reply replies sidebar widget widgets related recommended recommendations share sharing social nav navbar"
     " navigation menu breadcrumb breadcrumbs pagination pager footer masthead popup modal overlay toolbar skip paywall".split()
 )
-MAIN_WORDS = frozenset(("articlebody", "article-body", "article_body", "post-content", "entry-content", "article-content", "main-content", "story-body", "post-body"))
+MAIN_WORDS = frozenset(
+    (
+        "articlebody", "article-body", "article_body", "post-content", "entry-content", "article-content", "main-content", "story-body",
+        "post-body",
+    )
+)
 WHOLE = frozenset(("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"))
 
 DEPTH, LEVEL, BLOCKS, MOST = 60, 128, 4096, 1024
@@ -97,7 +113,9 @@ def _block(tag: str, attrs: str) -> Block:
         role, classes = found.get("role", "").lower(), found.get("class", "").split()
         names = [n.lower() for n in (*classes, *found.get("id", "").split())]
         kind = ".".join([tag, *sorted({_DIGITS.sub("#", c.lower()) for c in classes})])
-        if role in GONE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
+        if role in GONE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(
+            r"display\s*:\s*none", found.get("style", ""), re.I
+        ):
             flags |= GONE_
         if tag not in ("html", "body", "article", "main"):
             if not GONE_WORDS.isdisjoint(names):
@@ -225,7 +243,9 @@ def fold(seq: list) -> list:
         out: list = []
         for item in seq:
             out.append(item)
-            while len(out) >= 2 * period and all(out[-period + i][0] == out[-2 * period + i][0] for i in range(period)) and (period > 1 or out[-1][0] != "#"):
+            while len(out) >= 2 * period and all(
+                out[-period + i][0] == out[-2 * period + i][0] for i in range(period)
+            ) and (period > 1 or out[-1][0] != "#"):
                 late = out[-period:]
                 del out[-period:]
                 for i in range(period):
@@ -432,7 +452,9 @@ def main_text(html: str | None, w: list | None = None, constant: frozenset[str]
             if isinstance(item, str):
                 if not constant or _name(b.kind, item) not in constant:
                     out.append(item)
-            elif not item.flags & GONE_ and not (item.flags & HINT and iw is not None and common(iw, pages)) and (headed or item.tag != "header"):
+            elif not item.flags & GONE_ and not (
+                item.flags & HINT and iw is not None and common(iw, pages)
+            ) and (headed or item.tag != "header"):
                 walk(item, iw, headed)
 
     for b, bw in parts or [(root, None)]:
@@ -442,7 +464,12 @@ def main_text(html: str | None, w: list | None = None, constant: frozenset[str]
 
 def host_of(url: Column) -> Column:
     """The host of a URL in lower case, '' without one. A port or user is not part of it."""
-    return F.lower(F.coalesce(F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1), F.lit("")), F.lit("")))
+    return F.lower(
+        F.coalesce(
+            F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1), F.lit("")),
+            F.lit(""),
+        )
+    )
 
 
 def infer_wrappers(pages: DataFrame, host: str, page: str, html: str, hosts_held: int = 2000, texts_held: int = 200_000) -> DataFrame:
@@ -454,7 +481,13 @@ def infer_wrappers(pages: DataFrame, host: str, page: str, html: str, hosts_held
 
         def out() -> pa.RecordBatch:
             keys = list(held)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([held[k][0] for k in keys], pa.string()), pa.array([json.dumps(held[k][1:]) for k in keys], pa.string())], names=["host", "first", "wrapper"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys, pa.string()), pa.array([held[k][0] for k in keys], pa.string()),
+                    pa.array([json.dumps(held[k][1:]) for k in keys], pa.string()),
+                ],
+                names=["host", "first", "wrapper"],
+            )
 
         for part in parts:
             for h, p, body in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
@@ -476,7 +509,9 @@ def infer_wrappers(pages: DataFrame, host: str, page: str, html: str, hosts_held
         for x in frame["wrapper"]:
             w, t = json.loads(x)
             total = (w, t) if total is None else (merge(total[0], w), add_texts(total[1], t))
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "first": [frame["first"].iloc[0]], "wrapper": [json.dumps([total[0], end(total[1])])]})
+        return pd.DataFrame(
+            {"host": [frame["host"].iloc[0]], "first": [frame["first"].iloc[0]], "wrapper": [json.dumps([total[0], end(total[1])])]}
+        )
 
     def some(frame: pd.DataFrame) -> pd.DataFrame:
         return merged(frame, lambda t: t)
@@ -484,12 +519,18 @@ def infer_wrappers(pages: DataFrame, host: str, page: str, html: str, hosts_held
     def once(frame: pd.DataFrame) -> pd.DataFrame:
         return merged(frame, constant_texts)
 
-    found = pages.select(host, F.coalesce(F.col(page).cast("string"), F.lit("")).alias(page), html).mapInArrow(read, "host string, first string, wrapper string")
+    found = pages.select(
+        host, F.coalesce(F.col(page).cast("string"), F.lit("")).alias(page), html
+    ).mapInArrow(read, "host string, first string, wrapper string")
     salted = found.withColumn("salt", F.pmod(F.xxhash64("first"), F.lit(64)))
-    return salted.groupBy("host", "salt").applyInPandas(some, "host string, first string, wrapper string").groupBy("host").applyInPandas(once, "host string, first string, wrapper string").select("host", "wrapper")
+    return salted.groupBy("host", "salt").applyInPandas(
+        some, "host string, first string, wrapper string"
+    ).groupBy("host").applyInPandas(once, "host string, first string, wrapper string").select("host", "wrapper")
 
 
-def extract_main_text(pages: DataFrame, id_: str = "page_id", url: str = "url", html: str = "html", broadcast_bytes: int = 1 << 25) -> DataFrame:
+def extract_main_text(
+    pages: DataFrame, id_: str = "page_id", url: str = "url", html: str = "html", broadcast_bytes: int = 1 << 25
+) -> DataFrame:
     """A row for each row: id_, url, text, n_chars (code points).
 
     Null or empty html gives an empty text; a null or odd url counts as a host of its own name ''. A
@@ -497,10 +538,15 @@ def extract_main_text(pages: DataFrame, id_: str = "page_id", url: str = "url",
     a block. Wrappers are broadcast if they measure at most broadcast_bytes together and else joined by host.
     Repeated rows and null ids keep their rows. Other columns are left out.
     """
-    picked = pages.select(F.col(id_).alias("id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"), host_of(F.col(url).cast("string")).alias("host"))
+    picked = pages.select(
+        F.col(id_).alias("id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"),
+        host_of(F.col(url).cast("string")).alias("host"),
+    )
     wrappers = materialise(infer_wrappers(picked, "host", "id", "html"))
     size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
-    joined = picked.join(F.broadcast(wrappers) if size <= broadcast_bytes else wrappers, "host", "left").select("id", "url", "html", "host", "wrapper")
+    joined = picked.join(
+        F.broadcast(wrappers) if size <= broadcast_bytes else wrappers, "host", "left"
+    ).select("id", "url", "html", "host", "wrapper")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple] = {}
@@ -513,7 +559,10 @@ def extract_main_text(pages: DataFrame, id_: str = "page_id", url: str = "url",
                     blocks, constant = json.loads(w)
                     held[h] = (blocks, frozenset(constant), region(blocks))
                 texts.append(main_text(body, *held[h]) if w else main_text(body))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                names=["id", "url", "text", "n_chars"],
+            )
 
     kinds = {f.name: f.dataType.simpleString() for f in picked.schema}
     return joined.mapInArrow(run, f"id {kinds['id']}, url {kinds['url']}, text string, n_chars long").withColumnRenamed("id", id_)

@@ -110,7 +110,9 @@ def _sketch(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, dict[in
         if sizes.sum():
             step = SKETCH // PIECES
             rows = [(k, x.tobytes()) for k in range(PIECES) if (x := seen[k * step : (k + 1) * step]).any()] + [(-1, sizes.tobytes())]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["piece", "counts"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["piece", "counts"]
+            )
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         piece = int(frame["piece"].iloc[0])
@@ -121,7 +123,9 @@ def _sketch(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, dict[in
         return pd.DataFrame({"piece": [piece], "levels": [level.tobytes()], "used": [int((total > 0).sum())], "total": [int(total.sum())]})
 
     # Counters meet in two steps, so no task takes one from every reading task.
-    tree = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "piece int, counts binary").withColumn("half", F.spark_partition_id() % 16)
+    tree = docs.select(
+        F.col(text).cast("string").alias("t")
+    ).mapInArrow(count, "piece int, counts binary").withColumn("half", F.spark_partition_id() % 16)
     half = tree.groupBy("piece", "half").applyInPandas(_add_half, "piece int, counts binary")
     got = half.groupBy("piece").applyInPandas(add, "piece int, levels binary, used long, total long").collect()
     levels, sizes, step = np.zeros(SKETCH, np.uint8), {}, SKETCH // PIECES
@@ -157,10 +161,15 @@ def _keys(docs: DataFrame, id_: str, text: str, width: int, percent: int, bounda
                         prefix = s[np.lexsort((s, rank[low:high]))[: prefix_length(n, percent)]]
                     if 0 < n <= boundary:
                         subset, of = subsets(s, subset_sizes(n, percent, boundary))
-                    for k, v in (("n", n), ("hi", (name >> 64) - (1 << 63)), ("lo", (name & (1 << 64) - 1) - (1 << 63)), ("prefix", prefix.view(np.int64)), ("subset", subset), ("subset_size", of)):
+                    for k, v in (
+                        ("n", n), ("hi", (name >> 64) - (1 << 63)), ("lo", (name & (1 << 64) - 1) - (1 << 63)),
+                        ("prefix", prefix.view(np.int64)), ("subset", subset), ("subset_size", of),
+                    ):
                         out[k].append(v)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True))], names=["id", *out])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *(pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True))], names=["id", *out]
+                )
 
     picked = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     return picked.mapInArrow(run, "id long, n long, hi long, lo long, prefix array<long>, subset array<long>, subset_size array<int>")
@@ -224,7 +233,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_: str, text: str, width: int
             part = whole.take(pa.array(held.has(whole.column(2).to_numpy().view(np.uint64))))
             for piece in batches(part):
                 h, at = distinct_rows(*words.shingles(piece.column(1), width))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([h[a:b].tobytes() for a, b in itertools.pairwise(at.tolist())], pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), pa.array([h[a:b].tobytes() for a, b in itertools.pairwise(at.tolist())], pa.binary())],
+                    names=["id", "shingles"],
+                )
 
     def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -272,27 +284,55 @@ def jaccard_join(docs: DataFrame, id_: str = "doc_id", text: str = "text", width
     copies = materialise(full.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
     gone = materialise(join_heavy(full, copies, ["hi", "lo"], "copies", "inner").where("id <> rep").select("id", "hi", "lo"))
     # what goes grows with the documents, so at no size is it broadcast
-    sets = rows.where("id is not null and n > 0 and (size(prefix) > 0 or size(subset) > 0)").join(gone.hint("merge"), ["id", "hi", "lo"], "left_anti").select("id", "n", "prefix", "subset", "subset_size")
+    sets = rows.where(
+        "id is not null and n > 0 and (size(prefix) > 0 or size(subset) > 0)"
+    ).join(gone.hint("merge"), ["id", "hi", "lo"], "left_anti").select("id", "n", "prefix", "subset", "subset_size")
 
-    group = sets.where("size(subset) > 0").select("id", "n", F.explode(F.arrays_zip("subset", "subset_size")).alias("s")).select("id", "n", F.col("s.subset").alias("k"), F.col("s.subset_size").alias("c"))
+    group = sets.where("size(subset) > 0").select("id", "n", F.explode(F.arrays_zip("subset", "subset_size")).alias("s")).select(
+        "id", "n", F.col("s.subset").alias("k"), F.col("s.subset_size").alias("c")
+    )
     star = materialise(group.groupBy("k", "c").agg(F.min(F.struct("n", "id")).alias("head"), F.count("*").alias("m")).where("m > 1"))
-    small = _dealt(group, star, ["k", "c"]).where((F.col("id") != F.col("head.id")) & (F.col("c") >= _needed(F.col("n"), F.col("head.n"), percent))).select(F.col("head.id").alias("x"), F.col("id").alias("y")).distinct()
+    small = _dealt(group, star, ["k", "c"]).where(
+        (F.col("id") != F.col("head.id")) & (F.col("c") >= _needed(F.col("n"), F.col("head.n"), percent))
+    ).select(F.col("head.id").alias("x"), F.col("id").alias("y")).distinct()
 
     lists = sets.where("size(prefix) > 0").select("id", "n", F.posexplode("prefix").alias("pos", "k"))
     heads = materialise(lists.groupBy("k").agg(F.min(F.struct("pos", "n", "id")).alias("head"), F.count("*").alias("m")).where("m > 1"))
-    posted = materialise(_dealt(lists, heads, ["k"]).select("k", "salts", "id", "n", "pos", F.col("head.id").alias("lead"), F.col("head.n").alias("lead_n"), F.col("head.pos").alias("lead_pos")))
-    led = posted.where((F.col("id") != F.col("lead")) & _may_link("", "lead_", percent)).select(F.col("lead").alias("x"), F.col("id").alias("y")).distinct()
+    posted = materialise(
+        _dealt(lists, heads, ["k"]).select(
+            "k", "salts", "id", "n", "pos", F.col("head.id").alias("lead"), F.col("head.n").alias("lead_n"),
+            F.col("head.pos").alias("lead_pos"),
+        )
+    )
+    led = posted.where(
+        (F.col("id") != F.col("lead")) & _may_link("", "lead_", percent)
+    ).select(F.col("lead").alias("x"), F.col("id").alias("y")).distinct()
     first = _verified(materialise(led), docs, id_, text, width, percent).unionByName(small)
     first = materialise(first)
     tidy(spark)
 
     known = components(first, "x", "y")
-    named = posted.join(known.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").join(known.select(F.col("node").alias("lead"), F.col("component").alias("lead_c")), "lead", "left")
-    named = materialise(named.withColumns({"c": F.coalesce("c", "id"), "lead_c": F.coalesce("lead_c", "lead")}).select("k", "salts", "id", "n", "pos", "c", "lead", "lead_c"))
+    named = posted.join(known.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").join(
+        known.select(F.col("node").alias("lead"), F.col("component").alias("lead_c")), "lead", "left"
+    )
+    named = materialise(
+        named.withColumns(
+            {"c": F.coalesce("c", "id"), "lead_c": F.coalesce("lead_c", "lead")}
+        ).select("k", "salts", "id", "n", "pos", "c", "lead", "lead_c")
+    )
     # an astray set meets its list where the list's rows are: over all salts of a long one
-    astray = named.where("c <> lead_c").select("k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(x).alias(f"a_{x}") for x in ("id", "n", "pos", "c")])
-    other = named.select("k", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), *[F.col(x).alias(f"b_{x}") for x in ("id", "n", "pos", "c", "lead", "lead_c")])
-    left = astray.join(other, ["k", "salt"]).where((F.col("a_c") != F.col("b_c")) & (F.col("b_id") != F.col("b_lead")) & ((F.col("b_c") == F.col("b_lead_c")) | (F.col("a_id") < F.col("b_id"))) & _may_link("a_", "b_", percent))
+    astray = named.where("c <> lead_c").select(
+        "k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(x).alias(f"a_{x}") for x in ("id", "n", "pos", "c")]
+    )
+    other = named.select(
+        "k", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"),
+        *[F.col(x).alias(f"b_{x}") for x in ("id", "n", "pos", "c", "lead", "lead_c")],
+    )
+    left = astray.join(other, ["k", "salt"]).where(
+        (F.col("a_c") != F.col("b_c")) & (F.col("b_id") != F.col("b_lead")) & (
+            (F.col("b_c") == F.col("b_lead_c")) | (F.col("a_id") < F.col("b_id"))
+        ) & _may_link("a_", "b_", percent)
+    )
     left = materialise(left.select(F.least("a_id", "b_id").alias("x"), F.greatest("a_id", "b_id").alias("y")).distinct())
     tidy(spark)
     second = _verified(left, docs, id_, text, width, percent)
@@ -304,6 +344,8 @@ def jaccard_join(docs: DataFrame, id_: str = "doc_id", text: str = "text", width
     # an id with several texts may stand for several sets
     times = copies.groupBy("rep").agg(F.sum("copies").alias("copies"))
     heavy = found.join(times, "rep", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    out = join_heavy(materialise(named.select("id", "n", "rep")), materialise(heavy), ["rep"], "copies").select("id", "n", "rep", "component")
+    out = join_heavy(
+        materialise(named.select("id", "n", "rep")), materialise(heavy), ["rep"], "copies"
+    ).select("id", "n", "rep", "component")
     out = out.unionByName(none.select("id", "n", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("component")))
     return out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))

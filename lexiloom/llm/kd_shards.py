@@ -62,7 +62,9 @@ def kd_tree(rows: DataFrame, dims: int, shards: int, tolerance: float = 0.001, w
     while level:
         node_of = _walk(root, lambda n: F.lit(n.name if n.shards > 1 else -1))
         split = F.posexplode(F.array(*[F.shiftright(F.col(f"k{d}"), BITS - STEP) for d in range(dims)]))
-        seen = rows.select(node_of.alias("node"), "size", split.alias("dim", "bin")).where("node >= 0").groupBy("node", "dim", "bin").agg(F.sum("size").alias("w")).collect()
+        seen = rows.select(
+            node_of.alias("node"), "size", split.alias("dim", "bin")
+        ).where("node >= 0").groupBy("node", "dim", "bin").agg(F.sum("size").alias("w")).collect()
         bins: dict[tuple[int, int], dict[int, int]] = {}
         for r in seen:
             bins.setdefault((r["node"], r["dim"]), {})[r["bin"]] = r["w"]
@@ -84,7 +86,9 @@ def kd_tree(rows: DataFrame, dims: int, shards: int, tolerance: float = 0.001, w
                 low = F.shiftright(F.col(f"k{n.dim}"), _next(n.shift)).bitwiseAND(F.lit((1 << (n.shift - _next(n.shift))) - 1))
                 bin_of = F.when(inside, low).otherwise(bin_of)
             got: dict[int, dict[int, int]] = {}
-            for r in rows.select(node_of.alias("node"), bin_of.alias("bin"), "size").where("bin is not null").groupBy("node", "bin").agg(F.sum("size").alias("w")).collect():
+            for r in rows.select(
+                node_of.alias("node"), bin_of.alias("bin"), "size"
+            ).where("bin is not null").groupBy("node", "bin").agg(F.sum("size").alias("w")).collect():
                 got.setdefault(r["node"], {})[r["bin"]] = r["w"]
             still: list[Node] = []
             for n in open_:
@@ -124,7 +128,10 @@ def _narrow(n: Node, bins: dict[int, int], tolerance: float, whole: float, most:
         done += bins[b]
 
 
-def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_: str = "doc_id", text: str = "text", categories: tuple[str, ...] = ("lang", "source"), keep: tuple[str, ...] = ()) -> DataFrame:
+def kd_shards(
+    docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_: str = "doc_id", text: str = "text",
+    categories: tuple[str, ...] = ("lang", "source"), keep: tuple[str, ...] = (),
+) -> DataFrame:
     """A row for each row: id_, size, text_crc32, law, shard, slot, grown_shard, and the columns of keep.
 
     size: UTF-8 bytes of the text (null: none) plus 16. Shards weigh the same to within a hundredth of
@@ -134,18 +141,32 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     """
     body = F.col(text).cast("string")
     size = F.coalesce(F.octet_length(body), F.lit(0)).cast("long") + 16
-    numbered = docs.select(F.col(id_).alias("id"), size.alias("size"), F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("text_hash"), *[F.xxhash64(F.col(c).cast("string")).alias(f"c{i}") for i, c in enumerate(categories)], *keep)
+    numbered = docs.select(
+        F.col(id_).alias("id"), size.alias("size"), F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.xxhash64(F.coalesce(body, F.lit(""))).alias("text_hash"),
+        *[F.xxhash64(F.col(c).cast("string")).alias(f"c{i}") for i, c in enumerate(categories)], *keep,
+    )
     numbered = materialise(numbered.withColumn("row", F.monotonically_increasing_id()))
     named = [f"c{i}" for i in range(len(categories))]
-    copies = materialise(numbered.groupBy("text_hash").agg(F.count("*").alias("copies"), *[F.min(c).alias(f"least_{c}") for c in named]).where("copies > 1"))
+    copies = materialise(
+        numbered.groupBy("text_hash").agg(F.count("*").alias("copies"), *[F.min(c).alias(f"least_{c}") for c in named]).where("copies > 1")
+    )
     numbered = join_heavy(numbered, copies, ["text_hash"], "copies").withColumns({c: F.coalesce(f"least_{c}", c) for c in named})
-    values = [F.least(F.floor(F.log2(F.col("size")) * 1024), F.lit(65535)), *[F.pmod(F.col(f"c{i}"), F.lit(1 << 16)) for i in range(len(categories))]]
+    values = [
+        F.least(F.floor(F.log2(F.col("size")) * 1024), F.lit(65535)),
+        *[F.pmod(F.col(f"c{i}"), F.lit(1 << 16)) for i in range(len(categories))],
+    ]
     row_hash = F.xxhash64("id", "row")
-    rows = materialise(numbered.select("id", "row", "size", "text_crc32", *_places(values, F.col("text_hash").cast("string"), row_hash), *keep))
+    rows = materialise(
+        numbered.select("id", "row", "size", "text_crc32", *_places(values, F.col("text_hash").cast("string"), row_hash), *keep)
+    )
     total = rows.agg(F.sum("size")).first()[0] or 0
     shards = shards or max(1, -(-total // (target_bytes or 1 << 28)))
     tree = kd_tree(rows, len(values), shards)
     placed = rows.withColumn("shard", _walk(tree, lambda n: F.lit(n.first)).cast("int"))
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = number_within(placed, ["shard"], ["row"], "slot", spread)
-    return out.select(F.col("id").alias(id_), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *keep)
+    return out.select(
+        F.col("id").alias(id_), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), *keep,
+    )

@@ -114,7 +114,9 @@ def _small(x: np.ndarray) -> bytes:
 
 
 def _unsmall(data, n: int, kind) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, decompressed_size=int(n) * np.dtype(kind).itemsize, codec="zstd"), kind) if n else np.zeros(0, kind)
+    return np.frombuffer(
+        pa.decompress(data, decompressed_size=int(n) * np.dtype(kind).itemsize, codec="zstd"), kind
+    ) if n else np.zeros(0, kind)
 
 
 def _packed(docs: DataFrame, piece_bytes: int) -> DataFrame:
@@ -129,7 +131,9 @@ def _packed(docs: DataFrame, piece_bytes: int) -> DataFrame:
             with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
                 to.write_table(whole)
             data = sink.getvalue().to_pybytes()
-            return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(data)], pa.binary()), pa.array([data], pa.binary())], names=["piece", "payload"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([xxhash.xxh128_digest(data)], pa.binary()), pa.array([data], pa.binary())], names=["piece", "payload"]
+            )
 
         for whole in parts:
             for part in batches(whole, piece_bytes // 4):
@@ -154,7 +158,10 @@ def _keys(words: Words, payload) -> tuple:
     return rows, to, place, [seq, two, three]
 
 
-def lm_score(docs: DataFrame, train: Column, id_: str = "doc_id", text: str = "text", ratio: float = 1.5, hashes: int = 8, m2: float = 20_000.0, m3: float = 200.0, piece_bytes: int = 12 << 20, segment_bytes: int = 1 << 22) -> DataFrame:
+def lm_score(
+    docs: DataFrame, train: Column, id_: str = "doc_id", text: str = "text", ratio: float = 1.5, hashes: int = 8, m2: float = 20_000.0,
+    m3: float = 200.0, piece_bytes: int = 12 << 20, segment_bytes: int = 1 << 22,
+) -> DataFrame:
     """A row for each row of docs: id_, n_tokens, n_known, train_tokens, base_score, score; sums of log10 probabilities.
 
     train: which rows the model learns from (null: not). Null text is empty: one end token. Repeated
@@ -162,7 +169,10 @@ def lm_score(docs: DataFrame, train: Column, id_: str = "doc_id", text: str = "t
     Null ids keep their rows. Other columns are left out, whatever their names. piece_bytes: text in a
     piece, more only for a longer text; segment_bytes: text for each segment of the filter. Both bound a task's memory.
     """
-    picked = docs.select(F.col(id_).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    picked = docs.select(
+        F.col(id_).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+        F.coalesce(train, F.lit(False)).alias("train"),
+    )
     size = picked.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     segments = 1 + size // segment_bytes
     cuts = np.array([(b << 64) // segments for b in range(1, segments)], np.uint64)
@@ -175,7 +185,9 @@ def lm_score(docs: DataFrame, train: Column, id_: str = "doc_id", text: str = "t
             for piece, payload in zip(part.column(0), part.column(1), strict=True):
                 rows, to, _, keys = _keys(words, payload.as_buffer())
                 taught = np.repeat(np.asarray(rows.column(2)), np.diff(to))
-                columns = {"segment": pa.array(np.arange(segments, dtype=np.int32)), "piece": pa.array([piece.as_py()] * segments, pa.binary())}
+                columns = {
+                    "segment": pa.array(np.arange(segments, dtype=np.int32)), "piece": pa.array([piece.as_py()] * segments, pa.binary())
+                }
                 for g in GRAMS:
                     key = keys.pop(0)  # so that it is let go
                     order = np.argsort(key)
@@ -238,13 +250,20 @@ def lm_score(docs: DataFrame, train: Column, id_: str = "doc_id", text: str = "t
         c3 = np.minimum(np.minimum(lower[l3], h2), upper)
         q = np.where(h2 > 0, (c3 + m3 * q) / (h2 + m3), q)
         sums = [np.add.reduceat(x, to[:-1]) for x in ((c > 0).astype(np.int64), np.log10(p), np.log10(q))]
-        out = pa.table({"id": rows.column(0), "n_tokens": np.diff(to), "n_known": sums[0], "train_tokens": np.full(len(to) - 1, n), "base_score": sums[1], "score": sums[2]})
+        out = pa.table(
+            {
+                "id": rows.column(0), "n_tokens": np.diff(to), "n_known": sums[0], "train_tokens": np.full(len(to) - 1, n),
+                "base_score": sums[1], "score": sums[2],
+            }
+        )
         release()
         return pa.concat_tables([out] * packed.num_rows)
 
     packed = _packed(picked, piece_bytes).repartition("piece")  # texts move once: both readers take this exchange
     answers = packed.mapInArrow(ask, f"segment int, piece binary, {fields}").groupBy("segment")
-    answers = answers.applyInArrow(answer, "segment int, piece binary, tokens long, known long, " + ", ".join(f"n{g} int, a{g} binary" for g in GRAMS))
+    answers = answers.applyInArrow(
+        answer, "segment int, piece binary, tokens long, known long, " + ", ".join(f"n{g} int, a{g} binary" for g in GRAMS)
+    )
     id_type = picked.schema["id"].dataType.simpleString()
     scored = packed.groupBy("piece").cogroup(answers.groupBy("piece"))
     scored = scored.applyInArrow(score, f"id {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -175,11 +175,18 @@ def tokenised(docs: DataFrame, id_: str, text: str, tokenizer: str, end: int, ca
                     cuts = [0, *range(first, len(a) + 1, capacity)]
                     for k in range(len(cuts) - 1):
                         data = a[cuts[k] : cuts[k + 1]]
-                        for to, v in zip(out, (i, k, cuts[k], len(data), zlib.crc32(data.tobytes()), data.astype(np.int64) if ids else None), strict=True):
+                        for to, v in zip(
+                            out, (i, k, cuts[k], len(data), zlib.crc32(data.tobytes()), data.astype(np.int64) if ids else None), strict=True
+                        ):
                             to.append(v)
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                columns = [part.column(0).take(pa.array(out[0], pa.int32())), *(pa.array(v, kind) for v, kind in zip(out[1:5], kinds, strict=True))]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(out[5], pa.list_(pa.int64()))] if ids else []), names=["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids])
+                columns = [
+                    part.column(0).take(pa.array(out[0], pa.int32())), *(pa.array(v, kind) for v, kind in zip(out[1:5], kinds, strict=True))
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    columns + ([pa.array(out[5], pa.list_(pa.int64()))] if ids else []),
+                    names=["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids],
+                )
 
     source = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -187,7 +194,10 @@ def tokenised(docs: DataFrame, id_: str, text: str, tokenizer: str, end: int, ca
     return materialise(found.withColumn("row", F.monotonically_increasing_id()))
 
 
-def pack(docs: DataFrame, id_: str = "doc_id", text: str = "text", capacity: int = 1024, end: int = 2, tokenizer: str = "byte_bpe_50k", ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, id_: str = "doc_id", text: str = "text", capacity: int = 1024, end: int = 2, tokenizer: str = "byte_bpe_50k",
+    ids: bool = False,
+) -> DataFrame:
     """A row for each piece: id_, piece, start, length, ids_crc32, sequence_id, offset (and ids if asked for).
 
     A document is its token ids and one end token. Only documents above the capacity are cut, into
@@ -210,7 +220,9 @@ def pack(docs: DataFrame, id_: str = "doc_id", text: str = "text", capacity: int
             at = np.searchsorted(key, (length << 48) | rank, side="right") - 1
             gone = part.schema.get_field_index("rank")
             out = part.remove_column(gone)
-            yield out.append_column("sequence_id", pa.array(held[at, 2] + rank - held[at, 1])).append_column("offset", pa.array(held[at, 3]))
+            yield out.append_column(
+                "sequence_id", pa.array(held[at, 2] + rank - held[at, 1])
+            ).append_column("offset", pa.array(held[at, 3]))
 
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranked = number_within(pieces, ["length"], ["row"], "rank", spread).drop("row")

@@ -74,7 +74,10 @@ class Files:
         return met[less[met] >= edge]
 
 
-def nearest(query: np.ndarray, query_id: np.ndarray, x: np.ndarray, ids: np.ndarray, pivots: np.ndarray, most: float, length: int, share: float, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def nearest(
+    query: np.ndarray, query_id: np.ndarray, x: np.ndarray, ids: np.ndarray, pivots: np.ndarray, most: float, length: int, share: float,
+    k: int,
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, ids, inner products) of the best k found in a block for each query."""
     x, ids, first = _different(x, ids, k + 1)
     held = Files(orders(lift(x, most), pivots, length), len(pivots))
@@ -124,16 +127,28 @@ def permutation_search(
             for row, x in rows_by_dimension(part.column(1)):
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(2).take(take), pa.array(np.full(len(row), x.shape[1], np.int32)), pa.array(np.linalg.norm(x, axis=1)), pa.array([v.tobytes() for v in x], pa.binary())],
+                    [
+                        part.column(0).take(take), part.column(2).take(take), pa.array(np.full(len(row), x.shape[1], np.int32)),
+                        pa.array(np.linalg.norm(x, axis=1)), pa.array([v.tobytes() for v in x], pa.binary()),
+                    ],
                     names=["id", "asked", "dim", "norm", "v"],
                 )
 
-    rows = table.where(F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"), F.coalesce(queries, F.lit(False)).alias("asked"))
+    rows = table.where(F.col(id_).isNotNull()).select(
+        F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"),
+        F.coalesce(queries, F.lit(False)).alias("asked"),
+    )
     rows = materialise(rows.mapInArrow(read, "id long, asked boolean, dim int, norm double, v binary"))
-    shape = {r["dim"]: r for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("asked").alias("q"), F.max("norm").alias("most")).collect()}
+    shape = {
+        r["dim"]: r for r in rows.groupBy("dim").agg(
+            F.count("*").alias("n"), F.count_if("asked").alias("q"), F.max("norm").alias("most")
+        ).collect()
+    }
     first = Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id", "v")
     fitted = {}
-    for r in rows.select("dim", "v", F.row_number().over(first).alias("n")).where(F.col("n") <= sample).groupBy("dim").agg(F.sort_array(F.collect_set("v")).alias("vs")).collect():
+    for r in rows.select(
+        "dim", "v", F.row_number().over(first).alias("n")
+    ).where(F.col("n") <= sample).groupBy("dim").agg(F.sort_array(F.collect_set("v")).alias("vs")).collect():
         held = np.stack([np.frombuffer(v, np.float64) for v in r["vs"]])
         picked = np.random.default_rng(17).permutation(len(held))[: max(1, min(pivots, shape[r["dim"]]["n"] // 4))]
         fitted[r["dim"]] = (lift(held[picked], shape[r["dim"]]["most"]), float(shape[r["dim"]]["most"]))
@@ -155,12 +170,16 @@ def permutation_search(
             dim = asked.column("dim")[0].as_py()
             q, x = (np.frombuffer(b"".join(t.column("v").to_pylist()), np.float64).reshape(-1, dim) for t in (asked, posted))
             pivot, most = model.value[dim]
-            got = list(nearest(q, asked.column("id").to_numpy(), x, posted.column("id").to_numpy(), pivot, most, min(length, len(pivot)), share, k))
+            got = list(
+                nearest(q, asked.column("id").to_numpy(), x, posted.column("id").to_numpy(), pivot, most, min(length, len(pivot)), share, k)
+            )
         empty = (0, np.zeros(0, np.int64), np.zeros(0))
         columns = [np.concatenate(c) for c in zip(*[(np.full(len(i), q, np.int64), i, s) for q, i, s in (*got, empty)], strict=True)]
         return pa.table(columns, names=["query_id", "vec_id", "score"])
 
-    found = asked.groupBy("dim", "b", "g").cogroup(posted.groupBy("dim", "b", "g")).applyInArrow(search, "query_id long, vec_id long, score double")
+    found = asked.groupBy("dim", "b", "g").cogroup(posted.groupBy("dim", "b", "g")).applyInArrow(
+        search, "query_id long, vec_id long, score double"
+    )
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

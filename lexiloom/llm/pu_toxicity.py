@@ -63,7 +63,9 @@ def chosen(p: np.ndarray, u: np.ndarray, prior: float, screen: float = 4.0, lift
     return (gap >= screen) & (rate >= min(lift, (1 + 1 / prior) / 2) * u) & (count >= 3)
 
 
-def learn(positive: tuple, unlabelled: tuple, prior: float, used: int, steps: int = 400, rate: float = 0.1, ridge: float = 5e-5) -> tuple[np.ndarray, float]:
+def learn(
+    positive: tuple, unlabelled: tuple, prior: float, used: int, steps: int = 400, rate: float = 0.1, ridge: float = 5e-5
+) -> tuple[np.ndarray, float]:
     """Weights of `used` features and the bias at the non-negative risk's minimum.
 
     The samples: (rows, features) without repeats, and the weight of each text.
@@ -137,7 +139,9 @@ def _rates(rows: DataFrame, wanted: np.ndarray) -> np.ndarray:
                 total += weight.sum()
                 release()
         some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(sums[some], total))], names=["f", "w"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(sums[some], total))], names=["f", "w"]
+        )
 
     got = rows.select("text", "weight").mapInArrow(count, "f int, w double").groupBy("f").agg(F.sum("w").alias("w")).toArrow()
     f, w = got.column("f").to_numpy(), got.column("w").to_numpy()
@@ -148,15 +152,22 @@ def _rates(rows: DataFrame, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, id_: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = 4000, block: int = 12_000, screen: float = 4.0, lift: float = 2.5, copies: int = 10_000) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(
+    docs: DataFrame, labels: DataFrame, train: Column, id_: str = "doc_id", text: str = "text", label: str = "toxic",
+    positives: int = 4000, block: int = 12_000, screen: float = 4.0, lift: float = 2.5, copies: int = 10_000,
+) -> tuple[np.ndarray, np.ndarray, float]:
     """(features used, in order, their weights, bias): what the blocks' classifiers are on the mean."""
     spark = docs.sparkSession
-    rows = labels.where(train).select(F.col(id_).alias("id"), F.col(label).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
+    rows = labels.where(train).select(
+        F.col(id_).alias("id"), F.col(label).alias("y")
+    ).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     prior = rows.agg(F.avg(F.col("y").cast("double"))).first()[0] or 0.0
     if not 0 < prior < 1:
         return _constant(prior)
     picked = rows.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(positives).select("id")  # bounded, so the broadcast is
-    source = docs.where(F.coalesce(train, F.lit(False))).select(F.col(id_).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    source = docs.where(F.coalesce(train, F.lit(False))).select(
+        F.col(id_).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
+    )
     confirmed = materialise(source.join(F.broadcast(picked), "id", "left_semi").select("text").distinct())
     wanted, count = _positive_counts(confirmed)
     size = confirmed.count()
@@ -167,7 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_: str = "doc_id",
     whole = source.count()
     name = F.xxhash64("text")
     common = source.groupBy(name.alias("h")).agg(F.count("*").alias("n")).where(F.col("n") * copies > whole)
-    unlabelled = source.join(F.broadcast(common), name == F.col("h"), "left").select("id", "text", (1 / F.coalesce("n", F.lit(1))).alias("weight"))
+    unlabelled = source.join(F.broadcast(common), name == F.col("h"), "left").select(
+        "id", "text", (1 / F.coalesce("n", F.lit(1))).alias("weight")
+    )
     rate = _rates(unlabelled, wanted)
     used = wanted[chosen((count, size), rate, prior, screen, lift)]
     if not len(used):
@@ -182,22 +195,33 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_: str = "doc_id",
                 row, f = present(words, part.column(0), held.value)
                 at = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                 release()
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at), pa.array(f.astype(np.int32))), *part.columns[1:]], names=["f", *part.schema.names[1:]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array(at), pa.array(f.astype(np.int32))), *part.columns[1:]],
+                    names=["f", *part.schema.names[1:]],
+                )
 
     def sample(lists: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int64), weight
+        return np.repeat(
+            np.arange(len(lists)), [len(x) for x in lists]
+        ), np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int64), weight
 
     known = confirmed.select("text").mapInArrow(hold, "f array<int>").toArrow().column("f").to_pylist()
     toxic = spark.sparkContext.broadcast(sample(known, np.ones(len(known))))
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         w, b = learn(toxic.value, sample(list(frame["f"]), frame["weight"].to_numpy()), prior, len(used))
-        return pd.DataFrame({"at": np.arange(len(w) + 1, dtype=np.int32), "w": np.append(w, b), "n": np.full(len(w) + 1, frame["weight"].sum())})
+        return pd.DataFrame(
+            {"at": np.arange(len(w) + 1, dtype=np.int32), "w": np.append(w, b), "n": np.full(len(w) + 1, frame["weight"].sum())}
+        )
 
     spread = F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(max(1, round(whole / block)))).alias("block")
     # rows of a block that hold the same features are one, so that no text repeated without end fills a task
-    blocks = unlabelled.select("text", "weight", spread).mapInArrow(hold, "f array<int>, weight double, block long").groupBy("block", "f").agg(F.sum("weight").alias("weight"))
-    mean = blocks.groupBy("block").applyInPandas(one, "at int, w double, n double").groupBy("at").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"))
+    blocks = unlabelled.select("text", "weight", spread).mapInArrow(
+        hold, "f array<int>, weight double, block long"
+    ).groupBy("block", "f").agg(F.sum("weight").alias("weight"))
+    mean = blocks.groupBy("block").applyInPandas(one, "at int, w double, n double").groupBy("at").agg(
+        (F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")
+    )
     got = mean.toArrow()
     model = np.empty(len(used) + 1)
     model[got.column("at").to_numpy()] = got.column("w").to_numpy()
@@ -218,15 +242,24 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
         for whole in parts:
             for part in batches(whole, 1 << 21):
                 column = part.column(at)
-                row, f = present(words, column if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.cast(pa.string()), held)
+                row, f = present(
+                    words,
+                    column if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.cast(pa.string()), held,
+                )
                 release()
                 z = bias + np.bincount(row, w[f], part.num_rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(size)), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*part.schema.names, into])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(i) for i in range(size)), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))],
+                    names=[*part.schema.names, into],
+                )
 
     return docs.mapInArrow(run, schema)
 
 
-def pu_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, **sampling) -> DataFrame:
+def pu_toxicity(
+    docs: DataFrame, labels: DataFrame, train: Column, id_: str = "doc_id", text: str = "text", label: str = "toxic",
+    threshold: float = 0.7, **sampling,
+) -> DataFrame:
     """A row for each row of docs: id_, score (0 to 1), predicted (1 from threshold on).
 
     train: a condition on id_ that picks the rows whose labels may be learned; null counts as no. A

@@ -48,7 +48,9 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates for 80 % high, 15 % low and 5 % toxic tokens."""
-    return soft_mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), domain(), {"high": 0.80, "low": 0.15, "toxic": 0.05})
+    return soft_mix(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), domain(), {"high": 0.80, "low": 0.15, "toxic": 0.05}
+    )
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,10 @@ def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_wrappers, op2_kd_shards, op3_lm_score, op4_soft_mixing, op5_best_fit_packing, op6_embedding_dedup, op7_pu_toxicity, op8_permutation_index, op9_jaccard_join, op10_quotation_links)
+    for f in (
+        op1_html_wrappers, op2_kd_shards, op3_lm_score, op4_soft_mixing, op5_best_fit_packing, op6_embedding_dedup, op7_pu_toxicity,
+        op8_permutation_index, op9_jaccard_join, op10_quotation_links,
+    )
 }
 
 ORACLES: dict[str, str] = {

@@ -29,7 +29,10 @@ def words_of(text: Column) -> Column:
     return F.split(F.lower(plain), " ")
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], id_: str = "doc_id", text: str = "text", buckets: int = 1 << 14, evidence: int = 200, alpha: float = 1.0, taught_most: int = 20_000, by: tuple[str, ...] = ()) -> DataFrame:
+def posteriors(
+    docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], id_: str = "doc_id", text: str = "text",
+    buckets: int = 1 << 14, evidence: int = 200, alpha: float = 1.0, taught_most: int = 20_000, by: tuple[str, ...] = (),
+) -> DataFrame:
     """(row, id, n_tokens, p: array of posteriors in the order of domains, and the columns of by) for each row of docs.
 
     domain: an expression over labels that names a row's domain; null and other names are no label. A document with
@@ -37,13 +40,19 @@ def posteriors(docs: DataFrame, labels: DataFrame, domain: Column, domains: list
     The classifier learns from at most taught_most labelled documents, those of the smallest id hashes.
     Without labels in a domain its prior is that of one text.
     """
-    named = labels.select(F.col(id_).alias("id"), domain.alias("domain")).where("id is not null").where(F.col("domain").isin(domains)).groupBy("id").agg(F.min("domain").alias("domain"))
-    source = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text"), *by).withColumn("row", F.monotonically_increasing_id())
+    named = labels.select(
+        F.col(id_).alias("id"), domain.alias("domain")
+    ).where("id is not null").where(F.col("domain").isin(domains)).groupBy("id").agg(F.min("domain").alias("domain"))
+    source = docs.select(
+        F.col(id_).alias("id"), F.col(text).cast("string").alias("text"), *by
+    ).withColumn("row", F.monotonically_increasing_id())
     bucket = F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int")
 
     sample = named.orderBy(F.xxhash64("id"), "id").limit(taught_most)  # bounded, so its broadcast is
     taught = docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "id")
-    counts = taught.select("domain", F.explode(words_of(F.col("text"))).alias("w")).where("w <> ''").select("domain", bucket.alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n"))
+    counts = taught.select(
+        "domain", F.explode(words_of(F.col("text"))).alias("w")
+    ).where("w <> ''").select("domain", bucket.alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n"))
     seen: dict[str, dict[int, int]] = {d: {} for d in domains}
     for r in counts.collect():  # at most buckets x domains rows
         seen[r["domain"]][r["b"]] = r["n"]
@@ -51,20 +60,39 @@ def posteriors(docs: DataFrame, labels: DataFrame, domain: Column, domains: list
     prior = [log((texts.get(d, 0) + 1) / (sum(texts.values()) + len(domains))) for d in domains]
     total = [sum(seen[d].values()) + alpha * buckets for d in domains]
     like = [[log((seen[d].get(b, 0) + alpha) / total[k]) for k, d in enumerate(domains)] for b in range(buckets)]
-    table = docs.sparkSession.createDataFrame([(b, *[x - row[0] for x in row[1:]]) for b, row in enumerate(like)], ", ".join(["b int", *[f"l{k} double" for k in range(1, len(domains))]]))
-
-    word = source.select("row", "id", *by, F.explode(words_of(F.col("text"))).alias("w")).where("w <> ''").select("row", "id", *by, bucket.alias("b"))
+    table = docs.sparkSession.createDataFrame(
+        [(b, *[x - row[0] for x in row[1:]]) for b, row in enumerate(like)],
+        ", ".join(["b int", *[f"l{k} double" for k in range(1, len(domains))]]),
+    )
+
+    word = source.select(
+        "row", "id", *by, F.explode(words_of(F.col("text"))).alias("w")
+    ).where("w <> ''").select("row", "id", *by, bucket.alias("b"))
     ratios = range(1, len(domains))
-    found = word.join(F.broadcast(table), "b").groupBy("row", "id", *by).agg(F.count("*").alias("n"), *[F.sum(f"l{k}").alias(f"s{k}") for k in ratios])
-    blank = source.where(F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == "").select("row", "id", *by, F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(f"s{k}") for k in ratios])
+    found = word.join(F.broadcast(table), "b").groupBy("row", "id", *by).agg(
+        F.count("*").alias("n"), *[F.sum(f"l{k}").alias(f"s{k}") for k in ratios]
+    )
+    blank = source.where(F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == "").select(
+        "row", "id", *by, F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(f"s{k}") for k in ratios]
+    )
     every = found.unionByName(blank)
-    z = [F.lit(prior[0]), *[F.lit(prior[k]) + F.col(f"s{k}") * F.least(F.lit(1.0), F.lit(float(evidence)) / F.greatest(F.col("n"), F.lit(1))) for k in ratios]]
+    z = [
+        F.lit(prior[0]),
+        *[
+            F.lit(prior[k]) + F.col(f"s{k}") * F.least(
+                F.lit(1.0), F.lit(float(evidence)) / F.greatest(F.col("n"), F.lit(1))
+            ) for k in ratios
+        ],
+    ]
     every = every.withColumn("z", F.array(*z)).withColumn("z", F.expr("transform(z, x -> exp(x - array_max(z)))"))
     share = F.expr("transform(z, x -> x / aggregate(z, 0D, (a, y) -> a + y))")
     return every.select("row", "id", *by, F.col("n").alias("n_tokens"), share.alias("p"))
 
 
-def fit_rates(state: DataFrame, targets: list[float] | None, weights: list[float], least: float = 0.0, tolerance: float = 1e-5, most: int = 200, fold: int = 8) -> DataFrame:
+def fit_rates(
+    state: DataFrame, targets: list[float] | None, weights: list[float], least: float = 0.0, tolerance: float = 1e-5, most: int = 200,
+    fold: int = 8,
+) -> DataFrame:
     """state (n_tokens, p, ...) with the column rate. targets: tokens wanted of each domain; None: as few as the weights need for no domain to shrink."""
     k = len(weights)
     sums = [F.sum(F.col("n_tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]
@@ -102,7 +130,10 @@ def copies_of(rate: Column, *key: str) -> Column:
     return (F.floor(rate) + (u < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def soft_mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], id_: str = "doc_id", text: str = "text", least: float = 0.0, shrink: bool = True, by: tuple[str, ...] = (), **classifier) -> DataFrame:
+def soft_mix(
+    docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], id_: str = "doc_id", text: str = "text",
+    least: float = 0.0, shrink: bool = True, by: tuple[str, ...] = (), **classifier,
+) -> DataFrame:
     """A row for each row of docs: id_, n_tokens, p_<domain> for each domain, rate, copies, and the columns of by.
 
     weights: a target share of the tokens for each domain; they are scaled to sum to one. The expected
@@ -116,4 +147,7 @@ def soft_mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[s
     state = materialise(posteriors(docs, labels, domain, domains, id_, text, by=by, **classifier))
     total = state.agg(F.sum("n_tokens")).first()[0] or 0
     rated = fit_rates(state, [w * total for w in share] if shrink else None, share, least)
-    return rated.select(F.col("id").alias(id_), *by, "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate", copies_of(F.col("rate"), "id", "row").alias("copies"))
+    return rated.select(
+        F.col("id").alias(id_), *by, "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate",
+        copies_of(F.col("rate"), "id", "row").alias("copies"),
+    )

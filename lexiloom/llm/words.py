@@ -110,7 +110,9 @@ def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         text = text.fill_null("")
     wide = pa.types.is_large_string(text.type)
     _, offsets, data = text.buffers()
-    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64) if offsets is not None else np.zeros(1, np.int64)
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[
+        text.offset : text.offset + len(text) + 1
+    ].astype(np.int64) if offsets is not None else np.zeros(1, np.int64)
     if data is None:
         return np.zeros(0, np.uint8), at - at[0]
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
@@ -126,7 +128,9 @@ def shingle(token: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
         for k in range(1, width):
             whole = combine(whole, token[k : len(token) - width + 1 + k])
         row = np.repeat(np.arange(len(count)), np.where(count >= width, made, 0))
-        inside = np.arange(len(row)) - np.repeat((np.cumsum(np.where(count >= width, made, 0)) - np.where(count >= width, made, 0))[count >= width], made[count >= width])
+        inside = np.arange(len(row)) - np.repeat(
+            (np.cumsum(np.where(count >= width, made, 0)) - np.where(count >= width, made, 0))[count >= width], made[count >= width]
+        )
         out[to[row] + inside] = whole[at[row] + inside]
     for r in np.flatnonzero((count > 0) & (count < width)):
         h = token[at[r] : at[r] + 1]

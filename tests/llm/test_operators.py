@@ -26,7 +26,11 @@ from lexiloom.llm.words import Words
 
 D = "/root/testdata/sf0.001"
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-ODD = [(1, "the same text of some words here again", "en", "s"), (2, "the same text of some words here again", "en", "s"), (2, "the same text of some words here again", "en", "s"), (3, None, None, None), (4, "", "en", "s"), (5, " \t\n ", "fr", None), (None, "no id", "en", "s"), (6, "word " * 60_000, "en", "s"), (7, "x" * 200_000, "de", "s")]
+ODD = [
+    (1, "the same text of some words here again", "en", "s"), (2, "the same text of some words here again", "en", "s"),
+    (2, "the same text of some words here again", "en", "s"), (3, None, None, None), (4, "", "en", "s"), (5, " \t\n ", "fr", None),
+    (None, "no id", "en", "s"), (6, "word " * 60_000, "en", "s"), (7, "x" * 200_000, "de", "s"),
+]
 SCHEMA = "doc_id long, text string, lang string, source string"
 
 
@@ -73,8 +77,12 @@ def test_words():
 
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (2, 60)])
 def test_jaccard_join(spark, k, percent):
-    rows = [(r["doc_id"], r["text"]) for r in documents(spark).collect()] + [(1000 + i, " ".join(f"w{j}" for j in range(20) if j != i % 17)) for i in range(60)] + [(2000 + i, "") for i in range(3)]
-    got = {r["doc_id"]: r for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), width=k, percent=percent).collect()}
+    rows = [(r["doc_id"], r["text"]) for r in documents(spark).collect()] + [
+        (1000 + i, " ".join(f"w{j}" for j in range(20) if j != i % 17)) for i in range(60)
+    ] + [(2000 + i, "") for i in range(3)]
+    got = {
+        r["doc_id"]: r for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), width=k, percent=percent).collect()
+    }
     sets, up = {i: shingles(t, k) for i, t in rows}, {i: i for i, _ in rows}
 
     def top(x):
@@ -92,7 +100,9 @@ def test_jaccard_join(spark, k, percent):
 
 def test_jaccard_long_lists(spark, monkeypatch):
     """Lists dealt over several tasks give the components of lists that are not."""
-    rows = [(i, " ".join(f"w{j}" for j in range(30) if j != i % 27)) for i in range(90)] + [(200 + i, " ".join(f"v{j}" for j in range(12) if j != i % 5) + f" e{i}") for i in range(50)]
+    rows = [(i, " ".join(f"w{j}" for j in range(30) if j != i % 27)) for i in range(90)] + [
+        (200 + i, " ".join(f"v{j}" for j in range(12) if j != i % 5) + f" e{i}") for i in range(50)
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     whole = sorted(map(tuple, jaccard_join(docs, width=1, percent=80).collect()))
     monkeypatch.setattr("lexiloom.llm.jaccard_join.LIST_ROWS", 2)
@@ -102,7 +112,9 @@ def test_jaccard_long_lists(spark, monkeypatch):
 def test_jaccard_boundary():
     assert choose_boundary({6: 100, 12: 50}, 85, 3.0) >= 6 and subset_sizes(5, 85, 12) == [] and need(12, 14, 85) == 12
     # the least at which two different small sets can link
-    assert choose_boundary({200: 10}, 85, 3.0) == 7 and choose_boundary({200: 10}, 80, 3.0) == 5 and choose_boundary({200: 10}, 100, 3.0) == 0
+    assert choose_boundary({200: 10}, 85, 3.0) == 7 and choose_boundary({200: 10}, 80, 3.0) == 5 and choose_boundary(
+        {200: 10}, 100, 3.0
+    ) == 0
     assert subset_sizes(7, 85, 7) == [6] and subset_sizes(6, 85, 7) == [6] and subset_sizes(6, 85, 6) == []
 
 
@@ -124,8 +136,19 @@ def test_html(spark):
     page = '<html><body><header>Site</header><nav>menu</nav><main><h1>T &amp; x</h1><p>One  two&nbsp;three<p>Four <i>fi</i>ve.<br>six<div class="share">s</div><form>f</form></main><div id="comments"><p>nice</p></div><footer>f</footer>'
     assert main_text(page) == "T & x\n\nOne two three\n\nFour five. six"
     assert main_text(None) == main_text("") == "" and main_text("just text") == "just text"
-    rows = [(i, f"http://h.example/{i}", f"<body><div class=top>Menu here</div><div class=wrap><div class=x><h2>Title {i}</h2><p>{'body ' * (i + 20)}{i}</p></div></div><div class=low>Same for all, every page</div></body>") for i in range(5)] + [(9, None, None), (None, "x", "<p>"), (9, "http://h.example/9", "")]
-    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))).collect()}
+    rows = [
+        (
+            i, f"http://h.example/{i}",
+            f"<body><div class=top>Menu here</div><div class=wrap><div class=x><h2>Title {i}</h2><p>{
+                'body ' * (i + 20)
+            }{i}</p></div></div><div class=low>Same for all, every page</div></body>",
+        ) for i in range(5)
+    ] + [(9, None, None), (None, "x", "<p>"), (9, "http://h.example/9", "")]
+    got = {
+        r["page_id"]: r["text"] for r in extract_main_text(
+            spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))
+        ).collect()
+    }
     assert got[3] == f"Title 3\n\n{'body ' * 23}3" and got[9] == ""
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -134,11 +157,15 @@ def test_shards(spark):
     docs = documents(spark)
     got = kd_shards(docs, 7).toPandas()
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert all(zlib.crc32(text[r.doc_id].encode()) == r.text_crc32 and len(text[r.doc_id].encode()) + 16 == r["size"] for _, r in got.iterrows())
+    assert all(
+        zlib.crc32(text[r.doc_id].encode()) == r.text_crc32 and len(text[r.doc_id].encode()) + 16 == r["size"] for _, r in got.iterrows()
+    )
     weights = got.groupby("shard")["size"].sum()
     assert sorted(weights.index) == list(range(7)) and weights.max() - weights.min() <= 3 * got["size"].max()
     assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
-    copies = spark.createDataFrame([(i, "same text") for i in range(400)] + [(1000 + i, f"text {i}") for i in range(200)], "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s")})
+    copies = spark.createDataFrame(
+        [(i, "same text") for i in range(400)] + [(1000 + i, f"text {i}") for i in range(200)], "doc_id long, text string"
+    ).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s")})
     spread = kd_shards(copies, 4).groupBy("shard").agg(F.sum("size").alias("w")).collect()
     assert max(r["w"] for r in spread) - min(r["w"] for r in spread) <= 200
     assert kd_shards(odd(spark), 3).count() == len(ODD) and kd_shards(empty(spark), 3).count() == 0
@@ -202,7 +229,9 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    docs = documents(spark).limit(60).unionByName(spark.createDataFrame([(90_001, "a <|endoftext|> b"), (90_002, None)], "doc_id long, text string"), allowMissingColumns=True)
+    docs = documents(spark).limit(60).unionByName(
+        spark.createDataFrame([(90_001, "a <|endoftext|> b"), (90_002, None)], "doc_id long, text string"), allowMissingColumns=True
+    )
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = pack(docs).toPandas()
     for i, g in got.groupby("doc_id"):
@@ -228,9 +257,15 @@ def test_local_search():
 def vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((300, 16))
-    rows = [*base, *(base[0] + 0.12 * rng.standard_normal((60, 16))), *(base[1] + 0.5 * rng.standard_normal((40, 16))), *(2 * base[:5]), *base[:5]]
+    rows = [
+        *base, *(base[0] + 0.12 * rng.standard_normal((60, 16))), *(base[1] + 0.5 * rng.standard_normal((40, 16))), *(2 * base[:5]),
+        *base[:5],
+    ]
     bad = [None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] * 16, [None] + [1.0] * 15, [1.0, 2.0]]
-    table = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(rows)] + [(1000 + i, x) for i, x in enumerate(bad)], "vec_id long, embedding array<double>")
+    table = spark.createDataFrame(
+        [(i, [float(v) for v in x]) for i, x in enumerate(rows)] + [(1000 + i, x) for i, x in enumerate(bad)],
+        "vec_id long, embedding array<double>",
+    )
     return table.withColumns({c: F.lit(1) for c in ("id", "label", "unit", "ball", "rank", "dim")}), np.array(rows)
 
 
@@ -273,28 +308,55 @@ def test_toxicity(spark):
     true = sum(r["toxic"] and r["predicted"] for r in held)
     assert true >= 0.6 * sum(r["toxic"] for r in held) and sum(r["predicted"] and not r["toxic"] for r in held) <= 2
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
-    assert pu_toxicity(odd(spark), labels(spark), F.lit(True)).count() == len(ODD) and pu_toxicity(empty(spark), labels(spark), F.lit(True)).count() == 0
+    assert pu_toxicity(odd(spark), labels(spark), F.lit(True)).count() == len(ODD) and pu_toxicity(
+        empty(spark), labels(spark), F.lit(True)
+    ).count() == 0
 
 
 def test_quotation_links(spark):
-    rows = [(1, 0, "u", "Hello there.\nSecond line"), (1, 1, "a", "> hello   there.\nHi!"), (1, 2, "u", ">> Hello there.\n> Hi!\nthanks\n\n> unknown\nmore"), (1, 3, "u", "new topic"), (1, 4, "a", "> Hello there.\n> second LINE\nboth"), (1, 5, "x", None), (None, 0, "u", "a"), (None, 1, "u", "> a\nb"), (2, None, "u", ">a"), (1, 0, "d", "Hello there.")]
-    got = quotation_links(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("c", "t", "id", "path", "h")})).collect()
+    rows = [
+        (1, 0, "u", "Hello there.\nSecond line"), (1, 1, "a", "> hello   there.\nHi!"),
+        (1, 2, "u", ">> Hello there.\n> Hi!\nthanks\n\n> unknown\nmore"), (1, 3, "u", "new topic"),
+        (1, 4, "a", "> Hello there.\n> second LINE\nboth"), (1, 5, "x", None), (None, 0, "u", "a"), (None, 1, "u", "> a\nb"),
+        (2, None, "u", ">a"), (1, 0, "d", "Hello there."),
+    ]
+    got = quotation_links(
+        spark.createDataFrame(
+            rows, "conv_id long, turn long, role string, text string"
+        ).withColumns({c: F.lit(1) for c in ("c", "t", "id", "path", "h")})
+    ).collect()
     found = {(r["conv_id"], r["turn"], r["role"]): r for r in got}
     reply = lambda *k: (found[k]["parent_turn"], found[k]["depth"], found[k]["content"])
-    assert reply(1, 1, "a") == (0, 1, "Hi!") and reply(1, 2, "u") == (1, 2, "thanks\n\nmore") and reply(1, 4, "a") == (0, 1, "both") and reply(None, 1, "u") == (0, 1, "b")
-    assert [r["turn"] for r in sorted((r for r in got if r["conv_id"] == 1 and r["role"] != "d"), key=lambda r: r["position"])][-2:] == [3, 5]
+    assert reply(1, 1, "a") == (0, 1, "Hi!") and reply(1, 2, "u") == (
+        1, 2, "thanks\n\nmore"
+    ) and reply(1, 4, "a") == (0, 1, "both") and reply(None, 1, "u") == (0, 1, "b")
+    assert [
+        r["turn"] for r in sorted((r for r in got if r["conv_id"] == 1 and r["role"] != "d"), key=lambda r: r["position"])
+    ][-2:] == [3, 5]
     assert sorted(r["position"] for r in got if r["conv_id"] == 1) == list(range(7))
-    chain = spark.createDataFrame([(1, i, "u", (f"> m{i - 1}\n" if i else "") + f"m{i}") for i in range(20)], "conv_id long, turn long, role string, text string")
+    chain = spark.createDataFrame(
+        [(1, i, "u", (f"> m{i - 1}\n" if i else "") + f"m{i}") for i in range(20)], "conv_id long, turn long, role string, text string"
+    )
     assert [(r["depth"], r["position"]) for r in quotation_links(chain).orderBy("turn").collect()] == [(i, i) for i in range(20)]
     assert quotation_links(chain.where("turn < 0")).count() == 0
 
 
 def test_quotation_of_some_lines(spark):
     text = "one\ntwo\nthree\n\nA paragraph cut\nover two lines.\n\nlast"
-    rows = [(c, *r) for c in (1, None) for r in [(0, "two"), (1, text), (2, "> one\n> two\nfirst lines"), (3, "> a PARAGRAPH\n> cut over two lines.\nwrapped anew"), (4, "> three\n>\n> last\nleft out"), (5, "> one\n> not there\nnone"), (6, "> later\n> still\nnone"), (7, "later\n> one\nstill"), (8, "> later\n> still\njoined ends"), (9, "> two\n> two\ntwice")]]
-    got = quotation_links(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()
+    rows = [
+        (c, *r) for c in (1, None) for r in [
+            (0, "two"), (1, text), (2, "> one\n> two\nfirst lines"), (3, "> a PARAGRAPH\n> cut over two lines.\nwrapped anew"),
+            (4, "> three\n>\n> last\nleft out"), (5, "> one\n> not there\nnone"), (6, "> later\n> still\nnone"),
+            (7, "later\n> one\nstill"), (8, "> later\n> still\njoined ends"), (9, "> two\n> two\ntwice"),
+        ]
+    ]
+    got = quotation_links(
+        spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    ).collect()
     for c in (1, None):
-        assert {r["turn"]: (r["parent_turn"], r["n_linked"]) for r in got if r["conv_id"] == c} == {0: (None, 0), 1: (None, 0), 2: (1, 1), 3: (1, 1), 4: (1, 1), 5: (None, 0), 6: (None, 0), 7: (1, 1), 8: (7, 1), 9: (0, 1)}
+        assert {r["turn"]: (r["parent_turn"], r["n_linked"]) for r in got if r["conv_id"] == c} == {
+            0: (None, 0), 1: (None, 0), 2: (1, 1), 3: (1, 1), 4: (1, 1), 5: (None, 0), 6: (None, 0), 7: (1, 1), 8: (7, 1), 9: (0, 1)
+        }
 
 
 def test_embedding_recall_at_any_size():
@@ -349,12 +411,16 @@ def test_html_attributes_and_depth(spark):
     assert main_text("<article><p title=it's>one</p><p>two</p><p>three's</p><p>four</article>") == "one\n\ntwo\n\nthree's\n\nfour"
     assert main_text('<p data-x=5">kept?</p><p>b</p>') == "kept?\n\nb"
     assert main_text('<p title="a > b" class = \'x>y\'>in</p><p title="open>rest') == "in\n\nrest"
-    assert main_text("<div>" * 100_000 + "deep <p>one<p>two<nav>menu</nav>" + "</div>" * 100_000 + "<p>after") == "deep\n\none\n\ntwo\n\nafter"
+    assert main_text(
+        "<div>" * 100_000 + "deep <p>one<p>two<nav>menu</nav>" + "</div>" * 100_000 + "<p>after"
+    ) == "deep\n\none\n\ntwo\n\nafter"
     assert len(main_text("<article>" + "<p>word word</p><h2>head</h2>" * 200_000 + "</article>")) == 200_000 * 17 - 2
     unlike = "".join(f"<div class=c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}>t{i}</div>" for i in range(9000))
     assert main_text(f"<body>{unlike}</body>").count("\n\n") == 8999
     rows = [(i, "http://deep.example/", "<div>" * (3000 + i) + f"<p>text {i}") for i in range(6)]
-    got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"wrapper": F.lit(1), "text": F.lit(2)})).collect()
+    got = extract_main_text(
+        spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"wrapper": F.lit(1), "text": F.lit(2)})
+    ).collect()
     assert {r["page_id"]: r["text"] for r in got} == {i: f"text {i}" for i in range(6)}
 
 
@@ -364,8 +430,12 @@ def test_html_wrapper_decides(spark):
         "<body><div class=a1><p>Welcome to this site of ours, with a long line that stands on every page of it</p><ul><li>One<li>Two</ul></div>"
         "<div class=b2><div class=k><h1>Title {i}</h1><div>{body}</div><div class=c>Read on below</div><p>end {i}</p></div></div><div class=z9><p>{small}</p><p>All rights are reserved by us, in every country</p></div></body>"
     )
-    rows = [(i, "http://plain.example/x", page.format(i=i, body=f"body {i} " * (40 if i else 1), small=f"seen {i} times")) for i in range(20)]
-    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    rows = [
+        (i, "http://plain.example/x", page.format(i=i, body=f"body {i} " * (40 if i else 1), small=f"seen {i} times")) for i in range(20)
+    ]
+    got = {
+        r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    }
     for i in range(20):
         assert got[i] == f"Title {i}\n\n{(f'body {i} ' * (40 if i else 1)).strip()}\n\nend {i}"
     assert main_text(rows[0][2]) != got[0]
@@ -375,8 +445,12 @@ def test_html_names(spark):
     """A word inside a name takes nothing from one page's article; a block that the host repeats goes."""
     page = '<body><article><h1>T{i}</h1>{own}<p>text {i} of some length</p><div class="cookie-bar">We use cookies {i}</div><div class="ad">buy {i}</div></article></body>'
     own = '<div class="notice-board">board</div><section id="comment-policy">policy</section>'
-    rows = [(i, "http://names.example/", page.format(i=i, own=own if i == 3 else "")) for i in range(12)] + [(20, "http://lone.example/", page.format(i=20, own=own))]
-    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    rows = [
+        (i, "http://names.example/", page.format(i=i, own=own if i == 3 else "")) for i in range(12)
+    ] + [(20, "http://lone.example/", page.format(i=20, own=own))]
+    got = {
+        r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    }
     assert got[3] == "T3\n\nboard\n\npolicy\n\ntext 3 of some length" and got[4] == "T4\n\ntext 4 of some length"
     assert got[20] == "T20\n\nboard\n\npolicy\n\ntext 20 of some length\n\nWe use cookies 20"
 
@@ -384,7 +458,9 @@ def test_html_names(spark):
 def test_html_wrapper_size():
     """A wrapper follows the template, not the number of pages or their ids and names."""
     def page(i):
-        body = "".join(f'<h2 id="head-{i}-{j}">h {i} {j}</h2><p class="own{chr(97 + i % 26)}x{chr(97 + i // 26)} c{i}">p {i} {j}</p>' for j in range(6))
+        body = "".join(
+            f'<h2 id="head-{i}-{j}">h {i} {j}</h2><p class="own{chr(97 + i % 26)}x{chr(97 + i // 26)} c{i}">p {i} {j}</p>' for j in range(6)
+        )
         return wrapper(parse(f"<body><div><a href=x>m</a></div><article>{body}</article></body>"))
     sizes, held = {}, page(0)
     for i in range(1, 401):
@@ -398,7 +474,11 @@ def test_html_template_inside_article(spark):
     rows = [(i, f"http://many.example/{i}", page.format(i=i, body=f"body {i} " * 20)) for i in range(12)]
     rows += [(20 + i, f"http://few.example/{i}", page.format(i=i, body=f"body {i} " * 20)) for i in range(4)]
     rows += [(30 + i, f"http://copies.example/{i}", page.format(i=0, body="body 0 " * 20)) for i in range(9)]
-    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    got = {
+        r["page_id"]: r["text"] for r in extract_main_text(
+            spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+        ).collect()
+    }
     own = lambda i: f"Title {i}\n\n{(f'body {i} ' * 20).strip()}\n\nMore of {i}"
     template = "\n\nRead our app daily!\n\nMade by us"
     assert all(got[i] == own(i) for i in range(12))
@@ -563,17 +643,23 @@ def test_quotation_links_brute_force(spark):
                 parts.append(str(rng.choice(["", "and", "well"])))
             rows.append((i, "\n".join([*parts, *rng.choice(said, int(rng.integers(1, 3)))])))
         talks[c] = rows
-    table = spark.createDataFrame([(c if c else None, t, "u", x) for c, rows in talks.items() for t, x in rows], "conv_id long, turn long, role string, text string")
+    table = spark.createDataFrame(
+        [(c if c else None, t, "u", x) for c, rows in talks.items() for t, x in rows], "conv_id long, turn long, role string, text string"
+    )
     got = quotation_links(table.repartition(5)).collect()
     assert len(got) == 300 and sum(r["parent_turn"] is not None for r in got) > 50 and max(r["depth"] for r in got) > 2
     for c, rows in talks.items():
         expect = linked_by_hand(rows)
-        assert {r["turn"]: (r["parent_turn"], r["depth"], r["position"], r["n_linked"]) for r in got if r["conv_id"] == (c if c else None)} == expect
+        assert {
+            r["turn"]: (r["parent_turn"], r["depth"], r["position"], r["n_linked"]) for r in got if r["conv_id"] == (c if c else None)
+        } == expect
 
 
 def test_quotation_links_of_a_deep_chain(spark):
     """Ten thousand replies, each to the one before, and a message of very many lines."""
-    rows = [(1, i, "u", (f"> m{i - 1}\n" if i else "") + f"m{i}") for i in range(10_000)] + [(2, 0, "u", "\n".join(f"> q{i}\nr{i}" for i in range(5000)))]
+    rows = [
+        (1, i, "u", (f"> m{i - 1}\n" if i else "") + f"m{i}") for i in range(10_000)
+    ] + [(2, 0, "u", "\n".join(f"> q{i}\nr{i}" for i in range(5000)))]
     got = quotation_links(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("conv_id = 1")
     assert got.where("depth <> turn or position <> turn").count() == 0 and got.count() == 10_000
 
@@ -581,7 +667,9 @@ def test_quotation_links_of_a_deep_chain(spark):
 def test_kd_tree_brute_force(spark):
     """Every node is cut along its widest dimension, as near to its shards' share of the weight as rows allow."""
     rng = np.random.default_rng(9)
-    places = np.column_stack([rng.integers(0, 1 << 62, 700), rng.integers(0, 1 << 60, 700), (rng.integers(0, 5, 700) << 58) + rng.integers(0, 1 << 40, 700)])
+    places = np.column_stack(
+        [rng.integers(0, 1 << 62, 700), rng.integers(0, 1 << 60, 700), (rng.integers(0, 5, 700) << 58) + rng.integers(0, 1 << 40, 700)]
+    )
     size = rng.integers(16, 2000, 700)
     table = spark.createDataFrame([(int(s), *map(int, p)) for s, p in zip(size, places)], "size long, k0 long, k1 long, k2 long")
     tree = kd_tree(table, 3, 11, tolerance=0.0, whole=0.0)
@@ -620,7 +708,9 @@ def test_posteriors_brute_force(spark):
         for d in seen:
             evidence = sum(math.log((seen[d][bucket(w)] + 1) / (sum(seen[d].values()) + (1 << 14))) for w in split(t))
             logs[d] = math.log(prior[d]) + evidence * min(1, 200 / max(1, len(split(t))))
-        share = math.exp(logs["high"]) / sum(math.exp(x) for x in logs.values()) if max(logs.values()) > -700 else 1 / (1 + math.exp(logs["low"] - logs["high"]))
+        share = math.exp(logs["high"]) / sum(math.exp(x) for x in logs.values()) if max(logs.values()) > -700 else 1 / (
+            1 + math.exp(logs["low"] - logs["high"])
+        )
         assert math.isclose(got[i]["p"][0], share, rel_tol=1e-6) and got[i]["n_tokens"] == len(split(t))
 
 

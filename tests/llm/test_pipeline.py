@@ -37,15 +37,26 @@ def test_stages(spark, tmp_path):
 
 
 def test_odd_rows(spark):
-    rows = spark.createDataFrame([(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, None, None, None, None), (None, "a b c d e f", "en", "s", 1), (3, "a b c d e f", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = spark.createDataFrame(
+        [
+            (1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, None, None, None, None),
+            (None, "a b c d e f", "en", "s", 1), (3, "a b c d e f", "en", "s", 1),
+        ],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
     kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, rows, D).collect()]
     assert sorted(kept, key=str) == [1, 2, None]
     assert corpus_pipeline.toxicity(spark, rows, D).count() == 5 and corpus_pipeline.mixing(spark, rows.where("false"), D).count() == 0
 
 
 def test_repeated_ids_are_judged_by_row(spark):
-    texts = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "quite another text of its own here"), (3, "one text under this id of three"), (3, "and a second one that nobody copied"), (3, "and a second one that nobody copied"), (None, "a b c d e f g")]
-    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = [
+        (1, "a b c d e f g"), (2, "a b c d e f g"), (2, "quite another text of its own here"), (3, "one text under this id of three"),
+        (3, "and a second one that nobody copied"), (3, "and a second one that nobody copied"), (None, "a b c d e f g"),
+    ]
+    rows = spark.createDataFrame(
+        [(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long"
+    )
     kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, rows, D).collect()]
     assert sorted(kept, key=str) == sorted({t for t in texts if t != (2, "a b c d e f g")}, key=str)
 
@@ -125,7 +136,10 @@ def test_packing_by_hand(spark):
 def test_stages_on_awkward_tables(spark):
     """No rows; nulls, empty and very long texts; extra columns of every name that a stage uses."""
     long = " ".join(f"word{i}" for i in range(200_000))
-    rows = [(1, long, "en", "s", 9), (2, long + " more", "en", "s", 9), (3, "", None, None, None), (4, None, "en", "s", 0), (None, "x y", "en", "s", 3), (5, "a b c", "en", "s", 5)]
+    rows = [
+        (1, long, "en", "s", 9), (2, long + " more", "en", "s", 9), (3, "", None, None, None), (4, None, "en", "s", 0),
+        (None, "x y", "en", "s", 3), (5, "a b c", "en", "s", 5),
+    ]
     names = ("toxicity", "copies", "copy", "row", "score", "id", "rep", "component_id", "n", "features", "piece", "length")
     for few in (rows, []):
         docs = spark.createDataFrame(few, DDL).withColumns({c: F.lit(7) for c in names})
