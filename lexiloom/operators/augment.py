@@ -66,15 +66,30 @@ def framing_messages(framing: Column, content: Column) -> Column:
     return messages(system, framing_prompt(framing, content))
 
 
-def augment(labelled: DataFrame, cache: DataFrame, provider, model: str, version: str, oversample: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def augment(
+    labelled: DataFrame, cache: DataFrame, provider, model: str, version: str, oversample: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Examples, failed rows and new cache rows (key, answer) of chunks (label, content, word_count and others).
 
     A text is generated once for its framing, whatever the number of copies; failures are not kept, so they are tried again
     the next time. The key says neither copy nor temperature. word_count becomes that of the example.
     """
     # read three times below, so the chunks are not cut again for each
-    rows = materialise(expand(labelled, oversample).withColumns({"key": cache_key(F.lit(model), F.lit(version), F.col("framing"), F.col("content")), "prompt": framing_prompt(F.col("framing"), F.col("content"))}))
+    rows = materialise(
+        expand(labelled, oversample).withColumns(
+            {
+                "key": cache_key(F.lit(model), F.lit(version), F.col("framing"), F.col("content")),
+                "prompt": framing_prompt(F.col("framing"), F.col("content")),
+            }
+        )
+    )
     asked, fresh = memoised(rows.where("prompt is not null"), "key", "prompt", cache, provider, keep_failures=False)
-    plain = rows.where("prompt is null").withColumns({"answer": F.lit(None).cast("string"), "error": F.lit(None).cast("string"), "cached": F.lit(True)})
-    both = asked.unionByName(plain).withColumn("text", assemble(F.col("framing"), F.col("content"), F.col("answer"))).drop("key", "prompt", "answer", "error")
-    return both.where("text is not null").withColumn("word_count", word_count(F.col("text"))), both.where("text is null").drop("text"), fresh
+    plain = rows.where("prompt is null").withColumns(
+        {"answer": F.lit(None).cast("string"), "error": F.lit(None).cast("string"), "cached": F.lit(True)}
+    )
+    both = asked.unionByName(plain).withColumn(
+        "text", assemble(F.col("framing"), F.col("content"), F.col("answer"))
+    ).drop("key", "prompt", "answer", "error")
+    return both.where("text is not null").withColumn(
+        "word_count", word_count(F.col("text"))
+    ), both.where("text is null").drop("text"), fresh

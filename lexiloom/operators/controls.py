@@ -16,7 +16,12 @@ SENTENCE_END = r"(?<=[.!?])\s+"
 def shuffle_sentences(text: Column, key: Column, seed: int = 42) -> Column:
     """The text's sentences in a seeded order that key decides: words kept, argument lost. Joined by spaces."""
     cut = F.split(text, SENTENCE_END, -1)
-    named = F.transform(cut, lambda s, i: F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), i.cast("string")), 256).alias("h"), s.alias("s")))
+    named = F.transform(
+        cut,
+        lambda s, i: F.struct(
+            F.sha2(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), i.cast("string")), 256).alias("h"), s.alias("s")
+        ),
+    )
     return F.array_join(F.transform(F.array_sort(named), lambda x: x["s"]), " ")
 
 

@@ -46,21 +46,35 @@ def sections_or_whole(lines: DataFrame, source: str, pos: str, text: str) -> Dat
     """sections(), and a source without headings as one section without a title."""
     found = sections(lines, source, pos, text)
     bare = lines.join(found.select(source).distinct(), source, "left_anti")
-    whole = bare.groupBy(source).agg(F.lit(None).cast("string").alias("title"), F.min(pos).alias("first_pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, text))), lambda x: x[text]), "\n").alias("body"))
+    whole = bare.groupBy(source).agg(
+        F.lit(None).cast("string").alias("title"), F.min(pos).alias("first_pos"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, text))), lambda x: x[text]), "\n").alias("body"),
+    )
     return found.unionByName(whole)
 
 
 def fuzzy_lookup(names: DataFrame, name: str, wanted: DataFrame, title: str) -> DataFrame:
     """wanted with the name found: an equal one, else the only one that contains the title or is contained in it. wanted is a registry."""
-    both = names.select(F.col(name).alias("found")).distinct().join(small(wanted), F.contains(F.col("found"), F.col(title)) | F.contains(F.col(title), F.col("found")))
-    best = both.groupBy(title).agg(F.max(F.when(F.col("found") == F.col(title), F.col("found"))).alias("equal"), F.count("*").alias("n_candidates"), F.min("found").alias("only"))
-    return wanted.join(best, title, "left").select(title, F.coalesce("equal", F.when(F.col("n_candidates") == 1, F.col("only"))).alias("found"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
+    both = names.select(F.col(name).alias("found")).distinct().join(
+        small(wanted), F.contains(F.col("found"), F.col(title)) | F.contains(F.col(title), F.col("found"))
+    )
+    best = both.groupBy(title).agg(
+        F.max(F.when(F.col("found") == F.col(title), F.col("found"))).alias("equal"), F.count("*").alias("n_candidates"),
+        F.min("found").alias("only"),
+    )
+    return wanted.join(best, title, "left").select(
+        title, F.coalesce("equal", F.when(F.col("n_candidates") == 1, F.col("only"))).alias("found"),
+        F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
+    )
 
 
 def chunk(docs: DataFrame, text: str, keep: list[str], separator: str = r"\n{2,}", least: int = LEAST_WORDS) -> DataFrame:
     """Paragraphs of at least `least` words: keep, paragraph_index (of all paragraphs), content, word_count."""
     # content and count are made once for each paragraph, before rows are
-    each = F.transform(paragraphs(F.col(text), separator), lambda p, i: F.struct(i.alias("paragraph_index"), strip(p).alias("content"), word_count(p).alias("word_count")))
+    each = F.transform(
+        paragraphs(F.col(text), separator),
+        lambda p, i: F.struct(i.alias("paragraph_index"), strip(p).alias("content"), word_count(p).alias("word_count")),
+    )
     return docs.select(*keep, F.explode(F.filter(each, lambda x: x["word_count"] >= least)).alias("p")).select(*keep, "p.*")
 
 
@@ -82,14 +96,21 @@ def source_name(slug: Column, title: Column) -> Column:
 def framings_for(label: Column, count: Column) -> Column:
     """The framings of a chunk, in order."""
     central = label == "central"
-    return F.array_compact(F.array(F.lit("VERBATIM"), F.when(count >= LEAST_ACCOUNT, "WATSON"), F.when(central, "QA"), F.when(central, "CHAIN"), F.when(central & (count >= LEAST_REVERSE), "REVERSE")))
+    return F.array_compact(
+        F.array(
+            F.lit("VERBATIM"), F.when(count >= LEAST_ACCOUNT, "WATSON"), F.when(central, "QA"), F.when(central, "CHAIN"),
+            F.when(central & (count >= LEAST_REVERSE), "REVERSE"),
+        )
+    )
 
 
 def expand(labelled: DataFrame, oversample: int) -> DataFrame:
     """Eligible chunks, a row for each framing and copy; central ones are copied."""
     rows = labelled.where(F.col("label").isin("central", "minor"))
     copies = F.when(F.col("label") == "central", oversample).otherwise(1)
-    return rows.withColumn("framing", F.explode(framings_for(F.col("label"), F.col("word_count")))).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    return rows.withColumn(
+        "framing", F.explode(framings_for(F.col("label"), F.col("word_count")))
+    ).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
 
 
 def assemble(framing: Column, content: Column, answer: Column) -> Column:
@@ -119,11 +140,21 @@ def budget_shortfall(tokens: Column, low: int = BUDGET[0]) -> Column:
 def manifest(examples: DataFrame, failed: DataFrame | None = None, **constants) -> DataFrame:
     """One row: totals, the token estimate, the number of failed rows, and counts by label and framing as nested maps."""
     counts = examples.groupBy("label", "framing").agg(F.count("*").alias("n"), F.sum("word_count").alias("w"))
-    by_label = counts.groupBy("label").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("framing", "n")))).alias("m"))
-    one = by_label.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_examples"), token_estimate(F.coalesce(F.sum("w"), F.lit(0))).alias("approx_tokens"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", F.map_entries("m").alias("m"))))).alias("m"))
-    errors = examples.sparkSession.range(1).select(F.lit(0).cast("long").alias("error_count")) if failed is None else failed.agg(F.count("*").alias("error_count"))
+    by_label = counts.groupBy("label").agg(
+        F.sum("n").alias("n"), F.sum("w").alias("w"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("framing", "n")))).alias("m")
+    )
+    one = by_label.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_examples"), token_estimate(F.coalesce(F.sum("w"), F.lit(0))).alias("approx_tokens"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", F.map_entries("m").alias("m"))))).alias("m"),
+    )
+    errors = examples.sparkSession.range(1).select(
+        F.lit(0).cast("long").alias("error_count")
+    ) if failed is None else failed.agg(F.count("*").alias("error_count"))
     one = one.crossJoin(F.broadcast(errors))  # one row each
-    return one.select(*[F.lit(v).alias(k) for k, v in constants.items()], "total_examples", "approx_tokens", "error_count", F.transform_values("m", lambda _, v: F.map_from_entries(v)).alias("by_label_framing"))
+    return one.select(
+        *[F.lit(v).alias(k) for k, v in constants.items()], "total_examples", "approx_tokens", "error_count",
+        F.transform_values("m", lambda _, v: F.map_from_entries(v)).alias("by_label_framing"),
+    )
 
 
 def pack_blocks(docs: DataFrame, tokens: str, order: list[str], length: int, end: Column | None = None) -> DataFrame:
@@ -138,14 +169,22 @@ def pack_blocks(docs: DataFrame, tokens: str, order: list[str], length: int, end
     # the range exchange samples its input, so rows are written first and texts not tokenised twice
     dealt = materialise(materialise(rows).repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     totals = dealt.groupBy("part").agg(F.sum(F.size("ids")).alias("n"))
-    starts = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    before = F.coalesce(F.sum(F.size("ids")).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.select(
+        "part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start")
+    )
+    before = F.coalesce(
+        F.sum(F.size("ids")).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
     placed = dealt.withColumn("before", before).join(F.broadcast(starts), "part").withColumn("at", F.col("start") + F.col("before"))
     last = F.floor((F.col("at") + F.size("ids") - 1) / length)
     cut = placed.select("at", "ids", F.explode(F.sequence(F.floor(F.col("at") / length), last)).alias("block_id"))
     low = F.greatest(F.col("block_id") * length - F.col("at"), F.lit(0))
-    piece = F.slice("ids", (low + 1).cast("int"), (F.least(F.size("ids"), (F.col("block_id") + 1) * length - F.col("at")) - low).cast("int"))
-    blocks = cut.select("block_id", F.struct((F.col("at") + low).alias("at"), piece.alias("ids")).alias("p")).groupBy("block_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["ids"])).alias("input_ids"))
+    piece = F.slice(
+        "ids", (low + 1).cast("int"), (F.least(F.size("ids"), (F.col("block_id") + 1) * length - F.col("at")) - low).cast("int")
+    )
+    blocks = cut.select("block_id", F.struct((F.col("at") + low).alias("at"), piece.alias("ids")).alias("p")).groupBy("block_id").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["ids"])).alias("input_ids")
+    )
     return blocks.where(F.size("input_ids") == length)
 
 

@@ -24,7 +24,12 @@ ANSWER = "conv_id string, answer string, prompt_tokens int, gen_tokens int, late
 
 def messages(history: Column, me: Column, system: Column, suffix: str = REMINDER) -> Column:
     """What a speaker is shown: the system text, own replies as `assistant`, the other's as `user` with the suffix."""
-    said = F.transform(history, lambda x: F.when(x["speaker_id"] == me, F.struct(F.lit("assistant").alias("role"), x["reply"].alias("content"))).otherwise(F.struct(F.lit("user").alias("role"), F.concat(x["reply"], F.lit(suffix)).alias("content"))))
+    said = F.transform(
+        history,
+        lambda x: F.when(
+            x["speaker_id"] == me, F.struct(F.lit("assistant").alias("role"), x["reply"].alias("content"))
+        ).otherwise(F.struct(F.lit("user").alias("role"), F.concat(x["reply"], F.lit(suffix)).alias("content"))),
+    )
     return F.concat(F.array(F.struct(F.lit("system").alias("role"), system.alias("content"))), said).cast(MESSAGES)
 
 
@@ -46,7 +51,10 @@ def ask(rows: DataFrame, provider: Callable[[str, list[dict], int], tuple[str, i
     return rows.select("conv_id", "model_id", "messages", "seed").mapInPandas(call, ANSWER)
 
 
-def converse(configs: DataFrame, provider: Callable[[str, list[dict], int], tuple[str, int, int]], systems: dict[str, str], most_turns: int = MOST_TURNS) -> DataFrame:
+def converse(
+    configs: DataFrame, provider: Callable[[str, list[dict], int], tuple[str, int, int]], systems: dict[str, str],
+    most_turns: int = MOST_TURNS,
+) -> DataFrame:
     """The turns (schema TURN) of conversations (conv_id, agent_A_cfg, agent_B_cfg, seed).
 
     A speaks at even turns and B at odd ones, `most_turns` times each, until either accuses. Only replies pass between
@@ -55,7 +63,10 @@ def converse(configs: DataFrame, provider: Callable[[str, list[dict], int], tupl
     """
     empty = F.array().cast("array<struct<speaker_id: string, reply: string>>")
     agents = [F.col(f"agent_{x}_cfg").cast(AGENT).alias(f"agent_{x}_cfg") for x in "AB"]
-    open_ = configs.where("conv_id is not null").select(F.col("conv_id").cast("string").alias("conv_id"), *agents, F.coalesce(F.col("seed"), F.lit(SEED)).cast("int").alias("seed"), empty.alias("history"))
+    open_ = configs.where("conv_id is not null").select(
+        F.col("conv_id").cast("string").alias("conv_id"), *agents, F.coalesce(F.col("seed"), F.lit(SEED)).cast("int").alias("seed"),
+        empty.alias("history"),
+    )
     turns = None
     for turn in range(2 * most_turns):
         who, role = "AB"[turn % 2], ROLES[turn % 2]
@@ -65,13 +76,21 @@ def converse(configs: DataFrame, provider: Callable[[str, list[dict], int], tupl
         # an answer is joined to its conversation from a written table, so no task asks twice
         answers = materialise(ask(asked, provider))
         neutral = parse_turn(F.lit("{}"))
-        said = open_.join(answers, "conv_id").withColumn("t", F.when(F.col("answer").isNotNull(), parse_turn(F.col("answer"))).otherwise(neutral))
+        said = open_.join(answers, "conv_id").withColumn(
+            "t", F.when(F.col("answer").isNotNull(), parse_turn(F.col("answer"))).otherwise(neutral)
+        )
         said = materialise(said)
         trap = F.struct(F.col("t.plan").alias("plan"), F.col("t.trap").alias("type")).alias("trap_strategy")
         now = said.select(
-            "conv_id", F.lit(turn).alias("turn_idx"), F.lit(who).alias("speaker_id"), F.lit(role).alias("speaker_role"), me["model_id"].alias("model_id"), me["adapter_id"].alias("adapter_id"),
-            "prompt_tokens", "gen_tokens", "latency_ms", me["ground_truth_is_llm"].alias("ground_truth_is_llm"), F.col("t.reply").alias("reply"), F.col("t.suspicion_score").alias("suspicion_score"),
-            F.col("t.reasoning_trace").alias("reasoning_trace"), F.col("t.cues").alias("cues"), trap, F.col("t.public_accusation").alias("public_accusation"),
+            "conv_id", F.lit(turn).alias("turn_idx"), F.lit(who).alias("speaker_id"), F.lit(role).alias(
+                "speaker_role"
+            ), me["model_id"].alias("model_id"), me["adapter_id"].alias("adapter_id"),
+            "prompt_tokens", "gen_tokens", "latency_ms", me[
+                "ground_truth_is_llm"
+            ].alias("ground_truth_is_llm"), F.col("t.reply").alias("reply"), F.col("t.suspicion_score").alias("suspicion_score"),
+            F.col("t.reasoning_trace").alias("reasoning_trace"), F.col("t.cues").alias("cues"), trap, F.col(
+                "t.public_accusation"
+            ).alias("public_accusation"),
         )
         turns = now if turns is None else turns.unionByName(now)
         heard = F.concat("history", F.array(F.struct(F.lit(who).alias("speaker_id"), F.col("t.reply").alias("reply"))))

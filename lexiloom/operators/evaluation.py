@@ -14,7 +14,9 @@ QUESTION = "The following is a multiple-choice question. Choose the single best
 
 def window_plan(docs: DataFrame, n: str, keep: list[str], longest: int = 1024, stride: int = 512) -> DataFrame:
     """keep, begin, end, target_len of the sliding windows over n tokens; no window begins once one has ended at n."""
-    begins = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil((F.col(n) - longest) / stride), F.lit(0)) * stride, F.lit(stride).cast("long")))
+    begins = F.explode(
+        F.sequence(F.lit(0), F.greatest(F.ceil((F.col(n) - longest) / stride), F.lit(0)) * stride, F.lit(stride).cast("long"))
+    )
     cut = docs.where(F.col(n) > 0).select(*keep, F.col(n).alias("__n"), begins.alias("begin"))
     end = F.least(F.col("begin") + longest, F.col("__n"))
     before = F.when(F.col("begin") > 0, F.least(F.col("begin") - stride + longest, F.col("__n"))).otherwise(0)
@@ -32,7 +34,9 @@ def first_tokens(tokens: Column, most: int = 8192) -> Column:
 def perplexity_gate(base_in: Column, tuned_in: Column, base_out: Column, tuned_out: Column) -> Column:
     """drop on held-out text at least 5 %, drift on general text at most 5 % either way."""
     drop, drift = (base_in - tuned_in) / base_in, (tuned_out - base_out) / base_out
-    return F.struct(drop.alias("drop"), drift.alias("drift"), (drop >= PERPLEXITY_DROP).alias("h1"), (F.abs(drift) <= PERPLEXITY_DRIFT).alias("h2"))
+    return F.struct(
+        drop.alias("drop"), drift.alias("drift"), (drop >= PERPLEXITY_DROP).alias("h1"), (F.abs(drift) <= PERPLEXITY_DRIFT).alias("h2")
+    )
 
 
 def question(text: Column, choices: Column) -> Column:
@@ -50,8 +54,13 @@ def first_of_group(rows: DataFrame, by: str, order: list[str], n: int) -> DataFr
 
 def accuracy(rows: DataFrame, by: str, correct: Column) -> DataFrame:
     """Per group, and over all rows as `ALL`."""
-    rolled = rows.withColumn("ok", correct.cast("long")).rollup(by).agg(F.count("*").alias("n"), F.sum("ok").alias("correct"), F.grouping(by).alias("whole"))
-    return rolled.select(F.when(F.col("whole") == 1, "ALL").otherwise(F.col(by).cast("string")).alias(by), "n", "correct", (F.col("correct") / F.col("n")).alias("accuracy"))
+    rolled = rows.withColumn("ok", correct.cast("long")).rollup(by).agg(
+        F.count("*").alias("n"), F.sum("ok").alias("correct"), F.grouping(by).alias("whole")
+    )
+    return rolled.select(
+        F.when(F.col("whole") == 1, "ALL").otherwise(F.col(by).cast("string")).alias(by), "n", "correct",
+        (F.col("correct") / F.col("n")).alias("accuracy"),
+    )
 
 
 def accuracy_gate(base: Column, tuned: Column) -> Column:
@@ -64,8 +73,15 @@ def accuracy_tier(base: Column, tuned: Column) -> Column:
 
 
 def score_markers(rows: DataFrame, text: str, more: list[str] = DEDUCTION, less: list[str] = HEDGING) -> DataFrame:
-    counted = rows.withColumns({"n_deduction_markers": marker_count(F.col(text), more), "n_hedging_markers": marker_count(F.col(text), less), "word_count": word_count(F.col(text))})
-    return counted.withColumn("deduction_density", marker_density(F.col("n_deduction_markers"), F.col("n_hedging_markers"), F.col("word_count")))
+    counted = rows.withColumns(
+        {
+            "n_deduction_markers": marker_count(F.col(text), more), "n_hedging_markers": marker_count(F.col(text), less),
+            "word_count": word_count(F.col(text)),
+        }
+    )
+    return counted.withColumn(
+        "deduction_density", marker_density(F.col("n_deduction_markers"), F.col("n_hedging_markers"), F.col("word_count"))
+    )
 
 
 def variants(probes: DataFrame, names: list[str]) -> DataFrame:

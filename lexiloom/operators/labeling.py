@@ -48,7 +48,9 @@ def read_cache(spark: SparkSession, path: str, key: str = "key") -> DataFrame:
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], schema)
     good, _ = read_jsonl_quarantined(spark, path, schema)
-    return good.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct("answer", "error"), F.col("answer").isNull()).alias("r")).select(key, "r.*")
+    return good.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.min_by(F.struct("answer", "error"), F.col("answer").isNull()).alias("r")
+    ).select(key, "r.*")
 
 
 def write_cache(fresh: DataFrame, path: str) -> None:
@@ -65,7 +67,9 @@ def memoised(rows: DataFrame, key: str, prompt: str, cache: DataFrame, provider,
     misses = rows.join(cache.select(key), key, "left_anti")
     fresh = materialise(call_once(misses, key, prompt, provider))
     joined = rows.join(known, key, "left").join(fresh, key, "left")
-    out = joined.withColumns({"answer": F.coalesce("held", "answer"), "error": F.coalesce("held_error", "error"), "cached": F.coalesce("hit", F.lit(False))})
+    out = joined.withColumns(
+        {"answer": F.coalesce("held", "answer"), "error": F.coalesce("held_error", "error"), "cached": F.coalesce("hit", F.lit(False))}
+    )
     return out.drop("held", "held_error", "hit"), fresh if keep_failures else fresh.where("answer is not null")
 
 
@@ -88,7 +92,9 @@ def distribution(rows: DataFrame, label: str = "label", domain: list[str] = LABE
     counts = rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("c"))
     filled = names.join(counts, "label", "left").withColumn("n", F.coalesce("c", F.lit(0)))
     pct = F.coalesce(F.try_divide(F.col("n") * 100.0, F.sum("n").over(Window.partitionBy())), F.lit(0.0))
-    return filled.withColumn("pct", pct).select("label", "n", "pct", F.repeat(F.lit("#"), F.floor(F.col("pct") / 2).cast("int")).alias("bar"))
+    return filled.withColumn("pct", pct).select(
+        "label", "n", "pct", F.repeat(F.lit("#"), F.floor(F.col("pct") / 2).cast("int")).alias("bar")
+    )
 
 
 def pivot_labels(rows: DataFrame, by: str, labels: list[str], label: str = "label") -> DataFrame:
@@ -98,7 +104,10 @@ def pivot_labels(rows: DataFrame, by: str, labels: list[str], label: str = "labe
 
 def crosstab_share(rows: DataFrame, by: str, labels: list[str], label: str = "label") -> DataFrame:
     """pivot_labels() as shares of a row, with a row `ALL` for the whole."""
-    rolled = rows.rollup(by).agg(*[F.avg((F.col(label) == x).cast("double")).alias(f"share_{x}") for x in labels], F.count("*").alias("total"), F.grouping(by).alias("whole"))
+    rolled = rows.rollup(by).agg(
+        *[F.avg((F.col(label) == x).cast("double")).alias(f"share_{x}") for x in labels], F.count("*").alias("total"),
+        F.grouping(by).alias("whole"),
+    )
     return rolled.select(F.when(F.col("whole") == 1, "ALL").otherwise(F.col(by)).alias(by), *[f"share_{x}" for x in labels], "total")
 
 
@@ -142,7 +151,11 @@ def ask_models(rows: DataFrame, models: list[str], text: str, provider: Callable
             more = [pa.array(answers, pa.string()), pa.array(errors, pa.string()), pa.array(took, pa.float64())]
             yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, "raw_response", "error", "latency_ms"])
 
-    schema = StructType(spread.schema.fields + [StructField("raw_response", StringType()), StructField("error", StringType()), StructField("latency_ms", DoubleType())])
+    schema = StructType(
+        spread.schema.fields + [
+            StructField("raw_response", StringType()), StructField("error", StringType()), StructField("latency_ms", DoubleType())
+        ]
+    )
     got = materialise(spread.mapInArrow(ask, schema))
     answer = F.col("raw_response")
     label = F.when(answer.isNull(), "error").otherwise(parse_label(answer))
@@ -152,22 +165,32 @@ def ask_models(rows: DataFrame, models: list[str], text: str, provider: Callable
 
 def compare(long: DataFrame, key: str, a: str, b: str, label: str = "label") -> DataFrame:
     """(key, label_a, label_b, flag) from one row for each key and model."""
-    wide = long.where(F.col("model").isin(a, b)).groupBy(key).agg(F.max(F.when(F.col("model") == a, F.col(label))).alias("label_a"), F.max(F.when(F.col("model") == b, F.col(label))).alias("label_b"))
+    wide = long.where(F.col("model").isin(a, b)).groupBy(key).agg(
+        F.max(F.when(F.col("model") == a, F.col(label))).alias("label_a"), F.max(F.when(F.col("model") == b, F.col(label))).alias("label_b")
+    )
     return wide.withColumn("flag", F.when(F.col("label_a") != F.col("label_b"), "[DISAGREE]").otherwise(""))
 
 
 def agreement(compared: DataFrame) -> DataFrame:
-    return compared.agg(F.count("*").alias("n"), F.count_if(F.col("label_a") == F.col("label_b")).alias("n_agree"), F.avg((F.col("label_a") == F.col("label_b")).cast("double")).alias("rate"))
+    return compared.agg(
+        F.count("*").alias("n"), F.count_if(F.col("label_a") == F.col("label_b")).alias("n_agree"),
+        F.avg((F.col("label_a") == F.col("label_b")).cast("double")).alias("rate"),
+    )
 
 
 def direction(compared: DataFrame, ordered: list[str] = LABELS[:3]) -> DataFrame:
     """How often a is above, below or equal to b in the order of labels."""
     place = lambda c: F.array_position(F.array(*map(F.lit, ordered)), F.col(c))
     sign = F.signum(place("label_a") - place("label_b"))
-    return compared.where(F.col("label_a").isin(ordered) & F.col("label_b").isin(ordered)).groupBy(F.when(sign > 0, "higher").when(sign < 0, "lower").otherwise("equal").alias("direction")).agg(F.count("*").alias("n"))
+    return compared.where(F.col("label_a").isin(ordered) & F.col("label_b").isin(ordered)).groupBy(
+        F.when(sign > 0, "higher").when(sign < 0, "lower").otherwise("equal").alias("direction")
+    ).agg(F.count("*").alias("n"))
 
 
 def scenarios(rows: DataFrame, factors: list[int], label: str = "label", count: str = "word_count") -> DataFrame:
     """Words and tokens by label for each oversampling factor."""
     base = rows.groupBy(label).agg(F.sum(count).alias("w"))
-    return base.withColumn("factor", F.explode(F.array(*map(F.lit, factors)))).select(label, "factor", (F.col("w") * F.col("factor")).alias("words"), F.floor(F.col("w") * F.col("factor") * 1.33).cast("long").alias("tokens"))
+    return base.withColumn("factor", F.explode(F.array(*map(F.lit, factors)))).select(
+        label, "factor", (F.col("w") * F.col("factor")).alias("words"),
+        F.floor(F.col("w") * F.col("factor") * 1.33).cast("long").alias("tokens"),
+    )

@@ -20,18 +20,32 @@ def kaplan_meier(rows: DataFrame, condition: str, time: str, event: str) -> Data
 
 def mann_whitney(rows: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
     """(n_a, n_b, u, z) with mid-ranks and the normal approximation, tie-corrected. Ranks come from counts of distinct values."""
-    counts = rows.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(group) == a).cast("double").alias("na"), F.count("*").cast("double").alias("t"))
+    counts = rows.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(
+        F.count_if(F.col(group) == a).cast("double").alias("na"), F.count("*").cast("double").alias("t")
+    )
     # values are dealt by range, so that however many there are, none of them meet in one task
     ranked = running_total(counts, [value], "t", "upto").withColumn("mid", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2)
-    sums = ranked.agg(F.sum("na").alias("n1"), (F.sum("t") - F.sum("na")).alias("n2"), F.sum(F.col("na") * F.col("mid")).alias("r"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    sums = ranked.agg(
+        F.sum("na").alias("n1"), (F.sum("t") - F.sum("na")).alias("n2"), F.sum(F.col("na") * F.col("mid")).alias("r"),
+        F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"),
+    )
     n = F.col("n1") + F.col("n2")
     u = F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2
     var = F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))
-    return sums.select(F.col("n1").cast("long").alias("n_a"), F.col("n2").cast("long").alias("n_b"), u.alias("u"), F.try_divide(u - F.col("n1") * F.col("n2") / 2, F.sqrt(var)).alias("z"))
+    return sums.select(
+        F.col("n1").cast("long").alias("n_a"), F.col("n2").cast("long").alias("n_b"), u.alias("u"),
+        F.try_divide(u - F.col("n1") * F.col("n2") / 2, F.sqrt(var)).alias("z"),
+    )
 
 
 def cohens_d(rows: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
-    s = rows.agg(*[f(F.when(F.col(group) == g, F.col(value))).alias(f"{n}_{k}") for k, g in (("a", a), ("b", b)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+    s = rows.agg(
+        *[
+            f(F.when(F.col(group) == g, F.col(value))).alias(f"{n}_{k}") for k, g in (("a", a), ("b", b)) for n, f in (
+                ("n", F.count), ("m", F.avg), ("v", F.var_samp)
+            )
+        ]
+    )
     pooled = F.sqrt(((F.col("n_a") - 1) * F.col("v_a") + (F.col("n_b") - 1) * F.col("v_b")) / (F.col("n_a") + F.col("n_b") - 2))
     return s.select("n_a", "n_b", F.try_divide(F.col("m_a") - F.col("m_b"), pooled).alias("d"))
 
@@ -43,7 +57,11 @@ def cox(rows: DataFrame, time: str, event: str, covariates: list[str], rounds: i
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     for _ in range(rounds):
         risk = F.exp(sum((x[i] * float(beta[i]) for i in range(k)), F.lit(0.0)))
-        sums = [F.sum(risk).alias("s0"), *[F.sum(risk * x[i]).alias(f"s1_{i}") for i in range(k)], *[F.sum(risk * x[i] * x[j]).alias(f"s2_{i}_{j}") for i, j in pairs], F.count_if(event).alias("d"), *[F.sum(F.when(F.col(event), x[i]).otherwise(0.0)).alias(f"e_{i}") for i in range(k)]]
+        sums = [
+            F.sum(risk).alias("s0"), *[F.sum(risk * x[i]).alias(f"s1_{i}") for i in range(k)],
+            *[F.sum(risk * x[i] * x[j]).alias(f"s2_{i}_{j}") for i, j in pairs], F.count_if(event).alias("d"),
+            *[F.sum(F.when(F.col(event), x[i]).otherwise(0.0)).alias(f"e_{i}") for i in range(k)],
+        ]
         table = rows.groupBy(time).agg(*sums).orderBy(F.desc(time)).collect()  # one row for each distinct time
         gradient, hessian = np.zeros(k), np.zeros((k, k))
         s0, s1, s2 = 0.0, np.zeros(k), np.zeros((k, k))

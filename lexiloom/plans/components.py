@@ -14,14 +14,20 @@ def _min_neighbour(pairs: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    return both.join(_min_neighbour(both), "node").where(F.col("other") > F.col("node")).select(F.col("other").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
+    )
+    return both.join(_min_neighbour(both), "node").where(F.col("other") > F.col("node")).select(
+        F.col("other").alias("a"), F.col("least").alias("b")
+    ).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other"))
     joined = down.join(_min_neighbour(down), "node")
-    return joined.select(F.col("other").alias("a"), F.col("least").alias("b")).unionByName(joined.select(F.col("node").alias("a"), F.col("least").alias("b"))).where("a <> b").distinct()
+    return joined.select(F.col("other").alias("a"), F.col("least").alias("b")).unionByName(
+        joined.select(F.col("node").alias("a"), F.col("least").alias("b"))
+    ).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -45,7 +45,9 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_of() -> Column:
-    return F.when(F.col("quality").isNull(), "parse_error").when(F.col("quality") == 0, "none").when(F.col("toxic") == 1, "minor").otherwise("central")
+    return F.when(
+        F.col("quality").isNull(), "parse_error"
+    ).when(F.col("quality") == 0, "none").when(F.col("toxic") == 1, "minor").otherwise("central")
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -55,19 +57,28 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
 def turns(spark: SparkSession, d: str) -> DataFrame:
     """Events as conversations: a user's events in order are turns, the event type speaks, a value is a score."""
     turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return t(spark, d, "events").select(F.col("user_id").alias("conv"), F.col("event_type").alias("speaker"), turn.cast("long").alias("turn"), F.col("value").alias("score"), (F.col("value") >= ACCUSE).alias("accused"))
+    return t(spark, d, "events").select(
+        F.col("user_id").alias("conv"), F.col("event_type").alias("speaker"), turn.cast("long").alias("turn"),
+        F.col("value").alias("score"), (F.col("value") >= ACCUSE).alias("accused"),
+    )
 
 
 CHUNKS = r"""p AS (SELECT doc_id, lang, source, unnest(string_split_regex(text, '\n+')) AS raw, unnest(range(len(string_split_regex(text, '\n+')))) AS i FROM documents),
     c AS (SELECT doc_id, lang, source, i::INT AS paragraph_index, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS content, len(regexp_extract_all(raw, '\S+'))::INT AS word_count FROM p WHERE len(regexp_extract_all(raw, '\S+')) >= 10)"""
-LABELLED = f"""{CHUNKS}, l AS (SELECT c.*, CASE WHEN b.quality IS NULL THEN 'parse_error' WHEN b.quality = 0 THEN 'none' WHEN b.toxic = 1 THEN 'minor' ELSE 'central' END AS label FROM c LEFT JOIN labels b USING (doc_id))"""
+LABELLED = f"""{
+    CHUNKS
+}, l AS (SELECT c.*, CASE WHEN b.quality IS NULL THEN 'parse_error' WHEN b.quality = 0 THEN 'none' WHEN b.toxic = 1 THEN 'minor' ELSE 'central' END AS label FROM c LEFT JOIN labels b USING (doc_id))"""
 FRAMES = f"""{LABELLED}, f AS (SELECT l.*, unnest(list_filter(['VERBATIM', CASE WHEN word_count >= 30 THEN 'WATSON' END, CASE WHEN label = 'central' THEN 'QA' END, CASE WHEN label = 'central' THEN 'CHAIN' END,
     CASE WHEN label = 'central' AND word_count >= 100 THEN 'REVERSE' END], lambda x: x IS NOT NULL)) AS framing FROM l WHERE label IN ('central', 'minor')),
     e AS (SELECT f.*, unnest(range(1, CASE WHEN label = 'central' THEN 4 ELSE 2 END)) AS copy FROM f)"""
-TURNS = f"""t AS (SELECT user_id AS conv, event_type AS speaker, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS turn, value AS score, value >= {ACCUSE} AS accused FROM events)"""
+TURNS = f"""t AS (SELECT user_id AS conv, event_type AS speaker, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS turn, value AS score, value >= {
+    ACCUSE
+} AS accused FROM events)"""
 COMMIT = f"""{TURNS}, s AS (SELECT conv, speaker, turn, accused, min(score) OVER (PARTITION BY conv, speaker ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tail FROM t),
     m AS (SELECT conv, speaker, min(turn) FILTER (WHERE tail >= {SUSTAIN}) AS t_private, min(turn) FILTER (WHERE accused) AS t_public FROM s GROUP BY 1, 2)"""
-ENDED = f"""{TURNS}, o AS (SELECT conv, count(*) AS n_turns, min(turn) FILTER (WHERE accused) AS t_end, arg_min(speaker, turn) FILTER (WHERE accused) AS winner FROM t GROUP BY conv)"""
+ENDED = f"""{
+    TURNS
+}, o AS (SELECT conv, count(*) AS n_turns, min(turn) FILTER (WHERE accused) AS t_end, arg_min(speaker, turn) FILTER (WHERE accused) AS winner FROM t GROUP BY conv)"""
 
 
 @query(f"WITH {CHUNKS} SELECT doc_id, lang, source, paragraph_index, content, word_count FROM c")
@@ -75,20 +86,30 @@ def chunk_documents(spark, d):
     return chunks(spark, d)
 
 
-@query(f"WITH {CHUNKS} SELECT row_number() OVER (ORDER BY doc_id, paragraph_index) - 1 AS chunk_id, doc_id, paragraph_index, word_count FROM c")
+@query(
+    f"WITH {CHUNKS} SELECT row_number() OVER (ORDER BY doc_id, paragraph_index) - 1 AS chunk_id, doc_id, paragraph_index, word_count FROM c"
+)
 def chunk_dense_ids(spark, d):
-    return cp.number_chunks(chunks(spark, d).select("doc_id", "paragraph_index", "word_count"), ["doc_id", "paragraph_index"]).select("chunk_id", "doc_id", "paragraph_index", "word_count")
+    return cp.number_chunks(
+        chunks(spark, d).select("doc_id", "paragraph_index", "word_count"), ["doc_id", "paragraph_index"]
+    ).select("chunk_id", "doc_id", "paragraph_index", "word_count")
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{4,}', repeat(chr(10), 3), 'g'), '^\n+|\n+$', '', 'g') || chr(10) AS text FROM documents""")
+@query(
+    r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{4,}', repeat(chr(10), 3), 'g'), '^\n+|\n+$', '', 'g') || chr(10) AS text FROM documents"""
+)
 def normalize_whitespace(spark, d):
     return t(spark, d, "documents").select("doc_id", tx.normalize_whitespace(F.col("text")).alias("text"))
 
 
-@query("""SELECT page_id, substr(html, instr(html, '<article>') + 9, instr(html, '</article>') - instr(html, '<article>') - 9) AS body FROM pages""")
+@query(
+    """SELECT page_id, substr(html, instr(html, '<article>') + 9, instr(html, '</article>') - instr(html, '<article>') - 9) AS body FROM pages"""
+)
 def strip_markers(spark, d):
     lines = F.split(F.regexp_replace("html", r"(</?article>)", "\n$1\n"), "\n", -1)
-    return t(spark, d, "pages").select("page_id", tx.between_markers(lines, "^<article>$", "^</article>$").alias("body")).withColumn("body", F.regexp_replace("body", r"\A\n|\n\z", ""))
+    return t(spark, d, "pages").select(
+        "page_id", tx.between_markers(lines, "^<article>$", "^</article>$").alias("body")
+    ).withColumn("body", F.regexp_replace("body", r"\A\n|\n\z", ""))
 
 
 @query(r"""WITH x AS (SELECT conv_id, turn, role, text, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS sec FROM conversations),
@@ -123,18 +144,26 @@ def fuzzy_lookup(spark, d):
     CASE WHEN floor(sum(len(regexp_extract_all(text, '\\S+'))) * 1.33) < 10000 THEN 'WARNING' WHEN floor(sum(len(regexp_extract_all(text, '\\S+'))) * 1.33) > 40000 THEN 'NOTE' ELSE 'OK' END AS verdict FROM documents GROUP BY source, lang""".replace("\\\\", "\\"))
 def source_word_totals(spark, d):
     words = t(spark, d, "documents").withColumn("w", tx.word_count(F.col("text"))).groupBy("source", "lang").agg(F.sum("w").alias("words"))
-    return words.withColumn("tokens", tx.token_estimate(F.col("words"))).select("source", cp.source_name(F.col("source"), F.upper("lang")).alias("name"), "words", "tokens", cp.budget_shortfall(F.col("tokens"), 10_000).alias("shortfall"), cp.budget_verdict(F.col("tokens"), 10_000, 40_000).alias("verdict"))
+    return words.withColumn("tokens", tx.token_estimate(F.col("words"))).select(
+        "source", cp.source_name(F.col("source"), F.upper("lang")).alias("name"), "words", "tokens",
+        cp.budget_shortfall(F.col("tokens"), 10_000).alias("shortfall"),
+        cp.budget_verdict(F.col("tokens"), 10_000, 40_000).alias("verdict"),
+    )
 
 
 @query("SELECT doc_id, sha256('m1|||v1|||' || text) AS key, replace(substr(text, 1, 200), chr(10), ' ') AS preview FROM documents")
 def cache_key(spark, d):
-    return t(spark, d, "documents").select("doc_id", tx.cache_key(F.lit("m1"), F.lit("v1"), F.col("text")).alias("key"), tx.preview(F.col("text"), 200).alias("preview"))
+    return t(spark, d, "documents").select(
+        "doc_id", tx.cache_key(F.lit("m1"), F.lit("v1"), F.col("text")).alias("key"), tx.preview(F.col("text"), 200).alias("preview")
+    )
 
 
 @query(r"""WITH a AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'label : Minor' || chr(10) || 'Justification:  because ' || doc_id || ' ' || chr(10) || 'x' WHEN quality = 1 THEN 'LABEL: central' ELSE 'LABEL: dramatic' END AS r FROM labels)
     SELECT doc_id, CASE WHEN r LIKE 'label%' THEN 'minor' WHEN r LIKE '%central' THEN 'central' ELSE 'parse_error' END AS label, CASE WHEN r LIKE 'label%' THEN 'because ' || doc_id ELSE r END AS justification FROM a""")
 def label_parse(spark, d):
-    answer = F.when(F.col("toxic") == 1, F.concat(F.lit("label : Minor\nJustification:  because "), F.col("doc_id").cast("string"), F.lit(" \nx"))).when(F.col("quality") == 1, "LABEL: central").otherwise("LABEL: dramatic")
+    answer = F.when(
+        F.col("toxic") == 1, F.concat(F.lit("label : Minor\nJustification:  because "), F.col("doc_id").cast("string"), F.lit(" \nx"))
+    ).when(F.col("quality") == 1, "LABEL: central").otherwise("LABEL: dramatic")
     rows = t(spark, d, "labels").select("doc_id", answer.alias("a"))
     return rows.select("doc_id", tx.parse_label(F.col("a")).alias("label"), tx.parse_reason(F.col("a")).alias("justification"))
 
@@ -149,7 +178,9 @@ def _stub(prompts: list[str]) -> list[str | None]:
     SELECT CASE WHEN cached THEN 'none' WHEN length(text) % 11 = 0 THEN 'error' WHEN length(text) % 3 = 0 THEN 'none' WHEN length(text) % 3 = 1 THEN 'minor' ELSE 'central' END AS label, cached, count(*) AS n FROM r GROUP BY 1, 2""")
 def cache_hit_miss(spark, d):
     docs = t(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    held = docs.where("doc_id % 3 = 0").select(tx.cache_key(F.lit("m"), F.lit("v1"), F.col("content")).alias("key"), F.lit("LABEL: none").alias("answer")).dropDuplicates(["key"])
+    held = docs.where("doc_id % 3 = 0").select(
+        tx.cache_key(F.lit("m"), F.lit("v1"), F.col("content")).alias("key"), F.lit("LABEL: none").alias("answer")
+    ).dropDuplicates(["key"])
     out, _ = lb.classify(docs, held, _stub, "m", "v1")
     return out.groupBy("label", "cached").agg(F.count("*").alias("n"))
 
@@ -191,13 +222,20 @@ def cache_on_disk(spark, d):
     docs = t(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("content"))
     key = tx.cache_key(F.lit("m"), F.lit("v1"), F.col("content"))
     place = _place(spark, "cache")
-    lb.write_cache(docs.where("doc_id % 2 = 0 and doc_id % 5 <> 0").select(key.alias("key"), F.lit("LABEL: none").alias("answer"), F.lit(None).cast("string").alias("error")), place)
+    lb.write_cache(
+        docs.where("doc_id % 2 = 0 and doc_id % 5 <> 0").select(
+            key.alias("key"), F.lit("LABEL: none").alias("answer"), F.lit(None).cast("string").alias("error")
+        ),
+        place,
+    )
     docs.where("doc_id % 5 = 0").select(F.concat(F.lit('{"key":"'), key).alias("value")).write.mode("append").text(place)
     out, _ = lb.classify(docs, lb.read_cache(spark, place), lambda texts: ["LABEL: none"] * len(texts), "m", "v1")
     return out.groupBy((F.col("doc_id") % 5 == 0).alias("broken"), "cached").agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT (sum(len(regexp_extract_all(text, '\S+')) + 1) // 128)::BIGINT AS blocks, 16::BIGINT AS effective_batch, ceil((sum(len(regexp_extract_all(text, '\S+')) + 1) // 128) / 16)::BIGINT AS steps_per_epoch, (3 * ceil((sum(len(regexp_extract_all(text, '\S+')) + 1) // 128) / 16))::BIGINT AS steps FROM documents")
+@query(
+    r"SELECT (sum(len(regexp_extract_all(text, '\S+')) + 1) // 128)::BIGINT AS blocks, 16::BIGINT AS effective_batch, ceil((sum(len(regexp_extract_all(text, '\S+')) + 1) // 128) / 16)::BIGINT AS steps_per_epoch, (3 * ceil((sum(len(regexp_extract_all(text, '\S+')) + 1) // 128) / 16))::BIGINT AS steps FROM documents"
+)
 def training_steps(spark, d):
     """Batch arithmetic of three epochs on the packed documents."""
     stats = cp.pack_stats(_tokens(spark, d), "tokens", 128)
@@ -210,17 +248,27 @@ def label_distribution(spark, d):
     return lb.distribution(labelled(spark, d))
 
 
-@query(f"WITH {LABELLED} SELECT lang, count(*) FILTER (WHERE label = 'central') AS central, count(*) FILTER (WHERE label = 'minor') AS minor, count(*) FILTER (WHERE label = 'none') AS \"none\", count(*) AS total FROM l GROUP BY lang")
+@query(
+    f"WITH {
+        LABELLED
+    } SELECT lang, count(*) FILTER (WHERE label = 'central') AS central, count(*) FILTER (WHERE label = 'minor') AS minor, count(*) FILTER (WHERE label = 'none') AS \"none\", count(*) AS total FROM l GROUP BY lang"
+)
 def label_by_source_pivot(spark, d):
     return lb.pivot_labels(labelled(spark, d), "lang", ["central", "minor", "none"])
 
 
-@query(f"WITH {LABELLED} SELECT coalesce(lang, 'ALL') AS lang, avg((label = 'central')::INT) AS share_central, avg((label = 'minor')::INT) AS share_minor, avg((label = 'none')::INT) AS share_none, count(*) AS total FROM l GROUP BY ROLLUP (lang)")
+@query(
+    f"WITH {
+        LABELLED
+    } SELECT coalesce(lang, 'ALL') AS lang, avg((label = 'central')::INT) AS share_central, avg((label = 'minor')::INT) AS share_minor, avg((label = 'none')::INT) AS share_none, count(*) AS total FROM l GROUP BY ROLLUP (lang)"
+)
 def label_crosstab(spark, d):
     return lb.crosstab_share(labelled(spark, d), "lang", ["central", "minor", "none"])
 
 
-@query("""WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY sha256('42:' || doc_id), doc_id) AS rank FROM labels) SELECT doc_id, quality, rank::INT AS rank FROM r WHERE rank <= 5""")
+@query(
+    """WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY sha256('42:' || doc_id), doc_id) AS rank FROM labels) SELECT doc_id, quality, rank::INT AS rank FROM r WHERE rank <= 5"""
+)
 def stratified_sample(spark, d):
     return lb.stratified_sample(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "quality", 5)
 
@@ -241,7 +289,9 @@ def _compared(spark, d) -> DataFrame:
 PAIR = "z AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'central' ELSE 'none' END AS label_a, CASE WHEN toxic = 1 THEN 'minor' WHEN doc_id % 2 = 0 THEN 'central' ELSE 'none' END AS label_b FROM labels)"
 
 
-@query(f"WITH {PAIR} SELECT count(*) AS n, count(*) FILTER (WHERE label_a = label_b) AS n_agree, avg((label_a = label_b)::INT) AS rate FROM z")
+@query(
+    f"WITH {PAIR} SELECT count(*) AS n, count(*) FILTER (WHERE label_a = label_b) AS n_agree, avg((label_a = label_b)::INT) AS rate FROM z"
+)
 def model_agreement(spark, d):
     return lb.agreement(_compared(spark, d))
 
@@ -257,7 +307,11 @@ def disagreement_direction(spark, d):
     return lb.direction(_compared(spark, d))
 
 
-@query(f"WITH {LABELLED}, g AS (SELECT label, sum(word_count) AS w FROM l GROUP BY label) SELECT label, factor::INT AS factor, (w * factor)::BIGINT AS words, floor(w * factor * 1.33)::BIGINT AS tokens FROM g, (SELECT unnest([1, 3, 5]) AS factor)")
+@query(
+    f"WITH {
+        LABELLED
+    }, g AS (SELECT label, sum(word_count) AS w FROM l GROUP BY label) SELECT label, factor::INT AS factor, (w * factor)::BIGINT AS words, floor(w * factor * 1.33)::BIGINT AS tokens FROM g, (SELECT unnest([1, 3, 5]) AS factor)"
+)
 def label_scenarios(spark, d):
     return lb.scenarios(labelled(spark, d), [1, 3, 5])
 
@@ -293,7 +347,9 @@ def manifest(spark, d):
 def assemble_examples(spark, d):
     rows = cp.expand(labelled(spark, d), 1)
     answer = F.substring(tx.cache_key(F.col("framing"), F.col("content")), 1, 16)
-    out = rows.withColumn("text", cp.assemble(F.col("framing"), F.col("content"), answer)).select("doc_id", "paragraph_index", "framing", "text")
+    out = rows.withColumn(
+        "text", cp.assemble(F.col("framing"), F.col("content"), answer)
+    ).select("doc_id", "paragraph_index", "framing", "text")
     return out.withColumn("word_count", tx.word_count(F.col("text")))
 
 
@@ -309,7 +365,9 @@ def pack_blocks(spark, d):
     return blocks.select("block_id", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"))
 
 
-@query(r"SELECT count(*) AS n_docs, sum(len(regexp_extract_all(text, '\S+')) + 1)::BIGINT // 128 AS n_blocks, sum(len(regexp_extract_all(text, '\S+')) + 1)::BIGINT % 128 AS n_discarded FROM documents")
+@query(
+    r"SELECT count(*) AS n_docs, sum(len(regexp_extract_all(text, '\S+')) + 1)::BIGINT // 128 AS n_blocks, sum(len(regexp_extract_all(text, '\S+')) + 1)::BIGINT % 128 AS n_discarded FROM documents"
+)
 def pack_stats(spark, d):
     return cp.pack_stats(_tokens(spark, d), "tokens", 128)
 
@@ -349,13 +407,19 @@ def perplexity_gate(spark, d):
 
 
 def _answers(spark, d) -> DataFrame:
-    return t(spark, d, "embeddings").select("vec_id", "label", ev.best_choice(F.slice("embedding", 1, 4)).alias("picked"), (F.col("label") % 4).alias("answer"))
+    return t(spark, d, "embeddings").select(
+        "vec_id", "label", ev.best_choice(F.slice("embedding", 1, 4)).alias("picked"), (F.col("label") % 4).alias("answer")
+    )
 
 
 PICKED = "a AS (SELECT vec_id, label, (list_position(embedding[1:4], list_max(embedding[1:4])) - 1)::INT AS picked, label % 4 AS answer FROM embeddings)"
 
 
-@query(f"WITH {PICKED}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM a) SELECT coalesce(label::VARCHAR, 'ALL') AS label, count(*) AS n, count(*) FILTER (WHERE picked = answer) AS correct, count(*) FILTER (WHERE picked = answer) / count(*) AS accuracy FROM r WHERE k <= 100 GROUP BY ROLLUP (label)")
+@query(
+    f"WITH {
+        PICKED
+    }, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM a) SELECT coalesce(label::VARCHAR, 'ALL') AS label, count(*) AS n, count(*) FILTER (WHERE picked = answer) AS correct, count(*) FILTER (WHERE picked = answer) / count(*) AS accuracy FROM r WHERE k <= 100 GROUP BY ROLLUP (label)"
+)
 def mc_argmax_accuracy(spark, d):
     return ev.accuracy(ev.first_of_group(_answers(spark, d), "label", ["vec_id"], 100), "label", F.col("picked") == F.col("answer"))
 
@@ -364,13 +428,21 @@ def mc_argmax_accuracy(spark, d):
     SELECT (base - tuned) * 100 < 3 AS h3, CASE WHEN (base - tuned) * 100 < 3 THEN 'pass' WHEN (base - tuned) * 100 <= 5 THEN 'flag' ELSE 'stop' END AS tier FROM g""")
 def accuracy_gate(spark, d):
     hit = (F.col("picked") == F.col("answer")).cast("double")
-    one = _answers(spark, d).agg(F.avg(F.when(F.col("label") < 5, hit)).alias("base"), F.avg(F.when(F.col("label") >= 5, hit)).alias("tuned"))
-    return one.select(ev.accuracy_gate(F.col("base"), F.col("tuned")).alias("h3"), ev.accuracy_tier(F.col("base"), F.col("tuned")).alias("tier"))
+    one = _answers(spark, d).agg(
+        F.avg(F.when(F.col("label") < 5, hit)).alias("base"), F.avg(F.when(F.col("label") >= 5, hit)).alias("tuned")
+    )
+    return one.select(
+        ev.accuracy_gate(F.col("base"), F.col("tuned")).alias("h3"), ev.accuracy_tier(F.col("base"), F.col("tuned")).alias("tier")
+    )
 
 
-@query(r"""SELECT item_id, 'The following is a multiple-choice question. Choose the single best answer.' || chr(10) || chr(10) || text || chr(10) || 'A. ' || 'w' || chr(10) || 'B. ' || 'x' || chr(10) || 'C. ' || 'y' || chr(10) || 'D. ' || item_id || chr(10) || chr(10) || 'Answer:' AS prompt FROM benchmark""")
+@query(
+    r"""SELECT item_id, 'The following is a multiple-choice question. Choose the single best answer.' || chr(10) || chr(10) || text || chr(10) || 'A. ' || 'w' || chr(10) || 'B. ' || 'x' || chr(10) || 'C. ' || 'y' || chr(10) || 'D. ' || item_id || chr(10) || chr(10) || 'Answer:' AS prompt FROM benchmark"""
+)
 def mc_prompt(spark, d):
-    return t(spark, d, "benchmark").select("item_id", ev.question(F.col("text"), F.array(F.lit("w"), F.lit("x"), F.lit("y"), F.col("item_id").cast("string"))).alias("prompt"))
+    return t(spark, d, "benchmark").select(
+        "item_id", ev.question(F.col("text"), F.array(F.lit("w"), F.lit("x"), F.lit("y"), F.col("item_id").cast("string"))).alias("prompt")
+    )
 
 
 def _marked(spark, d) -> DataFrame:
@@ -383,21 +455,39 @@ MARKED = rf"""k AS (SELECT doc_id, lang, source, regexp_extract_all(lower(text),
     v AS (SELECT *, round((n_deduction_markers - n_hedging_markers) / greatest(1, word_count) * 1000, 4) AS deduction_density FROM m)"""
 
 
-@query(f"WITH {MARKED} SELECT doc_id, n_deduction_markers, n_hedging_markers, word_count, (n_deduction_markers - n_hedging_markers) / greatest(1, word_count) * 1000 AS density FROM v")
+@query(
+    f"WITH {
+        MARKED
+    } SELECT doc_id, n_deduction_markers, n_hedging_markers, word_count, (n_deduction_markers - n_hedging_markers) / greatest(1, word_count) * 1000 AS density FROM v"
+)
 def marker_density(spark, d):
     density = (F.col("n_deduction_markers") - F.col("n_hedging_markers")) / F.greatest("word_count", F.lit(1)) * 1000
     return _marked(spark, d).select("doc_id", "n_deduction_markers", "n_hedging_markers", "word_count", density.alias("density"))
 
 
-@query(f"WITH {MARKED} SELECT lang AS category, round(coalesce(avg(deduction_density) FILTER (WHERE source < 'src2'), 0.0), 2) AS base, round(coalesce(avg(deduction_density) FILTER (WHERE source >= 'src2'), 0.0), 2) AS tuned FROM v GROUP BY lang")
+@query(
+    f"WITH {
+        MARKED
+    } SELECT lang AS category, round(coalesce(avg(deduction_density) FILTER (WHERE source < 'src2'), 0.0), 2) AS base, round(coalesce(avg(deduction_density) FILTER (WHERE source >= 'src2'), 0.0), 2) AS tuned FROM v GROUP BY lang"
+)
 def marker_density_by_category(spark, d):
-    scored = _marked(spark, d).withColumns({"category": F.col("lang"), "variant": F.when(F.col("source") < "src2", "base").otherwise("tuned")})
-    return ev.mean_density(scored, ["base", "tuned"]).select("category", F.round("base", 2).alias("base"), F.round("tuned", 2).alias("tuned"))
-
-
-@query(f"WITH {MARKED}, g AS (SELECT lang, avg(deduction_density) FILTER (WHERE source < 'src2') AS b, avg(deduction_density) FILTER (WHERE source >= 'src2') AS f FROM v GROUP BY lang) SELECT lang AS category, coalesce(f, 0) > coalesce(b, 0) AS h4 FROM g")
+    scored = _marked(spark, d).withColumns(
+        {"category": F.col("lang"), "variant": F.when(F.col("source") < "src2", "base").otherwise("tuned")}
+    )
+    return ev.mean_density(scored, ["base", "tuned"]).select(
+        "category", F.round("base", 2).alias("base"), F.round("tuned", 2).alias("tuned")
+    )
+
+
+@query(
+    f"WITH {
+        MARKED
+    }, g AS (SELECT lang, avg(deduction_density) FILTER (WHERE source < 'src2') AS b, avg(deduction_density) FILTER (WHERE source >= 'src2') AS f FROM v GROUP BY lang) SELECT lang AS category, coalesce(f, 0) > coalesce(b, 0) AS h4 FROM g"
+)
 def probe_gate(spark, d):
-    scored = _marked(spark, d).withColumns({"category": F.col("lang"), "variant": F.when(F.col("source") < "src2", "base").otherwise("tuned")})
+    scored = _marked(spark, d).withColumns(
+        {"category": F.col("lang"), "variant": F.when(F.col("source") < "src2", "base").otherwise("tuned")}
+    )
     h4 = ev.probe_gate(F.col("base"), F.col("tuned"))
     return ev.mean_density(scored, ["base", "tuned"]).select("category", h4.alias("h4"))
 
@@ -411,53 +501,80 @@ def gate_ladder(spark, d):
     of = lambda m, k: (F.col("o_orderkey") % m) == k
     right = lambda k: F.avg(of(3, k).cast("double"))
     rows = t(spark, d, "orders").groupBy((F.col("o_custkey") % 500).alias("variant")).agg(
-        F.avg(F.when(of(2, 0), F.col("o_totalprice"))).alias("base"), F.avg(F.when(of(2, 1), F.col("o_totalprice"))).alias("tuned"), F.avg("o_totalprice").alias("mid"),
-        right(0).alias("right_base"), right(1).alias("right_tuned"), F.count_if(of(5, 0)).alias("marks_base"), F.count_if(of(5, 1)).alias("marks_tuned"),
+        F.avg(
+            F.when(of(2, 0), F.col("o_totalprice"))
+        ).alias("base"), F.avg(F.when(of(2, 1), F.col("o_totalprice"))).alias("tuned"), F.avg("o_totalprice").alias("mid"),
+        right(0).alias("right_base"), right(1).alias(
+            "right_tuned"
+        ), F.count_if(of(5, 0)).alias("marks_base"), F.count_if(of(5, 1)).alias("marks_tuned"),
     ).where("base is not null and tuned is not null")
     ppl = ev.perplexity_gate(F.col("base"), F.col("tuned"), F.col("base"), F.col("mid"))
-    gates = rows.select("variant", ppl["h1"].alias("h1"), ppl["h2"].alias("h2"), ev.accuracy_gate(F.col("right_base"), F.col("right_tuned")).alias("h3"), ev.probe_gate(F.col("marks_base"), F.col("marks_tuned")).alias("h4"))
+    gates = rows.select(
+        "variant", ppl["h1"].alias("h1"), ppl["h2"].alias("h2"), ev.accuracy_gate(F.col("right_base"), F.col("right_tuned")).alias("h3"),
+        ev.probe_gate(F.col("marks_base"), F.col("marks_tuned")).alias("h4"),
+    )
     return gates.withColumn("verdict", ev.decide(*map(F.col, ("h1", "h2", "h3", "h4"))))
 
 
 @query("SELECT lang AS category, variant, count(*) AS n FROM documents, (SELECT unnest(['base', 'tuned']) AS variant) GROUP BY 1, 2")
 def probe_variants(spark, d):
-    return ev.variants(t(spark, d, "documents").select(F.col("lang").alias("category")), ["base", "tuned"]).groupBy("category", "variant").agg(F.count("*").alias("n"))
+    return ev.variants(
+        t(spark, d, "documents").select(F.col("lang").alias("category")), ["base", "tuned"]
+    ).groupBy("category", "variant").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT c.conv_id, c.turn, coalesce((SELECT string_agg(CASE WHEN h.role = c.role THEN 'assistant:' || length(h.text) ELSE 'user:' || (length(h.text) + 1) END, ' ' ORDER BY h.turn) FROM conversations h WHERE h.conv_id = c.conv_id AND h.turn < c.turn), '') AS history FROM conversations c""")
+@query(
+    """SELECT c.conv_id, c.turn, coalesce((SELECT string_agg(CASE WHEN h.role = c.role THEN 'assistant:' || length(h.text) ELSE 'user:' || (length(h.text) + 1) END, ' ' ORDER BY h.turn) FROM conversations h WHERE h.conv_id = c.conv_id AND h.turn < c.turn), '') AS history FROM conversations c"""
+)
 def perspective_history(spark, d):
     seen = cv.perspective_history(t(spark, d, "conversations"), "conv_id", "turn", "role", "text", "!")
-    return seen.select("conv_id", "turn", F.array_join(F.transform("history", lambda x: F.concat(x["role"], F.lit(":"), F.length(x["content"]).cast("string"))), " ").alias("history"))
+    return seen.select(
+        "conv_id", "turn",
+        F.array_join(
+            F.transform("history", lambda x: F.concat(x["role"], F.lit(":"), F.length(x["content"]).cast("string"))), " "
+        ).alias("history"),
+    )
 
 
 def _answers_json(spark, d) -> DataFrame:
     """Events as models' answers: fenced JSON, JSON in noise, and JSON that breaks off."""
     score, reply = F.format_string("%d.%02d", F.floor(F.col("value") / 100), F.floor("value") % 100), F.col("event_type")
     body = F.concat(F.lit('{"reply":"'), reply, F.lit('","suspicion_score":'), score, F.lit("}"))
-    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("noise "), body, F.lit(" tail"))).otherwise(F.concat(F.lit('{"reply": "'), reply, F.lit('", "suspicion_score": '), score, F.lit(", ")))
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("noise "), body, F.lit(" tail"))).otherwise(
+        F.concat(F.lit('{"reply": "'), reply, F.lit('", "suspicion_score": '), score, F.lit(", "))
+    )
     return t(spark, d, "events").select("event_id", tx.parse_turn(raw).alias("r"))
 
 
-@query("SELECT event_id, event_type AS reply, least(1.0, floor(value) / 100)::DOUBLE AS suspicion_score, 'none' AS trap, false AS public_accusation, event_id % 3 <> 2 AS parsed FROM events")
+@query(
+    "SELECT event_id, event_type AS reply, least(1.0, floor(value) / 100)::DOUBLE AS suspicion_score, 'none' AS trap, false AS public_accusation, event_id % 3 <> 2 AS parsed FROM events"
+)
 def json_salvage(spark, d):
     return _answers_json(spark, d).select("event_id", "r.reply", "r.suspicion_score", "r.trap", "r.public_accusation", "r.parsed")
 
 
 @query("SELECT avg((event_id % 3 <> 2)::INT) AS parse_rate, 0.0::DOUBLE AS cue_rate FROM events")
 def parse_rate(spark, d):
-    return _answers_json(spark, d).agg(F.avg(F.col("r.parsed").cast("double")).alias("parse_rate"), F.avg((F.size("r.cues") > 0).cast("double")).alias("cue_rate"))
+    return _answers_json(spark, d).agg(
+        F.avg(F.col("r.parsed").cast("double")).alias("parse_rate"), F.avg((F.size("r.cues") > 0).cast("double")).alias("cue_rate")
+    )
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '' ELSE '{\"replies\": ' || event_id END AS reply FROM events")
 def salvage_empty_reply(spark, d):
     """An empty reply in JSON that breaks off stays empty; without a reply the answer's beginning stands for it."""
-    raw = F.when(F.col("event_id") % 2 == 0, '{"reply": "", "suspicion_score": 0.4, ').otherwise(F.concat(F.lit('{"replies": '), F.col("event_id").cast("string")))
+    raw = F.when(
+        F.col("event_id") % 2 == 0, '{"reply": "", "suspicion_score": 0.4, '
+    ).otherwise(F.concat(F.lit('{"replies": '), F.col("event_id").cast("string")))
     return t(spark, d, "events").select("event_id", tx.parse_turn(raw)["reply"].alias("reply"))
 
 
 @query("SELECT event_id, ['score out of range'] AS violations FROM events WHERE value / 100 > 1")
 def schema_violations(spark, d):
-    rows = t(spark, d, "events").select("event_id", F.lit("x").alias("reply"), (F.col("value") / 100).alias("suspicion_score"), F.lit("none").alias("trap"), F.lit(False).alias("public_accusation"))
+    rows = t(spark, d, "events").select(
+        "event_id", F.lit("x").alias("reply"), (F.col("value") / 100).alias("suspicion_score"), F.lit("none").alias("trap"),
+        F.lit(False).alias("public_accusation"),
+    )
     return cv.violations(rows, tx.TRAPS).select("event_id", "violations")
 
 
@@ -470,7 +587,11 @@ def sustained_threshold(spark, d):
     return _commit(spark, d)
 
 
-@query(f"WITH {ENDED} SELECT conv, n_turns, t_end, winner, CASE WHEN t_end IS NULL THEN 'max_turns' ELSE 'accusation' END AS termination_reason FROM o")
+@query(
+    f"WITH {
+        ENDED
+    } SELECT conv, n_turns, t_end, winner, CASE WHEN t_end IS NULL THEN 'max_turns' ELSE 'accusation' END AS termination_reason FROM o"
+)
 def conversation_outcome(spark, d):
     return cv.outcome(turns(spark, d), "conv", "turn", "speaker", F.col("accused"))
 
@@ -494,10 +615,17 @@ def conversation_rollup(spark, d):
     return _records(spark, d)
 
 
-@query(f"WITH {RECORDS} SELECT conv, CASE WHEN winner = 'click' THEN conv % 2 = 0 END AS click_correct, CASE WHEN winner = 'view' THEN conv % 3 = 0 END AS view_correct FROM r")
+@query(
+    f"WITH {
+        RECORDS
+    } SELECT conv, CASE WHEN winner = 'click' THEN conv % 2 = 0 END AS click_correct, CASE WHEN winner = 'view' THEN conv % 3 = 0 END AS view_correct FROM r"
+)
 def correctness(spark, d):
     r = _records(spark, d)
-    return r.select("conv", cv.correctness(F.col("winner"), "click", F.col("conv") % 2 == 0).alias("click_correct"), cv.correctness(F.col("winner"), "view", F.col("conv") % 3 == 0).alias("view_correct"))
+    return r.select(
+        "conv", cv.correctness(F.col("winner"), "click", F.col("conv") % 2 == 0).alias("click_correct"),
+        cv.correctness(F.col("winner"), "view", F.col("conv") % 3 == 0).alias("view_correct"),
+    )
 
 
 @query(f"""WITH {RECORDS} SELECT count(*) AS n, count(*) FILTER (WHERE termination_reason = 'accusation') AS n_accusation, count(*) FILTER (WHERE termination_reason = 'max_turns') AS n_max_turns, count(commitment_gap) AS n_gaps, avg(commitment_gap) AS mean_gap,
@@ -508,20 +636,32 @@ def batch_summary(spark, d):
     return one.withColumn("gaps", F.when(F.size("gaps") > 0, F.array_join(listed, " ")))
 
 
-@query(f"WITH {COMMIT}, k AS (SELECT conv, unnest(['click', 'view', 'nobody']) AS speaker FROM (SELECT DISTINCT conv FROM t)) SELECT k.conv, k.speaker, m.t_private, m.t_public, m.t_public - m.t_private AS commitment_gap FROM k LEFT JOIN m USING (conv, speaker)")
+@query(
+    f"WITH {
+        COMMIT
+    }, k AS (SELECT conv, unnest(['click', 'view', 'nobody']) AS speaker FROM (SELECT DISTINCT conv FROM t)) SELECT k.conv, k.speaker, m.t_private, m.t_public, m.t_public - m.t_private AS commitment_gap FROM k LEFT JOIN m USING (conv, speaker)"
+)
 def all_speakers(spark, d):
     """Metrics for the two parties and for one who never speaks."""
     ends = cv.outcome(turns(spark, d), "conv", "turn", "speaker", F.col("accused"))
     return cv.for_all_speakers(ends, _commit(spark, d), "conv", "speaker", ["click", "view", "nobody"])
 
 
-@query(f"WITH {RECORDS}, z AS (SELECT winner, conv % 2 AS parity, conv % 3 = 0 AS ok FROM r WHERE winner IS NOT NULL) SELECT winner, parity, count(*) AS n, avg(ok::INT) AS accuracy FROM z GROUP BY ROLLUP (winner, parity)")
+@query(
+    f"WITH {
+        RECORDS
+    }, z AS (SELECT winner, conv % 2 AS parity, conv % 3 = 0 AS ok FROM r WHERE winner IS NOT NULL) SELECT winner, parity, count(*) AS n, avg(ok::INT) AS accuracy FROM z GROUP BY ROLLUP (winner, parity)"
+)
 def accuracy_by_role(spark, d):
-    rows = _records(spark, d).select("winner", (F.col("conv") % 2).alias("parity"), F.when(F.col("winner").isNotNull(), F.col("conv") % 3 == 0).alias("ok"))
+    rows = _records(spark, d).select(
+        "winner", (F.col("conv") % 2).alias("parity"), F.when(F.col("winner").isNotNull(), F.col("conv") % 3 == 0).alias("ok")
+    )
     return cv.accuracy_by(rows, ["winner", "parity"], "ok")
 
 
-@query("SELECT turn, avg(length(text)) FILTER (WHERE role = 'user') AS \"user\", avg(length(text)) FILTER (WHERE role = 'assistant') AS assistant FROM conversations GROUP BY turn")
+@query(
+    "SELECT turn, avg(length(text)) FILTER (WHERE role = 'user') AS \"user\", avg(length(text)) FILTER (WHERE role = 'assistant') AS assistant FROM conversations GROUP BY turn"
+)
 def trajectory_pivot(spark, d):
     return cv.trajectory(t(spark, d, "conversations"), "turn", "role", ["user", "assistant"], F.length("text").cast("double"))
 
@@ -575,13 +715,17 @@ def cox_hazards(spark, d):
     return spark.createDataFrame(sorted(st.cox(rows, "time", "event", ["odd", "third"]).items()), "covariate string, coefficient double")
 
 
-@query("SELECT CASE WHEN user_id % 4 = 0 THEN 'ft-ft' WHEN user_id % 4 = 3 THEN 'base-base' ELSE 'ft-base' END AS pairing, count(*) AS n, round(avg(value), 8) AS mean_score FROM events GROUP BY 1")
+@query(
+    "SELECT CASE WHEN user_id % 4 = 0 THEN 'ft-ft' WHEN user_id % 4 = 3 THEN 'base-base' ELSE 'ft-base' END AS pairing, count(*) AS n, round(avg(value), 8) AS mean_score FROM events GROUP BY 1"
+)
 def pairing_means(spark, d):
     kind = F.when(F.col("user_id") % 4 == 0, "ft-ft").when(F.col("user_id") % 4 == 3, "base-base").otherwise("ft-base")
     return cv.pairing_means(t(spark, d, "events"), kind, F.col("value")).withColumn("mean_score", F.round("mean_score", 8))
 
 
-@query("SELECT a.r_name AS variant_a, b.r_name AS variant_b, k AS repeat, k + 42 AS seed FROM region a, region b, (SELECT unnest(range(3))::INT AS k)")
+@query(
+    "SELECT a.r_name AS variant_a, b.r_name AS variant_b, k AS repeat, k + 42 AS seed FROM region a, region b, (SELECT unnest(range(3))::INT AS k)"
+)
 def pairing_matrix(spark, d):
     return cv.pairing_matrix(t(spark, d, "region"), "r_name", 3)
 
@@ -619,9 +763,13 @@ def streaming_sustained(spark, d):
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{place}/out")
 
-    commitments_stream(stream, SUSTAIN).writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    commitments_stream(stream, SUSTAIN).writeStream.outputMode("update").option(
+        "checkpointLocation", f"{place}/state"
+    ).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     names = ["t_private", "t_public", "commitment_gap"]
-    return spark.read.parquet(f"{place}/out").groupBy("conv", "speaker").agg(F.max_by(F.struct(*names), "batch").alias("r")).select("conv", "speaker", *[f"r.{n}" for n in names])
+    return spark.read.parquet(f"{place}/out").groupBy("conv", "speaker").agg(
+        F.max_by(F.struct(*names), "batch").alias("r")
+    ).select("conv", "speaker", *[f"r.{n}" for n in names])
 
 
 @query(r"""WITH x AS (SELECT conv_id, turn, role = 'user' AND conv_id % 3 = 0 AS head, text FROM conversations), s AS (SELECT *, sum(head::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS sec, max(head::INT) OVER (PARTITION BY conv_id) AS any_head FROM x),
@@ -653,7 +801,11 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-@query(f"""SELECT doc_id, {_quoted(au.TELL_LABEL)} AS system, 'Passage:' || chr(10) || text || chr(10) || chr(10) || 'Is it prose?' || chr(10) || chr(10) || 'Respond in exactly this format (nothing else):' || chr(10) || 'LABEL: <none|minor|central>' || chr(10) || 'JUSTIFICATION: <one sentence explaining your choice>' AS prompt FROM documents""")
+@query(
+    f"""SELECT doc_id, {
+        _quoted(au.TELL_LABEL)
+    } AS system, 'Passage:' || chr(10) || text || chr(10) || chr(10) || 'Is it prose?' || chr(10) || chr(10) || 'Respond in exactly this format (nothing else):' || chr(10) || 'LABEL: <none|minor|central>' || chr(10) || 'JUSTIFICATION: <one sentence explaining your choice>' AS prompt FROM documents"""
+)
 def label_prompt(spark, d):
     sent = au.label_messages(F.col("text"), "Is it prose?")
     return t(spark, d, "documents").select("doc_id", sent[0]["content"].alias("system"), sent[1]["content"].alias("prompt"))
@@ -666,11 +818,19 @@ PROMPTS = f"""{FRAMES}, q AS (SELECT e.*, 'PASSAGE:' || chr(10) || content || ch
     WHEN 'REVERSE' THEN 'State the detective''s main conclusion, then write the question:' END AS prompt FROM e)"""
 
 
-@query(f"""WITH {PROMPTS} SELECT DISTINCT doc_id, paragraph_index, framing, CASE framing {' '.join(f"WHEN '{k}' THEN {_quoted(v)}" for k, v in au.TELL.items())} END AS system, prompt FROM q WHERE prompt IS NOT NULL""")
+@query(
+    f"""WITH {PROMPTS} SELECT DISTINCT doc_id, paragraph_index, framing, CASE framing {
+        ' '.join(f"WHEN '{k}' THEN {_quoted(v)}" for k, v in au.TELL.items())
+    } END AS system, prompt FROM q WHERE prompt IS NOT NULL"""
+)
 def framing_prompts(spark, d):
     rows = cp.expand(labelled(spark, d), 1)
-    sent = rows.select("doc_id", "paragraph_index", "framing", au.framing_messages(F.col("framing"), F.col("content")).alias("m")).where("m is not null")
-    return sent.select("doc_id", "paragraph_index", "framing", F.col("m")[0]["content"].alias("system"), F.col("m")[1]["content"].alias("prompt"))
+    sent = rows.select(
+        "doc_id", "paragraph_index", "framing", au.framing_messages(F.col("framing"), F.col("content")).alias("m")
+    ).where("m is not null")
+    return sent.select(
+        "doc_id", "paragraph_index", "framing", F.col("m")[0]["content"].alias("system"), F.col("m")[1]["content"].alias("prompt")
+    )
 
 
 @query(f"""WITH {PROMPTS}, held AS (SELECT DISTINCT content FROM q WHERE framing = 'QA' AND doc_id % 3 = 0),
@@ -682,9 +842,13 @@ def augment_cached(spark, d):
 
     rows = materialise(labelled(spark, d))
     asked = cp.expand(rows.where("doc_id % 3 = 0"), 1).where("framing = 'QA'")
-    held = asked.select(tx.cache_key(F.lit("m"), F.lit("v1"), F.col("framing"), F.col("content")).alias("key"), F.lit("held").alias("answer")).dropDuplicates(["key"])
+    held = asked.select(
+        tx.cache_key(F.lit("m"), F.lit("v1"), F.col("framing"), F.col("content")).alias("key"), F.lit("held").alias("answer")
+    ).dropDuplicates(["key"])
     good, bad, _ = au.augment(rows, held, _stub, "m", "v1", 3)
-    each = good.select("framing", "cached", F.lit(False).alias("failed")).unionByName(bad.select("framing", "cached", F.lit(True).alias("failed")))
+    each = good.select("framing", "cached", F.lit(False).alias("failed")).unionByName(
+        bad.select("framing", "cached", F.lit(True).alias("failed"))
+    )
     return each.groupBy("framing", "cached", "failed").agg(F.count("*").alias("n"))
 
 
@@ -693,7 +857,9 @@ def _party(model: str, shown: list[dict], seed: int) -> tuple[str, int, int]:
     if seed % 17 == 3:
         raise ConnectionError
     accuses = "true" if seed % 13 == 0 else "false"
-    return f'{{"reply": "{model} {seed}", "suspicion_score": {seed % 10 / 10}, "public_accusation": {accuses}}}', sum(len(m["content"]) for m in shown), len(shown)
+    return f'{{"reply": "{model} {seed}", "suspicion_score": {seed % 10 / 10}, "public_accusation": {accuses}}}', sum(
+        len(m["content"]) for m in shown
+    ), len(shown)
 
 
 @query("""WITH c AS (SELECT DISTINCT conv_id FROM conversations), k AS (SELECT conv_id, unnest(range(0, 6)) AS turn_idx FROM c), x AS (SELECT conv_id, turn_idx, conv_id + turn_idx AS s FROM k),
@@ -705,9 +871,13 @@ def _party(model: str, shown: list[dict], seed: int) -> tuple[str, int, int]:
 def dialogue(spark, d):
     """A conversation between two stand-ins for each conv_id, which is its seed too."""
     agent = lambda model: F.struct(F.lit(model).alias("model_id"), F.lit(None).cast("string").alias("adapter_id"), F.lit(None).cast("string").alias("role"), F.lit(True).alias("ground_truth_is_llm"))
-    configs = t(spark, d, "conversations").select("conv_id").distinct().select("conv_id", agent("one").alias("agent_A_cfg"), agent("two").alias("agent_B_cfg"), F.col("conv_id").alias("seed"))
+    configs = t(spark, d, "conversations").select("conv_id").distinct().select(
+        "conv_id", agent("one").alias("agent_A_cfg"), agent("two").alias("agent_B_cfg"), F.col("conv_id").alias("seed")
+    )
     turns_ = dg.failed(dg.converse(configs, _party, {"initiator": "sys", "responder": "sys"}, 3))
-    return turns_.select("conv_id", "turn_idx", "speaker_id", "prompt_tokens", "gen_tokens", "reply", "suspicion_score", "public_accusation", "is_failed")
+    return turns_.select(
+        "conv_id", "turn_idx", "speaker_id", "prompt_tokens", "gen_tokens", "reply", "suspicion_score", "public_accusation", "is_failed"
+    )
 
 
 @query(r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[\s\x0B]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents)
@@ -719,7 +889,9 @@ def sentence_shuffle(spark, d):
 @query(r"""WITH n AS (SELECT doc_id, sha256('42:' || doc_id) AS h, len(regexp_extract_all(text, '\S+')) AS n FROM documents), r AS (SELECT doc_id, n::INT AS n_words, sum(n) OVER (ORDER BY h, doc_id)::BIGINT AS tokens_so_far FROM n)
     SELECT doc_id, n_words, tokens_so_far FROM r WHERE tokens_so_far <= 20000""")
 def token_matched(spark, d):
-    return ct.match_tokens(t(spark, d, "documents").select("doc_id", tx.word_count(F.col("text")).alias("n_words")), "doc_id", "n_words", 20_000)
+    return ct.match_tokens(
+        t(spark, d, "documents").select("doc_id", tx.word_count(F.col("text")).alias("n_words")), "doc_id", "n_words", 20_000
+    )
 
 
 @query("SELECT doc_id FROM documents WHERE substr(sha256('42:' || doc_id), 1, 8) < '33333333'")
@@ -750,20 +922,26 @@ def _place(spark, name: str) -> str:
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN quality END AS quality, toxic FROM labels")
 def jsonl_append(spark, d):
     """Labels written as JSON lines, nulls kept, in a first batch and an appended one, and read again."""
-    rows, place = t(spark, d, "labels").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("quality")).alias("quality"), "toxic"), _place(spark, "jsonl")
+    rows, place = t(spark, d, "labels").select(
+        "doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("quality")).alias("quality"), "toxic"
+    ), _place(spark, "jsonl")
     io.write_jsonl(rows.where("doc_id % 3 = 0"), place)
     io.write_jsonl(rows.where("doc_id % 3 <> 0"), place, "append")
     return io.read_jsonl(spark, place, "doc_id bigint, quality int, toxic int")
 
 
-@query("SELECT doc_id % 7 = 0 AS broken, count(*) AS n, sum(CASE WHEN doc_id % 7 <> 0 THEN toxic END)::BIGINT AS toxic FROM labels GROUP BY 1")
+@query(
+    "SELECT doc_id % 7 = 0 AS broken, count(*) AS n, sum(CASE WHEN doc_id % 7 <> 0 THEN toxic END)::BIGINT AS toxic FROM labels GROUP BY 1"
+)
 def jsonl_quarantine(spark, d):
     """JSON lines of which every seventh breaks off."""
     line = F.to_json(F.struct("doc_id", "toxic"))
     place = _place(spark, "lines")
     t(spark, d, "labels").select(F.when(F.col("doc_id") % 7 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(place)
     good, bad = io.read_jsonl_quarantined(spark, place, "doc_id bigint, toxic int")
-    each = good.select(F.lit(False).alias("broken"), "toxic").unionByName(bad.select(F.lit(True).alias("broken"), F.lit(None).cast("int").alias("toxic")))
+    each = good.select(F.lit(False).alias("broken"), "toxic").unionByName(
+        bad.select(F.lit(True).alias("broken"), F.lit(None).cast("int").alias("toxic"))
+    )
     return each.groupBy("broken").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
 
 

@@ -34,6 +34,11 @@ def commitments_stream(turns: DataFrame, threshold: float = 0.7) -> DataFrame:
         state.update((low, high, public))
         some = lambda v: None if v == NONE else v
         gap = public - high if NONE not in (public, high) else None
-        yield pd.DataFrame({"conv": [key[0]], "speaker": [key[1]], "t_private": pd.array([some(high)], "Int64"), "t_public": pd.array([some(public)], "Int64"), "commitment_gap": pd.array([gap], "Int64")})
+        yield pd.DataFrame(
+            {
+                "conv": [key[0]], "speaker": [key[1]], "t_private": pd.array([some(high)], "Int64"),
+                "t_public": pd.array([some(public)], "Int64"), "commitment_gap": pd.array([gap], "Int64"),
+            }
+        )
 
     return turns.groupBy("conv", "speaker").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)

@@ -41,7 +41,11 @@ def test_framings(spark):
 
 
 def test_budget(spark):
-    got = [r[0] for r in spark.createDataFrame([(239_999,), (240_000,), (400_000,), (400_001,)], "n long").select(cp.budget_verdict(F.col("n"))).collect()]
+    got = [
+        r[0] for r in spark.createDataFrame(
+            [(239_999,), (240_000,), (400_000,), (400_001,)], "n long"
+        ).select(cp.budget_verdict(F.col("n"))).collect()
+    ]
     assert got == ["WARNING", "OK", "OK", "NOTE"]
 
 
@@ -57,13 +61,19 @@ def test_windows(spark):
     got = {}
     for r in ev.window_plan(df, "n", ["n"]).collect():
         got.setdefault(r["n"], []).append((r["begin"], r["end"], r["target_len"]))
-    assert {k: sorted(v) for k, v in got.items()} == {300: [(0, 300, 300)], 1024: [(0, 1024, 1024)], 1536: [(0, 1024, 1024), (512, 1536, 512)], 2000: [(0, 1024, 1024), (512, 1536, 512), (1024, 2000, 464)]}
+    assert {k: sorted(v) for k, v in got.items()} == {
+        300: [(0, 300, 300)], 1024: [(0, 1024, 1024)], 1536: [(0, 1024, 1024), (512, 1536, 512)],
+        2000: [(0, 1024, 1024), (512, 1536, 512), (1024, 2000, 464)],
+    }
     assert all(sum(x[2] for x in v) == k for k, v in got.items())
 
 
 def test_gates(spark):
     df = spark.createDataFrame([(10.0, 9.49, 0.60, 0.571), (10.0, 9.51, 0.60, 0.569)], "a double, b double, c double, d double")
-    got = df.select(ev.perplexity_gate(F.col("a"), F.col("b"), F.col("a"), F.col("a"))["h1"], ev.accuracy_gate(F.col("c"), F.col("d")), ev.probe_gate(F.col("a"), F.col("a"))).collect()
+    got = df.select(
+        ev.perplexity_gate(F.col("a"), F.col("b"), F.col("a"), F.col("a"))["h1"], ev.accuracy_gate(F.col("c"), F.col("d")),
+        ev.probe_gate(F.col("a"), F.col("a")),
+    ).collect()
     assert [tuple(r) for r in got] == [(True, True, False), (False, False, False)]
 
 
@@ -77,11 +87,18 @@ TALKS = {
 
 
 def talks(spark):
-    return spark.createDataFrame([(c, i, s, x, bool(a)) for c, t in TALKS.items() for i, (s, x, a) in enumerate(t)], "conv string, turn int, speaker string, score double, accused boolean")
+    return spark.createDataFrame(
+        [(c, i, s, x, bool(a)) for c, t in TALKS.items() for i, (s, x, a) in enumerate(t)],
+        "conv string, turn int, speaker string, score double, accused boolean",
+    )
 
 
 def test_commitments(spark):
-    got = {(r["conv"], r["speaker"]): tuple(r)[2:] for r in cv.commitments(talks(spark), "conv", "speaker", "turn", F.col("score"), F.col("accused")).collect()}
+    got = {
+        (r["conv"], r["speaker"]): tuple(r)[2:] for r in cv.commitments(
+            talks(spark), "conv", "speaker", "turn", F.col("score"), F.col("accused")
+        ).collect()
+    }
     assert got[("c1", "A")] == (4, 6, 2) and got[("c1", "B")] == (None, None, None)
     assert got[("c2", "A")] == (None, None, None) and got[("c2", "B")] == (1, 3, 2)
     assert got[("c3", "A")] == (None, None, None) and got[("c3", "B")] == (1, None, None)
@@ -92,8 +109,15 @@ def test_rollup(spark):
     t = talks(spark)
     ends = cv.outcome(t, "conv", "turn", "speaker", F.col("accused"))
     m = cv.commitments(t, "conv", "speaker", "turn", F.col("score"), F.col("accused"))
-    got = {r["conv"]: (r["winner"], r["termination_reason"], r["n_turns"], r["commitment_gap"]) for r in cv.rollup_conversations(ends, m, "conv", "speaker", F.lit("A")).collect()}
-    assert got == {"c1": ("A", "accusation", 7, 2), "c2": ("B", "accusation", 4, 2), "c3": (None, "max_turns", 4, None), "c4": ("A", "accusation", 1, None), "c5": ("A", "accusation", 1, 0)}
+    got = {
+        r["conv"]: (
+            r["winner"], r["termination_reason"], r["n_turns"], r["commitment_gap"]
+        ) for r in cv.rollup_conversations(ends, m, "conv", "speaker", F.lit("A")).collect()
+    }
+    assert got == {
+        "c1": ("A", "accusation", 7, 2), "c2": ("B", "accusation", 4, 2), "c3": (None, "max_turns", 4, None),
+        "c4": ("A", "accusation", 1, None), "c5": ("A", "accusation", 1, 0),
+    }
 
 
 def test_cache_asks_once(spark, tmp_path):
@@ -106,7 +130,9 @@ def test_cache_asks_once(spark, tmp_path):
 
     rows = spark.createDataFrame([("a",), ("a",), ("bad",), ("held",)], "content string")
     first, fresh = lb.classify(rows, spark.createDataFrame([], "key string, answer string"), provider, "m", "v1")
-    assert sorted((r["content"], r["label"], r["cached"]) for r in first.collect()) == [("a", "minor", False), ("a", "minor", False), ("bad", "error", False), ("held", "minor", False)]
+    assert sorted((r["content"], r["label"], r["cached"]) for r in first.collect()) == [
+        ("a", "minor", False), ("a", "minor", False), ("bad", "error", False), ("held", "minor", False)
+    ]
     assert fresh.count() == 3 and sorted(log.read_text().split()) == ["a", "bad", "held"]
     again, fresh = lb.classify(rows, fresh, provider, "m", "v1")
     assert all(r["cached"] for r in again.collect()) and fresh.count() == 0
@@ -136,18 +162,29 @@ def test_numbers(spark):
 def test_dialogue(spark):
     agent = "struct<model_id: string, adapter_id: string, role: string, ground_truth_is_llm: boolean>"
     row = lambda c, s: (c, ("one", None, None, True), ("two", "a", None, False), s)
-    configs = spark.createDataFrame([row("x", 0), row("y", None), row(None, 1)], f"conv_id string, agent_A_cfg {agent}, agent_B_cfg {agent}, seed int")
+    configs = spark.createDataFrame(
+        [row("x", 0), row("y", None), row(None, 1)], f"conv_id string, agent_A_cfg {agent}, agent_B_cfg {agent}, seed int"
+    )
 
     def provider(model, shown, seed):
         if seed == 2:
             raise TimeoutError
-        return (f'{{"reply": "{len(shown)} {shown[-1]["content"]}", "suspicion_score": 7, "public_accusation": {"true" if seed == 43 else "false"}}}', 5, 6)
+        return (
+            f'{{"reply": "{len(shown)} {shown[-1]["content"]}", "suspicion_score": 7, "public_accusation": {
+                "true" if seed == 43 else "false"
+            }}}',
+            5, 6,
+        )
 
     got = dg.failed(dg.converse(configs, provider, {"initiator": "I", "responder": "R"}, 2)).collect()
     x, y = (sorted((r for r in got if r["conv_id"] == c), key=lambda r: r["turn_idx"]) for c in "xy")
-    assert [(r["turn_idx"], r["speaker_id"], r["speaker_role"]) for r in x] == [(0, "A", "initiator"), (1, "B", "responder"), (2, "A", "initiator"), (3, "B", "responder")]
+    assert [(r["turn_idx"], r["speaker_id"], r["speaker_role"]) for r in x] == [
+        (0, "A", "initiator"), (1, "B", "responder"), (2, "A", "initiator"), (3, "B", "responder")
+    ]
     assert x[0]["reply"] == "1 I" and x[1]["reply"].startswith("2 1 I") and x[1]["adapter_id"] == "a" and not x[1]["ground_truth_is_llm"]
-    assert x[2]["is_failed"] and x[2]["reply"] == "" and x[2]["suspicion_score"] == 0.5 and x[0]["suspicion_score"] == 1.0 and x[2]["latency_ms"] >= 0
+    assert x[2]["is_failed"] and x[2]["reply"] == "" and x[2][
+        "suspicion_score"
+    ] == 0.5 and x[0]["suspicion_score"] == 1.0 and x[2]["latency_ms"] >= 0
     assert [r["turn_idx"] for r in y] == [0, 1] and y[1]["public_accusation"] and len(got) == 6
     assert dg.converse(configs.where("seed = 9"), provider, {"initiator": "I", "responder": "R"}).count() == 0
 
@@ -161,12 +198,19 @@ def test_controls(spark):
     rows, seen = ct.progress(docs.withColumn("l", F.when(F.col("d") < 3, "a").otherwise("b")), "l", ["a", "b", "c"])
     rows.write.format("noop").mode("overwrite").save()
     assert seen.get == {"total": 41, "a": 3, "b": 38, "c": 0}
-    got = {r["dimension"]: (r["n"], r["mean"], r["spread"]) for r in ct.judged(spark.createDataFrame([("v", 1.0, None), ("v", 3.0, 5.0)], "k string, a double, b double"), ["k"], ["a", "b"]).collect()}
+    got = {
+        r["dimension"]: (r["n"], r["mean"], r["spread"]) for r in ct.judged(
+            spark.createDataFrame([("v", 1.0, None), ("v", 3.0, 5.0)], "k string, a double, b double"), ["k"], ["a", "b"]
+        ).collect()
+    }
     assert got == {"a": (2, 2.0, 1.0), "b": (1, 5.0, 0.0)}
 
 
 def test_augment_does_not_keep_failures(spark):
-    rows = spark.createDataFrame([(1, "central", "{content} x", 2), (2, "minor", "y", 1), (3, "none", "z", 1)], "chunk_id int, label string, content string, word_count int")
+    rows = spark.createDataFrame(
+        [(1, "central", "{content} x", 2), (2, "minor", "y", 1), (3, "none", "z", 1)],
+        "chunk_id int, label string, content string, word_count int",
+    )
     empty = spark.createDataFrame([], "key string, answer string")
     good, bad, fresh = au.augment(rows, empty, lambda p: [None if x.endswith("1.") else "said" for x in p], "m", "v1", 3)
     assert sorted((r["chunk_id"], r["framing"]) for r in good.collect()) == [(1, "QA")] * 3 + [(1, "VERBATIM")] * 3 + [(2, "VERBATIM")]
@@ -190,7 +234,9 @@ def test_failed_calls_are_rows(spark):
 
     rows = spark.createDataFrame([("a",), ("b",), ("c",)], "content string").coalesce(1)
     got, fresh = lb.classify(rows, spark.createDataFrame([], "key string, answer string"), provider, "m", "v1")
-    assert sorted((r["content"], r["label"], r["justification"]) for r in got.collect()) == [("a", "minor", "a"), ("b", "error", "late"), ("c", "minor", "c")]
+    assert sorted(
+        (r["content"], r["label"], r["justification"]) for r in got.collect()
+    ) == [("a", "minor", "a"), ("b", "error", "late"), ("c", "minor", "c")]
     again, more = lb.classify(rows, fresh, provider, "m", "v1")
     assert sorted(r["justification"] for r in again.collect()) == ["a", "c", "late"] and more.count() == 0
     chunk = spark.createDataFrame([(1, "minor", "b " * 40, 40)], "chunk_id int, label string, content string, word_count int")
@@ -199,7 +245,9 @@ def test_failed_calls_are_rows(spark):
         raise TimeoutError("late")
 
     good, bad, fresh = au.augment(chunk, spark.createDataFrame([], "key string, answer string"), broken, "m", "v1", 1)
-    assert [r["framing"] for r in good.collect()] == ["VERBATIM"] and [r["framing"] for r in bad.collect()] == ["WATSON"] and fresh.count() == 0
+    assert [
+        r["framing"] for r in good.collect()
+    ] == ["VERBATIM"] and [r["framing"] for r in bad.collect()] == ["WATSON"] and fresh.count() == 0
     assert cp.manifest(good, bad).first()["error_count"] == 1 and cp.manifest(good).first()["error_count"] == 0
 
 
@@ -233,7 +281,9 @@ def test_decision_ladder(spark):
 
     rows = spark.createDataFrame(list(itertools.product([True, False], repeat=4)), "a boolean, b boolean, c boolean, d boolean")
     for r in rows.withColumn("v", ev.decide(*map(F.col, "abcd"))).collect():
-        first = "stop: perplexity" if not (r["a"] and r["b"]) else "stop: capability" if not r["c"] else "stop: probes" if not r["d"] else "proceed"
+        first = "stop: perplexity" if not (
+            r["a"] and r["b"]
+        ) else "stop: capability" if not r["c"] else "stop: probes" if not r["d"] else "proceed"
         assert r["v"] == first
 
 
@@ -242,7 +292,9 @@ def test_cox_is_the_maximum(spark):
     rng = np.random.default_rng(2)
     x = rng.integers(0, 2, (120, 2)).astype(float)
     time, event = rng.integers(1, 12, 120), rng.random(120) < 0.7
-    rows = spark.createDataFrame([(int(a), bool(e), float(p), float(q)) for a, e, (p, q) in zip(time, event, x)], "time int, event boolean, p double, q double")
+    rows = spark.createDataFrame(
+        [(int(a), bool(e), float(p), float(q)) for a, e, (p, q) in zip(time, event, x)], "time int, event boolean, p double, q double"
+    )
     got = stats.cox(rows, "time", "event", ["p", "q"])
     beta = np.zeros(2)
     for _ in range(30):

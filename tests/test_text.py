@@ -25,7 +25,10 @@ def test_book_markers(spark):
 def normalised(spark, texts):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     once = rows.withColumn("r", tx.normalize_whitespace(F.col("t")))
-    return once.select("i", "t", "r", tx.normalize_whitespace(F.col("r")).alias("again"), tx.word_count(F.col("t")).alias("w"), tx.strip(F.col("t")).alias("s")).collect()
+    return once.select(
+        "i", "t", "r", tx.normalize_whitespace(F.col("r")).alias("again"), tx.word_count(F.col("t")).alias("w"),
+        tx.strip(F.col("t")).alias("s"),
+    ).collect()
 
 
 def test_white_space(spark):
@@ -37,7 +40,9 @@ def test_white_space_rules(spark):
     import random
 
     pick = random.Random(1)
-    for r in normalised(spark, ["".join(pick.choice("ab \t\n\n\r\x0b\x85 \xa0\x1c\u2003") for _ in range(pick.randint(0, 30))) for _ in range(1500)]):
+    for r in normalised(
+        spark, ["".join(pick.choice("ab \t\n\n\r\x0b\x85 \xa0\x1c\u2003") for _ in range(pick.randint(0, 30))) for _ in range(1500)]
+    ):
         out = r["r"]
         assert r["again"] == out and out.endswith("\n") and "\n\n\n\n" not in out, repr(r["t"])
         lines = out[:-1].split("\n")
@@ -63,10 +68,14 @@ def test_markers(spark):
     text = "Therefore it is clear he must be left. Perhaps."
     assert one(spark, lambda c: tx.marker_count(c, tx.DEDUCTION), text) == 3
     assert one(spark, lambda c: tx.marker_count(c, tx.HEDGING), text) == 1
-    assert one(spark, lambda c: tx.marker_density(tx.marker_count(c, tx.DEDUCTION), tx.marker_count(c, tx.HEDGING), tx.word_count(c)), text) == 222.2222
+    assert one(
+        spark, lambda c: tx.marker_density(tx.marker_count(c, tx.DEDUCTION), tx.marker_count(c, tx.HEDGING), tx.word_count(c)), text
+    ) == 222.2222
     assert one(spark, lambda c: tx.marker_count(c, tx.HEDGING), "I’m not sure") == 0
     assert one(spark, lambda c: tx.marker_count(c, tx.HEDGING), "I'm not sure") == 1
-    assert one(spark, lambda c: tx.marker_density(tx.marker_count(c, tx.DEDUCTION), tx.marker_count(c, tx.HEDGING), tx.word_count(c)), "") == 0.0
+    assert one(
+        spark, lambda c: tx.marker_density(tx.marker_count(c, tx.DEDUCTION), tx.marker_count(c, tx.HEDGING), tx.word_count(c)), ""
+    ) == 0.0
 
 
 def test_turns(spark):
@@ -86,7 +95,9 @@ def test_empty_reply_is_found(spark):
     assert turn('{"reply": "", "suspicion_score": 0.4, ').reply == "" and not turn('{"reply": "", "x').parsed
     assert turn('  {"answer": 1, ').reply == '{"answer": 1,'
     assert turn('{"reply": null}').reply == "" and turn('{"reply": null}').parsed
-    assert turn('a {"reply": "in", "cues": ["c"], "trap_strategy": {"plan": "p", "type": "numeric"}, "public_accusation": true} b').trap == "numeric"
+    assert turn(
+        'a {"reply": "in", "cues": ["c"], "trap_strategy": {"plan": "p", "type": "numeric"}, "public_accusation": true} b'
+    ).trap == "numeric"
 
 
 @settings(max_examples=25, deadline=None)
