@@ -12,6 +12,7 @@ from lexiloom.llm.html_extract import extract_main_text
 from lexiloom.llm.jaccard_join import jaccard_join
 from lexiloom.llm.kd_shards import kd_shards
 from lexiloom.llm.lm_score import lm_score
+from lexiloom.llm.merkle import merkle_manifest
 from lexiloom.llm.packing import pack
 from lexiloom.llm.permutation_index import permutation_search
 from lexiloom.llm.pu_toxicity import pu_toxicity
@@ -79,11 +80,17 @@ def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation_links(_table(spark, sf_dir, "conversations"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return merkle_manifest(docs, tampered=_fold("doc_id", 3) == 0).drop("path")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_wrappers, op2_kd_shards, op3_lm_score, op4_soft_mixing, op5_best_fit_packing, op6_embedding_dedup, op7_pu_toxicity,
         op8_permutation_index, op9_jaccard_join, op10_quotation_links,
+        op13_merkle_manifest,
     )
 }
 
@@ -139,4 +146,32 @@ ORACLES: dict[str, str] = {
         SELECT e.c AS conv_id, e.t AS turn, e.role, g.t AS parent_turn, v.depth::INT AS depth, (row_number() OVER (PARTITION BY e.c ORDER BY v.path) - 1)::BIGINT AS position,
                regexp_replace(coalesce(z.content, ''), '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS content, z.n_quoted::BIGINT AS n_quoted, coalesce(e.n_linked, 0)::BIGINT AS n_linked
         FROM e JOIN v USING (id) JOIN z USING (id) LEFT JOIN e g ON g.c IS NOT DISTINCT FROM e.c AND g.o = e.up""",
+    "op13_merkle_manifest": """
+        WITH RECURSIVE d AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+        f AS (SELECT row_number() OVER () AS id, doc_id, lang, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-')
+              || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+              || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+              coalesce(octet_length(encode(text)) || ':' || text, '-') AS body, coalesce(octet_length(encode(low)) || ':' || low, '-') AS lowered FROM d),
+        l AS (SELECT id, doc_id, lang, sha256(head || body) AS leaf, sha256(head || lowered) AS other FROM f),
+        s AS (SELECT l.*, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM l),
+        c AS (SELECT doc_id, CASE WHEN doc_id IS NULL THEN false ELSE crc % 3 = 0 END AS touched FROM (SELECT doc_id, (WITH RECURSIVE b AS (
+              SELECT 0 AS k, 4294967295::BIGINT AS r UNION ALL SELECT k + 1, list_reduce(range(9), lambda a, x: CASE WHEN x = 0 THEN a WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END,
+                  xor(r, ascii(substr(doc_id::VARCHAR, k + 1, 1)))) FROM b WHERE k < length(doc_id::VARCHAR)) SELECT xor(max_by(r, k), 4294967295) FROM b) AS crc FROM (SELECT DISTINCT doc_id FROM documents))),
+        node AS (SELECT 0 AS k, lang, i, n, leaf AS h FROM s
+                 UNION ALL SELECT k + 1, lang, i // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY k, lang, i // 8),
+        side AS (SELECT k, lang, i, n, coalesce(string_agg(h, '' ORDER BY i) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+                 coalesce(string_agg(h, '' ORDER BY i) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM node WHERE n > 1 WINDOW w AS (PARTITION BY k, lang, i // 8 ORDER BY i)),
+        sub AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1),
+        tnode AS (SELECT 0 AS k, i, n, subroot AS h FROM sub
+                 UNION ALL SELECT k + 1, i // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM tnode WHERE n > 1 GROUP BY k, i // 8),
+        tside AS (SELECT k, i, n, coalesce(string_agg(h, '' ORDER BY i) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+                 coalesce(string_agg(h, '' ORDER BY i) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM tnode WHERE n > 1 WINDOW w AS (PARTITION BY k, i // 8 ORDER BY i)),
+        up AS (SELECT s.id, s.doc_id, s.leaf, s.lang, 0 AS k, s.i, s.n, CASE WHEN c.touched THEN s.other ELSE s.leaf END AS h, '' AS proof FROM s JOIN c ON c.doc_id IS NOT DISTINCT FROM s.doc_id
+               UNION ALL SELECT u.id, u.doc_id, u.leaf, u.lang, u.k + 1, u.i // 8, (u.n + 7) // 8, sha256(x.b || u.h || x.a), u.proof || x.b || x.a
+               FROM up u JOIN side x ON x.lang IS NOT DISTINCT FROM u.lang AND x.k = u.k AND x.i = u.i),
+        far AS (SELECT u.id, u.doc_id, u.leaf, sub.subroot, 0 AS k, sub.i, sub.n, u.h, u.proof FROM up u JOIN sub ON sub.lang IS NOT DISTINCT FROM u.lang WHERE u.n = 1
+               UNION ALL SELECT u.id, u.doc_id, u.leaf, u.subroot, u.k + 1, u.i // 8, (u.n + 7) // 8, sha256(x.b || u.h || x.a), u.proof || x.b || x.a
+               FROM far u JOIN tside x ON x.k = u.k AND x.i = u.i)
+        SELECT u.doc_id, u.leaf, u.subroot, r.h AS root, sha256(u.proof) AS proof_sha256, u.h AS folded_root, u.h = r.h AS verified
+        FROM far u, (SELECT h FROM tnode WHERE n = 1) r WHERE u.n = 1""",
 }
