@@ -13,6 +13,7 @@ from lexiloom.llm.jaccard_join import jaccard_join
 from lexiloom.llm.kd_shards import kd_shards
 from lexiloom.llm.lm_score import lm_score
 from lexiloom.llm.merkle import merkle_manifest
+from lexiloom.llm.name_join import name_join
 from lexiloom.llm.packing import pack
 from lexiloom.llm.permutation_index import permutation_search
 from lexiloom.llm.pu_toxicity import pu_toxicity
@@ -80,6 +81,11 @@ def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation_links(_table(spark, sf_dir, "conversations"))
 
 
+def op12_name_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vendors = _table(spark, sf_dir, "vendors")
+    return name_join(_table(spark, sf_dir, "clients"), vendors, seed=F.crc32(F.col("vendor_id").cast("string")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return merkle_manifest(docs, tampered=_fold("doc_id", 3) == 0).drop("path")
@@ -90,10 +96,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_html_wrappers, op2_kd_shards, op3_lm_score, op4_soft_mixing, op5_best_fit_packing, op6_embedding_dedup, op7_pu_toxicity,
         op8_permutation_index, op9_jaccard_join, op10_quotation_links,
-        op13_merkle_manifest,
+        op12_name_automaton, op13_merkle_manifest,
     )
 }
 
+#: crc32 of the decimals of the column k of a table ids, as (k, crc).
+_CRC = """(SELECT k, (WITH RECURSIVE b AS (SELECT 0 AS i, 4294967295::BIGINT AS r UNION ALL
+        SELECT i + 1, list_reduce(range(9), lambda a, x: CASE WHEN x = 0 THEN a WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END,
+            xor(r, ascii(substr(k::VARCHAR, i + 1, 1)))) FROM b WHERE i < length(k::VARCHAR)) SELECT xor(max_by(r, i), 4294967295) FROM b) AS crc FROM ids)"""
+
 ORACLES: dict[str, str] = {
     "op1_html_wrappers": r"""
         WITH cut AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?b>', '', 'g') AS body FROM pages),
@@ -146,7 +157,22 @@ ORACLES: dict[str, str] = {
         SELECT e.c AS conv_id, e.t AS turn, e.role, g.t AS parent_turn, v.depth::INT AS depth, (row_number() OVER (PARTITION BY e.c ORDER BY v.path) - 1)::BIGINT AS position,
                regexp_replace(coalesce(z.content, ''), '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS content, z.n_quoted::BIGINT AS n_quoted, coalesce(e.n_linked, 0)::BIGINT AS n_linked
         FROM e JOIN v USING (id) JOIN z USING (id) LEFT JOIN e g ON g.c IS NOT DISTINCT FROM e.c AND g.o = e.up""",
-    "op13_merkle_manifest": """
+    "op12_name_automaton": f"""
+        WITH RECURSIVE ids AS (SELECT client_id AS k FROM clients UNION SELECT vendor_id FROM vendors), h AS (SELECT * FROM {_CRC}),
+        c AS (SELECT client_id, name, length(name) AS m, h.crc FROM clients LEFT JOIN h ON h.k = client_id WHERE name <> ''),
+        s AS (SELECT DISTINCT vendor_id, name, length(name) AS size, coalesce(h.crc, 1) AS crc FROM vendors LEFT JOIN h ON h.k = vendor_id WHERE name <> ''),
+        v AS (SELECT vendor_id, size, CASE WHEN crc % 2 = 1 OR size < 2 THEN name ELSE substr(name, 1, (crc % (size - 1))::INT) || substr(name, (crc % (size - 1))::INT + 2, 1)
+              || substr(name, (crc % (size - 1))::INT + 1, 1) || substr(name, (crc % (size - 1))::INT + 3) END AS name FROM s),
+        p AS (SELECT v.vendor_id, v.name AS a, c.name AS b, v.size AS l, c.m, c.client_id, c.crc,
+                     list_filter(range(1, greatest(v.size, c.m) + 1), lambda i: substr(v.name, i::INT, 1) <> substr(c.name, i::INT, 1)) AS off
+              FROM v JOIN c ON abs(c.m - v.size) <= 1),
+        d AS (SELECT *, CASE WHEN a = b THEN 0 WHEN l = m AND len(off) = 1 THEN 1
+                 WHEN l = m AND len(off) = 2 AND off[2] = off[1] + 1 AND substr(a, off[1]::INT, 1) = substr(b, off[2]::INT, 1) AND substr(a, off[2]::INT, 1) = substr(b, off[1]::INT, 1) THEN 1
+                 WHEN l = m + 1 AND substr(a, 1, off[1]::INT - 1) || substr(a, off[1]::INT + 1) = b THEN 1
+                 WHEN m = l + 1 AND substr(b, 1, off[1]::INT - 1) || substr(b, off[1]::INT + 1) = a THEN 1 END AS distance FROM p)
+        SELECT vendor_id, distance::INT AS distance, count(*) AS n_clients, min(client_id) AS first_client_id, sum(crc)::BIGINT AS clients_crc
+        FROM d WHERE distance IS NOT NULL GROUP BY 1, 2""",
+    "op13_merkle_manifest": f"""
         WITH RECURSIVE d AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
         f AS (SELECT row_number() OVER () AS id, doc_id, lang, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-')
               || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
@@ -154,9 +180,7 @@ ORACLES: dict[str, str] = {
               coalesce(octet_length(encode(text)) || ':' || text, '-') AS body, coalesce(octet_length(encode(low)) || ':' || low, '-') AS lowered FROM d),
         l AS (SELECT id, doc_id, lang, sha256(head || body) AS leaf, sha256(head || lowered) AS other FROM f),
         s AS (SELECT l.*, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM l),
-        c AS (SELECT doc_id, CASE WHEN doc_id IS NULL THEN false ELSE crc % 3 = 0 END AS touched FROM (SELECT doc_id, (WITH RECURSIVE b AS (
-              SELECT 0 AS k, 4294967295::BIGINT AS r UNION ALL SELECT k + 1, list_reduce(range(9), lambda a, x: CASE WHEN x = 0 THEN a WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END,
-                  xor(r, ascii(substr(doc_id::VARCHAR, k + 1, 1)))) FROM b WHERE k < length(doc_id::VARCHAR)) SELECT xor(max_by(r, k), 4294967295) FROM b) AS crc FROM (SELECT DISTINCT doc_id FROM documents))),
+        ids AS (SELECT DISTINCT doc_id AS k FROM documents), c AS (SELECT k AS doc_id, k IS NOT NULL AND crc % 3 = 0 AS touched FROM {_CRC}),
         node AS (SELECT 0 AS k, lang, i, n, leaf AS h FROM s
                  UNION ALL SELECT k + 1, lang, i // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY k, lang, i // 8),
         side AS (SELECT k, lang, i, n, coalesce(string_agg(h, '' ORDER BY i) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,

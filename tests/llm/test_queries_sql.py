@@ -6,7 +6,7 @@ import pytest
 from lexiloom.llm.queries import ORACLES, QUERIES
 
 D = "/root/testdata/sf0.001"
-NAMES = ["op13_merkle_manifest"]
+NAMES = ["op12_name_automaton", "op13_merkle_manifest"]
 
 
 @pytest.mark.parametrize("name", NAMES)
