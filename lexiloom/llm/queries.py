@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.llm.additive_quality import additive_quality
 from lexiloom.llm.embedding_dedup import embedding_dedup
 from lexiloom.llm.html_extract import extract_main_text
 from lexiloom.llm.jaccard_join import jaccard_join
@@ -81,6 +82,12 @@ def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation_links(_table(spark, sf_dir, "conversations"))
 
 
+def op11_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(_fold("doc_id", 4) == 2, F.lit(False))
+    scored = additive_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op12_name_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     vendors = _table(spark, sf_dir, "vendors")
     return name_join(_table(spark, sf_dir, "clients"), vendors, seed=F.crc32(F.col("vendor_id").cast("string")))
@@ -96,7 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_html_wrappers, op2_kd_shards, op3_lm_score, op4_soft_mixing, op5_best_fit_packing, op6_embedding_dedup, op7_pu_toxicity,
         op8_permutation_index, op9_jaccard_join, op10_quotation_links,
-        op12_name_automaton, op13_merkle_manifest,
+        op11_additive_quality, op12_name_automaton, op13_merkle_manifest,
     )
 }
 
