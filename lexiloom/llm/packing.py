@@ -12,6 +12,7 @@ documents meet their places by length and rank, and never leave the cluster.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from lexiloom.plans.lineage import materialise
 from lexiloom.plans.numbering import number_within
 
 Pattern = tuple[int, ...]
+BLANK = 100_000
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
@@ -146,6 +148,10 @@ def places(bins: Counter) -> list[tuple[int, int, int, int]]:
     return sorted(out)
 
 
+def _long_blank(text: str) -> bool:
+    return len(text) >= BLANK and any(m.end() - m.start() >= BLANK for m in re.finditer(r"\s+", text))
+
+
 def tokenised(docs: DataFrame, id_: str, text: str, tokenizer: str, end: int, capacity: int, ids: bool) -> DataFrame:
     """(id, row, piece, start, length, ids_crc32[, ids]) of all pieces."""
 
@@ -156,15 +162,16 @@ def tokenised(docs: DataFrame, id_: str, text: str, tokenizer: str, end: int, ca
         import tiktoken
         from tokenizers import Tokenizer
 
-        # tiktoken has the same vocabulary in another format and gives the same ids in a fifth of the time;
-        # a text that spells a special token goes to the tokenizers library, which reads it as one
+        # tiktoken has the same vocabulary in another format and gives the same ids in a fifth of the time; a text that spells
+        # a special token goes to the tokenizers library, which reads it as one, and so does one with a long run of white space,
+        # on which tiktoken's pattern overflows its stack
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(f"{tokenizer}.tiktoken"), "rb"))}
         fast, slow = tiktoken.Encoding(tokenizer, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), None
         for whole in parts:
             for part in batches(whole, 1 << 22):
                 out: list[list] = [[] for _ in range(6)]
                 for i, t in enumerate(part.column(1).to_pylist()):
-                    if t and "<|" in t:
+                    if t and ("<|" in t or _long_blank(t)):
                         slow = slow or Tokenizer.from_file(public_tokenizers.path(f"{tokenizer}.json"))
                         got = slow.encode(t, add_special_tokens=False).ids
                     else:
