@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The classifiers are linear over the presence of hashed words and word beginnings. They learn from
-confirmed toxic texts (P) and texts of unknown kind (U) with the risk
+The classifiers are linear over hashed words and word beginnings. A text is cut into even windows of some `WINDOW` words, and a
+feature's value is how many different words of a window have it, on the mean of the windows; so what a text says throughout
+counts, at any length, and what a long text happens to hold once does not. They learn from confirmed toxic texts (P) and texts of unknown kind (U) with the risk
 
     prior * loss(P as toxic) + max(0, loss(U as clean) - prior * loss(P as clean)),
 
@@ -13,8 +14,8 @@ once. U is every training text. Features come in when their rate in P exceeds th
 `lift` times, or half the way from 1 to 1 / prior where that is less, as what only toxic texts hold
 reaches 1 / prior; the rest get no weight. Rates are counted over all of P and U on the cluster. U is then dealt by hash
 into blocks of about `block` texts; a task learns a numpy classifier from P and one block, and the model is the mean of
-the classifiers, so every text teaches and no task holds more than a block. A text that stands on more than one in
-`copies` of U's rows counts as one row. The driver sees counts of P's features and the weights, both bounded by P.
+the classifiers, so every text teaches and no task holds more than a block. No text counts for more than one in `copies` of
+U's rows, on however many it stands; so a corpus and its double weigh their texts alike. The driver sees counts of P's features and the weights, both bounded by P.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ GATES = 1 << 20
 CUTS = (4, 5, 6)
 #: What the pooled standard error takes for the size of U, in sizes of P.
 RATIO = 3.0
+WINDOW = 128
+#: Values are kept in steps of 1 / STEPS, up to MOST of them.
+STEPS, MOST = 16, 255
 
 
 def features(words: Words, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,12 +50,23 @@ def features(words: Words, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(spread), np.tile(row, len(spread))
 
 
-def present(words: Words, text: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, places in used) of the used features that texts hold, without repeats, in order."""
-    f, row = features(words, text)
-    hit, place = among(f, used)
-    pairs = np.unique(row[hit].astype(np.int64) * SPACE + place)
-    return pairs // SPACE, pairs % SPACE
+def present(words: Words, text: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, places in used, steps) of the used features that texts hold, without repeats, in order."""
+    hashes, at = words.beginnings(text, CUTS)
+    count = np.diff(at)
+    windows = np.maximum(1, np.rint(count / WINDOW).astype(np.int64))
+    row, found = np.repeat(np.arange(len(count)), count), []
+    for k, h in enumerate(hashes):
+        hit, place = among((mix(h ^ np.uint64(k)) & np.uint64(SPACE - 1)).astype(np.int32), used)
+        r = row[hit]
+        found.append(np.stack([r, place, (hit - at[r]) * windows[r] // count[r], hashes[0][hit].view(np.int64)]))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)  # a word once in each window
+    new = np.ones(pairs.shape[1], bool)
+    new[1:] = (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)
+    first = np.flatnonzero(new)
+    r, place = pairs[0, first], pairs[1, first]
+    mean = np.diff(np.append(first, pairs.shape[1])) / windows[r]
+    return r, place, np.clip(np.ceil(mean * STEPS), 1, MOST).astype(np.int64)
 
 
 def chosen(p: np.ndarray, u: np.ndarray, prior: float, screen: float = 4.0, lift: float = 2.5) -> np.ndarray:
@@ -68,23 +83,23 @@ def learn(
 ) -> tuple[np.ndarray, float]:
     """Weights of `used` features and the bias at the non-negative risk's minimum.
 
-    The samples: (rows, features) without repeats, and the weight of each text.
+    The samples: (rows, features) without repeats, their values, and the weight of each text.
     """
-    (pr, pc, pw), (ur, uc, uw) = positive, unlabelled
+    (pr, pc, px, pw), (ur, uc, ux, uw) = positive, unlabelled
     np_, nu = len(pw), len(uw)
     pw, uw = pw / pw.sum(), uw / uw.sum()
     w, b = np.zeros(used), float(np.log(prior / (1 - prior)))
     m1, m2 = np.zeros(used + 1), np.zeros(used + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, steps + 1):
-        zp, zu = b + np.bincount(pr, w[pc], np_), b + np.bincount(ur, w[uc], nu)
+        zp, zu = b + np.bincount(pr, w[pc] * px, np_), b + np.bincount(ur, w[uc] * ux, nu)
         sp, su = sigmoid(zp) * pw, sigmoid(zu) * uw
         as_clean = uw @ np.logaddexp(0, zu) - prior * (pw @ np.logaddexp(0, zp))
         if as_clean >= 0:
             dp, du = -prior * pw, su
         else:
             dp, du = prior * sp, -su
-        g = np.append(np.bincount(pc, dp[pr], used) + np.bincount(uc, du[ur], used), dp.sum() + du.sum())
+        g = np.append(np.bincount(pc, dp[pr] * px, used) + np.bincount(uc, du[ur] * ux, used), dp.sum() + du.sum())
         g[:-1] += ridge * w
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         step = rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
@@ -133,7 +148,7 @@ def _rates(rows: DataFrame, wanted: np.ndarray) -> np.ndarray:
         words, sums, total = Words(), np.zeros(len(held.value)), 0.0
         for whole in parts:
             for part in batches(whole, 1 << 21):
-                row, f = present(words, part.column(0), held.value)
+                row, f, _ = present(words, part.column(0), held.value)
                 weight = part.column(1).to_numpy(zero_copy_only=False)
                 sums += np.bincount(f, weight[row], len(sums))
                 total += weight.sum()
@@ -152,6 +167,16 @@ def _rates(rows: DataFrame, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
+def weighed(source: DataFrame, copies: int) -> tuple[int, DataFrame]:
+    """The number of source's rows (id, text), and them with a weight each, so that no text has more in all than one in `copies` rows."""
+    whole, name = source.count(), F.xxhash64("text")
+    # texts on more rows than that: fewer than `copies`, or all where these are no more rows
+    common = source.groupBy(name.alias("h")).agg(F.count("*").alias("n")).where(F.col("n") * copies > whole)
+    return whole, source.join(F.broadcast(common), name == F.col("h"), "left").select(
+        "id", "text", F.coalesce(whole / (copies * F.col("n")), F.lit(1.0)).alias("weight")
+    )
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, train: Column, id_: str = "doc_id", text: str = "text", label: str = "toxic",
     positives: int = 4000, block: int = 12_000, screen: float = 4.0, lift: float = 2.5, copies: int = 10_000,
@@ -174,13 +199,7 @@ def fit(
     able = chosen((count, size), np.zeros(len(wanted)), prior, screen, lift)
     wanted, count = wanted[able], count[able]
 
-    # texts on more than one in `copies` rows, of which there are fewer than `copies`
-    whole = source.count()
-    name = F.xxhash64("text")
-    common = source.groupBy(name.alias("h")).agg(F.count("*").alias("n")).where(F.col("n") * copies > whole)
-    unlabelled = source.join(F.broadcast(common), name == F.col("h"), "left").select(
-        "id", "text", (1 / F.coalesce("n", F.lit(1))).alias("weight")
-    )
+    whole, unlabelled = weighed(source, copies)
     rate = _rates(unlabelled, wanted)
     used = wanted[chosen((count, size), rate, prior, screen, lift)]
     if not len(used):
@@ -192,20 +211,20 @@ def fit(
         words = Words()
         for whole in parts:
             for part in batches(whole, 1 << 21):
-                row, f = present(words, part.column(0), held.value)
+                row, f, x = present(words, part.column(0), held.value)
                 at = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                 release()
+                both = f * (MOST + 1) + x
                 yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array(at), pa.array(f.astype(np.int32))), *part.columns[1:]],
+                    [pa.ListArray.from_arrays(pa.array(at), pa.array(both)), *part.columns[1:]],
                     names=["f", *part.schema.names[1:]],
                 )
 
-    def sample(lists: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.repeat(
-            np.arange(len(lists)), [len(x) for x in lists]
-        ), np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int64), weight
+    def sample(lists: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, ...]:
+        both = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
+        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), both // (MOST + 1), both % (MOST + 1) / STEPS, weight
 
-    known = confirmed.select("text").mapInArrow(hold, "f array<int>").toArrow().column("f").to_pylist()
+    known = confirmed.select("text").mapInArrow(hold, "f array<long>").toArrow().column("f").to_pylist()
     toxic = spark.sparkContext.broadcast(sample(known, np.ones(len(known))))
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
@@ -217,7 +236,7 @@ def fit(
     spread = F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(max(1, round(whole / block)))).alias("block")
     # rows of a block that hold the same features are one, so that no text repeated without end fills a task
     blocks = unlabelled.select("text", "weight", spread).mapInArrow(
-        hold, "f array<int>, weight double, block long"
+        hold, "f array<long>, weight double, block long"
     ).groupBy("block", "f").agg(F.sum("weight").alias("weight"))
     mean = blocks.groupBy("block").applyInPandas(one, "at int, w double, n double").groupBy("at").agg(
         (F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")
@@ -242,12 +261,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
         for whole in parts:
             for part in batches(whole, 1 << 21):
                 column = part.column(at)
-                row, f = present(
+                row, f, x = present(
                     words,
                     column if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.cast(pa.string()), held,
                 )
                 release()
-                z = bias + np.bincount(row, w[f], part.num_rows)
+                z = bias + np.bincount(row, w[f] * x / STEPS, part.num_rows)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(size)), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))],
                     names=[*part.schema.names, into],

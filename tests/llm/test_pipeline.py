@@ -67,8 +67,19 @@ DDL = "doc_id long, text string, lang string, source string, n_chars long"
 def test_toxicity_by_hand(spark):
     docs, labels = spark.read.parquet(f"{D01}/documents.parquet"), spark.read.parquet(f"{D01}/labels.parquet")
     used, w, b = fit(docs, labels, F.lit(True))
-    held = lambda text: np.isin(used, features(Words(), pa.array([text]))[0])
-    expect = {r["doc_id"] for r in docs.collect() if 1 / (1 + math.exp(-(b + w[held(r["text"])].sum()))) < corpus_pipeline.TOXIC}
+    weight = dict(zip(used.tolist(), w.tolist(), strict=True))
+    known, hasher = {}, Words()
+
+    def logit(text):
+        said = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        windows, seen = max(1, round(len(said) / 128)), set()
+        for i, x in enumerate(said):
+            if x not in known:
+                known[x] = [f for f in features(hasher, pa.array([x]))[0].tolist() if f in weight]
+            seen |= {(f, i * windows // len(said), x) for f in known[x]}
+        return b + sum(weight[f] * min(255, math.ceil(n / windows * 16)) / 16 for f, n in collections.Counter(f for f, _, _ in seen).items())
+
+    expect = {r["doc_id"] for r in docs.collect() if 1 / (1 + math.exp(-logit(r["text"]))) < corpus_pipeline.TOXIC}
     kept = [r["doc_id"] for r in corpus_pipeline.toxicity(spark, docs, D01).collect()]
     assert len(kept) == len(expect) and set(kept) == expect
     toxic = {r["doc_id"] for r in labels.where("toxic = 1").collect()}
@@ -151,3 +162,10 @@ def test_stages_on_awkward_tables(spark):
         mixed = corpus_pipeline.mixing(spark, docs, D)
         assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.select("doc_id").collect()} == {r[0] for r in few}
         assert {r["doc_id"] for r in corpus_pipeline.packing(spark, docs, D).collect()} == {r[0] for r in few}
+
+
+def test_packing_of_long_blanks(spark):
+    """A million line breaks, spaces or no-break spaces in a row are packed whole."""
+    rows = [(i, f"x{c * 1_000_000}y", "en", "s", 1) for i, c in enumerate("\n \u00a0")]
+    got = corpus_pipeline.packing(spark, spark.createDataFrame(rows, DDL), D).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {0: 500_004, 1: 1_000_002, 2: 62_506}
