@@ -15,6 +15,7 @@ from lexiloom.operators import corpus as cp
 from lexiloom.operators import dialogue as dg
 from lexiloom.operators import evaluation as ev
 from lexiloom.operators import labeling as lb
+from lexiloom.operators import mixed as mx
 from lexiloom.operators import stats as st
 from lexiloom.sources import io
 from lexiloom.streaming.sustained import commitments_stream
@@ -952,3 +953,41 @@ def whole_files(spark, d):
     io.write_text(t(spark, d, "documents"), place, "text", "lang")
     books = io.read_books(spark, f"{place}/*")
     return books.groupBy(F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang")).agg(F.sum(tx.word_count(F.col("text"))).alias("words"))
+
+
+def _tried(ratio: str) -> str:
+    """SQL for the likelihood's profile at a ratio of variances, over the table z of group sizes."""
+    at = lambda v: f"sum(c{v} - {ratio} / (1 + n * {ratio}) * p{v})"
+    names = ("yy", "y1", "yx", "11", "1x", "xx")
+    sums = ", ".join([f"{at(v)} AS a{v}, sum(p{v} / (1 + n * {ratio}) ** 2) AS e{v}" for v in names])
+    return f"""(SELECT *, -0.5 * trace + 0.5 * rows * (eyy - 2 * b0 * ey1 - 2 * b1 * eyx + b0 * b0 * e11 + 2 * b0 * b1 * e1x + b1 * b1 * exx) / rss AS gradient
+        FROM (SELECT *, ayy - b0 * ay1 - b1 * ayx AS rss FROM (SELECT *, (ay1 * axx - ayx * a1x) / det AS b0, (a11 * ayx - a1x * ay1) / det AS b1
+        FROM (SELECT *, a11 * axx - a1x * a1x AS det FROM (SELECT {sums}, sum(m * n) AS rows, sum(m * n / (1 + n * {ratio})) AS trace FROM z)))))"""
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT count(*)::DOUBLE AS n, sum(amount) AS sy, sum(quantity)::DOUBLE AS sx, sum(amount * amount) AS cyy, sum(amount * quantity) AS cyx,
+        sum(quantity * quantity)::DOUBLE AS cxx FROM sale_lines WHERE amount IS NOT NULL AND quantity IS NOT NULL AND item_id IS NOT NULL GROUP BY item_id),
+    z AS (SELECT n, count(*)::DOUBLE AS m, sum(cyy) AS cyy, sum(sy) AS cy1, sum(cyx) AS cyx, sum(n) AS c11, sum(sx) AS c1x, sum(cxx) AS cxx,
+        sum(sy * sy) AS pyy, sum(sy * n) AS py1, sum(sy * sx) AS pyx, sum(n * n) AS p11, sum(n * sx) AS p1x, sum(sx * sx) AS pxx FROM g GROUP BY n),
+    s AS (SELECT 0 AS k, -25.0::DOUBLE AS low, 25.0::DOUBLE AS high UNION ALL SELECT k + 1, CASE WHEN up > 0 THEN mid ELSE low END, CASE WHEN up > 0 THEN high ELSE mid END
+        FROM (SELECT k, low, high, (low + high) / 2 AS mid, (SELECT gradient FROM {_tried("exp((s.low + s.high) / 2)")}) AS up FROM s WHERE k < 50)),
+    r AS (SELECT exp(low) AS ratio FROM s WHERE k = 50), f AS (SELECT t.*, r.ratio, t.rss / t.rows AS within FROM r, LATERAL {_tried("r.ratio")} t)
+    SELECT u.term, round(u.estimate, 3) AS estimate, round(u.std_error, 5) AS std_error FROM f, LATERAL (VALUES ('intercept', b0, sqrt(axx / det * within)), ('quantity', b1, sqrt(a11 / det * within)),
+        ('between', ratio * within, NULL), ('within', within, NULL)) u(term, estimate, std_error)""")
+def mixed_effects(spark, d):
+    """What a line costs by its quantity, items differing at random."""
+    got = mx.mixed_effects(t(spark, d, "sale_lines"), "item_id", F.col("amount"), {"quantity": F.col("quantity")})
+    return got.select("term", F.round("estimate", 3).alias("estimate"), F.round("std_error", 5).alias("std_error"))
+
+
+@query("""WITH s AS (SELECT count(*) FILTER (WHERE event_type = 'click') AS n_a, count(*) FILTER (WHERE event_type = 'view') AS n_b, avg(value) FILTER (WHERE event_type = 'click') - avg(value) FILTER (WHERE event_type = 'view') AS gap,
+        var_samp(value) FILTER (WHERE event_type = 'click') AS va, var_samp(value) FILTER (WHERE event_type = 'view') AS vb FROM events),
+    e AS (SELECT n_a, n_b, gap / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)) AS d FROM s),
+    c AS (SELECT *, sqrt(n_a * n_b / (n_a + n_b)::DOUBLE) * abs(d) AS size FROM e),
+    p AS (SELECT *, list_transform([size - 1.959963984540054, -size - 1.959963984540054], lambda v: CASE WHEN v > 8 THEN 1.0 WHEN v < -8 THEN 0.0 ELSE 0.5 + v / 600 / sqrt(2 * pi()) * list_sum(list_transform(range(201),
+        lambda k: CASE WHEN k IN (0, 200) THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END * exp(-0.5 * (v * k / 200) ** 2))) END) AS tails FROM c)
+    SELECT n_a, n_b, round(d, 8) AS d, round(tails[1] + tails[2], 6) AS power, ceil(2 * (1.959963984540054 + 0.8416212335729143) ** 2 / (d * d))::BIGINT AS needed FROM p""")
+def effect_power(spark, d):
+    """How likely the difference between two kinds of events would be found, and the rows it would take."""
+    effect = st.cohens_d(t(spark, d, "events"), "event_type", "value", "click", "view")
+    return mx.effect_power(effect).withColumns({"d": F.round("d", 8), "power": F.round("power", 6)})

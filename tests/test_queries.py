@@ -8,7 +8,7 @@ import pytest
 from lexiloom.queries import ORACLES, QUERIES
 
 D = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations sale_lines clicks client_changes clients sales vendors items stamps".split()
 
 
 def plain(v):
