@@ -18,6 +18,7 @@ from lexiloom.operators import labeling as lb
 from lexiloom.operators import mixed as mx
 from lexiloom.operators import stats as st
 from lexiloom.sources import io
+from lexiloom.streaming import closing as cl
 from lexiloom.streaming.sustained import commitments_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -991,3 +992,34 @@ def effect_power(spark, d):
     """How likely the difference between two kinds of events would be found, and the rows it would take."""
     effect = st.cohens_d(t(spark, d, "events"), "event_type", "value", "click", "view")
     return mx.effect_power(effect).withColumns({"d": F.round("d", 8), "power": F.round("power", 6)})
+
+
+@query(f"""WITH t AS (SELECT user_id || '|' || ts::DATE AS conv, event_type AS speaker, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) - 1 AS turn, value AS score FROM events),
+    s AS (SELECT *, score >= {ACCUSE} AS accused, min(score) OVER (PARTITION BY conv, speaker ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tail FROM t),
+    m AS (SELECT conv, speaker, count(*) AS n_turns, min(turn) FILTER (WHERE tail >= {SUSTAIN}) AS t_private, min(turn) FILTER (WHERE accused) AS t_public FROM s GROUP BY 1, 2)
+    SELECT *, t_public - t_private AS commitment_gap FROM m""")
+def late_conversations(spark, d):
+    """A user's day as a conversation, told by a stream of ten arrivals in which each turn comes up to six hours late."""
+    from datetime import timedelta
+
+    day = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
+    late = F.col("ts") + F.make_interval(secs=F.pmod(F.xxhash64("event_id"), F.lit(6 * 3600)).cast("int"))
+    rows = t(spark, d, "events").withColumn("arrives", late).select(
+        F.concat_ws("|", "user_id", F.to_date("ts")).alias("conv"), F.col("event_type").alias("speaker"),
+        (F.row_number().over(day) - 1).cast("long").alias("turn"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("score"),
+        (F.col("value") >= ACCUSE).alias("accused"), F.unix_timestamp("arrives").alias("arrives"),
+    )
+    place = _place(spark, "late")
+    low, high = t(spark, d, "events").select(F.unix_timestamp(late).alias("a")).agg(F.min("a"), F.max("a")).first()
+    dealt = rows.withColumn("slice", F.floor((F.col("arrives") - low) * 10 / (high - low + 1)).cast("int")).drop("arrives")
+    dealt.write.partitionBy("slice").parquet(f"{place}/dealt")
+    dealt = spark.read.parquet(f"{place}/dealt")
+    names = [c for c in dealt.columns if c != "slice"]
+    for k in range(10):  # one after the other, as files come in
+        dealt.where(F.col("slice") == k).select(names).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    # a turn of long after closes what is open; its own conversation stays open
+    end = spark.range(1).select(F.lit("end").alias("conv"), F.lit("end").alias("speaker"), F.lit(0).cast("long").alias("turn"), F.timestamp_seconds(F.lit(high + 10**8)).alias("ts"), F.lit(0.0).alias("score"), F.lit(False).alias("accused"))
+    end.write.mode("append").parquet(f"{place}/in")
+    stream = spark.readStream.schema(dealt.select(names).schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    out, _ = cl.run_to_end(cl.closed_conversations(stream, SUSTAIN, "6 hours", timedelta(hours=24)), place)
+    return out
