@@ -17,6 +17,7 @@ from lexiloom.operators import evaluation as ev
 from lexiloom.operators import labeling as lb
 from lexiloom.operators import mixed as mx
 from lexiloom.operators import stats as st
+from lexiloom.sources import ingest as ig
 from lexiloom.sources import io
 from lexiloom.streaming import closing as cl
 from lexiloom.streaming.sustained import commitments_stream
@@ -994,19 +995,20 @@ def effect_power(spark, d):
     return mx.effect_power(effect).withColumns({"d": F.round("d", 8), "power": F.round("power", 6)})
 
 
-@query(f"""WITH t AS (SELECT user_id || '|' || ts::DATE AS conv, event_type AS speaker, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) - 1 AS turn, value AS score FROM events),
+@query(f"""WITH t AS (SELECT user_id || '|' || (day(ts) - 1) // 10 AS conv, event_type AS speaker, row_number() OVER (PARTITION BY user_id, (day(ts) - 1) // 10 ORDER BY ts, event_id) - 1 AS turn, value AS score FROM events),
     s AS (SELECT *, score >= {ACCUSE} AS accused, min(score) OVER (PARTITION BY conv, speaker ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tail FROM t),
     m AS (SELECT conv, speaker, count(*) AS n_turns, min(turn) FILTER (WHERE tail >= {SUSTAIN}) AS t_private, min(turn) FILTER (WHERE accused) AS t_public FROM s GROUP BY 1, 2)
     SELECT *, t_public - t_private AS commitment_gap FROM m""")
 def late_conversations(spark, d):
-    """A user's day as a conversation, told by a stream of ten arrivals in which each turn comes up to six hours late."""
+    """A user's third of a month as a conversation, told by a stream of ten arrivals in which each turn comes up to six hours late."""
     from datetime import timedelta
 
-    day = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
+    third = F.floor((F.dayofmonth("ts") - 1) / 10)
+    part = Window.partitionBy("user_id", third).orderBy("ts", "event_id")
     late = F.col("ts") + F.make_interval(secs=F.pmod(F.xxhash64("event_id"), F.lit(6 * 3600)).cast("int"))
     rows = t(spark, d, "events").withColumn("arrives", late).select(
-        F.concat_ws("|", "user_id", F.to_date("ts")).alias("conv"), F.col("event_type").alias("speaker"),
-        (F.row_number().over(day) - 1).cast("long").alias("turn"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("score"),
+        F.concat_ws("|", "user_id", third).alias("conv"), F.col("event_type").alias("speaker"),
+        (F.row_number().over(part) - 1).cast("long").alias("turn"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("score"),
         (F.col("value") >= ACCUSE).alias("accused"), F.unix_timestamp("arrives").alias("arrives"),
     )
     place = _place(spark, "late")
@@ -1021,5 +1023,40 @@ def late_conversations(spark, d):
     end = spark.range(1).select(F.lit("end").alias("conv"), F.lit("end").alias("speaker"), F.lit(0).cast("long").alias("turn"), F.timestamp_seconds(F.lit(high + 10**8)).alias("ts"), F.lit(0.0).alias("score"), F.lit(False).alias("accused"))
     end.write.mode("append").parquet(f"{place}/in")
     stream = spark.readStream.schema(dealt.select(names).schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
-    out, _ = cl.run_to_end(cl.closed_conversations(stream, SUSTAIN, "6 hours", timedelta(hours=24)), place)
+    out, _ = cl.run_to_end(cl.closed_conversations(stream, SUSTAIN, "6 hours", timedelta(days=11)), place)
     return out
+
+
+@query("""WITH l AS (SELECT doc_id, toxic, doc_id % 7 = 0 AS broken, doc_id % 4 = 0 AS twice FROM labels)
+    SELECT * FROM (SELECT 'landed' AS kind, count(*) FILTER (WHERE NOT broken) AS n, sum(toxic) FILTER (WHERE NOT broken) AS toxic FROM l
+    UNION ALL SELECT 'quarantined', count(*) FILTER (WHERE broken) + count(*) FILTER (WHERE broken AND twice), NULL FROM l
+    UNION ALL SELECT 'skipped', count(*) FILTER (WHERE NOT broken AND twice), NULL FROM l) WHERE n > 0""")
+def exactly_once_ingest(spark, d):
+    """JSON lines that come in four files, every seventh line broken; a batch fails between its writes and is taken again, and the first file comes anew."""
+    place = _place(spark, "ingest")
+    line = F.to_json(F.struct("doc_id", "toxic"))
+    lines = t(spark, d, "labels").select((F.col("doc_id") % 4).alias("part"), F.when(F.col("doc_id") % 7 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value"))
+    deliver = lambda k: lines.where(F.col("part") == k).select("value").coalesce(1).write.mode("append").text(f"{place}/in")
+    for k in range(4):
+        deliver(k)
+
+    def fails(number: int) -> None:
+        if number == 2:
+            raise ConnectionError("lost between the writes")
+
+    run = lambda **k: ig.ingest(spark, f"{place}/in", place, "doc_id bigint, toxic int", "doc_id", files=1, **k)
+    try:
+        run(between=fails)
+    except Exception as error:
+        if "lost between the writes" not in str(error):
+            raise
+    run()
+    deliver(0)
+    run()
+    each = [
+        rows.select(F.lit(kind).alias("kind"), toxic.alias("toxic")) for kind, rows, toxic in (
+            ("landed", ig.landed(spark, place, "doc_id bigint, toxic int"), F.col("toxic")),
+            ("quarantined", ig.quarantined(spark, place), F.lit(None).cast("int")), ("skipped", ig.skipped(spark, place), F.lit(None).cast("int")),
+        )
+    ]
+    return each[0].unionByName(each[1]).unionByName(each[2]).groupBy("kind").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
