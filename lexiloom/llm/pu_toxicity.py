@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexiloom.llm.words import Words, batches, mix, release
+from lexiloom.llm.words import Words, batches, combine, mix, release
 from lexiloom.plans.lineage import materialise
 
 SPACE = 1 << 31  # of feature numbers; few enough features are used that they hardly ever share one
@@ -50,23 +50,33 @@ def features(words: Words, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(spread), np.tile(row, len(spread))
 
 
-def present(words: Words, text: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, places in used, steps) of the used features that texts hold, without repeats, in order."""
+def present(words: Words, text: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, places in used) of the used features that texts hold, without repeats, in order."""
+    f, row = features(words, text)
+    hit, place = among(f, used)
+    pairs = np.unique(row[hit].astype(np.int64) * SPACE + place)
+    return pairs // SPACE, pairs % SPACE
+
+
+def valued(words: Words, text: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, places in used, values in steps) of the used features that texts hold, without repeats, in order."""
     hashes, at = words.beginnings(text, CUTS)
     count = np.diff(at)
     windows = np.maximum(1, np.rint(count / WINDOW).astype(np.int64))
-    row, found = np.repeat(np.arange(len(count)), count), []
+    found = []
     for k, h in enumerate(hashes):
         hit, place = among((mix(h ^ np.uint64(k)) & np.uint64(SPACE - 1)).astype(np.int32), used)
-        r = row[hit]
-        found.append(np.stack([r, place, (hit - at[r]) * windows[r] // count[r], hashes[0][hit].view(np.int64)]))
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1)  # a word once in each window
-    new = np.ones(pairs.shape[1], bool)
-    new[1:] = (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)
-    first = np.flatnonzero(new)
-    r, place = pairs[0, first], pairs[1, first]
-    mean = np.diff(np.append(first, pairs.shape[1])) / windows[r]
-    return r, place, np.clip(np.ceil(mean * STEPS), 1, MOST).astype(np.int64)
+        r = np.searchsorted(at, hit, side="right") - 1
+        window = ((hit - at[r]) * windows[r] // count[r]).astype(np.uint64)
+        found.append((r * SPACE + place, combine(window, hashes[0][hit])))
+    pair, said = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((said, pair))
+    pair, said = pair[order], said[order]
+    other = np.ones(len(pair), bool)
+    other[1:] = (pair[1:] != pair[:-1]) | (said[1:] != said[:-1])
+    pairs, different = np.unique(pair[other], return_counts=True)  # a word once in each window
+    r = pairs // SPACE
+    return r, pairs % SPACE, np.clip(np.ceil(different / windows[r] * STEPS), 1, MOST).astype(np.int64)
 
 
 def chosen(p: np.ndarray, u: np.ndarray, prior: float, screen: float = 4.0, lift: float = 2.5) -> np.ndarray:
@@ -148,7 +158,7 @@ def _rates(rows: DataFrame, wanted: np.ndarray) -> np.ndarray:
         words, sums, total = Words(), np.zeros(len(held.value)), 0.0
         for whole in parts:
             for part in batches(whole, 1 << 21):
-                row, f, _ = present(words, part.column(0), held.value)
+                row, f = present(words, part.column(0), held.value)
                 weight = part.column(1).to_numpy(zero_copy_only=False)
                 sums += np.bincount(f, weight[row], len(sums))
                 total += weight.sum()
@@ -211,7 +221,7 @@ def fit(
         words = Words()
         for whole in parts:
             for part in batches(whole, 1 << 21):
-                row, f, x = present(words, part.column(0), held.value)
+                row, f, x = valued(words, part.column(0), held.value)
                 at = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                 release()
                 both = f * (MOST + 1) + x
@@ -261,7 +271,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
         for whole in parts:
             for part in batches(whole, 1 << 21):
                 column = part.column(at)
-                row, f, x = present(
+                row, f, x = valued(
                     words,
                     column if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.cast(pa.string()), held,
                 )

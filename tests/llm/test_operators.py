@@ -20,7 +20,7 @@ from lexiloom.llm.kd_shards import BITS, STEP, kd_shards, kd_tree
 from lexiloom.llm.lm_score import edges, lm_score
 from lexiloom.llm.packing import best_fit, improve, pack, places
 from lexiloom.llm.permutation_index import Files, lift, orders, permutation_search
-from lexiloom.llm.pu_toxicity import chosen, features, fit, learn, present, pu_toxicity, weighed
+from lexiloom.llm.pu_toxicity import chosen, features, fit, learn, pu_toxicity, valued, weighed
 from lexiloom.llm.quotation_links import quotation_links
 from lexiloom.llm.soft_mixing import posteriors, soft_mix
 from lexiloom.llm.words import Words
@@ -530,7 +530,7 @@ def test_feature_values():
     text = " ".join(f"w{i % 50}x" for i in range(700)) + " slur slurry slur SLUR" + " end" * 130
     want = values(text)
     used = np.array(sorted(want), np.int32)[::3]
-    row, place, steps = present(Words(), pa.array(["", text, None, "slur"]), used)
+    row, place, steps = valued(Words(), pa.array(["", text, None, "slur"]), used)
     assert {int(used[p]): s / 16 for r, p, s in zip(row, place, steps) if r == 1} == {f: want[f] for f in used.tolist()}
     assert {int(used[p]) for r, p in zip(row, place) if r == 3} == set(values("slur")) & set(used.tolist()) and not (row == 0).any()
 
