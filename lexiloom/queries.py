@@ -1060,3 +1060,19 @@ def exactly_once_ingest(spark, d):
         )
     ]
     return each[0].unionByName(each[1]).unionByName(each[2]).groupBy("kind").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+
+
+@query(r"""SELECT lang AS split, source, count(*) AS n, sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS words FROM documents
+    WHERE lang IN ('de', 'fr') AND source IN ('src3', 'src5') GROUP BY 1, 2""".replace("\\\\", "\\"))
+def hub_splits(spark, d):
+    """Documents published as a dataset of a split for each language, of which two splits and two sources are asked for."""
+    from lexiloom.sources.hub import Hub
+
+    spark.dataSource.register(Hub)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    place = _place(spark, "hub")
+    docs = t(spark, d, "documents").select("doc_id", "source", "text", "lang")
+    for lang in ("en", "de", "fr", "es"):
+        docs.where(F.col("lang") == lang).drop("lang").write.format("hub").mode("append").option("split", lang).option("by", "source").save(place)
+    asked = spark.read.format("hub").schema("source string, text string, split string").load(place).where("split in ('de', 'fr') and source in ('src3', 'src5')")
+    return asked.groupBy("split", "source").agg(F.count("*").alias("n"), F.sum(tx.word_count(F.col("text"))).alias("words"))
