@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,9 +97,45 @@ def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|||", *parts), 256)
 
 
+def _literals(pattern: str) -> list[str]:
+    """The lower-cased texts that a marker of words, single blanks, apostrophes and at most one choice stands for; none where it is of another form."""
+    form = re.fullmatch(r"\\b([A-Za-z][A-Za-z' ]*)(?:\(([A-Za-z|]+)\))?\\b", pattern)
+    return [form[1].lower() + end for end in (form[2] or "").lower().split("|")] if form else []
+
+
+def _alone(texts: list[str], others: list[str]) -> bool:
+    """Whether no text can stand in another at its place, nor overlap itself."""
+    at_once = lambda x, y: x != y and (x + " ").startswith(y + " ") or (x + "'").startswith(y + "'")
+    border = lambda x: any(x[:k] == x[-k:] and not x[k].isalpha() for k in range(1, len(x)))
+    return not any(border(x) for x in texts) and not any(x == y or at_once(x, y) or at_once(y, x) for x in texts for y in others)
+
+
+@functools.cache
+def marker_passes(patterns: tuple[str, ...]) -> list[str]:
+    """Patterns over lower-cased text whose matches are together those of all the markers, each counted on its own.
+
+    Markers that are plain words go into one: at the start of a word, its first letter chooses among them, and what follows is looked
+    at ahead, so that markers may overlap. Others, and such as can match where another does, stay patterns of their own.
+    """
+    held: list[str] = []
+    rest = []
+    for p in patterns:
+        texts = _literals(p)
+        if texts and _alone(texts, held) and len(set(texts)) == len(texts):
+            held += texts
+        else:
+            rest.append(f"(?i){p}")
+    letters: dict[str, list[str]] = {}
+    for x in held:
+        letters.setdefault(x[0], []).append(x[1:])
+    one = "|".join(f"{c}(?=(?:{'|'.join(ends)})\\b)" for c, ends in letters.items())
+    return ([f"\\b(?:{one})"] if held else []) + rest
+
+
 def marker_count(text: Column, patterns: list[str]) -> Column:
     """Matches of all patterns in lower-cased text, each counted on its own, whatever their case."""
-    return let(F.lower(text), lambda low: sum((F.regexp_count(low, F.lit(f"(?i){p}")) for p in patterns), F.lit(0)).cast("int"))
+    passes = marker_passes(tuple(patterns))
+    return let(F.lower(text), lambda low: sum((F.regexp_count(low, F.lit(p)) for p in passes), F.lit(0)).cast("int"))
 
 
 def marker_density(more: Column, less: Column, count: Column) -> Column:
