@@ -17,6 +17,7 @@ from lexiloom.operators import evaluation as ev
 from lexiloom.operators import labeling as lb
 from lexiloom.operators import mixed as mx
 from lexiloom.operators import stats as st
+from lexiloom.operators import subwords as sw
 from lexiloom.sources import ingest as ig
 from lexiloom.sources import io
 from lexiloom.streaming import closing as cl
@@ -1076,3 +1077,29 @@ def hub_splits(spark, d):
         docs.where(F.col("lang") == lang).drop("lang").write.format("hub").mode("append").option("split", lang).option("by", "source").save(place)
     asked = spark.read.format("hub").schema("source string, text string, split string").load(place).where("split in ('de', 'fr') and source in ('src3', 'src5')")
     return asked.groupBy("split", "source").agg(F.count("*").alias("n"), F.sum(tx.word_count(F.col("text"))).alias("words"))
+
+
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def subword_blocks(spark, d):
+    """Blocks of 128 subword ids, documents ended by id 2."""
+    pieces = sw.subwords(t(spark, d, "documents"), "doc_id", "text", _vocabulary(), 1024, 1024, end=2)
+    blocks = cp.pack_blocks(pieces, "ids", ["doc_id", "begin"], 128)
+    return blocks.select("block_id", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"))
+
+
+@query()
+def subword_perplexity(spark, d):
+    """Perplexity of each source by a bigram model of the sources that are not held out, over windows of 256 ids, a new one each 128."""
+    docs = t(spark, d, "documents")
+    held = F.col("source").isin("src3", "src5")
+    learned = sw.subwords(docs.where(~held), "doc_id", "text", _vocabulary(), 4096, 4096)
+    model = sw.bigram_model(*sw.bigram_counts(learned, "ids", 1 << 16))
+    windows = sw.subwords(docs, "doc_id", "text", _vocabulary(), 256, 128, keep=("source",))
+    scored = sw.scored(windows, "ids", "target_len", 256, model)
+    return ev.perplexity(scored.where("error is null"), ["source"]).withColumn("perplexity", F.round("perplexity", 6))
