@@ -20,6 +20,7 @@ from lexiloom.operators import stats as st
 from lexiloom.operators import subwords as sw
 from lexiloom.sources import ingest as ig
 from lexiloom.sources import io
+from lexiloom.sources.store import KeyedStore
 from lexiloom.streaming import closing as cl
 from lexiloom.streaming.sustained import commitments_stream
 
@@ -1103,3 +1104,19 @@ def subword_perplexity(spark, d):
     windows = sw.subwords(docs, "doc_id", "text", _vocabulary(), 256, 128, keep=("source",))
     scored = sw.scored(windows, "ids", "target_len", 256, model)
     return ev.perplexity(scored.where("error is null"), ["source"]).withColumn("perplexity", F.round("perplexity", 6))
+
+
+@query("""WITH a AS (SELECT DISTINCT text FROM documents WHERE doc_id % 3 = 0), b AS (SELECT DISTINCT text FROM documents WHERE doc_id % 6 = 0)
+    SELECT CASE WHEN b.text IS NOT NULL THEN 'second' WHEN a.text IS NOT NULL THEN 'first' END AS answer, a.text IS NOT NULL AS hit, count(*) AS n
+    FROM documents d LEFT JOIN a ON a.text = d.text LEFT JOIN b ON b.text = d.text GROUP BY 1, 2""")
+def keyed_cache(spark, d):
+    """Answers put into a bucketed store in two generations, some torn, compacted, and looked up for all documents."""
+    docs = t(spark, d, "documents").select("doc_id", tx.cache_key(F.lit("m"), F.lit("v1"), F.col("text")).alias("key"))
+    store = KeyedStore(spark, _place(spark, "store"), 16)
+    said = lambda rows, answer: rows.select("key", F.lit(answer).alias("answer"), F.lit(None).cast("string").alias("error"))
+    store.put(said(docs.where("doc_id % 3 = 0"), "first"))
+    store.put(said(docs.where("doc_id % 6 = 0"), "second"))
+    torn = said(docs.where("doc_id % 15 = 0"), "torn").select("*", F.lit(9).cast("long").alias("at"), F.lit(0).cast("long").alias("crc"))
+    torn.write.mode("append").insertInto(store.table)
+    store.compact()
+    return store.lookup(docs, "key").groupBy("answer", "hit").agg(F.count("*").alias("n"))
