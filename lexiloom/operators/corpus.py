@@ -53,15 +53,47 @@ def sections_or_whole(lines: DataFrame, source: str, pos: str, text: str) -> Dat
     return found.unionByName(whole)
 
 
+def _grams(text: Column, width: int) -> Column:
+    """The different pieces of `width` code points of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - width + 1), lambda i: F.substring(text, i, F.lit(width))))
+
+
+def containing(shorter: DataFrame, longer: DataFrame, width: int = 3) -> DataFrame:
+    """(inner, outer): pairs of a text of shorter (column inner) that a text of longer (column outer) contains; both distinct, not null.
+
+    An inverted file of the shorter texts' rarest piece: one that has `width` code points or more is filed under the piece that the fewest
+    of longer hold, and a text of longer looks at its own pieces' files. Shorter ones are filed whole, by their length. So candidates share
+    a piece, rare where there is one, and no side is compared as a whole with the other. The empty text is in every one.
+    """
+    grown = longer.select("outer", F.length("outer").alias("size"))
+    pieces = grown.where(F.col("size") >= width).select("outer", F.explode(_grams(F.col("outer"), width)).alias("gram"))
+    counts = pieces.groupBy("gram").agg(F.count("*").alias("holders"))
+    filed = shorter.where(F.length("inner") >= width).select("inner", F.explode(_grams(F.col("inner"), width)).alias("gram"))
+    # a piece that no longer text holds rules its text out, so the join is an inner one and a text must keep all its pieces
+    known = filed.join(counts, "gram").groupBy("inner").agg(F.count("*").alias("n"), F.min(F.struct("holders", "gram")).alias("rare"))
+    able = known.where(F.col("n") == F.size(_grams(F.col("inner"), width))).select("inner", F.col("rare.gram").alias("gram"))
+    found = able.join(pieces, "gram").where(F.contains("outer", "inner")).select("inner", "outer")
+    short = shorter.where((F.length("inner") < width) & (F.length("inner") > 0))
+    for k in range(1, width):  # pieces of that very length
+        cut = grown.where(F.col("size") >= k).select("outer", F.explode(_grams(F.col("outer"), k)).alias("inner"))
+        found = found.unionByName(short.where(F.length("inner") == k).join(cut, "inner").select("inner", "outer"))
+    empty = shorter.where(F.length("inner") == 0).limit(1)
+    return found.unionByName(longer.select("outer").crossJoin(F.broadcast(empty)).select("inner", "outer"))
+
+
 def fuzzy_lookup(names: DataFrame, name: str, wanted: DataFrame, title: str) -> DataFrame:
-    """wanted with the name found: an equal one, else the only one that contains the title or is contained in it. wanted is a registry."""
-    both = names.select(F.col(name).alias("found")).distinct().join(
-        small(wanted), F.contains(F.col("found"), F.col(title)) | F.contains(F.col(title), F.col("found"))
-    )
-    best = both.groupBy(title).agg(
-        F.max(F.when(F.col("found") == F.col(title), F.col("found"))).alias("equal"), F.count("*").alias("n_candidates"),
+    """wanted with the name found: an equal one, else the only one that contains the title or is contained in it."""
+    found = names.select(F.col(name).alias("found")).where("found is not null").distinct()
+    asked = wanted.select(F.col(title).alias("asked")).where("asked is not null").distinct()
+    inside = containing(asked.select(F.col("asked").alias("inner")), found.select(F.col("found").alias("outer")))
+    around = containing(found.select(F.col("found").alias("inner")), asked.select(F.col("asked").alias("outer")))
+    both = inside.select(F.col("inner").alias("asked"), F.col("outer").alias("found")).unionByName(
+        around.select(F.col("outer").alias("asked"), F.col("inner").alias("found"))
+    ).distinct()
+    best = both.groupBy("asked").agg(
+        F.max(F.when(F.col("found") == F.col("asked"), F.col("found"))).alias("equal"), F.count("*").alias("n_candidates"),
         F.min("found").alias("only"),
-    )
+    ).withColumnRenamed("asked", title)
     return wanted.join(best, title, "left").select(
         title, F.coalesce("equal", F.when(F.col("n_candidates") == 1, F.col("only"))).alias("found"),
         F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),

@@ -1120,3 +1120,13 @@ def keyed_cache(spark, d):
     torn.write.mode("append").insertInto(store.table)
     store.compact()
     return store.lookup(docs, "key").groupBy("answer", "hit").agg(F.count("*").alias("n"))
+
+
+@query("""WITH w AS (SELECT DISTINCT substr(name, 4, 7) AS title FROM vendors WHERE name IS NOT NULL), n AS (SELECT DISTINCT name AS found FROM clients WHERE name IS NOT NULL),
+    b AS (SELECT title, found FROM w JOIN n ON contains(found, title) OR contains(title, found)),
+    g AS (SELECT title, max(found) FILTER (WHERE found = title) AS eq, count(*) AS k, min(found) AS one FROM b GROUP BY title)
+    SELECT title, coalesce(eq, CASE WHEN k = 1 THEN one END) AS found, coalesce(k, 0) AS n_candidates FROM w LEFT JOIN g USING (title)""")
+def title_join(spark, d):
+    """Parts of vendors' names looked up among clients' names."""
+    wanted = t(spark, d, "vendors").where("name is not null").select(F.substring("name", 4, 7).alias("title")).distinct()
+    return cp.fuzzy_lookup(t(spark, d, "clients"), "name", wanted, "title")
