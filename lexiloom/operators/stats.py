@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.plans.lineage import materialise
 from lexiloom.plans.numbering import running_total
 
 
@@ -50,32 +51,60 @@ def cohens_d(rows: DataFrame, group: str, value: str, a: str, b: str) -> DataFra
     return s.select("n_a", "n_b", F.try_divide(F.col("m_a") - F.col("m_b"), pooled).alias("d"))
 
 
-def cox(rows: DataFrame, time: str, event: str, covariates: list[str], rounds: int = 25, tolerance: float = 1e-9) -> dict[str, float]:
-    """Proportional-hazards coefficients, Breslow ties. A Newton step is one aggregation to sums by distinct time."""
-    k, beta = len(covariates), np.zeros(len(covariates))
-    x = [F.col(c).cast("double") for c in covariates]
+def cox_fit(
+    rows: DataFrame, time: str, event: str, covariates: list[str], ties: str = "breslow", rounds: int = 25, tolerance: float = 1e-9
+) -> dict[str, tuple[float, float]]:
+    """(coefficient, standard error) of each covariate under proportional hazards; ties: breslow or efron.
+
+    Rows are dealt by range of time once. In a Newton step they are summed by time, sums are added up from the last time down within a
+    part and moved by the totals of the parts after it, and each time gives its share of gradient and Hessian; so all that meets in one
+    task or the driver is a row a part and k x k numbers, however many times there are. Rows with a null in any column take no part.
+    """
+    spark, k = rows.sparkSession, len(covariates)
+    held = rows.select(
+        F.col(time).cast("double").alias("t"), F.col(event).cast("boolean").alias("e"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covariates)]
+    ).dropna()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the range exchange samples its input, so rows are written first
+    dealt = materialise(materialise(held).repartitionByRange(parts, "t").withColumn("part", F.spark_partition_id()))
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    names = ["s0", *[f"s1_{i}" for i in range(k)], *[f"s2_{i}_{j}" for i, j in pairs]]
+    tied = [n.replace("s", "t") for n in names]
+    beta, hessian = np.zeros(k), np.zeros((k, k))
     for _ in range(rounds):
-        risk = F.exp(sum((x[i] * float(beta[i]) for i in range(k)), F.lit(0.0)))
-        sums = [
-            F.sum(risk).alias("s0"), *[F.sum(risk * x[i]).alias(f"s1_{i}") for i in range(k)],
-            *[F.sum(risk * x[i] * x[j]).alias(f"s2_{i}_{j}") for i, j in pairs], F.count_if(event).alias("d"),
-            *[F.sum(F.when(F.col(event), x[i]).otherwise(0.0)).alias(f"e_{i}") for i in range(k)],
-        ]
-        table = rows.groupBy(time).agg(*sums).orderBy(F.desc(time)).collect()  # one row for each distinct time
-        gradient, hessian = np.zeros(k), np.zeros((k, k))
-        s0, s1, s2 = 0.0, np.zeros(k), np.zeros((k, k))
-        for r in table:
-            s0 += r["s0"]
-            s1 += [r[f"s1_{i}"] for i in range(k)]
-            for i, j in pairs:
-                s2[i, j] = s2[j, i] = s2[i, j] + r[f"s2_{i}_{j}"]
-            if r["d"]:
-                mean = s1 / s0
-                gradient += [r[f"e_{i}"] for i in range(k)] - r["d"] * mean
-                hessian += r["d"] * (s2 / s0 - np.outer(mean, mean))
+        risk = F.exp(sum((F.col(f"x{i}") * float(beta[i]) for i in range(k)), F.lit(0.0)))
+        terms = [risk, *[risk * F.col(f"x{i}") for i in range(k)], *[risk * F.col(f"x{i}") * F.col(f"x{j}") for i, j in pairs]]
+        risks = [F.sum(v).alias(n) for v, n in zip(terms, names, strict=True)]
+        dead = [F.sum(F.when(F.col("e"), v).otherwise(0.0)).alias(n) for v, n in zip(terms, tied, strict=True)]
+        seen = [F.sum(F.when(F.col("e"), F.col(f"x{i}")).otherwise(0.0)).alias(f"e_{i}") for i in range(k)]
+        times = dealt.groupBy("part", "t").agg(*risks, *dead, F.count_if("e").alias("d"), *seen)
+        after = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+        totals = dealt.groupBy("part").agg(*risks).select("part", *[F.coalesce(F.sum(n).over(after), F.lit(0.0)).alias(f"{n}_after") for n in names])
+        down = Window.partitionBy("part").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+        risky = times.select("part", "d", *tied, *[f"e_{i}" for i in range(k)], *[F.sum(n).over(down).alias(n) for n in names]).where("d > 0").join(
+            F.broadcast(totals), "part"
+        )
+        # by Efron's rule the tied deaths leave the risk set one after the other, on the mean
+        steps = F.sequence(F.lit(0), F.col("d").cast("int") - 1) if ties == "efron" else F.array(F.lit(0))
+        each = risky.withColumn("step", F.explode(steps)).withColumn("gone", F.col("step") / F.col("d"))
+        weight = F.lit(1.0) if ties == "efron" else F.col("d")
+        left = {n: F.col(n) + F.col(f"{n}_after") - F.col("gone") * F.col(m) for n, m in zip(names, tied, strict=True)}
+        mean = [left[f"s1_{i}"] / left["s0"] for i in range(k)]
+        got = each.agg(
+            *[F.sum(F.when(F.col("step") == 0, F.col(f"e_{i}")).otherwise(0.0) - weight * mean[i]).alias(f"g{i}") for i in range(k)],
+            *[F.sum(weight * (left[f"s2_{i}_{j}"] / left["s0"] - mean[i] * mean[j])).alias(f"h{i}_{j}") for i, j in pairs],
+        ).first()
+        gradient = np.array([got[f"g{i}"] or 0.0 for i in range(k)])
+        for i, j in pairs:
+            hessian[i, j] = hessian[j, i] = got[f"h{i}_{j}"] or 0.0
         step = np.linalg.pinv(hessian) @ gradient
         beta = beta + step
         if np.abs(step).max(initial=0.0) < tolerance:
             break
-    return dict(zip(covariates, map(float, beta), strict=True))
+    errors = np.sqrt(np.maximum(np.diag(np.linalg.pinv(hessian)), 0.0))
+    return {c: (float(b), float(e)) for c, b, e in zip(covariates, beta, errors, strict=True)}
+
+
+def cox(rows: DataFrame, time: str, event: str, covariates: list[str], rounds: int = 25, tolerance: float = 1e-9) -> dict[str, float]:
+    """The coefficients of cox_fit() by Breslow's rule for ties."""
+    return {c: b for c, (b, _) in cox_fit(rows, time, event, covariates, "breslow", rounds, tolerance).items()}

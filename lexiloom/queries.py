@@ -1130,3 +1130,14 @@ def title_join(spark, d):
     """Parts of vendors' names looked up among clients' names."""
     wanted = t(spark, d, "vendors").where("name is not null").select(F.substring("name", 4, 7).alias("title")).distinct()
     return cp.fuzzy_lookup(t(spark, d, "clients"), "name", wanted, "title")
+
+
+@query()
+def cox_continuous(spark, d):
+    """Hazards of a return over continuous prices, ties by Efron's rule, with standard errors."""
+    lines = t(spark, d, "lineitem").select(
+        F.col("l_extendedprice").alias("time"), (F.col("l_returnflag") == "R").alias("event"), F.col("l_quantity").cast("double").alias("quantity"),
+        F.col("l_discount").cast("double").alias("discount"),
+    )
+    got = st.cox_fit(lines, "time", "event", ["quantity", "discount"], "efron")
+    return spark.createDataFrame([(c, b, e) for c, (b, e) in sorted(got.items())], "covariate string, coefficient double, std_error double")
