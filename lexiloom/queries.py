@@ -16,6 +16,7 @@ from lexiloom.operators import dialogue as dg
 from lexiloom.operators import evaluation as ev
 from lexiloom.operators import labeling as lb
 from lexiloom.operators import mixed as mx
+from lexiloom.operators import sketches as sk
 from lexiloom.operators import stats as st
 from lexiloom.operators import subwords as sw
 from lexiloom.sources import ingest as ig
@@ -1141,3 +1142,20 @@ def cox_continuous(spark, d):
     )
     got = st.cox_fit(lines, "time", "event", ["quantity", "discount"], "efron")
     return spark.createDataFrame([(c, b, e) for c, (b, e) in sorted(got.items())], "covariate string, coefficient double, std_error double")
+
+
+@query("""WITH b AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS d, avg(value) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY 1)
+    SELECT event_type, n, round(mean, 6) AS mean, least, most, true AS distinct_within, true AS median_within, true AS p90_within FROM b""")
+def sketch_rollup(spark, d):
+    """Values and users by kind of event and day, kept as sketches and merged over the days, beside what rows say."""
+    events = t(spark, d, "events").select("event_type", F.to_date("ts").alias("day"), "user_id", "value")
+    kept = sk.sketched(events, ["event_type", "day"], F.col("user_id"), F.col("value"))
+    found = sk.told(sk.merged(kept, ["event_type"]), {"median": 0.5, "p90": 0.9})
+    ranks = events.join(F.broadcast(found.select("event_type", "median", "p90")), "event_type").groupBy("event_type").agg(
+        F.count_distinct("user_id").alias("users"), *[F.avg((F.col("value") <= F.col(c)).cast("double")).alias(f"{c}_at") for c in ("median", "p90")]
+    )
+    off = lambda c, r: (F.abs(F.col(f"{c}_at") - r) <= 0.03).alias(f"{c}_within")
+    return found.join(ranks, "event_type").select(
+        "event_type", "n", F.round("mean", 6).alias("mean"), "least", "most",
+        (F.abs(F.col("n_distinct") - F.col("users")) <= 0.05 * F.col("users")).alias("distinct_within"), off("median", 0.5), off("p90", 0.9),
+    )
