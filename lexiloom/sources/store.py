@@ -7,11 +7,11 @@ and an older one that does is used instead. Compacting writes the newest entries
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.plans.buckets import append, bucketed
+
 ENTRY = "key STRING, answer STRING, error STRING, at BIGINT, crc BIGINT"
 
 
@@ -49,12 +49,10 @@ class KeyedStore:
         return name
 
     def _attach(self, generation: str) -> None:
-        """A table over the generation's files; the file names say which bucket each is."""
-        self.generation, self.table = generation, f"store_{uuid.uuid4().hex}"
-        self._table(self.table, generation)
+        self.generation, self.table = generation, self._over(generation)
 
-    def _table(self, name: str, generation: str) -> None:
-        self.spark.sql(f"CREATE TABLE {name} ({ENTRY}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{generation}'")
+    def _over(self, generation: str) -> str:
+        return bucketed(self.spark, f"{self.path}/{generation}", ENTRY, "key", self.buckets)
 
     def entries(self) -> DataFrame:
         """(key, answer, error): the newest readable entry of each key. Made within buckets, without an exchange."""
@@ -65,11 +63,7 @@ class KeyedStore:
         """Append (key, answer, error); null keys are passed over. Of rows with one key in a call one stays."""
         at = (self.spark.table(self.table).agg(F.max("at")).first()[0] or 0) + 1
         sealed = rows.where("key is not null").select("key", "answer", "error", F.lit(at).cast("long").alias("at"), _sum_of(F.col("answer"), F.col("error")).alias("crc"))
-        self._into(sealed, self.table)
-
-    def _into(self, rows: DataFrame, table: str) -> None:
-        """One file a bucket: rows are dealt as the table is."""
-        rows.repartition(self.buckets, "key").write.mode("append").insertInto(table)
+        append(sealed, self.table, "key", self.buckets)
 
     def lookup(self, rows: DataFrame, key: str) -> DataFrame:
         """rows with answer, error and hit, whether the store has an entry; a null key has none."""
@@ -85,10 +79,9 @@ class KeyedStore:
         fs, where = self._fs(after)
         fs.delete(where, True)
         fs.mkdirs(where)
-        name = f"store_{uuid.uuid4().hex}"
-        self._table(name, after)
+        name = self._over(after)
         newest = self.entries().select("key", "answer", "error", F.lit(1).cast("long").alias("at"), _sum_of(F.col("answer"), F.col("error")).alias("crc"))
-        self._into(newest, name)
+        append(newest, name, "key", self.buckets)
         fs, done = self._fs(f"done-{after}")
         fs.mkdirs(done)
         before, self.generation, self.table = (self.generation, self.table), after, name
