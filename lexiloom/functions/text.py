@@ -97,9 +97,14 @@ def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|||", *parts), 256)
 
 
-def _literals(pattern: str) -> list[str]:
+#: How a marker may begin and end: at the edge of a word, by either way to say so.
+EDGES = ((r"\b", r"\b"), (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"))
+
+
+def _literals(pattern: str, edges: tuple[str, str] = EDGES[0]) -> list[str]:
     """The lower-cased texts that a marker of words, single blanks, apostrophes and at most one choice stands for; none where it is of another form."""
-    form = re.fullmatch(r"\\b([A-Za-z][A-Za-z' ]*)(?:\(([A-Za-z|]+)\))?\\b", pattern)
+    first, last = map(re.escape, edges)
+    form = re.fullmatch(rf"{first}([A-Za-z][A-Za-z' ]*)(?:\(([A-Za-z|]+)\))?{last}", pattern)
     return [form[1].lower() + end for end in (form[2] or "").lower().split("|")] if form else []
 
 
@@ -117,19 +122,21 @@ def marker_passes(patterns: tuple[str, ...]) -> list[str]:
     Markers that are plain words go into one: at the start of a word, its first letter chooses among them, and what follows is looked
     at ahead, so that markers may overlap. Others, and such as can match where another does, stay patterns of their own.
     """
-    held: list[str] = []
-    rest = []
-    for p in patterns:
-        texts = _literals(p)
-        if texts and _alone(texts, held) and len(set(texts)) == len(texts):
-            held += texts
-        else:
-            rest.append(f"(?i){p}")
-    letters: dict[str, list[str]] = {}
-    for x in held:
-        letters.setdefault(x[0], []).append(x[1:])
-    one = "|".join(f"{c}(?=(?:{'|'.join(ends)})\\b)" for c, ends in letters.items())
-    return ([f"\\b(?:{one})"] if held else []) + rest
+    out, rest = [], list(patterns)
+    for edges in EDGES:
+        held: list[str] = []
+        for p in list(rest):
+            texts = _literals(p, edges)
+            if texts and _alone(texts, held) and len(set(texts)) == len(texts):
+                held += texts
+                rest.remove(p)
+        letters: dict[str, list[str]] = {}
+        for x in held:
+            letters.setdefault(x[0], []).append(x[1:])
+        one = "|".join(f"{c}(?=(?:{'|'.join(ends)}){edges[1]})" for c, ends in letters.items())
+        # a look at the letter comes first, as it costs less than one for the start of a word
+        out += [f"(?=[{''.join(letters)}]){edges[0]}(?:{one})"] if held else []
+    return out + [f"(?i){p}" for p in rest]
 
 
 def marker_count(text: Column, patterns: list[str]) -> Column:
