@@ -11,16 +11,22 @@ page to page and are no part of it. A wrapper keeps at most LEVEL blocks of a se
 the most pages, so its size follows the template and not the pages.
 
 The wrapper decides where the article is: the deepest block, not repeated, that holds seven tenths of the host's slot
-text outside furniture. Where such a block holds article or main containers with a quarter of its slot text, it is these.
-A page that lacks the block, and a host without slots, is judged by its own text alone. In the article, texts go that the
-wrapper has found to be constant: a text under the same kind of block on nine tenths of the host's pages, at
-least five, inside repeated groups too, which a wrapper holds as one slot. They are counted along with the wrapper,
-at most MOST texts of a host at a time (the least frequent are given up together, so a text of every page stays while
-pages hold some hundred texts or fewer). A host most of whose text is constant holds copies of an article, and keeps it.
+text outside furniture, with a block beside it that holds a title of the page's own. A thread is a block whose slot text is
+one repeated group of blocks of the same form without headings; beside a block that has a heading and prose it holds
+reader comments or teasers, and is no part of the article. Where the block found holds article or main containers with a quarter
+of its slot text, it is these. A page that lacks the block, and a host without slots, is judged by its own text alone.
+
+In the article, texts go that the host's pages share: a text under the same kind of block on nine tenths of
+the pages, at least five, inside repeated groups too, which a wrapper holds as one slot. On a host of two to four pages,
+where no article or main container is found, a block beside the article's own goes if all of its texts are on every
+page. Texts are counted by host and text over all tasks, without a cap. A host most of whose text is shared holds copies of
+an article, and keeps it.
 
 Menus, notices, forms, adverts, comments and other furniture vary like articles, so they also go by element, role
-and name: a class or id that is a furniture word as a whole decides, one that has it as a part (cookie-bar) only
-where the wrapper finds the block on half of the host's pages, at least three.
+and name: a class or id that is a furniture word as a whole decides. One that has it as a part (cookie-bar) never decides
+alone: the wrapper must find the block on half of the host's pages, at least three, and find that it is repeated or a thread, that
+half of its characters are links, or that half are the same on all pages but for digits. A block named for
+related texts stays where it is prose and not links.
 
 Elements nested deeper than DEPTH leave no block of their own, so nothing here is bound by a page's depth; their text stays.
 """
@@ -90,19 +96,34 @@ MAIN_WORDS = frozenset(
         "post-body",
     )
 )
+LINK_WORDS = frozenset("related recommended recommendations".split())
 WHOLE = frozenset(("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"))
 
-DEPTH, LEVEL, BLOCKS, MOST = 60, 128, 4096, 1024
-GONE_, HINT, MAIN, ARTICLE = 1, 2, 4, 8
+DEPTH, LEVEL, BLOCKS = 60, 128, 4096
+GONE_, HINT, MAIN, ARTICLE, LINKS = 1, 2, 4, 8, 16
 
 
 class Block:
-    """A block of a page: its kind, flags, children, and text runs between them in order."""
+    """A block of a page: its kind, flags, children, and text runs between them in order; how many characters of its own runs are links."""
 
-    __slots__ = ("kind", "tag", "flags", "items")
+    __slots__ = ("kind", "tag", "flags", "items", "linked")
 
     def __init__(self, kind: str, tag: str, flags: int = 0) -> None:
-        self.kind, self.tag, self.flags, self.items = kind, tag, flags, []
+        self.kind, self.tag, self.flags, self.items, self.linked = kind, tag, flags, [], 0
+
+    def sizes(self) -> tuple[int, int]:
+        """Characters, and those of links, in the block and below."""
+        chars = linked = 0
+        todo = [self]
+        while todo:
+            b = todo.pop()
+            linked += b.linked
+            for item in b.items:
+                if isinstance(item, str):
+                    chars += len(item)
+                else:
+                    todo.append(item)
+        return chars, linked
 
 
 def _block(tag: str, attrs: str) -> Block:
@@ -118,8 +139,10 @@ def _block(tag: str, attrs: str) -> Block:
         ):
             flags |= GONE_
         if tag not in ("html", "body", "article", "main"):
-            if not GONE_WORDS.isdisjoint(names):
+            if not (GONE_WORDS - LINK_WORDS).isdisjoint(names):
                 flags |= GONE_
+            elif not LINK_WORDS.isdisjoint(names):
+                flags |= GONE_ if flags & GONE_ else GONE_ | LINKS
             elif not GONE_WORDS.isdisjoint(w.lower() for n in (*classes, found.get("id", "")) for w in _PART.split(n)):
                 flags |= HINT
         if role == "article" or found.get("itemprop", "").lower() == "articlebody":
@@ -136,13 +159,17 @@ def parse(html: str) -> Block:
     opened: Counter = Counter()  # names on the stack, so that what is not there is not looked for
     text: list[str] = []
     at, size, deep = 0, len(html), 0
+    link, linked = 0, 0  # the stack's height where a link was opened, and link characters since the last flush
 
     def flush() -> None:
+        nonlocal linked
         if text:
             whole = " ".join(unescape("".join(text)).split())
             text.clear()
             if whole:
                 stack[-1][0].items.append(whole)
+                stack[-1][0].linked += min(linked, len(whole))
+            linked = 0
 
     def open_(block: Block, name: str) -> None:
         nonlocal deep
@@ -156,11 +183,16 @@ def parse(html: str) -> Block:
         opened[name] += 1
 
     def close(to: int) -> None:
-        nonlocal deep
+        nonlocal deep, link
         flush()
+        link = link if link <= to else 0
         for k in range(len(stack) - 1, to - 1, -1):
             deep -= stack[k][0] is not stack[k - 1][0]
             opened[stack[k][1]] -= 1
+            if stack[k][0] is not stack[k - 1][0] and stack[k][0].flags & LINKS:
+                chars, links = stack[k][0].sizes()
+                if chars >= 40 and 4 * links < chars:
+                    stack[k][0].flags &= ~(GONE_ | LINKS)
         del stack[to:]
 
     while at < size:
@@ -170,6 +202,7 @@ def parse(html: str) -> Block:
             break
         if lt > at:
             text.append(html[at:lt])
+            linked += lt - at if link else 0
         m = _TOKEN.match(html, lt)
         if not m:
             text.append("<")
@@ -183,6 +216,7 @@ def parse(html: str) -> Block:
             continue
         name = name.lower()
         if m["close"]:
+            link = 0 if name == "a" else link
             if opened[name] > 0:
                 close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][1] == name))
             continue
@@ -199,6 +233,8 @@ def parse(html: str) -> Block:
                 flush()
             continue
         if name in INLINE:
+            if name == "a":
+                link = len(stack) if "href" in attrs.lower() else 0
             if attrs and (b := _block(name, attrs)).flags & GONE_:
                 flush()
                 open_(b, name)
@@ -218,23 +254,25 @@ def parse(html: str) -> Block:
         if attrs.rstrip().endswith("/"):
             continue
         open_(b, name)
-    flush()
+    close(1)
     return root
 
 
-# A wrapper block: [kind, least, most (1 or 2: repeated), pages that had it, slot characters, text, children, flags].
+# A wrapper block: [kind, least, most (1 or 2: repeated), pages that had it, characters, text, children, flags, link characters].
 # text: None without, a checksum while constant, "*" for a slot.
 
 
-def wrapper(block: Block) -> list:
-    """A page's own wrapper."""
+def wrapper(block: Block, masked: bool = False) -> list:
+    """A page's own wrapper. In blocks whose name only hints at furniture, texts that differ in digits alone are the same."""
     children = []
+    masked = masked or bool(block.flags & HINT)
     for item in block.items:
         if isinstance(item, str):
-            children.append(["#", 1, 1, 1, len(item), zlib.crc32(item.encode("utf-8", "replace")), [], 0])
+            seen = _DIGITS.sub("#", item) if masked else item
+            children.append(["#", 1, 1, 1, len(item), zlib.crc32(seen.encode("utf-8", "replace")), [], 0, 0])
         else:
-            children.append(wrapper(item))
-    return [block.kind, 1, 1, 1, 0, None, fold(children), block.flags]
+            children.append(wrapper(item, masked))
+    return [block.kind, 1, 1, 1, 0, None, fold(children), block.flags, block.linked]
 
 
 def fold(seq: list) -> list:
@@ -261,7 +299,7 @@ def fold(seq: list) -> list:
 
 def _merge(a: list, b: list) -> list:
     text = a[5] if a[5] == b[5] else "*"
-    return [a[0], min(a[1], b[1]), max(a[2], b[2]), a[3] + b[3], a[4] + b[4], text, align(a[6], b[6]) if a[6] or b[6] else [], a[7] | b[7]]
+    return [a[0], min(a[1], b[1]), max(a[2], b[2]), a[3] + b[3], a[4] + b[4], text, align(a[6], b[6]) if a[6] or b[6] else [], a[7] | b[7], a[8] + b[8]]
 
 
 def merge(a: list, b: list) -> list:
@@ -312,9 +350,42 @@ def align(a: list, b: list) -> list:
     return fold(out)
 
 
-def common(w: list, pages: int) -> bool:
-    """Whether the wrapper finds the block on half of the host's pages, at least three."""
-    return w[3] >= max(3, pages / 2)
+def _tag(w: list) -> str:
+    return w[0].split(".", 1)[0]
+
+
+def _within(w: list) -> Iterator[list]:
+    todo = [w]
+    while todo:
+        x = todo.pop()
+        yield x
+        todo += x[6]
+
+
+def slots(w: list) -> int:
+    """Slot characters in the block and below."""
+    return sum(x[4] for x in _within(w) if x[5] == "*")
+
+
+def thread(w: list) -> bool:
+    """Whether the block's slot text is one repeated group of blocks, other than paragraphs, without titles of its own."""
+    whole = slots(w)
+    if not whole or any(_tag(x) in ("h1", "h2") and slots(x) for x in _within(w)):
+        return False
+    while True:
+        if sum(slots(c) for c in w[6] if c[2] > 1 and _tag(c) != "#" and (_tag(c) == "li" or _tag(c) not in WHOLE)) >= 0.8 * whole:
+            return True
+        w = next((c for c in w[6] if slots(c) >= 0.8 * whole), None)
+        if w is None:
+            return False
+
+
+def hinted(w: list, pages: int) -> bool:
+    """Whether a block whose name has a furniture word as a part is furniture, by what the host's pages hold there."""
+    if not w[7] & HINT or w[3] < max(3, pages / 2):
+        return False
+    chars, links = sum(x[4] for x in _within(w)), sum(x[8] for x in _within(w))
+    return w[2] > 1 or 2 * links >= chars or 2 * slots(w) <= chars or thread(w)
 
 
 def _masses(w: list, pages: int) -> dict[int, int]:
@@ -322,7 +393,7 @@ def _masses(w: list, pages: int) -> dict[int, int]:
     out: dict[int, int] = {}
 
     def mass(x: list) -> int:
-        if x[7] & GONE_ or x[7] & HINT and common(x, pages):
+        if x[7] & GONE_ or hinted(x, pages):
             m = 0
         else:
             m = (x[4] if x[5] == "*" else 0) + sum(mass(c) for c in x[6])
@@ -339,13 +410,29 @@ def region(w: list) -> set[int]:
     total = mass[id(w)]
     if not total:
         return set()
-    at = w
+
+    def titled(x: list, kinds: tuple) -> int:
+        """Characters of slot headings in a block that is not furniture."""
+        if x[7] & GONE_ or not mass.get(id(x)):
+            return 0
+        return mass[id(x)] if _tag(x) in kinds else sum(titled(c, kinds) for c in x[6])
+
+    at, beside = w, []
     while True:
-        if any(c[0].split(".")[0] in ("h1", "h2", "h3") and not c[7] & GONE_ for c in at[6]):
+        if any(_tag(c) in ("h1", "h2", "h3") and not c[7] & GONE_ for c in at[6]):
             break
-        heavy = next((c for c in at[6] if mass[id(c)] >= 0.7 * total and c[2] == 1 and c[0].split(".")[0] not in WHOLE), None)
+        single = [c for c in at[6] if c[2] == 1 and mass[id(c)] and _tag(c) not in WHOLE]
+        titles = {id(c): titled(c, ("h1", "h2")) for c in single}
+        if any(titles[id(c)] and mass[id(c)] - titles[id(c)] >= max(titles[id(c)], 0.05 * total) for c in single):
+            for c in at[6]:
+                if not titles.get(id(c)) and thread(c):
+                    total -= mass[id(c)]
+                    mass[id(c)] = 0
+        heavy = next((c for c in single if mass[id(c)] >= 0.7 * total), None)
         if heavy is None:
             break
+        if not titled(heavy, ("h1",)):
+            beside += [c for c in single if c is not heavy and titled(c, ("h1",))]
         at = heavy
     for flag in (ARTICLE, MAIN):
         found: list[list] = []
@@ -358,7 +445,12 @@ def region(w: list) -> set[int]:
                 todo += x[6]
         if sum(mass[id(x)] for x in found) >= 0.25 * mass[id(at)]:
             return {id(x) for x in found}
-    return {id(at)}
+    return {id(x) for x in (at, *beside)}
+
+
+def marked(w: list, where: set[int]) -> bool:
+    """Whether the article is in article or main containers."""
+    return all(x[7] & (ARTICLE | MAIN) for x in _within(w) if id(x) in where)
 
 
 def _matched(block: Block, w: list | None) -> list:
@@ -375,49 +467,28 @@ def _matched(block: Block, w: list | None) -> list:
     return out
 
 
-def _name(kind: str, text: str) -> str:
-    return xxhash.xxh64_hexdigest(f"{kind} {text}".encode("utf-8", "replace"))
+def _name(kind: str, text: str) -> int:
+    """A signed 64-bit hash of a text under a kind of block."""
+    h = xxhash.xxh64_intdigest(f"{kind} {text}".encode("utf-8", "replace"))
+    return h - (1 << 64) if h >> 63 else h
 
 
-def page_texts(root: Block) -> list:
-    """The texts of a page, furniture left out: [pages, characters, {name of a text: [pages, length]}]."""
-    found: dict[str, list[int]] = {}
-    chars, todo = 0, [root]
+def page_texts(root: Block) -> dict[int, int]:
+    """The different texts of a page, furniture left out, as names and lengths."""
+    found: dict[int, int] = {}
+    todo = [root]
     while todo:
         b = todo.pop()
         for item in b.items:
-            if not isinstance(item, str):
-                if not item.flags & GONE_:
-                    todo.append(item)
-            elif (name := _name(b.kind, item)) not in found:
-                found[name] = [1, len(item)]
-                chars += len(item)
-    return [1, chars, found]
-
-
-def add_texts(a: list, b: list) -> list:
-    """b's counts added to a's."""
-    held = a[2]
-    for name, (n, size) in b[2].items():
-        if name in held:
-            held[name][0] += n
-        else:
-            held[name] = [n, size]
-    if len(held) > MOST:
-        cut = sorted((n for n, _ in held.values()), reverse=True)[MOST]
-        held = {name: [n - cut, size] for name, (n, size) in held.items() if n > cut}
-    return [a[0] + b[0], a[1] + b[1], held]
-
-
-def constant_texts(texts: list) -> list[str]:
-    """The names of the texts that the host's template holds."""
-    pages, chars, held = texts
-    found = {name: n * size for name, (n, size) in held.items() if n >= max(5, 0.9 * pages)}
-    return sorted(found) if 2 * sum(found.values()) <= chars else []
+            if isinstance(item, str):
+                found[_name(b.kind, item)] = len(item)
+            elif not item.flags & GONE_:
+                todo.append(item)
+    return found
 
 
-def main_text(html: str | None, w: list | None = None, constant: frozenset[str] = frozenset(), where: set[int] | None = None) -> str:
-    """The article's blocks joined by empty lines; w: the host's wrapper; constant: its constant_texts(); where: its region()."""
+def main_text(html: str | None, w: list | None = None, shared: frozenset[int] = frozenset(), where: set[int] | None = None) -> str:
+    """The article's blocks joined by empty lines; w: the host's wrapper; shared: names of the texts that its pages share; where: its region()."""
     if not html:
         return ""
     root = parse(html)
@@ -433,32 +504,33 @@ def main_text(html: str | None, w: list | None = None, constant: frozenset[str]
                 if iw is not None and not isinstance(item, str):
                     find(item, iw)
 
-    if where:
+    if where and pages > 1:
         find(root, w)
     if not parts:
         alone = wrapper(root)
-        todo = [alone]
-        while todo:  # all of a lone page's text may vary
-            x = todo.pop()
+        for x in _within(alone):  # all of a lone page's text may vary
             x[5] = "*" if x[5] is not None else None
-            todo += x[6]
         where = region(alone)
         find(root, alone)
         parts = [(b, None) for b, _ in parts]
     out: list[str] = []
+    few = pages < 5
+
+    def all_shared(b: Block) -> bool:
+        return all(_name(b.kind, x) in shared if isinstance(x, str) else x.flags & GONE_ or all_shared(x) for x in b.items)
 
-    def walk(b: Block, bw: list | None, headed: bool) -> None:
+    def walk(b: Block, bw: list | None, headed: bool, top: bool) -> None:
         for item, iw in _matched(b, bw):
             if isinstance(item, str):
-                if not constant or _name(b.kind, item) not in constant:
+                if few or not shared or _name(b.kind, item) not in shared:
                     out.append(item)
-            elif not item.flags & GONE_ and not (
-                item.flags & HINT and iw is not None and common(iw, pages)
-            ) and (headed or item.tag != "header"):
-                walk(item, iw, headed)
+            elif item.flags & GONE_ or item.flags & HINT and iw is not None and hinted(iw, pages) or not headed and item.tag == "header":
+                continue
+            elif not (few and shared and top and item.tag not in WHOLE and all_shared(item)):
+                walk(item, iw, headed, False)
 
     for b, bw in parts or [(root, None)]:
-        walk(b, bw, bool(b.flags & (ARTICLE | MAIN)))
+        walk(b, bw, bool(b.flags & (ARTICLE | MAIN)), True)
     return "\n\n".join(out)
 
 
@@ -473,30 +545,43 @@ def host_of(url: Column) -> Column:
 
 
 def infer_wrappers(pages: DataFrame, host: str, page: str, html: str, hosts_held: int = 2000, texts_held: int = 200_000) -> DataFrame:
-    """(host, [wrapper, constant texts] as JSON): pages are aligned in reading tasks, then in salted groups, then once."""
+    """(host, wrapper as JSON, names of the texts that its pages share).
+
+    Pages are parsed once, and what is written are wrappers and counts of texts, by host and reading task. Wrappers are
+    aligned in the reading tasks, then in salted groups, then once; counts are added by host and text, so a host's go to all tasks.
+    """
+    counts = pa.list_(pa.struct([("name", pa.int64()), ("n", pa.int64()), ("size", pa.int64())]))
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple] = {}
+        held: dict[str, list] = {}
         n = 0
 
         def out() -> pa.RecordBatch:
-            keys = list(held)
+            rows = [(h, *v) for h, v in held.items()]
+            first, wrappers, texts = ([r[i] for r in rows] for i in (1, 2, 3))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys, pa.string()), pa.array([held[k][0] for k in keys], pa.string()),
-                    pa.array([json.dumps(held[k][1:]) for k in keys], pa.string()),
+                    pa.array([r[0] for r in rows], pa.string()), pa.array(first, pa.string()),
+                    pa.array([json.dumps(w) for w in wrappers], pa.string()), pa.array([w[3] for w in wrappers], pa.int64()),
+                    pa.array([[{"name": k, "n": c, "size": z} for k, (c, z) in t.items()] for t in texts], counts),
                 ],
-                names=["host", "first", "wrapper"],
+                names=["host", "first", "wrapper", "pages", "texts"],
             )
 
         for part in parts:
             for h, p, body in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 if body:
                     root = parse(body)
-                    w, t = wrapper(root), page_texts(root)
-                    before = len(held[h][2][2]) if h in held else 0
-                    held[h] = (min(held[h][0], p), merge(held[h][1], w), add_texts(held[h][2], t)) if h in held else (p, w, t)
-                    n += len(held[h][2][2]) - before
+                    w = wrapper(root)
+                    if h in held:
+                        held[h][:2] = min(held[h][0], p), merge(held[h][1], w)
+                    else:
+                        held[h] = [p, w, {}]
+                    texts = held[h][2]
+                    n -= len(texts)
+                    for name, size in page_texts(root).items():
+                        texts[name] = (texts[name][0] + 1 if name in texts else 1, size)
+                    n += len(texts)
                     if len(held) >= hosts_held or n >= texts_held:
                         yield out()
                         held.clear()
@@ -504,28 +589,37 @@ def infer_wrappers(pages: DataFrame, host: str, page: str, html: str, hosts_held
         if held:
             yield out()
 
-    def merged(frame: pd.DataFrame, end) -> pd.DataFrame:
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
         frame, total = frame.sort_values("first"), None
         for x in frame["wrapper"]:
-            w, t = json.loads(x)
-            total = (w, t) if total is None else (merge(total[0], w), add_texts(total[1], t))
+            total = json.loads(x) if total is None else merge(total, json.loads(x))
         return pd.DataFrame(
-            {"host": [frame["host"].iloc[0]], "first": [frame["first"].iloc[0]], "wrapper": [json.dumps([total[0], end(total[1])])]}
+            {
+                "host": [frame["host"].iloc[0]], "first": [frame["first"].iloc[0]], "wrapper": [json.dumps(total)],
+                "marked": [marked(total, region(total))],
+            }
         )
 
-    def some(frame: pd.DataFrame) -> pd.DataFrame:
-        return merged(frame, lambda t: t)
-
-    def once(frame: pd.DataFrame) -> pd.DataFrame:
-        return merged(frame, constant_texts)
-
-    found = pages.select(
-        host, F.coalesce(F.col(page).cast("string"), F.lit("")).alias(page), html
-    ).mapInArrow(read, "host string, first string, wrapper string")
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("first"), F.lit(64)))
-    return salted.groupBy("host", "salt").applyInPandas(
-        some, "host string, first string, wrapper string"
-    ).groupBy("host").applyInPandas(once, "host string, first string, wrapper string").select("host", "wrapper")
+    shape = "host string, first string, wrapper string, marked boolean"
+    found = materialise(
+        pages.select(host, F.coalesce(F.col(page).cast("string"), F.lit("")).alias(page), html).mapInArrow(
+            read, "host string, first string, wrapper string, pages long, texts array<struct<name: long, n: long, size: long>>"
+        )
+    )
+    salted = found.select("host", "first", "wrapper", F.pmod(F.xxhash64("first"), F.lit(64)).alias("salt"))
+    wrappers = salted.groupBy("host", "salt").applyInPandas(merged, shape).groupBy("host").applyInPandas(merged, shape)
+    hosts = found.groupBy("host").agg(
+        F.sum("pages").alias("pages"),
+        F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + t["n"] * t["size"])).alias("chars"),
+    )
+    texts = found.select("host", F.inline("texts")).groupBy("host", "name").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+    everywhere = texts.where("n > 1").join(hosts, "host").where("n >= 0.9 * pages")
+    shared = everywhere.groupBy("host").agg(
+        F.collect_list("name").alias("shared"), F.sum(F.col("n") * F.col("size")).alias("same"), F.max("pages").alias("pages"),
+        F.max("chars").alias("chars"),
+    ).where("2 * same <= chars")
+    kept = F.when((F.col("pages") >= 5) | ~F.col("marked"), F.col("shared"))
+    return wrappers.join(shared, "host", "left").select("host", "wrapper", F.coalesce(kept, F.array().cast("array<long>")).alias("shared"))
 
 
 def extract_main_text(
@@ -543,21 +637,21 @@ def extract_main_text(
         host_of(F.col(url).cast("string")).alias("host"),
     )
     wrappers = materialise(infer_wrappers(picked, "host", "id", "html"))
-    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
+    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host") + 8 * F.size("shared"))).first()[0] or 0
     joined = picked.join(
         F.broadcast(wrappers) if size <= broadcast_bytes else wrappers, "host", "left"
-    ).select("id", "url", "html", "host", "wrapper")
+    ).select("id", "url", "html", "host", "wrapper", "shared")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple] = {}
         for part in parts:
             texts = []
-            for body, h, w in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            for at, (body, h, w) in enumerate(zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)):
                 if w and h not in held:
                     if len(held) > 1000:
                         held.clear()
-                    blocks, constant = json.loads(w)
-                    held[h] = (blocks, frozenset(constant), region(blocks))
+                    blocks = json.loads(w)
+                    held[h] = (blocks, frozenset(part.column(5)[at].as_py()), region(blocks))
                 texts.append(main_text(body, *held[h]) if w else main_text(body))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
