@@ -3,12 +3,15 @@
 Each vector is represented by the order of its `length` nearest pivots, of many more, and posted in their inverted
 files with the place that the pivot has for it. A query reads the files of its own pivots alone and ranks the
 vectors that it meets there by the footrule distance, the sum of |place for the query - place for the vector|
-over its pivots, where a pivot that a vector is not posted under counts as the place `ABSENT` * length. The best `share` of a
-block, ties at the edge included, is ranked again by exact inner product; vectors met in no file are not looked at.
+over its pivots, where a pivot that a vector is not posted under counts as the place `ABSENT` * length. The best of a
+block, `share` of its vectors and SPARE more for each neighbour, ties at the edge included, are ranked again by exact
+inner product; vectors met in no file are not looked at.
 Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm, so that the order of pivots follows the inner product and not the angle.
 
 With 2048 pivots and 64 places a query reads two postings for each vector of a block, on the mean, and multiplies out
-a twelfth of the vectors. A smaller table has a pivot for every fourth vector.
+an eighth of the vectors and 160 more: a fifth of a block of 2048, 13 % of a large one. The 160 are there because the order of a small
+block's vectors by footrule is as noisy as a large one's, and its best twenty a larger part of it; the rule is the same at
+all sizes. A smaller table has a pivot for every fourth vector.
 
 Vectors are dealt into blocks of bounded size, each with its own inverted files, and queries into blocks of theirs. A
 vector moves once for each block of queries, and a query once for each block of vectors; a meeting leaves the best k for each
@@ -31,6 +34,7 @@ from lexiloom.plans.lineage import materialise
 
 ABSENT = 4
 SMALL_BLOCK = 2048
+SPARE = 8
 
 
 def lift(x: np.ndarray, most: float) -> np.ndarray:
@@ -50,6 +54,11 @@ def orders(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def reranked(size: int, k: int, share: float) -> int:
+    """How many of a block of `size` different vectors are multiplied out, without ties at the edge."""
+    return min(size, SPARE * k + ceil(share * size))
+
+
 class Files:
     """The inverted files of a block of different vectors."""
 
@@ -82,7 +91,7 @@ def nearest(
     x, ids, first = _different(x, ids, k + 1)
     held = Files(orders(lift(x, most), pivots, length), len(pivots))
     flat = np.column_stack([query / np.abs(query).max(axis=1, keepdims=True), np.zeros(len(query))])
-    want = max(20 * k, ceil(share * len(x)))
+    want = reranked(len(x), k, share)
     for own, q, order in zip(query_id, query, orders(flat, pivots, length), strict=True):
         pick = np.arange(len(x)) if want >= len(x) else held.ranked(order, want)
         score = np.einsum("ij,j->i", x[pick], q)
@@ -110,14 +119,14 @@ def _different(x: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, n
 
 
 def permutation_search(
-    table: DataFrame, queries, id_: str = "vec_id", vector: str = "embedding", k: int = 20, pivots: int = 2048, length: int = 64, share: float = 1 / 12, sample: int = 4096, block: int = 32_768, query_block: int = 16_384
+    table: DataFrame, queries, id_: str = "vec_id", vector: str = "embedding", k: int = 20, pivots: int = 2048, length: int = 64, share: float = 1 / 8, sample: int = 4096, block: int = 32_768, query_block: int = 16_384
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k vectors of largest inner product found for each query, ties to the smaller id.
 
     queries: a condition that picks query rows; all other rows are a query's candidates. Null, empty
     and zero vectors, those with null or non-finite components and rows with a null id take no part. A query
     meets vectors of its dimension only. Rows that repeat an id are one: the largest of their products counts, and
-    a query repeated is asked once, by its first vector. Blocks of at most 20 k different vectors are searched whole.
+    a query repeated is asked once, by its first vector. Blocks of so few vectors that reranked() takes them all are searched whole.
     Other columns are left out. The rerank share is a part of all vectors: what is bounded is memory, not work.
     """
     spark = table.sparkSession

@@ -603,7 +603,7 @@ def test_toxicity_brute_force(spark):
 
 
 def test_permutation_search_of_thousands(spark):
-    """Under a tenth is multiplied out, and nine in ten neighbours are found, of vectors that lie in no groups."""
+    """Nine in ten neighbours are found of vectors that lie in no groups, and files rank by footrule."""
     rng = np.random.default_rng(6)
     x = rng.standard_normal((6000, 32)) * rng.uniform(0.8, 1.2, (6000, 1))
     x[3000:3400] = x[0]
