@@ -42,3 +42,12 @@ def test_code_points_keep_their_number(spark):
     assert [r for r in df.collect() if r["c"] not in new and r["u"] != duck.execute("SELECT upper(?)", [r["c"]]).fetchone()[0]] == []
     odd = spark.createDataFrame([("straße 🙂",), ("",), (None,)], "c string")
     assert [r[0] for r in odd.select(tx.upper(F.col("c"))).collect()] == ["STRAẞE 🙂", "", None]
+
+
+def test_routed_titles_and_works(spark, tmp_path):
+    compared(spark, tmp_path, "route_sources")
+
+
+def test_small_letters_keep_their_number(spark):
+    odd = spark.createDataFrame([("ΣΑΣ İX ẞ",), ("",), (None,)], "c string")
+    assert [r[0] for r in odd.select(tx.lower(F.col("c"))).collect()] == ["σασ ix ß", "", None]
