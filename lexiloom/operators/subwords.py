@@ -10,11 +10,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+# Bytes of text that are tokenised at once (a longer text alone), and rows of windows that are counted at once: what a worker holds
+# beside a batch. A tokenizer keeps some 100 bytes for each id.
+AT_ONCE, ROWS_AT_ONCE = 1 << 19, 256
 WINDOW = "begin bigint, end bigint, target_len bigint, ids array<int>"
 
 
@@ -29,13 +33,26 @@ def windows(n: int, longest: int, stride: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs in order whose sizes sum to `most` at most, or hold one item."""
+    begin = held = 0
+    for k, size in enumerate(sizes):
+        if k > begin and held + size > most:
+            yield begin, k
+            begin, held = k, 0
+        held += size
+    if sizes:
+        yield begin, len(sizes)
+
+
 def subwords(
     docs: DataFrame, id_: str, text: str, vocabulary: str, longest: int, stride: int, end: int | None = None, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """(id_, keep, begin, end, target_len, ids) of each text's windows of `longest` ids, a new one each `stride`.
 
     vocabulary: the path of a tokenizers file, the same on all machines. end: an id put after each text's. Null and empty texts have
-    no window, or that of the end id alone. A row holds one window, so no row grows with its text; texts are tokenised a batch at a time.
+    no window, or that of the end id alone. A row holds one window, so no row grows with its text; texts are tokenised some AT_ONCE
+    bytes at a time, whatever a batch of rows holds.
     """
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_, *keep))
 
@@ -47,9 +64,14 @@ def subwords(
             self.made = Tokenizer.from_file(vocabulary)
 
         def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index("__text")).to_pylist()]
+            column = batch.column(batch.schema.get_field_index("__text"))
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+            for first, last in runs(sizes, AT_ONCE) if sizes else [(0, 0)]:
+                yield self._cut(batch.slice(first, last - first), column.slice(first, last - first).to_pylist())
+
+        def _cut(self, batch: pa.RecordBatch, texts: list[str | None]) -> pa.Table:
             row, cut, ids = [], [], []
-            for i, got in enumerate(self.made.encode_batch(texts, add_special_tokens=False)):
+            for i, got in enumerate(self.made.encode_batch([t or "" for t in texts], add_special_tokens=False)):
                 whole = np.array(got.ids if end is None else [*got.ids, end], np.int32)
                 for one in windows(len(whole), longest, stride):
                     row.append(i)

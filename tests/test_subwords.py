@@ -96,3 +96,19 @@ def test_failing_model(spark):
     rows = spark.createDataFrame([(k, [k] * (1 + k % 5)) for k in range(100)], "k int, ids array<int>").withColumn("t", F.lit(1))
     got = sw.scored(rows, "ids", "t", 8, load, batch=7).collect()
     assert {r["k"]: (r["loss"], r["error"]) for r in got} == {k: (None, "thirteen") if k == 13 else (float(k), None) for k in range(100)}
+
+
+def test_a_batch_is_tokenised_in_runs(spark, made):
+    """What a worker holds of the tokenizer's answers does not grow with the rows of a batch; rows are the same, in order, beyond a run."""
+    pick = np.random.default_rng(3).integers(0, 3 * sw.AT_ONCE // 50, 200).tolist()
+    cut = list(sw.runs(pick, sw.AT_ONCE))
+    assert [k for a, b in cut for k in range(a, b)] == list(range(200))
+    assert all(b - a == 1 or sum(pick[a:b]) <= sw.AT_ONCE for a, b in cut) and len(cut) > 2 and list(sw.runs([], 5)) == [] and list(sw.runs([9, 1, 1], 2)) == [(0, 1), (1, 3)]
+    rows = [(k, None if k % 50 == 0 else f"word{k} é " * (1 + 40 * k)) for k in range(100)]
+    assert sum(len((t or "").encode()) for _, t in rows) > 3 * sw.AT_ONCE
+    got = sw.subwords(spark.createDataFrame(rows, "k long, t string").coalesce(1), "k", "t", VOCABULARY, 512, 512, end=2).collect()
+    held = {}
+    for r in got:
+        assert r["begin"] == len(held.setdefault(r["k"], []))
+        held[r["k"]] += r["ids"]
+    assert held == {k: [*made.encode(t or "", add_special_tokens=False).ids, 2] for k, t in rows}
