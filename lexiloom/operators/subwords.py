@@ -82,7 +82,7 @@ def subwords(
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))
             )
-            yield pa.Table.from_arrays([*held, *(pa.array(ends[:, k]) for k in range(3)), lists], names=[id_, *keep, "begin", "end", "target_len", "ids"])
+            return pa.Table.from_arrays([*held, *(pa.array(ends[:, k]) for k in range(3)), lists], names=[id_, *keep, "begin", "end", "target_len", "ids"])
 
     return Subwords(docs.select(id_, *keep, F.col(text).cast("string").alias("__text")).asTable())
 
@@ -130,20 +130,25 @@ def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)) % np.uint64(BUCKETS)
 
 
+def cuts(column: pa.Array, most: int) -> Iterator[pa.Array]:
+    """The column in pieces of `most` rows, none copied."""
+    return (column.slice(k, most) for k in range(0, len(column), most))
+
+
 def bigram_counts(rows: DataFrame, ids: str, vocabulary_size: int) -> tuple[np.ndarray, np.ndarray]:
     """(counts of ids, counts of hashed pairs of following ids) over windows that do not overlap; as many numbers at any size of rows."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single, pair = np.zeros(vocabulary_size, np.int64), np.zeros(BUCKETS, np.int64)
         for part in parts:
-            column = part.column(0)
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            first = np.zeros(len(flat), bool)
-            at = np.cumsum([0, *column.value_lengths().to_numpy(zero_copy_only=False)])[:-1]
-            first[at[at < len(flat)]] = True
-            single += np.bincount(flat, minlength=vocabulary_size)
-            inside = ~first[1:]
-            pair += np.bincount(_bucket(flat[:-1][inside], flat[1:][inside]).astype(np.int64), minlength=BUCKETS)
+            for column in cuts(part.column(0), ROWS_AT_ONCE):
+                flat = column.flatten().to_numpy(zero_copy_only=False)
+                first = np.zeros(len(flat), bool)
+                at = np.cumsum([0, *column.value_lengths().to_numpy(zero_copy_only=False)])[:-1]
+                first[at[at < len(flat)]] = True
+                single += np.bincount(flat, minlength=vocabulary_size)
+                inside = ~first[1:]
+                pair += np.bincount(_bucket(flat[:-1][inside], flat[1:][inside]).astype(np.int64), minlength=BUCKETS)
         every = np.concatenate([single, pair])
         some = np.flatnonzero(every)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(every[some])], names=["at", "n"])

@@ -112,3 +112,18 @@ def test_a_batch_is_tokenised_in_runs(spark, made):
         assert r["begin"] == len(held.setdefault(r["k"], []))
         held[r["k"]] += r["ids"]
     assert held == {k: [*made.encode(t or "", add_special_tokens=False).ids, 2] for k, t in rows}
+
+
+def test_counts_over_more_rows_than_are_held_at_once(spark):
+    """Windows are counted some at a time; none is lost or joined to another where a batch is cut."""
+    import pyarrow as pa
+
+    pieces = list(sw.cuts(pa.array([[k] for k in range(700)]), sw.ROWS_AT_ONCE))
+    assert all(len(p) <= sw.ROWS_AT_ONCE for p in pieces) and pa.concat_arrays(pieces).to_pylist() == [[k] for k in range(700)]
+    rows = [(k, [] if k % 97 == 0 else [k % 7, k % 11, 5][: 1 + k % 3]) for k in range(3 * sw.ROWS_AT_ONCE + 5)]
+    single, pair = sw.bigram_counts(spark.createDataFrame(rows, "k int, ids array<int>").coalesce(1), "ids", 16)
+    want, pairs = np.zeros(16, int), 0
+    for _, ids in rows:
+        want += np.bincount(np.array(ids, int), minlength=16).astype(int)
+        pairs += max(0, len(ids) - 1)
+    assert single.tolist() == want.tolist() and pair.sum() == pairs
