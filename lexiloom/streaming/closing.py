@@ -1,30 +1,24 @@
 """Commitments of conversations whose turns come late and unordered, as a stream that keeps state and closes it.
 
-A turn is held in a list until the watermark has passed it; by then no earlier one can come, so it is folded into three numbers
-(the last low turn, the first high one after it, the first accusation). A conversation that has had no turn for `idle` of event
-time is told once, by a timer, and forgotten. So the state holds what the watermark's delay spans, whatever the stream's length,
-and a result does not depend on how turns were dealt to batches. Turns older than the watermark are dropped and counted.
+A speaker's part of a conversation is a session: turns less than `idle` of event time apart. Its state is a row of Spark's own
+aggregates (turns, the last low one, the first accusation, and the high ones, of which the first after the last low one is looked for
+when it closes), so no key costs a call of Python. It is told once, when the watermark has passed its end, and forgotten, and a result does
+not depend on how turns were dealt to batches. Turns that come when their session would have ended are dropped and counted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-OUT = "conv string, speaker string, n_turns long, t_private long, t_public long, commitment_gap long"
-HELD = "at long, turn long, high boolean, accused boolean"
-FOLDED = "turns long, low long, first_high long, public long"
 NONE = -1
 
 
 def fold(state: tuple[int, int, int, int], turns: list[tuple[int, int, bool, bool]]) -> tuple[int, int, int, int]:
-    """The state (turns, last low, first high after it, first accusation) after turns (at, turn, high, accused) in order."""
+    """The state (turns, last low, first high after it, first accusation) after turns (at, turn, high, accused) in order: the rule that the aggregates follow."""
     count, low, first, public = state
     for _, turn, high, accused in turns:
         if high:
@@ -37,79 +31,32 @@ def fold(state: tuple[int, int, int, int], turns: list[tuple[int, int, bool, boo
     return count, low, first, public
 
 
-class Closing(StatefulProcessor):
-    """A speaker's part of one conversation."""
-
-    def __init__(self, idle_ms: int) -> None:
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", HELD)
-        self.folded = handle.getValueState("folded", FOLDED)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        turns = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-        for frame in rows:
-            turns += zip(frame["at"].tolist(), frame["turn"].tolist(), frame["high"].tolist(), frame["accused"].tolist(), strict=True)
-        turns.sort()
-        passed = timerValues.getCurrentWatermarkInMs()
-        done = [t for t in turns if t[0] < passed]  # one of the same millisecond may still come
-        if done:
-            self.folded.update(fold(self._state(), done))
-        if len(done) < len(turns):
-            self.held.put(turns[len(done) :])
-        elif self.held.exists():
-            self.held.clear()
-        # the newest turn says when to close; one that a timer was set for before may have been newer
-        ends = [*self.handle.listTimers(), turns[-1][0] + self.idle_ms]
-        for other in ends[:-1]:
-            if other < max(ends):
-                self.handle.deleteTimer(other)
-        self.handle.registerTimer(max(ends))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rest = sorted(tuple(r) for r in self.held.get()) if self.held.exists() else []
-        count, _, first, public = fold(self._state(), rest)
-        self.held.clear()
-        self.folded.clear()
-        some = lambda v: None if v == NONE else v
-        gap = public - first if NONE not in (public, first) else None
-        yield pd.DataFrame(
-            {
-                "conv": [key[0]], "speaker": [key[1]], "n_turns": [count], "t_private": pd.array([some(first)], "Int64"),
-                "t_public": pd.array([some(public)], "Int64"), "commitment_gap": pd.array([gap], "Int64"),
-            }
-        )
-
-    def close(self) -> None:
-        pass
-
-    def _state(self) -> tuple[int, int, int, int]:
-        return tuple(self.folded.get()) if self.folded.exists() else (0, NONE, NONE, NONE)
-
-
 def closed_conversations(turns: DataFrame, threshold: float, delay: str, idle: timedelta) -> DataFrame:
     """turns (conv, speaker, turn, ts, score, accused), a stream, to (conv, speaker, n_turns, t_private, t_public, commitment_gap).
 
-    A row for each speaker of a conversation, once it is closed. delay: how late a turn may come; one that is later is dropped. A null
+    A row for each speaker of a conversation, once it is closed: no turn for `idle`. delay: how late a turn may come; a later one still counts
+    where its conversation is open, and is dropped where it would have ended. A null
     score counts as low, a null accusation as none; a turn without conv, speaker, turn or ts takes no part. A turn given twice counts
     twice in n_turns. Turns of a conversation that was closed open another of the same name.
     """
     clean = turns.where("conv is not null and speaker is not null and turn is not null and ts is not null").withWatermark("ts", delay)
-    rows = clean.select(
-        F.col("conv").cast("string").alias("conv"), F.col("speaker").cast("string").alias("speaker"), F.col("turn").cast("long").alias("turn"), "ts",
-        F.unix_millis("ts").alias("at"), F.coalesce(F.col("score") >= threshold, F.lit(False)).alias("high"),
-        F.coalesce("accused", F.lit(False)).alias("accused"),
+    place = F.struct(F.unix_millis("ts").alias("at"), F.col("turn").cast("long").alias("turn"))
+    high = F.coalesce(F.col("score") >= threshold, F.lit(False))
+    idle_ms = int(idle.total_seconds() * 1000)
+    held = clean.groupBy(
+        F.col("conv").cast("string").alias("conv"), F.col("speaker").cast("string").alias("speaker"), F.session_window("ts", f"{idle_ms} milliseconds")
+    ).agg(
+        F.count("*").alias("n_turns"), F.max(F.when(~high, place)).alias("low"), F.collect_list(F.when(high, place)).alias("highs"),
+        F.min(F.when(F.col("accused"), place)).alias("public"),
     )
-    return rows.groupBy("conv", "speaker").transformWithStateInPandas(
-        Closing(int(idle.total_seconds() * 1000)), OUT, "Append", "EventTime"
+    after = F.array_min(F.filter("highs", lambda x: F.col("low").isNull() | (x >= F.col("low"))))  # low comes before high in one place
+    return held.select("conv", "speaker", "n_turns", after["turn"].alias("t_private"), F.col("public.turn").alias("t_public")).withColumn(
+        "commitment_gap", F.col("t_public") - F.col("t_private")
     )
 
 
 def dropped(query: StreamingQuery) -> int:
-    """Turns that came after the watermark, over the batches that the query remembers."""
+    """Turns that came too late, over the batches that the query remembers; those of one speaker and time that came together count once."""
     return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
 
 
